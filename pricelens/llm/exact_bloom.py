@@ -75,8 +75,11 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bit
     second = materialize(repeated_slots(once.where("hit_1"), slot(2, bits)), "bloom-2")
     flagged = with_bit(once, second, slot(2, bits), "hit_2")
     maybe, rest = flagged.where("hit_1 AND hit_2"), flagged.where("NOT (hit_1 AND hit_2)")
-    first_of = maybe.groupBy("text_sha256").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count("*").alias("group_size")
+    first_of = materialize(  # a table of its own, so that the join below has shuffles on both sides and a hot hash can be split
+        maybe.groupBy("text_sha256").agg(
+            F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count("*").alias("group_size")
+        ),
+        "text-groups",
     )
     grouped = maybe.join(first_of, "text_sha256").select(
         "doc_id",

@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from pricelens.llm import exact_bloom, line_runs, packing, simhash_cover, source_mix, token_counts
+from pricelens.llm import (
+    exact_bloom,
+    interleaved,
+    line_runs,
+    packing,
+    pii_spans,
+    quality_pu,
+    simhash_cover,
+    source_mix,
+    token_counts,
+    url_filter,
+)
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_url_filter": url_filter.op2_url_filter,
     "op3_source_mix": source_mix.op3_source_mix,
     "op4_line_dedup": line_runs.op4_line_dedup,
+    "op5_quality_classifier": quality_pu.op5_quality_classifier,
+    "op6_media_columns": interleaved.op6_media_columns,
     "op7_packing": packing.op7_packing,
+    "op8_pii_spans": pii_spans.op8_pii_spans,
     "op9_simhash_near_dedup": simhash_cover.op9_simhash_near_dedup,
     "op10_exact_dedup": exact_bloom.op10_exact_dedup,
 }

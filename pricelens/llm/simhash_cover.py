@@ -200,8 +200,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     nodes = connected_components(close_links(distinct.select("fp"), max_run))
     rooted = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(ids, "root").select("fp", "component_id")
+    rooted = materialize(rooted, "simhash-roots")
+    ids = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-components")
+    classes = materialize(rooted.join(ids, "root").select("fp", "component_id"), "simhash-classes")
     return own.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
