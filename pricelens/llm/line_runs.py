@@ -33,36 +33,44 @@ def hashes() -> list[Column]:
 
 
 class LineRuns:
-    """The runs of one corpus, as bucketed tables in the shared folder."""
+    """The runs of one corpus: the partitions of one table in the shared folder, bucketed and sorted by the hash.
+
+    Runs of one table, rather than a table for each, are what lets Spark merge them bucket by bucket without a shuffle.
+    Merged runs are no longer listed in levels; their files stay until the folder goes.
+    """
 
     def __init__(self, spark: SparkSession, min_documents: int, fanout: int = 4, buckets: int | None = None):
         self.spark, self.min_documents, self.fanout = spark, min_documents, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.path = work_path(spark, "line-runs")
         self.name = f"line_runs_{self.path[-32:]}"
-        self.levels: dict[int, list[str]] = {}
+        self.levels: dict[int, list[int]] = {}
         self.written = 0
 
     def _write(self, rows: DataFrame, level: int) -> None:
-        name = f"{self.name}_{self.written}"
         (
-            rows.repartition(self.buckets, *HASH)
-            .write.bucketBy(self.buckets, *HASH)
+            rows.select(*HASH, "n", F.lit(self.written).alias("run"))
+            .repartition(self.buckets, *HASH)
+            .write.mode("append")
+            .partitionBy("run")
+            .bucketBy(self.buckets, *HASH)
             .sortBy(*HASH)
-            .option("path", f"{self.path}/{self.written}")
-            .saveAsTable(name)
+            .option("path", self.path)
+            .saveAsTable(self.name)
         )
+        self.levels.setdefault(level, []).append(self.written)
         self.written += 1
-        self.levels.setdefault(level, []).append(name)
 
-    def _merged(self, names: list[str]) -> DataFrame:
-        runs = reduce(DataFrame.unionByName, [self.spark.table(name) for name in names])
-        return runs.groupBy(*HASH).agg(F.sum("n").alias("n"))
+    def rows(self, runs: list[int]) -> DataFrame:
+        return self.spark.table(self.name).where(F.col("run").isin(runs)).select(*HASH, "n")
+
+    def merged(self, runs: list[int]) -> DataFrame:
+        return self.rows(runs).groupBy(*HASH).agg(F.sum("n").alias("n"))
 
     def frequent(self) -> DataFrame | None:
         """The hashes that the runs prove to be in min_documents documents or more; None before the first run."""
-        names = [name for level in self.levels.values() for name in level]
-        return self._merged(names).where(F.col("n") >= self.min_documents).select(*HASH) if names else None
+        live = [run for level in self.levels.values() for run in level]
+        return self.merged(live).where(F.col("n") >= self.min_documents).select(*HASH) if live else None
 
     def add(self, batch: DataFrame) -> None:
         """batch: (h1, h2, n) of new documents, a row for each hash."""
@@ -73,10 +81,7 @@ class LineRuns:
     def compact(self) -> None:
         level = 0
         while len(self.levels.get(level, [])) >= self.fanout:
-            merged = self.levels.pop(level)
-            self._write(self._merged(merged), level + 1)
-            for name in merged:
-                self.spark.sql(f"DROP TABLE {name}")
+            self._write(self.merged(self.levels.pop(level)), level + 1)
             level += 1
 
 
