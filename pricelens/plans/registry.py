@@ -32,7 +32,10 @@ def with_parts(sql: str) -> str:
     if not ctes:
         return own
     joined = ",\n".join(ctes)
-    return f"WITH {joined},\n{own[5:]}" if own.upper().startswith("WITH ") else f"WITH {joined}\n{own}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if own.startswith(head):
+            return f"{head}{joined},\n{own[len(head) :]}"
+    return f"WITH {joined}\n{own}"
 
 
 def query(sql: str | None = None, name: str | None = None):
