@@ -12,45 +12,86 @@ windows whose lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pricelens.llm.common import bounded_batches, table
+from pricelens.llm.common import bounded_batches, byte_letters, table
 
 WINDOW, END_OF_TEXT = 4096, 2
 MAX_OPEN = 1024
-CACHED = 300_000
+#: Lower-case letters that every Unicode version knows as such, in their only form; and how special strings begin.
+PLAIN_WORD, SPECIAL_START = "^[a-zà-öø-ÿ]+$", "<|"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def merger(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
+    """Merges of lower-case words as ranks, a NUL for the end of a word; and for each id whether it ends one.
+
+    Ids must be bytes, then bytes at a word's end, then tokens in the order of merges, as is proved here: then rank equals id.
+    """
+    model, letters = json.loads(Path(path).read_text())["model"], byte_letters()
+    suffix = model["end_of_word_suffix"]
+    merges = ["".join(x.split(" ") if isinstance(x, str) else x) for x in model["merges"]]
+    order = [x for x, k in sorted(model["vocab"].items(), key=lambda kv: kv[1]) if k < 512 + len(merges)]
+    if sorted(order[:256]) != sorted(letters) or order[256:512] != [x + suffix for x in order[:256]] or order[512:] != merges:
+        raise ValueError(f"{path}: ids don't follow the order of merges")
+    ends = [len(x) > len(suffix) and x.endswith(suffix) for x in order]
+    cut = lambda x, end: bytes(letters[c] for c in (x[: -len(suffix)] if end else x)) + b"\0" * end
+    ranks = {cut(x, end): k for k, (x, end) in enumerate(zip(order, ends))}
+    return tiktoken.Encoding("words", pat_str="[^\\x00]+\\x00", mergeable_ranks=ranks, special_tokens={}), np.array(ends)
+
+
 class Encoder:
-    """Ids of whole texts as bytes of unsigned 32-bit little-endian numbers.
+    """Ids of whole texts, as the tokenizer gives them.
 
-    The vocabulary's pre-tokens hold no space, so a text's ids are those of its parts between blanks and line feeds;
-    distinct parts are encoded once and kept while the worker lives, up to CACHED.
+    The vocabulary's pre-tokens hold no space and don't tell A-Z from a-z, so a text's ids are those of its lower-cased
+    parts between blanks and line feeds, and marks after a letter and before a blank are a part of their own. Arrow gives
+    each batch's distinct parts. Those of plain letters are one pre-token each and are merged by rank in one call; all
+    others go to the tokenizer. Their ids are then dealt out to all the places where a part occurs.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.parts) > CACHED:
-            self.parts = {"": b""}
-        cut = [x.replace("\n", " ").split(" ") for x in texts]
-        new = [*{x for own in cut for x in own}.difference(self.parts)]
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.parts[x] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.parts.__getitem__, own)) for own in cut]
+        self.words, self.ends = merger(path)
+
+    def _distinct(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of distinct parts in one array, and where each part's begin, and how many they are."""
+        plain = pc.match_substring_regex(parts, PLAIN_WORD).to_numpy(zero_copy_only=False)
+        joined = "\0".join([*parts.filter(pa.array(plain)).to_pylist(), ""])
+        own = np.array(self.words.encode_ordinary(joined), np.uint32)
+        others = self.tokenizer.encode_batch_fast(parts.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)
+        rest = [e.ids for e in others]
+        n, starts = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        n[plain], n[~plain] = np.diff(np.flatnonzero(self.ends[own]), prepend=-1), np.fromiter(map(len, rest), np.int64, len(rest))
+        starts[plain], starts[~plain] = np.cumsum(n[plain]) - n[plain], len(own) + np.cumsum(n[~plain]) - n[~plain]
+        return np.concatenate((own, np.fromiter(chain.from_iterable(rest), np.uint32))), starts, n
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        whole = pc.replace_substring(texts.fill_null(""), "\n", " ")
+        lower = pc.if_else(pc.match_substring(whole, SPECIAL_START), whole, pc.ascii_lower(whole))
+        parts = pc.split_pattern(pc.replace_substring_regex(lower, "([a-z])([.,;:!?]+) ", "\\1 \\2 "), " ")
+        coded = parts.flatten().dictionary_encode()
+        ids, starts, n = self._distinct(coded.dictionary)
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        sizes = n[at]
+        ends = np.cumsum(sizes)
+        dealt = ids[np.repeat(starts[at] - (ends - sizes), sizes) + np.arange(sizes.sum())].astype("<u4").tobytes()
+        cuts = (4 * np.append(0, ends)[parts.offsets.to_numpy()]).tolist()
+        return [dealt[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -177,8 +218,7 @@ def pack_documents(
             return done
 
         for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            for key, ids in zip(batch.column("doc_id").to_pylist(), encoder(vocabulary)(texts)):
+            for key, ids in zip(batch.column("doc_id").to_pylist(), encoder(vocabulary)(batch.column("text"))):
                 take(packer.pack(key, ids + end))
             if rows:
                 yield batch_of()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pricelens.llm.common import bounded_batches, table
+from pricelens.llm.common import bounded_batches, byte_letters, table
 
 # The pre-token pattern of the byte-level vocabulary, and its special string.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -39,13 +39,6 @@ PLAIN = bytes([10, *range(32, 127), *range(161, 256)])
 CACHED = 400_000
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter by which a byte-level vocabulary writes each byte: printable bytes themselves, the rest from U+0100 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in printable]
-    return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
-
-
 def whole_tokens(tokenizer: Tokenizer) -> frozenset[str]:
     """The vocabulary strings that encode alone as their one own token."""
     letters, texts, ids = byte_letters(), [], []

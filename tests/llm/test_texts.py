@@ -7,11 +7,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pricelens.llm import interleaved, pii_spans
-from pricelens.llm.packing import SumOfSquares, pack_documents
+from pricelens.llm.packing import SumOfSquares, encoder, pack_documents
 from pricelens.llm.token_counts import PATTERN, UNSETTLED, regex, token_counts, whole_tokens
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -177,3 +178,11 @@ def test_reliabilities_find_the_good_labeler():
     good = rate[1, :, 2] - rate[0, :, 2]
     assert good.argmax() == 0 and good.argmin() == 2
     assert p[(votes == 1).all(axis=1)] > 0.9 and p[(votes == -1).all(axis=1)] < 0.1
+
+
+def test_encoder_of_odd_texts():
+    """Every odd text has the tokenizer's own ids, though its parts are lower-cased, cut and merged apart from it."""
+    tokenizer, encode = Tokenizer.from_file(WORDS), encoder(WORDS)
+    odd = ["<|ENDOFTEXT|> a", "x<|endoftext|>y. A", "É à À ÿ ÷ × ß", "don't. it's, 'S", "a. b, c! d", "", "..", "a.. b", "ﬁ ǅ ΑΣ. Σ", "é á. ", "A\n\n.b", "日本. 語", "x. ́", " ", "a.\n", "\0 a\0b", "mixed÷word a", None]
+    got = encode(pa.array(odd, pa.string()))
+    assert got == [np.array(tokenizer.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in odd]
