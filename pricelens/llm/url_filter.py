@@ -29,8 +29,8 @@ RULES = (
     ("org", "/es/", "block"),
 )
 TREES, DEPTH, RATE, RIDGE, LEAST_HESSIAN, SCALE = 10, 3, 0.3, 1.0, 1.0, 1 << 20
-#: Suffix statistics are kept for this many suffixes, the most frequent ones among labelled URLs; others take the prior.
-MAX_SUFFIXES = 1000
+#: Suffix statistics are kept by this many buckets of hashes: every suffix counts, and the table's size is bounded.
+SUFFIX_BUCKETS = 1 << 16
 BINS = 16
 
 
@@ -61,7 +61,7 @@ def entropy(text: Column) -> Column:
 
 
 def lexical(pages: DataFrame, url: str) -> DataFrame:
-    """pages with host, path, rule, verdict, two suffixes of the host, and binned features f0, f1, ..."""
+    """pages with host, path, rule, verdict, buckets of two suffixes of the host, and binned features f0, f1, ..."""
     address = F.coalesce(F.col(url), F.lit(""))
     host, path = url_parts(address)
     rule, verdict = fitting_rule()
@@ -85,7 +85,7 @@ def lexical(pages: DataFrame, url: str) -> DataFrame:
         F.when(F.startswith(address, F.lit("https")), 1).otherwise(0),
     ]
     binned = {f"f{k}": F.least(F.floor(x), F.lit(BINS - 1)).cast("int") for k, x in enumerate(raw)}
-    suffixes = {"suffix_1": F.substring_index(host, ".", -1), "suffix_2": F.substring_index(host, ".", -2)}
+    suffixes = {f"suffix_{k}": F.pmod(F.xxhash64(F.substring_index(host, ".", -k)), F.lit(SUFFIX_BUCKETS)) for k in (1, 2)}
     return own.withColumns(binned | suffixes)
 
 
@@ -94,14 +94,16 @@ FEATURES = [f"f{k}" for k in range(N_LEXICAL + 2)]
 
 
 def with_suffix_statistics(own: DataFrame) -> DataFrame:
-    """own with the last two features: the smoothed share of blocked labelled URLs by either suffix, in bins."""
+    """own with the last two features: the smoothed share of blocked labelled URLs by either suffix's bucket, in bins.
+
+    Buckets without labelled URLs take the middle bin. A statistics table has SUFFIX_BUCKETS rows at most, so it is broadcast.
+    """
     labelled = own.where("said IS NOT NULL").select("suffix_1", "suffix_2", (F.col("said") == "block").cast("int").alias("blocked"))
     for k in (1, 2):
         name, feature = f"suffix_{k}", f"f{N_LEXICAL + k - 1}"
         stats = labelled.groupBy(name).agg(F.count("*").alias("n"), F.sum("blocked").alias("b"))
-        kept = stats.orderBy(F.desc("n"), name).limit(MAX_SUFFIXES)
         share = F.floor((F.col("b") + 1) / (F.col("n") + 2) * BINS).cast("int")
-        kept = materialize(kept.select(name, share.alias(feature)), "url-suffixes")
+        kept = materialize(stats.select(name, share.alias(feature)), "url-suffixes")
         own = own.join(F.broadcast(kept), name, "left").withColumn(feature, F.coalesce(feature, F.lit(BINS // 2)))
     return own
 
