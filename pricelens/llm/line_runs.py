@@ -107,7 +107,8 @@ def line_dedup(
     runs = LineRuns(spark, min_documents, fanout)
     for k in range(batches):
         runs.add(counted.where(F.col("batch") == k).drop("batch"))
-    frequent = runs.frequent()
+    # a table of its own, so that the join below has shuffles on both sides and a hot line can be split
+    frequent = materialize(runs.frequent(), "line-frequent")
 
     row = [F.col(doc_id).alias("__drop_key"), F.xxhash64(body).alias("__drop_version")]
     drops = (
