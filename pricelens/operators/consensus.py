@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelens.functions.pricing import first_reason, implied_probability
+from pricelens.functions.pricing import first_reason, implied_probability, issues
 
 ULP = 2.0**-52
 MARKET = ("game", "market")
@@ -122,3 +122,12 @@ def valid_contributions(vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per book's vector: whether its probabilities lie in 0..1 and sum to 1 within 32 ulps."""
     inside = F.bool_and(F.coalesce((F.col("fair") >= 0) & (F.col("fair") <= 1), F.lit(False)))
     return vectors.groupBy(*keys).agg((inside & (F.abs(F.sum("fair") - 1) <= 32 * ULP)).alias("valid"))
+
+
+def market_validity(quotes: DataFrame, market: Sequence[str] = MARKET) -> DataFrame:
+    """Per market whether it can have a consensus, and the issues: 2 or 3 distinct selections, none blank, no book twice for one."""
+    twice = quotes.groupBy(*market, "book", "selection").agg(F.count("*").alias("n"))
+    per = twice.groupBy(*market).agg(F.count_distinct("selection").alias("selections"), F.bool_or(F.trim("selection") == "").alias("blank"), F.max("n").alias("most"))
+    bad = ~F.col("selections").between(2, 3) | F.col("blank")
+    found = issues((bad, "invalid-market"), (F.col("most") > 1, "duplicate-sportsbook"))
+    return per.select(*market, found.alias("issues"), (F.size(found) == 0).alias("valid"))

@@ -49,3 +49,10 @@ def preferred(df: DataFrame, keys: Sequence[str], priority: Column, *then: Colum
 def first_seen(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key by numeric columns in order: what a dedupe that keeps the first one keeps."""
     return latest_by(df, keys, [-F.col(c) for c in order])
+
+
+def revision_authority(revisions: DataFrame, event: str = "event") -> DataFrame:
+    """The revision that an event goes by: each provider's own latest (time, sequence, token), then of those the one of
+    highest rank, freshest, last provider id."""
+    own = latest_by(revisions, [event, "provider"], ["updated_ms", "sequence", "token"])
+    return latest_by(own, [event], ["rank", "updated_ms", "provider"])

@@ -125,3 +125,10 @@ def overlapping_windows(windows: DataFrame) -> DataFrame:
     return windows.withColumn(
         "issue", F.when(F.col("from_ms") >= F.col("until_ms"), "window-order").when(F.col("from_ms") < before, "window-overlap")
     )
+
+
+def verify(claims: DataFrame, computed: DataFrame, keys: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
+    """claims (keys, metric, value) recomputed: verified, mismatch or unknown-metric, by a relative tolerance of at least 1."""
+    both = claims.join(computed.withColumnRenamed("value", "recomputed"), [*keys, "metric"], "left")
+    near = F.abs(F.col("value") - F.col("recomputed")) <= tolerance * F.greatest(F.lit(1.0), F.abs(F.col("recomputed")))
+    return both.withColumn("check", F.when(F.col("recomputed").isNull(), "unknown-metric").when(near, "verified").otherwise("mismatch"))

@@ -345,3 +345,54 @@ def near_duplicate_events(t):
 @query("""SELECT snapshot_id, sha256('quote/v1' || chr(10) || '{"american":' || american || ',"book":"' || book || '","game":' || game || ',"market":"' || market || '","observed_ms":' || observed_ms || ',"selection":"' || selection || '"}') AS content_id FROM quotes""")
 def content_ids(t):
     return t.quotes.withColumn("content_id", T.content_id("quote/v1", "game", "market", "selection", "book", "american", "observed_ms")).select("snapshot_id", "content_id")
+
+
+@query(f"SELECT game, start_ms FROM games WHERE status = 'scheduled' AND start_ms >= {FIRST_MS + 6 * DAY_MS} AND start_ms < {FIRST_MS + 20 * DAY_MS} ORDER BY start_ms, game LIMIT 100")
+def eligible_candidates(t):
+    """A page of 100 scheduled games that start in the window, by start and id."""
+    own = B.listed(t.games, statuses=["scheduled"], from_ms=FIRST_MS + 6 * DAY_MS, until_ms=FIRST_MS + 20 * DAY_MS)
+    return own.orderBy("start_ms", "game").limit(100).select("game", "start_ms")
+
+
+part("attributed", f"""SELECT l.listing, count(DISTINCT s.event) AS n, min(s.event) AS event FROM listings l JOIN schedule s ON s.sport = l.sport AND {match('l.home', 's.home')} AND {match('l.away', 's.away')} AND abs(l.start_ms - s.start_ms) <= 86400000
+  AND CAST(timezone('America/New_York', timezone('UTC', make_timestamp(l.start_ms * 1000))) AS DATE) = CAST(timezone('America/New_York', timezone('UTC', make_timestamp(s.start_ms * 1000))) AS DATE) WHERE l.provider = 'alpha' GROUP BY l.listing""")
+
+
+@query("SELECT listing, event FROM attributed WHERE n = 1")
+def split_attribution(t):
+    """Listings whose labels match exactly one event of the same Eastern day."""
+    pairs = M.label_pairs(t.listings.where("provider = 'alpha'"), t.schedule, DAY_MS).where("NOT reversed")
+    same_day = pairs.where(T.eastern_day(F.col("start_ms")) == T.eastern_day(F.col("r_start_ms")))
+    found = same_day.groupBy("listing").agg(F.count_distinct("r_event").alias("n"), F.min("r_event").alias("event"))
+    return found.where("n = 1").select("listing", "event")
+
+
+@query(f"""WITH p AS (SELECT l.listing, count(DISTINCT s.event) AS n, min(s.event) AS event FROM listings l JOIN schedule s ON s.sport = l.sport AND ({match('l.home', 's.home')} AND {match('l.away', 's.away')} OR {match('l.home', 's.away')} AND {match('l.away', 's.home')}) WHERE l.provider = 'alpha' AND l.listing % 2 = 0 GROUP BY l.listing)
+SELECT l.listing, coalesce(p.event, -1) AS event, CASE WHEN n IS NULL THEN 'no-candidate' WHEN n > 1 THEN 'ambiguous' ELSE 'alias' END AS outcome FROM listings l LEFT JOIN p USING (listing) WHERE l.provider = 'alpha' AND l.listing % 2 = 0""")
+def secondary_aliases(t):
+    """Rows of a secondary catalogue bound by labels alone, in either orientation, whatever the start; never a new event."""
+    own = t.listings.where("provider = 'alpha' AND listing % 2 = 0")
+    anytime = lambda df: df.withColumn("start_ms", F.lit(0).cast("long"))
+    found = M.resolve(anytime(own), anytime(t.schedule), DAY_MS)
+    outcome = F.when(F.col("n") == 1, "alias").when(F.col("n") == 0, "no-candidate").otherwise("ambiguous")
+    first = M.label_pairs(anytime(own), anytime(t.schedule), DAY_MS).groupBy("listing").agg(F.min("r_event").alias("first"))
+    return found.join(first, "listing", "left").select("listing", F.coalesce("first", F.lit(-1)).cast("long").alias("event"), outcome.alias("outcome"))
+
+
+@query("""WITH r AS (SELECT game AS event, provider, provider_rank % 2 AS rank, observed_ms AS updated_ms, snapshot_id % 5 AS sequence, snapshot_id AS token FROM quotes),
+o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY event, provider ORDER BY updated_ms DESC, sequence DESC, token DESC) = 1)
+SELECT event, provider, token FROM o QUALIFY row_number() OVER (PARTITION BY event ORDER BY rank DESC, updated_ms DESC, provider DESC) = 1""")
+def revision_authority(t):
+    from pricelens.operators.latest import revision_authority as winner
+
+    n = F.col("snapshot_id")
+    r = t.quotes.select(F.col("game").alias("event"), "provider", (F.col("provider_rank") % 2).alias("rank"), F.col("observed_ms").alias("updated_ms"), (n % 5).alias("sequence"), n.alias("token"))
+    return winner(r).select("event", "provider", "token")
+
+
+@query("""SELECT provider, CAST(floor(snapshot_id / 1000) AS BIGINT) AS page, count(*) AS rows, count(*) FILTER (state = 'active') AS active, count(*) FILTER (observed_ms > retrieved_ms - 30000) AS fresh, min(retrieved_ms) AS first_ms FROM quotes GROUP BY ALL""")
+def ingestion_counters(t):
+    page = F.floor(F.col("snapshot_id") / 1000).alias("page")
+    return t.quotes.groupBy("provider", page).agg(
+        F.count("*").alias("rows"), F.count_if(F.col("state") == "active").alias("active"), F.count_if(F.col("observed_ms") > F.col("retrieved_ms") - 30000).alias("fresh"), F.min("retrieved_ms").alias("first_ms")
+    )

@@ -241,3 +241,21 @@ def latest_availability(t):
 @query("SELECT snapshot_id, game, market, selection, book, american, observed_ms FROM current_quotes")
 def current_snapshots(t):
     return current_quotes(t.quotes).select("snapshot_id", *MARKET, "selection", "book", "american", "observed_ms")
+
+
+@query("""WITH r AS (SELECT game, market, book, selection, count(*) AS n FROM quotes WHERE snapshot_id % 23 < 3 GROUP BY ALL), m AS (SELECT game, market, count(DISTINCT selection) NOT BETWEEN 2 AND 3 AS bad, max(n) > 1 AS twice FROM r GROUP BY ALL)
+SELECT game, market, array_to_string(list_filter([CASE WHEN bad THEN 'invalid-market' END, CASE WHEN twice THEN 'duplicate-sportsbook' END], lambda r: r IS NOT NULL), ',') AS issues, NOT bad AND NOT twice AS valid FROM m""")
+def market_validity(t):
+    return C.market_validity(t.quotes.where("snapshot_id % 23 < 3")).withColumn("issues", F.array_join("issues", ","))
+
+
+@query(f"""SELECT q.snapshot_id, a.probability IS NOT NULL AS available, round({dec('q.american')} * a.probability - 1, 9) AS price_clv, round(a.probability - {implied('q.american')}, 9) AS probability_clv
+FROM quotes q LEFT JOIN agreed a USING (game, market, selection) WHERE q.book = 'hardrock'""")
+def consensus_clv(t):
+    """Closing line value of the target's quotes against the consensus of the others' last prices; null without one."""
+    from pricelens.operators.closing import price_clv, probability_clv
+
+    agreed = C.consensus(_eligible(t)[1], POLICY).select(*MARKET, "selection", "probability")
+    both = t.quotes.where("book = 'hardrock'").join(agreed, [*MARKET, "selection"], "left")
+    p, a = F.col("probability"), F.col("american")
+    return both.select("snapshot_id", p.isNotNull().alias("available"), F.round(price_clv(p, a), 9).alias("price_clv"), F.round(probability_clv(p, a), 9).alias("probability_clv"))

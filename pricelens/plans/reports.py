@@ -243,3 +243,14 @@ def ranked_join_counts(t):
         F.count("*").alias("seen"), F.count_if(F.col("gv").isNull() | F.col("qv").isNull()).alias("join_failures"), F.count_if(F.col("qv") < F.col("gv")).alias("stale"),
         F.count_if((F.col("qv") == F.col("gv")) & (F.col("status") == "scheduled")).alias("served"),
     )
+
+
+@query("""WITH c AS (SELECT sport, metric, value FROM (SELECT sport, 'won' AS metric, CAST(won AS DOUBLE) AS value FROM report_rows UNION ALL SELECT sport, 'decisions', CAST(decisions + CASE sport WHEN 'soccer' THEN 1 ELSE 0 END AS DOUBLE) FROM report_rows UNION ALL SELECT sport, 'sharpe', 1e0 FROM report_rows))
+SELECT sport, metric, CASE WHEN metric = 'sharpe' THEN 'unknown-metric' WHEN metric = 'decisions' AND sport = 'soccer' THEN 'mismatch' ELSE 'verified' END AS "check" FROM c""")
+def report_verification(t):
+    """Claimed figures against recomputed ones; one claim is off, one metric doesn't exist."""
+    own = P.report(_decided(t), ["sport"])
+    computed = own.select("sport", F.expr("stack(2, 'won', CAST(won AS DOUBLE), 'decisions', CAST(decisions AS DOUBLE)) AS (metric, value)"))
+    off = F.when((F.col("sport") == "soccer") & (F.col("metric") == "decisions"), 1.0).otherwise(0.0)
+    claims = computed.withColumn("value", F.col("value") + off).unionByName(own.select("sport", F.lit("sharpe").alias("metric"), F.lit(1.0).alias("value")))
+    return P.verify(claims, computed, ["sport"]).select("sport", "metric", "check")
