@@ -54,68 +54,94 @@ def upper_median(values: Column) -> Column:
     return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
 
 
-def exclusions(quotes: DataFrame, policy: ConsensusPolicy, now_ms: int, market: Sequence[str] = MARKET) -> DataFrame:
-    """One row per market and book with the first reason against it, null if it may take part.
+def judged(quotes: DataFrame, policy: ConsensusPolicy, now_ms: int, market: Sequence[str] = MARKET) -> DataFrame:
+    """quotes with age_minutes of the row's book and reason: the first one against that book, null if it may take part.
 
-    quotes: one row per market, book and selection, with american, state and observed_ms. What is expected of a book is
-    every selection that any book of the market has.
+    quotes: current ones, a row per market, book and selection, with american, state and observed_ms. What is expected of
+    a book is every selection that any book of the market has. The market's window comes first, so its shuffle serves the
+    book's window too, and all that with_consensus adds.
     """
-    expected = F.size(F.collect_set("selection").over(Window.partitionBy(*market)))
-    books = quotes.withColumn("__expected", expected).groupBy(*market, "book").agg(
-        F.max("__expected").alias("expected"),
-        F.count("*").alias("rows"),
-        F.count_distinct("selection").alias("selections"),
-        F.bool_and(F.col("state") == "active").alias("active"),
-        F.min("observed_ms").alias("oldest_ms"),
-        F.bool_and(implied_probability(F.col("american")).isNotNull()).alias("priced"),
+    whole, book = Window.partitionBy(*market), Window.partitionBy(*market, "book")
+    rows = quotes.withColumn("__expected", F.size(F.collect_set("selection").over(whole)))
+    rows = rows.withColumns(
+        {
+            "__rows": F.count("*").over(book),
+            "__selections": F.size(F.collect_set("selection").over(book)),
+            "__active": F.bool_and(F.col("state") == "active").over(book),
+            "__oldest": F.min("observed_ms").over(book),
+            "__priced": F.bool_and(implied_probability(F.col("american")).isNotNull()).over(book),
+        }
     )
-    age = (F.lit(now_ms) - F.col("oldest_ms")) / 60000
-    weight = policy.weight(F.col("book"))
+    age, weight = (F.lit(now_ms) - F.col("__oldest")) / 60000, policy.weight(F.col("book"))
     reason = first_reason(
         (F.col("book").isNull() | (F.trim("book") == ""), "invalid-book"),
         (F.col("book") == policy.target, "target"),
-        (~F.col("active"), "status"),
+        (~F.col("__active"), "status"),
         (age.isNull() | (age < 0), "invalid-age"),
         (age > policy.maximum_age_minutes, "stale"),
-        (F.col("rows") > F.col("selections"), "duplicate-selection"),
-        (F.col("selections") < F.col("expected"), "missing-selection"),
+        (F.col("__rows") > F.col("__selections"), "duplicate-selection"),
+        (F.col("__selections") < F.col("__expected"), "missing-selection"),
         (weight.isNull(), "unconfigured"),
         (weight == 0, "zero-weight"),
-        (~F.col("priced"), "invalid-odds"),
+        (~F.col("__priced"), "invalid-odds"),
     )
-    return books.select(*market, "book", F.round(age, 6).alias("age_minutes"), reason.alias("reason"))
+    return rows.withColumns({"age_minutes": F.round(age, 6), "reason": reason}).drop("__expected", "__rows", "__selections", "__active", "__oldest", "__priced")
+
+
+def exclusions(quotes: DataFrame, policy: ConsensusPolicy, now_ms: int, market: Sequence[str] = MARKET) -> DataFrame:
+    """One row per market and book with its age and the first reason against it, null for none."""
+    rows = judged(quotes, policy, now_ms, market)
+    return rows.groupBy(*market, "book").agg(F.max("age_minutes").alias("age_minutes"), F.max("reason").alias("reason"))
+
+
+def fair_prices(rows: DataFrame, market: Sequence[str] = MARKET) -> DataFrame:
+    """rows of judged() with fair: the no-vig probability, null for books that don't take part or price one outcome only."""
+    book = Window.partitionBy(*market, "book")
+    p = F.when(F.col("reason").isNull(), implied_probability(F.col("american")))
+    rows = rows.withColumn("__p", p)
+    return rows.withColumn("fair", F.when(F.count("__p").over(book) >= 2, F.col("__p") / F.sum("__p").over(book))).drop("__p")
 
 
-def outliers(fair: DataFrame, threshold: float, market: Sequence[str] = MARKET) -> DataFrame:
-    """fair with outlier: whether the book strays from the upper median by more than the threshold on any selection."""
+def outliers(rows: DataFrame, threshold: float, market: Sequence[str] = MARKET) -> DataFrame:
+    """rows with deviation from the upper median of fair, and outlier: whether the book strays by more than the threshold on any selection."""
     cell, book = Window.partitionBy(*market, "selection"), Window.partitionBy(*market, "book")
     strays = F.abs(F.col("fair") - upper_median(F.collect_list("fair").over(cell)))
-    return fair.withColumn("deviation", strays).withColumn("outlier", F.max("deviation").over(book) > threshold * (1 + 2 * ULP))
+    far = F.max("deviation").over(book) > threshold * (1 + 2 * ULP)
+    return rows.withColumn("deviation", strays).withColumn("outlier", F.coalesce(far, F.lit(False)))
 
 
-def consensus(fair: DataFrame, policy: ConsensusPolicy, market: Sequence[str] = MARKET) -> DataFrame:
-    """Weighted mean of the books that are no outliers, made to sum to 1; null where too few books are left.
+def with_consensus(quotes: DataFrame, policy: ConsensusPolicy, now_ms: int, market: Sequence[str] = MARKET) -> DataFrame:
+    """Each current quote with its market's consensus: reason, fair, deviation, outlier, kept, books, probability, score, level.
 
-    fair: eligible books' no-vig probabilities, a row per market, book and selection.
+    probability is the weighted mean of the kept books' fair values, made to sum to 1 over the market; null where too few
+    books are kept. score is the widest range of kept values over the selections, level its class. Everything is a window
+    within one market, so all of it runs behind a single shuffle by market.
     """
-    kept = outliers(fair, policy.outlier_threshold, market).where(~F.col("outlier"))
-    most = max(policy.weights.values())
-    weight = policy.weight(F.col("book")) / most
-    means = kept.groupBy(*market, "selection").agg((F.sum(F.col("fair") * weight) / F.sum(weight)).alias("mean"), F.count("*").alias("books"))
-    w = Window.partitionBy(*market)
-    return means.select(
-        *market, "selection", "books", F.when(F.min("books").over(w) >= policy.minimum_books, F.col("mean") / F.sum("mean").over(w)).alias("probability")
+    cell, whole = Window.partitionBy(*market, "selection"), Window.partitionBy(*market)
+    rows = outliers(fair_prices(judged(quotes, policy, now_ms, market), market), policy.outlier_threshold, market)
+    rows = rows.withColumn("kept", F.col("fair").isNotNull() & ~F.col("outlier"))
+    rows = rows.withColumn("__w", F.when(F.col("kept"), policy.weight(F.col("book")) / max(policy.weights.values())))
+    value = F.when(F.col("kept"), F.col("fair"))
+    rows = rows.withColumns({"__part": F.col("fair") * F.col("__w") / F.sum("__w").over(cell), "books": F.count("__w").over(cell), "range": F.round(F.max(value).over(cell) - F.min(value).over(cell), 12)})
+    enough = F.min(F.when(F.col("books") > 0, F.col("books"))).over(whole) >= policy.minimum_books
+    rows = rows.withColumns(
+        {"probability": F.when((F.col("books") > 0) & enough, F.sum("__part").over(cell) / F.sum("__part").over(whole)), "score": F.max("range").over(whole)}
     )
+    reaches = lambda x: F.col("score") >= x * (1 - 2 * ULP)
+    level = F.when(reaches(policy.disagreement_block), "block").when(reaches(policy.disagreement_warning), "warning").when(F.col("score").isNotNull(), "none")
+    return rows.withColumn("level", level).drop("__w", "__part")
 
 
-def disagreement(fair: DataFrame, policy: ConsensusPolicy, market: Sequence[str] = MARKET) -> DataFrame:
-    """Per market the widest range over selections, of equal ones the first selection, and none, warning or block."""
-    ranges = fair.groupBy(*market, "selection").agg((F.max("fair") - F.min("fair")).alias("range"))
-    score = F.round("range", 12)
-    widest = ranges.groupBy(*market).agg(F.max(score).alias("score"), F.min_by("selection", F.struct((-score).alias("r"), "selection")).alias("selection"))
-    reaches = lambda x: F.col("score") >= x * (1 - 2 * ULP)
-    level = F.when(reaches(policy.disagreement_block), "block").when(reaches(policy.disagreement_warning), "warning").otherwise("none")
-    return widest.select(*market, "selection", F.round("score", 9).alias("score"), level.alias("level"))
+def consensus(rows: DataFrame, market: Sequence[str] = MARKET) -> DataFrame:
+    """rows of with_consensus(): a row per selection that any kept book prices, with books and probability."""
+    return rows.where("kept").groupBy(*market, "selection").agg(F.max("books").alias("books"), F.max("probability").alias("probability"))
+
+
+def disagreement(rows: DataFrame, market: Sequence[str] = MARKET) -> DataFrame:
+    """rows of with_consensus(): per market the widest range, of equal ones the first selection, and its level."""
+    widest = F.min_by("selection", F.struct((-F.col("range")).alias("r"), "selection"))
+    found = rows.where("kept").groupBy(*market).agg(F.max("score").alias("score"), widest.alias("selection"), F.max("level").alias("level"))
+    return found.select(*market, "selection", F.round("score", 9).alias("score"), "level")
 
 
 def valid_contributions(vectors: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelens.functions.pricing import expected_value
-from pricelens.operators.consensus import ConsensusPolicy, consensus, disagreement, outliers
+from pricelens.operators.consensus import ConsensusPolicy
 
 
 def confidence(age_ms: Column, most_age_ms: float, included: Column, seen: Column, score: Column, block: float) -> dict[str, Column]:
@@ -28,17 +28,18 @@ def expires_ms(oldest_ms: Column, maximum_age_minutes: float, start_ms: Column)
     return F.least(F.floor(oldest_ms + maximum_age_minutes * 60000) + 1, start_ms).cast("long")
 
 
-def opportunities(now: DataFrame, fair: DataFrame, policy: ConsensusPolicy, now_ms: int) -> DataFrame:
-    """One row per selection that the target book prices and the others agree on, with ev and confidence."""
-    market = ["game", "market"]
-    agreed = consensus(fair, policy).where("probability IS NOT NULL")
-    spread = disagreement(outliers(fair, policy.outlier_threshold).where("NOT outlier"), policy).select(*market, "score")
-    others = now.where(F.col("book") != policy.target).groupBy(*market).agg(F.count_distinct("book").alias("seen"), F.min("observed_ms").alias("others_ms"))
-    target = now.where(F.col("book") == policy.target).select(*market, "selection", "american", "observed_ms")
-    rows = target.join(agreed, [*market, "selection"]).join(others, market).join(spread, market).withColumn("oldest_ms", F.least("observed_ms", "others_ms"))
+def opportunities(rows: DataFrame, policy: ConsensusPolicy, now_ms: int) -> DataFrame:
+    """rows of with_consensus(): those of the target book that the others agree on, with ev and confidence. No further shuffle."""
+    market = ("game", "market")
+    whole = Window.partitionBy(*market)
+    other = F.col("book") != policy.target
+    seen = rows.withColumns(
+        {"seen": F.size(F.collect_set(F.when(other, F.col("book"))).over(whole)), "oldest_ms": F.least("observed_ms", F.min(F.when(other, F.col("observed_ms"))).over(whole))}
+    )
+    own = seen.where((F.col("book") == policy.target) & F.col("probability").isNotNull())
     found = confidence(now_ms - F.col("oldest_ms"), policy.maximum_age_minutes * 60000, F.col("books"), F.col("seen"), F.col("score"), policy.disagreement_block)
     ev = F.round(expected_value(F.col("probability"), F.col("american")), 9)
-    return rows.withColumns({"ev": ev, "id": F.concat_ws(":", *market, "selection")} | found)
+    return own.withColumns({"ev": ev, "id": F.concat_ws(":", *market, "selection")} | found)
 
 
 def filtered(df: DataFrame, market: str | None = None, book: str | None = None, minimum_ev: float | None = None, minimum_books: int | None = None, maximum_age_ms: int | None = None, now_ms: int = 0) -> DataFrame:

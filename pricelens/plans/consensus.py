@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pricelens.functions.pricing import expected_value, implied_probability
+from pricelens.functions.pricing import expected_value
 from pricelens.operators import arbitrage as A
 from pricelens.operators import consensus as C
 from pricelens.operators import qualify as Q
@@ -37,15 +38,9 @@ part("disagreed", """SELECT game, market, min_by(selection, struct_pack(a := -ra
   CASE WHEN max(range) >= 0.1e0 * (1 - 2 * power(2e0, -52)) THEN 'block' WHEN max(range) >= 0.05e0 * (1 - 2 * power(2e0, -52)) THEN 'warning' ELSE 'none' END AS level FROM ranges GROUP BY ALL""")
 
 
-def _eligible(t):
-    now = current_quotes(t.quotes)
-    allowed = C.exclusions(now, POLICY, NOW_MS).where("reason IS NULL").select(*MARKET, "book")
-    rows = now.join(allowed, [*MARKET, "book"], "left_semi").withColumn("implied", implied_probability(F.col("american")))
-    return now, C.remove_vig(rows, [*MARKET, "book"], "implied", "fair").select(*MARKET, "book", "selection", "fair")
-
-
-def _kept(fair):
-    return C.outliers(fair, POLICY.outlier_threshold).where("NOT outlier")
+def _rows(t):
+    """Every current quote with its market's consensus."""
+    return C.with_consensus(current_quotes(t.quotes), POLICY, NOW_MS)
 
 
 @query("SELECT game, market, book, age_minutes, coalesce(reason, 'included') AS reason FROM excluded")
@@ -56,35 +51,31 @@ def book_exclusions(t):
 
 @query("SELECT game, market, book, bool_and(fair BETWEEN 0 AND 1) AND abs(sum(fair) - 1) <= 32 * power(2e0, -52) AS valid FROM fair_prices GROUP BY ALL")
 def contribution_checks(t):
-    return C.valid_contributions(_eligible(t)[1], [*MARKET, "book"])
+    return C.valid_contributions(_rows(t).where("fair IS NOT NULL"), [*MARKET, "book"])
 
 
 @query("SELECT game, market, book, selection, round(fair, 9) AS fair, round(deviation, 9) AS deviation, outlier FROM strays")
 def outlier_audit(t):
-    own = C.outliers(_eligible(t)[1], POLICY.outlier_threshold)
-    return own.select(*MARKET, "book", "selection", F.round("fair", 9).alias("fair"), F.round("deviation", 9).alias("deviation"), "outlier")
+    return _rows(t).where("fair IS NOT NULL").select(*MARKET, "book", "selection", F.round("fair", 9).alias("fair"), F.round("deviation", 9).alias("deviation"), "outlier")
 
 
 @query("SELECT game, market, selection, books, round(probability, 9) AS probability FROM agreed")
 def weighted_consensus(t):
-    return C.consensus(_eligible(t)[1], POLICY).withColumn("probability", F.round("probability", 9))
+    return C.consensus(_rows(t)).withColumn("probability", F.round("probability", 9))
 
 
 @query("SELECT game, market, selection, round(score, 9) AS score, level FROM disagreed")
 def market_disagreement(t):
-    return C.disagreement(_kept(_eligible(t)[1]), POLICY)
+    return C.disagreement(_rows(t))
 
 
 @query(f"""SELECT q.game, q.market, q.selection, round(a.probability, 9) AS fair, q.american, round(a.probability * {dec('q.american')} - 1, 9) AS ev
 FROM current_quotes q JOIN agreed a USING (game, market, selection) WHERE q.book = 'hardrock' AND q.state = 'active' AND a.probability IS NOT NULL""")
 def consensus_ev(t):
     """Flagship: expected value of the target book's current prices by the consensus of the others."""
-    now, fair = _eligible(t)
-    target = now.where((F.col("book") == POLICY.target) & (F.col("state") == "active"))
-    agreed = C.consensus(fair, POLICY).where("probability IS NOT NULL")
-    both = target.join(agreed, [*MARKET, "selection"])
+    priced = _rows(t).where((F.col("book") == POLICY.target) & (F.col("state") == "active") & F.col("probability").isNotNull())
     ev = expected_value(F.col("probability"), F.col("american"))
-    return both.select(*MARKET, "selection", F.round("probability", 9).alias("fair"), "american", F.round(ev, 9).alias("ev"))
+    return priced.select(*MARKET, "selection", F.round("probability", 9).alias("fair"), "american", F.round(ev, 9).alias("ev"))
 
 
 @query(f"""WITH x AS (SELECT id, p, american, market, game % 5 AS books, game % 31 AS age_minutes, game % 180 AS minutes_to_start, game % 3 = 0 AS lineup, game % 100 AS tickets FROM decisions),
@@ -100,16 +91,20 @@ def edge_evaluation(t):
     return own.select("id", F.round("ev", 9).alias("ev"), "decision", F.array_join("reasons", ",").alias("reasons"))
 
 
-def _facts_of_market(t):
-    """Consensus, disagreement and outlier flags joined to the target's current quotes; and the reasons against other books."""
-    now, fair = _eligible(t)
-    agreed = C.consensus(fair, POLICY).select(*MARKET, "selection", F.col("probability").alias("fair"))
-    spread = C.disagreement(_kept(fair), POLICY).select(*MARKET, "score", "level")
-    odd = C.outliers(fair, POLICY.outlier_threshold).groupBy(*MARKET).agg(F.bool_or("outlier").alias("has_outlier"))
-    target = now.where(F.col("book") == POLICY.target)
-    rows = target.join(agreed, [*MARKET, "selection"], "left").join(spread, MARKET, "left").join(odd, MARKET, "left")
-    rows = rows.withColumns({"age_minutes": (F.lit(NOW_MS) - F.col("observed_ms")) / 60000, "has_outlier": F.coalesce("has_outlier", F.lit(False))})
-    return now, rows.withColumn("score", F.when(F.col("fair").isNotNull(), F.col("score"))).withColumn("level", F.when(F.col("fair").isNotNull(), F.col("level")))
+def _targets(t):
+    """The target's current quotes with the consensus of the others, disagreement, outliers, and reasons against other books."""
+    whole = Window.partitionBy(*MARKET)
+    against = F.when(F.col("book") != POLICY.target, F.col("reason"))
+    rows = _rows(t).withColumns({"has_outlier": F.bool_or("outlier").over(whole), "comparison_reasons": F.collect_set(against).over(whole)})
+    agreed = F.col("probability").isNotNull()
+    return rows.where(F.col("book") == POLICY.target).withColumns(
+        {
+            "fair": F.col("probability"),
+            "score": F.when(agreed, F.col("score")),
+            "level": F.when(agreed, F.col("level")),
+            "age_minutes": (F.lit(NOW_MS) - F.col("observed_ms")) / 60000,
+        }
+    )
 
 
 part("target_rows", f"""SELECT q.*, a.probability AS fair, CASE WHEN a.probability IS NOT NULL THEN round(d.score, 9) END AS score, CASE WHEN a.probability IS NOT NULL THEN d.level END AS level, coalesce(o.odd, false) AS odd, ({NOW_MS} - observed_ms) / 60000 AS age
@@ -126,8 +121,7 @@ z AS (SELECT *, len(list_filter(reasons, lambda r: r NOT IN ('comparison-outlier
 SELECT game, market, selection, round(edge, 9) AS edge, round(ev, 9) AS ev, CASE WHEN plays THEN 'play' ELSE 'no-bet' END AS decision,
   array_to_string(list_sort(CASE WHEN plays THEN list_append(reasons, 'positive-ev-qualified') ELSE reasons END), ',') AS reasons FROM z""")
 def evaluation_qualification(t):
-    _, rows = _facts_of_market(t)
-    rows = rows.withColumns(
+    rows = _targets(t).withColumns(
         {"p_low": F.expr("CAST(20 + snapshot_id % 60 AS DOUBLE) / 100"), "uncertainty": F.expr("CAST(snapshot_id % 15 AS DOUBLE) / 100"), "reduced": F.col("snapshot_id") % 6 == 0}
     )
     own = Q.qualify_evaluation(rows, POLICY)
@@ -144,11 +138,8 @@ r AS (SELECT game, market, selection, ev, list_sort(list_filter([CASE WHEN event
   list_sort(list_filter([CASE WHEN odd THEN 'comparison-outlier-excluded' END, CASE WHEN level = 'warning' THEN 'market-disagreement-warning' END], lambda r: r IS NOT NULL)) AS warnings FROM x)
 SELECT game, market, selection, round(ev, 9) AS ev, CASE WHEN len(reasons) > 0 THEN 'disqualified' ELSE 'qualified' END AS verdict, array_to_string(reasons, ',') AS reasons, array_to_string(warnings, ',') AS warnings FROM r""")
 def opportunity_qualification(t):
-    now, rows = _facts_of_market(t)
-    against = C.exclusions(now, POLICY, NOW_MS).where((F.col("book") != POLICY.target) & F.col("reason").isNotNull())
-    against = against.groupBy(*MARKET).agg(F.collect_set("reason").alias("comparison_reasons"))
     games = t.games.select("game", F.col("status").alias("event_status"))
-    rows = rows.join(games, "game").join(against, MARKET, "left").withColumns({"approved": F.col("market") == "moneyline", "healthy": F.col("game") % 8 != 0})
+    rows = _targets(t).join(games, "game").withColumns({"approved": F.col("market") == "moneyline", "healthy": F.col("game") % 8 != 0})
     own = Q.qualify_opportunity(rows, POLICY)
     return own.select(*MARKET, "selection", F.round("ev", 9).alias("ev"), "verdict", F.array_join("reasons", ",").alias("reasons"), F.array_join("warnings", ",").alias("warnings"))
 
@@ -255,7 +246,7 @@ def consensus_clv(t):
     """Closing line value of the target's quotes against the consensus of the others' last prices; null without one."""
     from pricelens.operators.closing import price_clv, probability_clv
 
-    agreed = C.consensus(_eligible(t)[1], POLICY).select(*MARKET, "selection", "probability")
+    agreed = C.consensus(_rows(t)).select(*MARKET, "selection", "probability")
     both = t.quotes.where("book = 'hardrock'").join(agreed, [*MARKET, "selection"], "left")
     p, a = F.col("probability"), F.col("american")
     return both.select("snapshot_id", p.isNotNull().alias("available"), F.round(price_clv(p, a), 9).alias("price_clv"), F.round(probability_clv(p, a), 9).alias("probability_clv"))

@@ -10,7 +10,7 @@ from pricelens.operators import performance as P
 from pricelens.operators import ranking as R
 from pricelens.operators.closing import ratio_clv
 from pricelens.operators.latest import current_results
-from pricelens.plans.consensus import POLICY, _eligible
+from pricelens.plans.consensus import POLICY, _rows
 from pricelens.plans.facts import NOW_MS
 from pricelens.plans.prices import dec, implied
 from pricelens.plans.registry import part, query
@@ -204,7 +204,7 @@ part("ranked", """SELECT *, least(freshness, coverage, agreement) AS confidence,
 
 
 def _ranked(t):
-    return R.opportunities(*_eligible(t), POLICY, NOW_MS)
+    return R.opportunities(_rows(t), POLICY, NOW_MS)
 
 
 @query("SELECT id, ev, freshness, coverage, agreement, confidence, weakest, bucket FROM ranked")
@@ -235,10 +235,8 @@ def opportunity_expiry(t):
 @query(f"""WITH x AS (SELECT r.*, g.version AS gv, g.status, q.version AS qv FROM ranked r LEFT JOIN games g USING (game) LEFT JOIN (SELECT game, market, selection, max(version) AS version FROM current_quotes WHERE book = 'hardrock' GROUP BY ALL) q ON q.game = r.game AND q.market = r.market AND q.selection = r.selection)
 SELECT count(*) AS seen, count(*) FILTER (gv IS NULL OR qv IS NULL) AS join_failures, count(*) FILTER (qv < gv) AS stale, count(*) FILTER (qv = gv AND status = 'scheduled') AS served FROM x""")
 def ranked_join_counts(t):
-    now, fair = _eligible(t)
-    rows = R.opportunities(now, fair, POLICY, NOW_MS)
-    heads = now.where("book = 'hardrock'").groupBy("game", "market", "selection").agg(F.max("version").alias("qv"))
-    both = rows.join(t.games.select("game", F.col("version").alias("gv"), "status"), "game", "left").join(heads, ["game", "market", "selection"], "left")
+    rows = _ranked(t).withColumnRenamed("version", "qv").drop("status")
+    both = rows.join(t.games.select("game", F.col("version").alias("gv"), "status"), "game", "left")
     return both.agg(
         F.count("*").alias("seen"), F.count_if(F.col("gv").isNull() | F.col("qv").isNull()).alias("join_failures"), F.count_if(F.col("qv") < F.col("gv")).alias("stale"),
         F.count_if((F.col("qv") == F.col("gv")) & (F.col("status") == "scheduled")).alias("served"),
