@@ -92,3 +92,16 @@ def test_sql(spark, name):
     cursor = con.execute(ORACLES[name])
     columns = [c[0] for c in cursor.description]
     assert Counter(map(tuple, df.select(columns).collect())) == Counter(cursor.fetchall())
+
+
+def test_stages_bear_odd_rows(spark, docs, nothing):
+    """Nulls, empty and long texts, repeated rows, clashing columns and an empty table pass through every stage."""
+    for start in (docs, nothing):
+        now = start
+        for _, stage in corpus_pipeline.STAGES:
+            made = stage(spark, now, SF)
+            if "sequence_id" not in made.columns:
+                assert made.columns == start.columns
+            rows = made.collect()
+            now = spark.createDataFrame(rows, made.schema)
+        assert bool(rows) == (start is docs)
