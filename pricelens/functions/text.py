@@ -18,8 +18,8 @@ def eastern_day(at_ms: Column) -> Column:
 
 
 def folded(label: Column) -> Column:
-    """Lower case, everything but letters and digits as single blanks, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(label), r"[^\p{L}\p{N}]+", " "))
+    """Lower case, everything but a-z and 0-9 as single blanks, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(label), "[^a-z0-9]+", " "))
 
 
 def searchable(label: Column) -> Column:
@@ -31,24 +31,36 @@ def book_id(book: Column) -> Column:
 
 
 def labels_match(left: Column, right: Column) -> Column:
-    """Equal after folding, or the same last word and the shorter one's words all in the longer one."""
+    """Equal after folding, or the same last word and the shorter one's words all in the longer one; empty labels match nothing."""
     a, b = F.split(folded(left), " "), F.split(folded(right), " ")
     shorter = F.when(F.size(a) <= F.size(b), F.size(F.array_except(a, b))).otherwise(F.size(F.array_except(b, a)))
-    return (folded(left) == folded(right)) | ((F.element_at(a, -1) == F.element_at(b, -1)) & (shorter == 0))
+    there = (folded(left) != "") & (folded(right) != "")
+    return there & ((folded(left) == folded(right)) | ((F.element_at(a, -1) == F.element_at(b, -1)) & (shorter == 0)))
 
 
-#: Club words that tell no two participants apart.
-GENERIC_WORDS = ("fc", "cf", "sc", "afc", "club", "the", "team")
+#: Fixed value: club words that tell no two participants apart.
+GENERIC_WORDS = ("afc", "cf", "city", "club", "fc", "fk", "gnk", "pfc", "sc", "sk", "united")
+#: Fixed value: letters that have no decomposition, and how they are written out.
+WRITTEN_OUT = (("ø", "o"), ("ł", "l"), ("đ", "d"), ("ð", "d"), ("þ", "th"), ("æ", "ae"), ("œ", "oe"))
+
+
+def plain_words(label: Column) -> Column:
+    """The label's words in plain a-z and 0-9, for Latin letters with the usual accents."""
+    text = F.lower(F.translate(label, DIACRITICS, PLAIN_LETTERS))
+    for letter, written in WRITTEN_OUT:
+        text = F.replace(text, F.lit(letter), F.lit(written))
+    return F.regexp_extract_all(text, F.lit("([a-z0-9]+)"), 1)
 
 
 def fuzzy_match(left: Column, right: Column) -> Column:
-    """Equal; one contains the other (4 letters or more); the same words but for generic ones; or a shared word of 4 or more."""
-    a, b = folded(left), folded(right)
-    generic = F.array(*map(F.lit, GENERIC_WORDS))
-    own = lambda x: F.array_sort(F.array_except(F.split(x, " "), generic))
-    long_words = lambda x: F.filter(own(x), lambda w: F.length(w) >= 4)
-    contains = (F.least(F.length(a), F.length(b)) >= 4) & (F.contains(a, b) | F.contains(b, a))
-    return (a == b) | contains | (own(a) == own(b)) | F.arrays_overlap(long_words(a), long_words(b))
+    """Equal without blanks; one contains the other (4 letters or more); the same words but for generic ones; or a shared
+    word of 4 letters or more that isn't generic."""
+    a, b = plain_words(left), plain_words(right)
+    whole = lambda x: F.array_join(x, "")
+    own = lambda x: F.array_sort(F.array_except(x, F.array(*map(F.lit, GENERIC_WORDS))))
+    contains = (F.least(F.length(whole(a)), F.length(whole(b))) >= 4) & (F.contains(whole(a), whole(b)) | F.contains(whole(b), whole(a)))
+    shared = F.arrays_overlap(F.filter(own(a), lambda w: F.length(w) >= 4), own(b))
+    return (whole(a) == whole(b)) | contains | ((F.size(own(a)) > 0) & (own(a) == own(b))) | shared
 
 
 def selection_key(participant: Column, side: Column | None = None) -> Column:
@@ -69,16 +81,18 @@ def connection_state(outage: Column, checked_age_s: Column, failed: Column, stal
 def capacity_state(remaining: Column, reserve: Column) -> Column:
     return F.coalesce(
         first_reason(
-            (remaining.isNull(), "unknown"), (remaining <= 0, "exhausted"), (remaining <= reserve, "reserve-protected"), (remaining <= 2 * reserve, "low")
+            (remaining.isNull() | (remaining < 0), "unknown"), (remaining == 0, "exhausted"), (remaining <= reserve, "reserve-protected"), (remaining <= 2 * reserve, "low")
         ),
         F.lit("available"),
     )
 
 
-def impact(connection: Column, capacity: Column) -> Column:
+def impact(capability: Column, connection: Column, capacity: Column) -> Column:
+    """Prices that can't be trusted suppress recommendations; other troubles limit them."""
+    odds, other = capability == "odds", capability.isin("account", "schedule")
     return (
-        F.when(connection.isin("outage", "unknown", "stale") | (capacity == "exhausted"), "suppressed")
-        .when((connection == "partial") | capacity.isin("reserve-protected", "low"), "limited")
+        F.when(odds & connection.isin("outage", "unknown", "stale"), "suppressed")
+        .when((odds & (connection == "partial")) | (other & (connection != "healthy")) | capacity.isin("reserve-protected", "exhausted"), "limited")
         .otherwise("none")
     )
 
@@ -88,6 +102,11 @@ def metadata_freshness(at_ms: Column, now_ms: Column, most_s: int = 7200) -> Col
     return F.when(at_ms.isNull() | (at_ms > now_ms), "unavailable").when(now_ms - at_ms <= most_s * 1000, "current").otherwise("stale")
 
 
+def metadata_availability(status: Column, at_ms: Column, now_ms: Column) -> Column:
+    """unavailable without usable evidence, else complete, or partial if the status is unknown."""
+    return F.when(metadata_freshness(at_ms, now_ms) == "unavailable", "unavailable").when(status != "unknown", "complete").otherwise("partial")
+
+
 def split_cell(bet_percent: Column, money_percent: Column) -> Column:
     """Percents held to 0..100 and their divergence."""
     held = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))

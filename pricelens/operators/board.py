@@ -35,8 +35,8 @@ def comparison_grid(quotes: DataFrame, books: Sequence[str], cells: Sequence[str
 
 def best_cells(quotes: DataFrame, key: Sequence[str] = ("game", "market", "selection")) -> DataFrame:
     """quotes with best: the better point first (higher; for over the lower; none for moneyline), then the higher odds; all equal cells."""
-    point = F.when(F.col("market") == "moneyline", F.lit(0.0)).when(F.col("selection") == "over", -F.col("point")).otherwise(F.col("point"))
-    value = F.struct(F.coalesce(point, F.lit(-1e300)).alias("p"), american_to_decimal(F.col("american")).alias("d"))
+    point = F.when(F.col("market") == "moneyline", F.lit(0.0)).when((F.col("market") == "total") & (F.col("selection") == "over"), -F.col("point")).otherwise(F.col("point"))
+    value = F.struct(F.coalesce(point, F.lit(-1e300)).alias("p"), F.col("american").alias("a"))
     return quotes.withColumn("__v", value).withColumn("best", F.col("__v") == F.max("__v").over(Window.partitionBy(*key))).drop("__v")
 
 
@@ -64,7 +64,8 @@ def listed(games: DataFrame, sport: str | None = None, league: str | None = None
     return games if until_ms is None else games.where(F.col("start_ms") < until_ms)
 
 
-LIFECYCLE = ("live", "scheduled", "postponed", "final")
+#: Fixed value: the order of lifecycle states on a list.
+LIFECYCLE = ("scheduled", "started", "postponed", "completed", "cancelled", "unknown")
 
 
 def explore(games: DataFrame, text: str | None, sort: str, descending: bool = False) -> DataFrame:
@@ -79,18 +80,16 @@ def explore(games: DataFrame, text: str | None, sort: str, descending: bool = Fa
     return games.withColumn("sort_key", key).orderBy(F.desc_nulls_last("sort_key") if descending else F.asc_nulls_last("sort_key"), "game")
 
 
-def games_with_edge(target: DataFrame, sharp: DataFrame, least: float = 0.05) -> DataFrame:
-    """Games with any selection whose price beats the de-vigged sharp one by `least` percent; sharp markets count only whole."""
-    market = ["game", "market"]
-    sides = target.groupBy(*market).agg(F.count_distinct("selection").alias("n"))
-    w = Window.partitionBy(*market)
-    p = implied_probability(F.col("american"))
-    fair = sharp.withColumns({"__n": F.count("*").over(w), "fair": p / F.sum(p).over(w)}).join(sides, market).where("__n = n AND n >= 2").select(*market, "selection", "fair")
-    ev = (F.col("fair") * american_to_decimal(F.col("american")) - 1) * 100
-    return target.join(fair, [*market, "selection"]).groupBy("game").agg(F.max(ev).alias("best_ev")).where(F.col("best_ev") > least)
+def games_with_edge(target: DataFrame, least: float = 0.05) -> DataFrame:
+    """target (game, market, selection, american, sharp): games with any selection whose price beats the fair one by `least` percent.
 
-
-GAP_ORDER = ("unsupported", "closed", "suspended", "stale", "partial", "missing")
+    Fair prices are the market's sharp ones without margin if every side has one, else its own ones; markets of one side don't count.
+    """
+    w = Window.partitionBy("game", "market")
+    anchored = F.bool_and(F.col("sharp").isNotNull()).over(w)
+    rows = target.withColumns({"__p": implied_probability(F.when(anchored, F.col("sharp")).otherwise(F.col("american"))), "__n": F.count("*").over(w)})
+    ev = (F.col("__p") / F.sum("__p").over(w) * american_to_decimal(F.col("american")) - 1) * 100
+    return rows.withColumn("__ev", ev).where("__n >= 2").groupBy("game").agg(F.max("__ev").alias("best_ev")).where(F.col("best_ev") > least)
 
 
 def evidence_gaps(expected: DataFrame, quotes: DataFrame, books: Sequence[str], markets: Sequence[str], sides: int, now_ms: int, stale_after_ms: int) -> DataFrame:
@@ -152,5 +151,5 @@ def rotated(df: DataFrame, key: str, group: Sequence[str], now_ms: int) -> DataF
 
 def due(age_ms: Column, to_start_ms: Column, near_ms: int = 3_600_000, near_cadence_ms: int = 60_000, base_cadence_ms: int = 600_000) -> Column:
     """Whether a poll is due: more often within an hour of the start."""
-    cadence = F.when(to_start_ms.between(0, near_ms), near_cadence_ms).otherwise(base_cadence_ms)
+    cadence = F.when((to_start_ms > 0) & (to_start_ms <= near_ms), near_cadence_ms).otherwise(base_cadence_ms)
     return age_ms.isNull() | (age_ms >= cadence)

@@ -12,6 +12,7 @@ from pricelens.functions.pricing import first_reason, implied_probability, issue
 
 ULP = 2.0**-52
 MARKET = ("game", "market")
+INACTIVE = ("closed", "suspended", "unavailable")
 
 
 @dataclass(frozen=True)
@@ -67,16 +68,17 @@ def judged(quotes: DataFrame, policy: ConsensusPolicy, now_ms: int, market: Sequ
         {
             "__rows": F.count("*").over(book),
             "__selections": F.size(F.collect_set("selection").over(book)),
-            "__active": F.bool_and(F.col("state") == "active").over(book),
+            "__state": F.min(F.when(F.col("state") != "active", F.col("state"))).over(book),
             "__oldest": F.min("observed_ms").over(book),
             "__priced": F.bool_and(implied_probability(F.col("american")).isNotNull()).over(book),
         }
     )
     age, weight = (F.lit(now_ms) - F.col("__oldest")) / 60000, policy.weight(F.col("book"))
     reason = first_reason(
-        (F.col("book").isNull() | (F.trim("book") == ""), "invalid-book"),
-        (F.col("book") == policy.target, "target"),
-        (~F.col("__active"), "status"),
+        (F.col("book").isNull() | (F.trim("book") == ""), "invalid-sportsbook"),
+        (F.col("book") == policy.target, "target-sportsbook"),
+        (~F.col("__state").isin(*INACTIVE), "invalid-status"),
+        *[(F.col("__state") == x, x) for x in INACTIVE],
         (age.isNull() | (age < 0), "invalid-age"),
         (age > policy.maximum_age_minutes, "stale"),
         (F.col("__rows") > F.col("__selections"), "duplicate-selection"),
@@ -85,7 +87,7 @@ def judged(quotes: DataFrame, policy: ConsensusPolicy, now_ms: int, market: Sequ
         (weight == 0, "zero-weight"),
         (~F.col("__priced"), "invalid-odds"),
     )
-    return rows.withColumns({"age_minutes": F.round(age, 6), "reason": reason}).drop("__expected", "__rows", "__selections", "__active", "__oldest", "__priced")
+    return rows.withColumns({"age_minutes": F.round(age, 6), "reason": reason}).drop("__expected", "__rows", "__selections", "__state", "__oldest", "__priced")
 
 
 def exclusions(quotes: DataFrame, policy: ConsensusPolicy, now_ms: int, market: Sequence[str] = MARKET) -> DataFrame:

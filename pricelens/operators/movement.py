@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,28 +99,35 @@ def downsample(quotes: DataFrame, limit: int, series: Sequence[str] = SERIES) ->
     return marked.where((F.col("__n") <= limit) | F.col("__needed") | taken).drop("__i", "__n", "__turn", "__needed", "__free", "__required")
 
 
-PHASE_RANKS = {"scheduled": 1, "delayed": 1, "live": 2, "break": 2, "final": 3}
+#: Fixed value: how far a game has got in each phase.
+PHASE_RANKS = {"unknown": 0, "pregame": 1, "delayed": 1, "live": 2, "break": 2, "final": 3}
 
 
 def phase_changes(states: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Each observation of a game's state with the kinds of change since the one before, in fixed order."""
     w = Window.partitionBy(*key).orderBy(*order)
-    before = {c: F.lag(c).over(w) for c in ("phase", "away_score", "home_score")}
+    state = ("phase", "away_score", "home_score", "terminal")
+    before = {c: F.lag(c).over(w) for c in (*state, "agreed_ms")}
     rank = lambda c: F.coalesce(F.create_map(*[F.lit(x) for kv in PHASE_RANKS.items() for x in kv])[c], F.lit(0))
     own = states.withColumns({f"__{c}": x for c, x in before.items()} | {"__seen": F.lag(F.lit(True)).over(w)})
     now, was, seen = F.col("phase"), F.col("__phase"), F.col("__seen").isNotNull()
-    differs = seen & ~((now.eqNullSafe(was)) & F.col("away_score").eqNullSafe(F.col("__away_score")) & F.col("home_score").eqNullSafe(F.col("__home_score")))
+    differs = seen & ~reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in state])
+    ended, had_ended = F.col("terminal"), F.col("__terminal")
     kinds = issues(
         (~seen, "first-seen"),
         (differs, "changed"),
+        (seen & ~had_ended & ended, "terminal-clock-first-seen"),
+        (differs & had_ended & ended, "terminal-clock-revised"),
+        (seen & had_ended & ~ended, "terminal-clock-disappeared"),
         (seen & (was != "break") & (now == "break"), "period-break"),
         (seen & was.isin("break", "delayed") & (now == "live"), "resumed"),
         (seen & (was != "delayed") & (now == "delayed"), "delayed"),
         (seen & (was != "final") & (now == "final"), "first-final"),
         (differs & (was == "final") & (now == "final"), "final-revised"),
         (seen & (rank(now) < rank(was)), "phase-regressed"),
+        (F.col("agreed_ms") < F.col("__agreed_ms"), "provider-time-regressed"),
     )
-    return own.withColumn("kinds", kinds).drop("__phase", "__away_score", "__home_score", "__seen")
+    return own.withColumn("kinds", kinds).drop("__seen", *[f"__{c}" for c in before])
 
 
 def decimal_change(quotes: DataFrame) -> DataFrame:

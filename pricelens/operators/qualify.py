@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,23 +138,27 @@ def model_probability_valid(low: Column, estimate: Column, high: Column, uncerta
 def coherent_points(df: DataFrame, keys: list[str]) -> DataFrame:
     """Per key whether the points of a market's selections agree.
 
-    Moneyline and three-way: all null. Spread: they sum to 0 within 1e-9. Total: all equal. Others: all null or all equal.
+    Two or three different selections are needed. Three-way, moneyline and both-teams markets: all null. Spreads and
+    handicaps: they sum to 0 within 1e-9. Totals: all equal. Others: all null or all equal.
     """
     points = df.groupBy(*keys).agg(
         F.first("market").alias("__market") if "market" not in keys else F.lit(None).alias("__market"),
         F.count("*").alias("n"),
+        F.count_distinct("selection").alias("n_selections"),
         F.count("point").alias("n_points"),
         F.sum("point").alias("total"),
         F.min("point").alias("low"),
         F.max("point").alias("high"),
     )
-    market = F.col("market") if "market" in keys else F.col("__market")
+    market = F.lower(F.col("market") if "market" in keys else F.col("__market"))
+    named = lambda *words: reduce(or_, [F.contains(market, F.lit(w)) for w in words])
     none, all_there = F.col("n_points") == 0, F.col("n_points") == F.col("n")
     equal = all_there & (F.col("low") == F.col("high"))
     holds = (
-        F.when((F.col("n") == 3) | (market == "moneyline"), none)
-        .when(market == "spread", F.coalesce(all_there & (F.abs("total") <= 1e-9), F.lit(False)))
-        .when(market == "total", F.coalesce(equal, F.lit(False)))
+        F.when(~F.col("n").between(2, 3) | (F.col("n_selections") < F.col("n")), F.lit(False))
+        .when((F.col("n") == 3) | (market == "ml") | named("moneyline", "both-teams"), none)
+        .when(named("spread", "handicap"), F.coalesce(all_there & (F.abs("total") < 1e-9), F.lit(False)))
+        .when(named("total"), F.coalesce(equal, F.lit(False)))
         .otherwise(none | F.coalesce(equal, F.lit(False)))
     )
     return points.select(*keys, holds.alias("coherent"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelens.functions import text as T
@@ -17,13 +20,13 @@ PLAIN = f"translate({{0}}, '{T.DIACRITICS}', '{T.PLAIN_LETTERS}')"
 
 
 def fold(x: str) -> str:
-    return f"trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    return f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
 
 
 def match(a: str, b: str) -> str:
     """SQL for labels_match."""
     x, y = f"string_split({fold(a)}, ' ')", f"string_split({fold(b)}, ' ')"
-    return f"({fold(a)} = {fold(b)} OR ({x}[-1] = {y}[-1] AND CASE WHEN len({x}) <= len({y}) THEN list_has_all({y}, {x}) ELSE list_has_all({x}, {y}) END))"
+    return f"({fold(a)} <> '' AND {fold(b)} <> '' AND {fold(a)} = {fold(b)} OR ({x}[-1] = {y}[-1] AND CASE WHEN len({x}) <= len({y}) THEN list_has_all({y}, {x}) ELSE list_has_all({x}, {y}) END))"
 
 
 part("usable", "SELECT q.* FROM current_quotes q JOIN games g USING (game) WHERE q.version >= g.version - 1 AND q.state = 'active' AND q.observed_ms <= q.retrieved_ms")
@@ -42,7 +45,7 @@ def comparison_grid(t):
     return B.comparison_grid(current_quotes(t.quotes), [*BOOKS, "circa"]).select("game", "market", "selection", "book", "american", "state")
 
 
-@query(f"""WITH v AS (SELECT *, CASE WHEN market = 'moneyline' THEN 0 ELSE point END AS p, {dec('american')} AS d FROM current_quotes)
+@query(f"""WITH v AS (SELECT *, CASE WHEN market = 'moneyline' THEN 0 ELSE point END AS p, american AS d FROM current_quotes)
 SELECT snapshot_id, rank() OVER (PARTITION BY game, market, selection ORDER BY p DESC, d DESC) = 1 AS best FROM v""")
 def best_cells(t):
     return B.best_cells(current_quotes(t.quotes)).select("snapshot_id", "best")
@@ -60,16 +63,15 @@ def attached_splits(t):
     return B.attach_splits(t.games, t.splits).select("game", F.array_join(shown, ",").alias("splits"))
 
 
-@query(f"SELECT game, status, start_ms FROM games WHERE sport = 'soccer' AND status IN ('live', 'scheduled') AND start_ms >= {FIRST_MS + 8 * DAY_MS} AND start_ms < {FIRST_MS + 24 * DAY_MS}")
+@query(f"SELECT game, status, start_ms FROM games WHERE sport = 'soccer' AND status IN ('started', 'scheduled') AND start_ms >= {FIRST_MS + 8 * DAY_MS} AND start_ms < {FIRST_MS + 24 * DAY_MS}")
 def event_list(t):
-    return B.listed(t.games, sport="soccer", statuses=["live", "scheduled"], from_ms=FIRST_MS + 8 * DAY_MS, until_ms=FIRST_MS + 24 * DAY_MS).select("game", "status", "start_ms")
+    return B.listed(t.games, sport="soccer", statuses=["started", "scheduled"], from_ms=FIRST_MS + 8 * DAY_MS, until_ms=FIRST_MS + 24 * DAY_MS).select("game", "status", "start_ms")
 
 
-@query("SELECT game, status, start_ms FROM games WHERE status IN ('live', 'scheduled', 'final', 'postponed') ORDER BY start_ms, game LIMIT 25")
+@query("SELECT game, status, start_ms FROM games WHERE status IN ('started', 'scheduled', 'completed', 'postponed', 'cancelled', 'unknown') ORDER BY start_ms, game LIMIT 25")
 def merged_status_list(t):
     """A page of 25 by start and id."""
-    states = [B.listed(t.games, statuses=[s]) for s in ("live", "scheduled", "final", "postponed")]
-    both = states[0].unionByName(states[1]).unionByName(states[2]).unionByName(states[3])
+    both = reduce(DataFrame.unionByName, [B.listed(t.games, statuses=[s]) for s in B.LIFECYCLE])
     return both.orderBy("start_ms", "game").limit(25).select("game", "status", "start_ms")
 
 
@@ -92,12 +94,15 @@ def label_forms(t):
     return t.games.select("home", T.folded(h).alias("folded"), T.searchable(h).alias("search"), T.selection_key(h).alias("key")).distinct()
 
 
-@query(f"""WITH p AS (SELECT q.game, q.market, q.selection, {implied('q.american')} AS p, count(*) OVER w AS n, sum({implied('q.american')}) OVER w AS total FROM current_quotes q WHERE book = 'pinnacle' WINDOW w AS (PARTITION BY game, market)),
-s AS (SELECT game, market, count(DISTINCT selection) AS sides FROM current_quotes WHERE book = 'hardrock' GROUP BY ALL)
-SELECT q.game, round(max((p / total * {dec('q.american')} - 1) * 100), 7) AS best_ev FROM current_quotes q JOIN p USING (game, market, selection) JOIN s USING (game, market) WHERE q.book = 'hardrock' AND n = sides AND n >= 2 GROUP BY q.game HAVING max((p / total * {dec('q.american')} - 1) * 100) > 0.05e0""")
+@query(f"""WITH x AS (SELECT q.*, p.american AS sharp, bool_and(p.american IS NOT NULL) OVER (PARTITION BY q.game, q.market) AS anchored, count(*) OVER (PARTITION BY q.game, q.market) AS n
+  FROM current_quotes q LEFT JOIN current_quotes p ON p.book = 'pinnacle' AND p.game = q.game AND p.market = q.market AND p.selection = q.selection WHERE q.book = 'hardrock'),
+y AS (SELECT *, CASE WHEN anchored THEN {implied('sharp')} ELSE {implied('american')} END AS p FROM x), z AS (SELECT game, n, (p / sum(p) OVER (PARTITION BY game, market) * {dec('american')} - 1) * 100 AS ev FROM y)
+SELECT game, round(max(ev), 7) AS best_ev FROM z WHERE n >= 2 GROUP BY game HAVING max(ev) > 0.05e0""")
 def games_with_edge(t):
     now = current_quotes(t.quotes)
-    return B.games_with_edge(now.where("book = 'hardrock'"), now.where("book = 'pinnacle'")).withColumn("best_ev", F.round("best_ev", 7))
+    sharp = now.where("book = 'pinnacle'").select("game", "market", "selection", F.col("american").alias("sharp"))
+    shown = now.where("book = 'hardrock'").join(sharp, ["game", "market", "selection"], "left")
+    return B.games_with_edge(shown).withColumn("best_ev", F.round("best_ev", 7))
 
 
 @query(f"""SELECT g.game FROM games g WHERE g.start_ms > {FIRST_MS + 12 * DAY_MS} AND EXISTS (SELECT 1 FROM current_quotes q WHERE q.game = g.game AND q.state = 'active')""")
@@ -151,22 +156,23 @@ def rotated_captures(t):
     return B.rotated(t.games, "game", ["league"], NOW_MS).select("game", "league", "place")
 
 
-@query(f"""SELECT game, fresh_ms IS NULL OR {NOW_MS} - fresh_ms >= CASE WHEN start_ms - {NOW_MS - 8 * DAY_MS} BETWEEN 0 AND 3600000 THEN 60000 ELSE 600000 END AS due,
-  CASE WHEN fresh_ms IS NULL THEN 'unavailable' WHEN {NOW_MS} - fresh_ms <= 7200000 THEN 'current' ELSE 'stale' END AS freshness FROM games""")
+@query(f"""SELECT game, fresh_ms IS NULL OR {NOW_MS} - fresh_ms >= CASE WHEN start_ms > {NOW_MS - 8 * DAY_MS} AND start_ms - {NOW_MS - 8 * DAY_MS} <= 3600000 THEN 60000 ELSE 600000 END AS due,
+  CASE WHEN fresh_ms IS NULL THEN 'unavailable' WHEN {NOW_MS} - fresh_ms <= 7200000 THEN 'current' ELSE 'stale' END AS freshness, CASE WHEN fresh_ms IS NULL THEN 'unavailable' WHEN status <> 'unknown' THEN 'complete' ELSE 'partial' END AS availability FROM games""")
 def poll_due(t):
-    return t.games.select("game", B.due(F.lit(NOW_MS) - F.col("fresh_ms"), F.col("start_ms") - (NOW_MS - 8 * DAY_MS)).alias("due"), T.metadata_freshness(F.col("fresh_ms"), F.lit(NOW_MS)).alias("freshness"))
+    return t.games.select("game", B.due(F.lit(NOW_MS) - F.col("fresh_ms"), F.col("start_ms") - (NOW_MS - 8 * DAY_MS)).alias("due"), T.metadata_freshness(F.col("fresh_ms"), F.lit(NOW_MS)).alias("freshness"), T.metadata_availability(F.col("status"), F.col("fresh_ms"), F.lit(NOW_MS)).alias("availability"))
 
 
 part("provider_states", """SELECT *, CASE WHEN outage THEN 'outage' WHEN age_s IS NULL THEN 'unknown' WHEN age_s > 900 THEN 'stale' WHEN failed > 0 THEN 'partial' ELSE 'healthy' END AS connection,
-  CASE WHEN remaining IS NULL THEN 'unknown' WHEN remaining <= 0 THEN 'exhausted' WHEN remaining <= reserve THEN 'reserve-protected' WHEN remaining <= 2 * reserve THEN 'low' ELSE 'available' END AS capacity
+  CASE WHEN remaining IS NULL OR remaining < 0 THEN 'unknown' WHEN remaining = 0 THEN 'exhausted' WHEN remaining <= reserve THEN 'reserve-protected' WHEN remaining <= 2 * reserve THEN 'low' ELSE 'available' END AS capacity
   FROM health QUALIFY row_number() OVER (PARTITION BY scope ORDER BY at_ms DESC, id DESC) = 1""")
-part("provider_impacts", "SELECT *, CASE WHEN connection IN ('outage', 'unknown', 'stale') OR capacity = 'exhausted' THEN 'suppressed' WHEN connection = 'partial' OR capacity IN ('reserve-protected', 'low') THEN 'limited' ELSE 'none' END AS impact FROM provider_states")
+part("provider_impacts", "SELECT *, CASE WHEN scope % 3 = 0 AND connection IN ('outage', 'unknown', 'stale') THEN 'suppressed' WHEN scope % 3 = 0 AND connection = 'partial' OR scope % 3 > 0 AND connection <> 'healthy' OR capacity IN ('reserve-protected', 'exhausted') THEN 'limited' ELSE 'none' END AS impact FROM provider_states")
 
 
 def _states(t):
     now = latest_by(t.health, ["scope"], ["at_ms", "id"])
     own = now.withColumns({"connection": T.connection_state(F.col("outage"), F.col("age_s"), F.col("failed"), 900), "capacity": T.capacity_state(F.col("remaining"), F.col("reserve"))})
-    return own.withColumn("impact", T.impact(F.col("connection"), F.col("capacity")))
+    capability = F.element_at(F.array(F.lit("odds"), F.lit("account"), F.lit("schedule")), (F.col("scope") % 3 + 1).cast("int"))
+    return own.withColumn("impact", T.impact(capability, F.col("connection"), F.col("capacity")))
 
 
 @query("SELECT scope, connection, capacity, impact FROM provider_impacts")
@@ -222,9 +228,16 @@ def start_drift(t):
     return near.select("listing", M.drift_class(F.col("d"), trusted=F.col("provider") == "alpha").alias("drift"))
 
 
-@query(f"""WITH x AS (SELECT l.listing, l.home, s.home AS other FROM listings l JOIN schedule s ON s.event = l.listing % 1000),
-y AS (SELECT listing, {fold('home')} AS a, {fold('other')} AS b FROM x), z AS (SELECT *, list_sort(list_filter(string_split(a, ' '), lambda w: w NOT IN {T.GENERIC_WORDS})) AS wa, list_sort(list_filter(string_split(b, ' '), lambda w: w NOT IN {T.GENERIC_WORDS})) AS wb FROM y)
-SELECT listing, a = b OR (least(length(a), length(b)) >= 4 AND (contains(a, b) OR contains(b, a))) OR wa = wb OR list_has_any(list_filter(wa, lambda w: length(w) >= 4), list_filter(wb, lambda w: length(w) >= 4)) AS fuzzy FROM z""")
+def _words(x: str) -> str:
+    text = f"lower({PLAIN.format(x)})"
+    for letter, written in T.WRITTEN_OUT:
+        text = f"replace({text}, '{letter}', '{written}')"
+    return f"regexp_extract_all({text}, '[a-z0-9]+')"
+
+
+@query(f"""WITH x AS (SELECT l.listing, {_words('l.home')} AS a, {_words('s.home')} AS b FROM listings l JOIN schedule s ON s.event = l.listing % 1000),
+z AS (SELECT listing, array_to_string(a, '') AS wa, array_to_string(b, '') AS wb, list_sort(list_distinct(list_filter(a, lambda w: w NOT IN {T.GENERIC_WORDS}))) AS oa, list_sort(list_distinct(list_filter(b, lambda w: w NOT IN {T.GENERIC_WORDS}))) AS ob FROM x)
+SELECT listing, wa = wb OR (least(length(wa), length(wb)) >= 4 AND (contains(wa, wb) OR contains(wb, wa))) OR (len(oa) > 0 AND oa = ob) OR list_has_any(list_filter(oa, lambda w: length(w) >= 4), ob) AS fuzzy FROM z""")
 def fuzzy_labels(t):
     s = t.schedule.select("event", F.col("home").alias("other"))
     both = t.listings.join(s, F.col("listing") % 1000 == F.col("event"))

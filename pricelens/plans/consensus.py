@@ -20,9 +20,9 @@ MARKET = ["game", "market"]
 
 part("current_quotes", """SELECT * FROM quotes QUALIFY row_number() OVER (PARTITION BY game, market, selection, book
   ORDER BY observed_ms DESC, provider_rank DESC, snapshot_id DESC) = 1""")
-part("book_rows", """SELECT game, market, book, count(*) AS n, count(DISTINCT selection) AS sels, max(expected) AS expected, bool_and(state = 'active') AS active,
+part("book_rows", """SELECT game, market, book, count(*) AS n, count(DISTINCT selection) AS sels, max(expected) AS expected, min(CASE WHEN state <> 'active' THEN state END) AS off,
   min(observed_ms) AS oldest FROM (SELECT *, count(DISTINCT selection) OVER (PARTITION BY game, market) AS expected FROM current_quotes) GROUP BY ALL""")
-part("excluded", f"""SELECT game, market, book, round(({NOW_MS} - oldest) / 60000, 6) AS age_minutes, CASE WHEN book = 'hardrock' THEN 'target' WHEN NOT active THEN 'status'
+part("excluded", f"""SELECT game, market, book, round(({NOW_MS} - oldest) / 60000, 6) AS age_minutes, CASE WHEN book = 'hardrock' THEN 'target-sportsbook' WHEN off IS NOT NULL THEN off
   WHEN {NOW_MS} - oldest < 0 THEN 'invalid-age' WHEN ({NOW_MS} - oldest) / 60000 > 14400 THEN 'stale' WHEN n > sels THEN 'duplicate-selection'
   WHEN sels < expected THEN 'missing-selection' WHEN book = 'pinnacle' THEN 'unconfigured' END AS reason FROM book_rows""")
 part("fair_prices", f"""SELECT game, market, book, selection, {implied('american')} / sum({implied('american')}) OVER (PARTITION BY game, market, book) AS fair
@@ -164,7 +164,7 @@ def model_probability_gate(t):
     return t.decisions.select("id", Q.model_probability_valid(low, F.col("p"), high, u).alias("valid"))
 
 
-@query("""SELECT game, market, book, CASE market WHEN 'moneyline' THEN count(point) = 0 ELSE count(point) = count(*) AND abs(sum(point)) <= 1e-9 END AS coherent FROM current_quotes GROUP BY game, market, book""")
+@query("""SELECT game, market, book, count(*) = 2 AND CASE market WHEN 'moneyline' THEN count(point) = 0 ELSE count(point) = count(*) AND abs(sum(point)) < 1e-9 END AS coherent FROM current_quotes GROUP BY game, market, book""")
 def point_coherence(t):
     return Q.coherent_points(current_quotes(t.quotes), [*MARKET, "book"])
 

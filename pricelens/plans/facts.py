@@ -42,7 +42,7 @@ FROM {{events}}""",
     "games": f"""
 SELECT game, CASE game % 4 WHEN 0 THEN 'baseball' WHEN 1 THEN 'soccer' WHEN 2 THEN 'basketball' ELSE 'football' END AS sport,
        'league-' || CAST(game % 7 AS STRING) AS league,
-       CASE game % 6 WHEN 0 THEN 'live' WHEN 1 THEN 'final' WHEN 2 THEN 'postponed' ELSE 'scheduled' END AS status,
+       CASE game % 6 WHEN 0 THEN 'started' WHEN 1 THEN 'completed' WHEN 2 THEN 'postponed' WHEN 5 THEN 'unknown' ELSE 'scheduled' END AS status,
        CASE WHEN game % 5 = 0 THEN 'Atlético ' ELSE 'Harbor ' END || CAST(game AS STRING) AS home,
        CASE WHEN game % 3 = 0 THEN 'Río Plata ' ELSE 'North Bay ' END || CAST(game AS STRING) AS away,
        2 AS version, {FIRST_MS} + (5 + game % 20) * {DAY_MS} + (game * 37 % 24) * 3600000 AS start_ms,
@@ -104,8 +104,9 @@ FROM {{events}}""",
     # game states over time, as a feed reports them
     "phases": f"""
 SELECT event_id AS id, CAST(user_id AS BIGINT) AS game, MS(ts) AS at_ms,
-       CASE CAST(floor(value) AS BIGINT) % 7 WHEN 0 THEN 'scheduled' WHEN 1 THEN 'break' WHEN 2 THEN 'delayed' WHEN 3 THEN 'final' ELSE 'live' END AS phase,
-       CAST(event_id * 3 % 5 AS INT) AS away_score, CAST(event_id * 7 % 5 AS INT) AS home_score, CASE WHEN event_id % 4 = 0 THEN 'checkpoint' ELSE 'feed' END AS origin
+       CASE CAST(floor(value) AS BIGINT) % 7 WHEN 0 THEN 'pregame' WHEN 1 THEN 'break' WHEN 2 THEN 'delayed' WHEN 3 THEN 'final' ELSE 'live' END AS phase,
+       CAST(event_id * 3 % 5 AS INT) AS away_score, CAST(event_id * 7 % 5 AS INT) AS home_score, CASE WHEN event_id % 4 = 0 THEN 'checkpoint' ELSE 'feed' END AS origin,
+       event_id * 5 % 11 < 3 AS terminal, CASE WHEN event_id % 6 = 0 THEN NULL ELSE MS(ts) - (event_id % 3) * 40000000 END AS agreed_ms
 FROM {{events}}""",
 }
 _MS = {"spark": r"timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', \1)", "duckdb": r"(epoch_us(\1) // 1000)"}

@@ -69,11 +69,11 @@ def downsampled_history(t):
     return M.downsample(t.quotes, 10).select("snapshot_id")
 
 
-@query("""WITH x AS (SELECT *, lag(phase) OVER w AS p0, lag(away_score) OVER w AS a0, lag(home_score) OVER w AS h0, lag(true) OVER w IS NOT NULL AS seen FROM phases WINDOW w AS (PARTITION BY game ORDER BY at_ms, id)),
-y AS (SELECT *, seen AND (phase <> p0 OR away_score <> a0 OR home_score <> h0) AS differs, CASE phase WHEN 'final' THEN 3 WHEN 'live' THEN 2 WHEN 'break' THEN 2 ELSE 1 END AS k1, CASE p0 WHEN 'final' THEN 3 WHEN 'live' THEN 2 WHEN 'break' THEN 2 ELSE 1 END AS k0 FROM x)
-SELECT id, array_to_string(list_filter([CASE WHEN NOT seen THEN 'first-seen' END, CASE WHEN differs THEN 'changed' END, CASE WHEN seen AND p0 <> 'break' AND phase = 'break' THEN 'period-break' END,
+@query("""WITH x AS (SELECT *, lag(phase) OVER w AS p0, lag(away_score) OVER w AS a0, lag(home_score) OVER w AS h0, lag(terminal) OVER w AS t0, lag(agreed_ms) OVER w AS g0, lag(true) OVER w IS NOT NULL AS seen FROM phases WINDOW w AS (PARTITION BY game ORDER BY at_ms, id)),
+y AS (SELECT *, seen AND (phase <> p0 OR away_score <> a0 OR home_score <> h0 OR terminal <> t0) AS differs, CASE phase WHEN 'final' THEN 3 WHEN 'live' THEN 2 WHEN 'break' THEN 2 ELSE 1 END AS k1, CASE p0 WHEN 'final' THEN 3 WHEN 'live' THEN 2 WHEN 'break' THEN 2 ELSE 1 END AS k0 FROM x)
+SELECT id, array_to_string(list_filter([CASE WHEN NOT seen THEN 'first-seen' END, CASE WHEN differs THEN 'changed' END, CASE WHEN seen AND NOT t0 AND terminal THEN 'terminal-clock-first-seen' END, CASE WHEN differs AND t0 AND terminal THEN 'terminal-clock-revised' END, CASE WHEN seen AND t0 AND NOT terminal THEN 'terminal-clock-disappeared' END, CASE WHEN seen AND p0 <> 'break' AND phase = 'break' THEN 'period-break' END,
   CASE WHEN seen AND p0 IN ('break', 'delayed') AND phase = 'live' THEN 'resumed' END, CASE WHEN seen AND p0 <> 'delayed' AND phase = 'delayed' THEN 'delayed' END, CASE WHEN seen AND p0 <> 'final' AND phase = 'final' THEN 'first-final' END,
-  CASE WHEN differs AND p0 = 'final' AND phase = 'final' THEN 'final-revised' END, CASE WHEN seen AND k1 < k0 THEN 'phase-regressed' END], lambda r: r IS NOT NULL), ',') AS kinds FROM y""")
+  CASE WHEN differs AND p0 = 'final' AND phase = 'final' THEN 'final-revised' END, CASE WHEN seen AND k1 < k0 THEN 'phase-regressed' END, CASE WHEN agreed_ms < g0 THEN 'provider-time-regressed' END], lambda r: r IS NOT NULL), ',') AS kinds FROM y""")
 def lifecycle_changes(t):
     return M.phase_changes(t.phases, ["game"], ["at_ms", "id"]).select("id", F.array_join("kinds", ",").alias("kinds"))
 
