@@ -28,8 +28,7 @@ def served_games(games: DataFrame, quotes: DataFrame, roster: Sequence[str], sid
 
 def comparison_grid(quotes: DataFrame, books: Sequence[str], cells: Sequence[str] = ("game", "market", "selection")) -> DataFrame:
     """Every cell that any book has, for every book of the list, with the book's price or unavailable."""
-    names = quotes.sparkSession.createDataFrame([(b,) for b in books], "book string")
-    grid = quotes.select(*cells).distinct().crossJoin(F.broadcast(names))  # as many rows a cell as books are configured
+    grid = quotes.select(*cells).distinct().withColumn("book", F.explode(F.array(*map(F.lit, books))))  # a row for each configured book
     return grid.join(quotes.select(*cells, "book", "american", "point", "state"), [*cells, "book"], "left").withColumn("state", F.coalesce("state", F.lit("unavailable")))
 
 
@@ -97,9 +96,8 @@ def evidence_gaps(expected: DataFrame, quotes: DataFrame, books: Sequence[str],
 
     The grid has as many rows a game as there are configured books and markets.
     """
-    spark = expected.sparkSession
-    dims = spark.createDataFrame([(b, m) for b in books for m in markets], "book string, market string")
-    grid = expected.select("game").union(quotes.select("game")).distinct().crossJoin(F.broadcast(dims))
+    cells = F.array(*[F.struct(F.lit(b).alias("book"), F.lit(m).alias("market")) for b in books for m in markets])
+    grid = expected.select("game").union(quotes.select("game")).distinct().select("game", F.inline(cells))
     state = (
         F.when(F.col("state") == "unavailable", 2).when(F.col("state") == "suspended", 3)
         .when(F.col("observed_ms") < now_ms - stale_after_ms, 4).otherwise(F.lit(None))

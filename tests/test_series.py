@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pricelens.operators import closing, consensus, matching, movement
+from pricelens.operators import board, closing, consensus, matching, movement
 from pricelens.operators.latest import current_quotes, latest_by
 
 QUOTE = "game long, market string, selection string, book string, observed_ms long, retrieved_ms long, snapshot_id long, american int, point double, state string, provider_rank int"
@@ -92,3 +92,10 @@ def test_policy_is_validated():
 def test_empty_tables(spark):
     none = spark.createDataFrame([], QUOTE)
     assert current_quotes(none).count() == movement.movement(none, 0.1, 1).count() == movement.markers(none).count() == movement.downsample(none, 5).count() == 0
+
+
+def test_explorer_order(spark):
+    games = spark.createDataFrame([(3, "Águila", "B", 5, "l1", "scheduled", None), (1, "Aguila", "C", 5, "l2", "started", 9), (2, "x", "águila", 7, "l1", "unknown", 8), (4, "other", "one", 1, "l0", "scheduled", 1)], "game long, home string, away string, start_ms long, league string, status string, fresh_ms long")
+    ids = lambda *a, **k: [r["game"] for r in board.explore(games, *a, **k).collect()]
+    assert ids("ÁGUILA", "kickoff") == [1, 3, 2] and ids("aguila", "kickoff", descending=True) == [2, 1, 3]
+    assert ids(None, "lifecycle") == [3, 4, 1, 2] and ids("aguila", "freshness", descending=True) == [1, 2, 3]
