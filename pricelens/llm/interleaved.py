@@ -195,7 +195,9 @@ def media_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     stored = store_texts(docs, doc_id, text)
     parsed = sequences(stored.select("doc_id", "html"), "doc_id", "html")
-    return resolve(parsed, payload_features(stored.select("digest", "media")), "doc_id", *SHOWN)
+    # a table of its own, so that the join has shuffles on both sides and a digest of many copies can be split
+    shown = materialize(payload_features(stored.select("digest", "media")), "media-features")
+    return resolve(parsed, shown, "doc_id", *SHOWN)
 
 
 def op6_media_columns(spark, sf_dir: str) -> DataFrame:
