@@ -30,12 +30,16 @@ def book_id(book: Column) -> Column:
     return F.lower(F.trim(book))
 
 
+def words_match(left: Column, right: Column) -> Column:
+    """labels_match for labels that are folded already."""
+    a, b = F.split(left, " "), F.split(right, " ")
+    shorter = F.when(F.size(a) <= F.size(b), F.size(F.array_except(a, b))).otherwise(F.size(F.array_except(b, a)))
+    return (left != "") & (right != "") & ((left == right) | ((F.substring_index(left, " ", -1) == F.substring_index(right, " ", -1)) & (shorter == 0)))
+
+
 def labels_match(left: Column, right: Column) -> Column:
     """Equal after folding, or the same last word and the shorter one's words all in the longer one; empty labels match nothing."""
-    a, b = F.split(folded(left), " "), F.split(folded(right), " ")
-    shorter = F.when(F.size(a) <= F.size(b), F.size(F.array_except(a, b))).otherwise(F.size(F.array_except(b, a)))
-    there = (folded(left) != "") & (folded(right) != "")
-    return there & ((folded(left) == folded(right)) | ((F.element_at(a, -1) == F.element_at(b, -1)) & (shorter == 0)))
+    return words_match(folded(left), folded(right))
 
 
 #: Fixed value: club words that tell no two participants apart.

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelens.functions.text import folded, labels_match
+from pricelens.functions.text import folded, words_match
 
 
 def near_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ms: str, right_ms: str, tolerance_ms: int) -> DataFrame:
@@ -25,21 +25,22 @@ def near_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ms
     return pairs.select("l.*", *[f"r.r_{c}" for c in right.columns]).drop("__bucket")
 
 
-def last_word(label: Column) -> Column:
-    return F.element_at(F.split(folded(label), " "), -1)
-
-
 def label_pairs(listings: DataFrame, schedule: DataFrame, tolerance_ms: int) -> DataFrame:
     """Listings with the events that they match in labels and start, the event's columns under r_, and reversed.
 
     Labels that match share their last word, so the last words of both sides join as keys beside sport and time bucket;
     a listing enters once as it stands and once with its sides swapped. What is left to compare is a few rows a key.
+    Labels are folded once, before the join.
     """
-    words = {"h_word": last_word(F.col("home")), "a_word": last_word(F.col("away"))}
-    turned = listings.withColumns({"home": F.col("away"), "away": F.col("home")})
-    both = listings.withColumn("reversed", F.lit(False)).unionByName(turned.withColumn("reversed", F.lit(True))).withColumns(words)
-    pairs = near_in_time(both, schedule.withColumns(words), ["sport", "h_word", "a_word"], "start_ms", "start_ms", tolerance_ms)
-    return pairs.where(labels_match(F.col("home"), F.col("r_home")) & labels_match(F.col("away"), F.col("r_away")))
+    side = lambda home, away, turned: F.struct(F.col(home).alias("home"), F.col(away).alias("away"), F.lit(turned).alias("reversed"))
+    rest = [c for c in listings.columns if c not in ("home", "away")]
+    both = listings.select(*rest, F.inline(F.array(side("home", "away", False), side("away", "home", True))))
+    plain = {"h_plain": folded(F.col("home")), "a_plain": folded(F.col("away"))}
+    words = {"h_word": F.substring_index("h_plain", " ", -1), "a_word": F.substring_index("a_plain", " ", -1)}
+    left, right = both.withColumns(plain).withColumns(words), schedule.withColumns(plain).withColumns(words)
+    pairs = near_in_time(left, right, ["sport", "h_word", "a_word"], "start_ms", "start_ms", tolerance_ms)
+    same = words_match(F.col("h_plain"), F.col("r_h_plain")) & words_match(F.col("a_plain"), F.col("r_a_plain"))
+    return pairs.where(same).drop(*plain, *words, *[f"r_{c}" for c in (*plain, *words)])
 
 
 def resolve(listings: DataFrame, schedule: DataFrame, tolerance_ms: int) -> DataFrame:
