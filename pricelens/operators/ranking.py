@@ -42,18 +42,24 @@ def opportunities(rows: DataFrame, policy: ConsensusPolicy, now_ms: int) -> Data
     return own.withColumns({"ev": ev, "id": F.concat_ws(":", *market, "selection")} | found)
 
 
-def filtered(df: DataFrame, market: str | None = None, book: str | None = None, minimum_ev: float | None = None, minimum_books: int | None = None, maximum_age_ms: int | None = None, now_ms: int = 0) -> DataFrame:
-    """Any of the predicates given, together."""
-    if market is not None:
-        df = df.where(F.col("market") == market)
-    if book is not None:
-        df = df.where(F.col("book") == book)
-    if minimum_ev is not None:
-        df = df.where(F.col("ev") >= minimum_ev)
-    if minimum_books is not None:
-        df = df.where(F.col("books") >= minimum_books)
-    if maximum_age_ms is not None:
-        df = df.where(now_ms - F.col("oldest_ms") <= maximum_age_ms)
+def filtered(
+    df: DataFrame, *, market: str | None = None, book: str | None = None, competition: str | None = None, warning: str | None = None, from_ms: int | None = None,
+    until_ms: int | None = None, minimum_ev: float | None = None, minimum_books: int | None = None, maximum_age_ms: int | None = None, now_ms: int = 0,
+) -> DataFrame:
+    """Any of the predicates given, together; those given need their column: league, warnings (an array), start_ms and so on."""
+    wanted = {
+        "market": (market, lambda x: F.col("market") == x),
+        "book": (book, lambda x: F.col("book") == x),
+        "competition": (competition, lambda x: F.col("league") == x),
+        "warning": (warning, lambda x: F.array_contains("warnings", x)),
+        "from": (from_ms, lambda x: F.col("start_ms") >= x),
+        "until": (until_ms, lambda x: F.col("start_ms") < x),
+        "ev": (minimum_ev, lambda x: F.col("ev") >= x),
+        "books": (minimum_books, lambda x: F.col("books") >= x),
+        "age": (maximum_age_ms, lambda x: now_ms - F.col("oldest_ms") <= x),
+    }
+    for value, holds in wanted.values():
+        df = df if value is None else df.where(holds(value))
     return df
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pricelens.operators import board, closing, consensus, matching, movement
+from pricelens.operators import board, closing, consensus, matching, movement, ranking
 from pricelens.operators.latest import current_quotes, latest_by
 
 QUOTE = "game long, market string, selection string, book string, observed_ms long, retrieved_ms long, snapshot_id long, american int, point double, state string, provider_rank int"
@@ -99,3 +99,11 @@ def test_explorer_order(spark):
     ids = lambda *a, **k: [r["game"] for r in board.explore(games, *a, **k).collect()]
     assert ids("ÁGUILA", "kickoff") == [1, 3, 2] and ids("aguila", "kickoff", descending=True) == [2, 1, 3]
     assert ids(None, "lifecycle") == [3, 4, 1, 2] and ids("aguila", "freshness", descending=True) == [1, 2, 3]
+
+
+def test_ranked_filters(spark):
+    rows = [(1, "m", "a", "l1", ["w"], 10, 0.1, 3, 90), (2, "m", "b", "l2", [], 20, 0.2, 2, 50), (3, "s", "a", "l1", [], 30, -0.1, 4, 99)]
+    df = spark.createDataFrame(rows, "id int, market string, book string, league string, warnings array<string>, start_ms long, ev double, books int, oldest_ms long")
+    ids = lambda **k: sorted(r["id"] for r in ranking.filtered(df, **k).collect())
+    assert ids() == [1, 2, 3] and ids(market="m", book="a") == [1] and ids(competition="l1", minimum_ev=0.0) == [1] and ids(warning="w") == [1]
+    assert ids(from_ms=20, until_ms=30) == [2] and ids(minimum_books=3) == [1, 3] and ids(maximum_age_ms=10, now_ms=100) == [1, 3]
