@@ -5,13 +5,16 @@ endings, card prefixes and dialling codes, and cue words before the span. Spark
 and features (all but the strict pattern's own vote) occurs; there are at most 4 * 3^5 * 2^6 of them at any input size. Expectation-maximisation over these counts
 estimates each labeler's reliability per kind and each combination's probability. A logistic model on the spans' features
 is trained on those probabilities and decides on the candidates: spans that strict patterns found always stay, the model
-adds others that overlap none of them.
+adds others that overlap none of them. A run of digits may hold several numbers, so its parts are candidates beside the
+whole; of accepted candidates that overlap, the one that the model scores highest stays, then the longer, then the earlier.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,10 @@ CUES = {
 }
 WRITTEN_AT = re.compile(r" ?(?:\[at\]|\(at\)| at ) ?([A-Za-z0-9-]+(?: ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z0-9-]+)+)")
 DIGIT_RUN = re.compile(r"(?<![0-9])[+(]?[0-9][0-9 ().-]*")
+GROUP = re.compile(r"[+(]?[0-9]+")
+#: What may stand between two groups of one number; repeated separators end a number.
+INSIDE = re.compile(r"\)?[ .-]?")
+MOST_DIGITS = 19
 
 
 def luhn(digits: str) -> bool:
@@ -98,11 +105,33 @@ def loose_spans(text: str) -> Iterator[tuple[str, int, int]]:
         yield "ip", *m.span()
     for m in DIGIT_RUN.finditer(text):
         run = m[0].rstrip(" ().-")
-        n = len(_digits(run))
-        if 13 <= n <= 19 and "(" not in run and "." not in run:
-            yield "card", m.start(), m.start() + len(run)
-        elif 7 <= n <= 15 and (not run.isdigit() or n >= 10):
-            yield "phone", m.start(), m.start() + len(run)
+        kind = number_kind(run, len(_digits(run)))
+        if kind:
+            yield kind, m.start(), m.start() + len(run)
+        for kind, start, end in run_parts(run):
+            yield kind, m.start() + start, m.start() + end
+
+
+def number_kind(run: str, n: int) -> str | None:
+    """What a run of n digits may be."""
+    if 13 <= n <= MOST_DIGITS and "(" not in run and "." not in run:
+        return "card"
+    return "phone" if 7 <= n <= 15 and (not run.isdigit() or n >= 10) else None
+
+
+def run_parts(run: str) -> Iterator[tuple[str, int, int]]:
+    """Parts of a run that may be numbers: joins of neighbouring groups of digits. A group begins at most 19, as each join holds 19 digits at most."""
+    groups = [(m.start(), m.end()) for m in GROUP.finditer(run)]
+    for k, (start, end) in enumerate(groups):
+        n, before = 0, end
+        for first, end in groups[k : k + MOST_DIGITS]:
+            n += end - first - (run[first] in "+(")
+            if n > MOST_DIGITS or before < first and not INSIDE.fullmatch(run, before, first):
+                break
+            before, part = end, run[start:end]
+            kind = number_kind(part, n) if part.count("(") == part.count(")") else None
+            if kind:
+                yield kind, start, end
 
 
 def judged(text: str, kind: str, start: int, end: int, strict: bool) -> tuple[list[int], list[int]]:
@@ -164,13 +193,11 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _apart(spans: list[tuple], taken: list[tuple[int, int]]) -> Iterator[tuple]:
-    """Those of spans, sorted by start, that overlap none of taken, also sorted."""
-    k, reach = 0, 0
+    """Those of spans that overlap none of taken, sorted by start."""
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     for s in spans:
-        while k < len(taken) and taken[k][0] < s[2]:
-            reach = max(reach, taken[k][1])
-            k += 1
-        if s[1] >= reach:
+        k = bisect_left(starts, s[2])
+        if k == 0 or reach[k - 1] <= s[1]:
             yield s
 
 
@@ -192,10 +219,10 @@ def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tu
     return p, rate
 
 
-def train(combinations: list[tuple[int, int]]) -> set[int]:
-    """(code, count): the codes whose spans the classifier accepts."""
+def train(combinations: list[tuple[int, int]]) -> dict[int, float]:
+    """(code, count): the codes whose spans the classifier accepts, with its scores."""
     if not combinations:
-        return set()
+        return {}
     parts = [_decoded(c) for c, _ in combinations]
     kind, counts = np.array([k for k, _, _ in parts]), np.array([n for _, n in combinations], float)
     votes, flags = np.array([v for _, v, _ in parts]), np.array([f for _, _, f in parts], float)
@@ -209,8 +236,17 @@ def train(combinations: list[tuple[int, int]]) -> set[int]:
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (weight * (p - target)) + 1e-4 * w
         w -= np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + 1e-4 * np.eye(len(w)), gradient)
-    accepted = x @ w > 0
-    return {c for (c, _), yes in zip(combinations, accepted) if yes}
+    return {c: score for (c, _), score in zip(combinations, (x @ w).tolist()) if score > 0}
+
+
+def chosen(spans: list[tuple], scores: dict[int, float]) -> list[tuple]:
+    """The accepted spans of one text, the best of those that overlap: by score, then length, then start."""
+    kept: list[tuple[int, int, tuple]] = []
+    for s in sorted((s for s in spans if s[3] in scores), key=lambda s: (-scores[s[3]], s[1] - s[2], s[1], s[0])):
+        k = bisect_left(kept, (s[1],))
+        if (k == 0 or kept[k - 1][1] <= s[1]) and (k == len(kept) or kept[k][0] >= s[2]):
+            kept.insert(k, (s[1], s[2], s))
+    return [s for _, _, s in kept]
 
 
 def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -233,11 +269,7 @@ def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             for flat in batch.column("spans").to_pylist():
                 spans = [tuple(flat[k : k + 5]) for k in range(0, len(flat), 5)]
                 strict = [s for s in spans if s[4]]
-                added, reach = [], 0
-                for s in (s for s in spans if not s[4] and s[3] in accepted):
-                    if s[1] >= reach:
-                        added.append(s)
-                        reach = s[2]
+                added = chosen([s for s in spans if not s[4]], accepted)
                 base.append([_struct(s) for s in strict])
                 both.append([_struct(s) for s in sorted(strict + added, key=lambda s: (s[1], s[0]))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, kind), pa.array(both, kind)], ["doc_id", "base", "spans"])

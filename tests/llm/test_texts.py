@@ -169,6 +169,39 @@ def test_spans(docs, rows, nothing):
     assert pii_spans.find_spans(nothing).count() == 0
 
 
+LISTS = {
+    "pay 4465758382889437 4465758382889437 now": [("card", "4465758382889437")] * 2,
+    "cards 4111 1111 1111 1111 5500 0000 0000 0004 4111-1111-1111-1111": [("card", "4111 1111 1111 1111"), ("card", "5500 0000 0000 0004"), ("card", "4111-1111-1111-1111")],
+    "call (555) 123-4567 (555) 765-4321": [("phone", "(555) 123-4567"), ("phone", "(555) 765-4321")],
+    "tel +1 555 123 4567 +1 (826) 555-4081 190.137.223.20": [("phone", "+1 (826) 555-4081")],
+    "in 2021 (555) 123-4567": [("phone", "(555) 123-4567")],
+}
+
+
+def test_numbers_in_a_row_are_candidates():
+    for text, numbers in LISTS.items():
+        found = {(k, text[a:b]) for k, a, b in pii_spans.loose_spans(text)}
+        assert found >= set(numbers), text
+
+
+def test_numbers_in_a_row_are_found(spark):
+    texts = [x for x in LISTS if "+" not in x] * 20 + ["about 1234 5678 9012 3456 things", "12345678901234 of 1234567-89"] * 20
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii_spans.find_spans(rows).collect():
+        text = texts[r["doc_id"]]
+        ends = [(s["start"], s["end"]) for s in r["spans"]]
+        assert all(b <= c for (_, b), (c, _) in zip(ends, ends[1:])), text
+        if text in LISTS:
+            assert [(s["kind"], text[s["start"] : s["end"]]) for s in r["spans"]] == LISTS[text], text
+
+
+def test_best_of_overlapping_spans():
+    spans = [(3, 0, 14, 1, 0), (3, 5, 14, 2, 0), (3, 5, 12, 2, 0), (3, 20, 30, 3, 0), (3, 14, 20, 1, 0)]
+    assert pii_spans.chosen(spans, {1: 1.0, 2: 2.0}) == [spans[1], spans[4]]
+    apart = [(3, 0, 100), (3, 0, 20), (3, 60, 70)]
+    assert list(pii_spans._apart(apart, [(50, 60)])) == apart[1:]
+
+
 def test_reliabilities_find_the_good_labeler():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.4
