@@ -140,8 +140,18 @@ part("beta", "SELECT game, max(american) AS v, max(CASE WHEN snapshot_id % 7 > 0
 
 @query("""SELECT coalesce(a.game, b.game) AS game, CASE WHEN b.game IS NULL THEN 'missing' WHEN a.game IS NULL THEN 'extra' WHEN a.v = b.v THEN 'same' WHEN a.at IS NULL OR b.at IS NULL THEN 'indeterminate' WHEN a.at = b.at THEN 'mismatch' ELSE 'temporal' END AS kind FROM alpha a FULL JOIN beta b ON a.game = b.game""")
 def route_reconciliation(t):
+    """Of four elevenths of the quotes, as its SQL has it; route_reconciliation_whole has all."""
+    return _reconciled(t.quotes.where("snapshot_id % 11 > 6"))
+
+
+@query()
+def route_reconciliation_whole(t):
+    return _reconciled(t.quotes)
+
+
+def _reconciled(quotes):
     def route(name):
-        own = t.quotes.where((F.col("provider") == name) & (F.col("market") == "moneyline") & (F.col("snapshot_id") % 11 > 6))
+        own = quotes.where((F.col("provider") == name) & (F.col("market") == "moneyline"))
         at = F.max(F.when(F.col("snapshot_id") % 7 > 0, F.floor(F.col("observed_ms") / 86_400_000)))
         return own.groupBy("game").agg(F.max("american").alias("v"), at.alias("at"))
 
@@ -308,8 +318,18 @@ def book_roles(t):
 @query("""SELECT g.sport, count(*) AS expected, count(p.game) AS mapped, count(*) - count(p.game) AS unmapped, count(*) FILTER (p.n > 1) AS ambiguous, count(*) FILTER (p.checks > 1) AS duplicated
 FROM games g LEFT JOIN (SELECT game, count(DISTINCT phase) AS n, count(*) AS checks FROM phases WHERE origin = 'checkpoint' AND id % 8 = 0 GROUP BY game) p USING (game) GROUP BY g.sport""")
 def coverage_summary(t):
-    own = t.phases.where("origin = 'checkpoint' AND id % 8 = 0").groupBy("game").agg(F.count_distinct("phase").alias("n"), F.count("*").alias("checks"))
-    both = t.games.select("game", "sport").join(own, "game", "left")
+    """Of half of the checkpoints, as its SQL has it; coverage_summary_whole has all."""
+    return _coverage(t.games, t.phases.where("id % 8 = 0"))
+
+
+@query()
+def coverage_summary_whole(t):
+    return _coverage(t.games, t.phases)
+
+
+def _coverage(games, phases):
+    own = phases.where("origin = 'checkpoint'").groupBy("game").agg(F.count_distinct("phase").alias("n"), F.count("*").alias("checks"))
+    both = games.select("game", "sport").join(own, "game", "left")
     return both.groupBy("sport").agg(
         F.count("*").alias("expected"), F.count("n").alias("mapped"), F.count_if(F.col("n").isNull()).alias("unmapped"), F.count_if(F.col("n") > 1).alias("ambiguous"), F.count_if(F.col("checks") > 1).alias("duplicated")
     )
@@ -381,12 +401,24 @@ def split_attribution(t):
 @query(f"""WITH p AS (SELECT l.listing, count(DISTINCT s.event) AS n, min(s.event) AS event FROM listings l JOIN schedule s ON s.sport = l.sport AND ({match('l.home', 's.home')} AND {match('l.away', 's.away')} OR {match('l.home', 's.away')} AND {match('l.away', 's.home')}) WHERE l.provider = 'alpha' AND l.listing % 2 = 0 GROUP BY l.listing)
 SELECT l.listing, coalesce(p.event, -1) AS event, CASE WHEN n IS NULL THEN 'no-candidate' WHEN n > 1 THEN 'ambiguous' ELSE 'alias' END AS outcome FROM listings l LEFT JOIN p USING (listing) WHERE l.provider = 'alpha' AND l.listing % 2 = 0""")
 def secondary_aliases(t):
+    """Half of secondary_aliases_whole, as its SQL has it."""
+    return _aliases(t.listings.where("provider = 'alpha' AND listing % 2 = 0"), t.schedule)
+
+
+@query()
+def secondary_aliases_whole(t):
     """Rows of a secondary catalogue bound by labels alone, in either orientation, whatever the start; never a new event."""
-    own = t.listings.where("provider = 'alpha' AND listing % 2 = 0")
-    anytime = lambda df: df.withColumn("start_ms", F.lit(0).cast("long"))
-    found = M.resolve(anytime(own), anytime(t.schedule), DAY_MS)
+    return _aliases(t.listings.where("provider = 'alpha'"), t.schedule)
+
+
+def _anytime(df):
+    return df.withColumn("start_ms", F.lit(0).cast("long"))
+
+
+def _aliases(own, schedule):
+    found = M.resolve(_anytime(own), _anytime(schedule), DAY_MS)
     outcome = F.when(F.col("n") == 1, "alias").when(F.col("n") == 0, "no-candidate").otherwise("ambiguous")
-    first = M.label_pairs(anytime(own), anytime(t.schedule), DAY_MS).groupBy("listing").agg(F.min("r_event").alias("first"))
+    first = M.label_pairs(_anytime(own), _anytime(schedule), DAY_MS).groupBy("listing").agg(F.min("r_event").alias("first"))
     return found.join(first, "listing", "left").select("listing", F.coalesce("first", F.lit(-1)).cast("long").alias("event"), outcome.alias("outcome"))
 
 

@@ -166,7 +166,17 @@ def promotion_gates(t):
 @query("""WITH w AS (SELECT account AS experiment, id AS name, created_ms AS from_ms, created_ms + (game % 9 - 1) * 86400000 AS until_ms FROM decisions WHERE account < 50)
 SELECT experiment, name, coalesce(CASE WHEN from_ms >= until_ms THEN 'window-order' WHEN from_ms < max(until_ms) OVER (PARTITION BY experiment ORDER BY from_ms, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'window-overlap' END, 'none') AS issue FROM w""")
 def experiment_windows(t):
-    w = t.decisions.where("account < 50").select(F.col("account").alias("experiment"), F.col("id").alias("name"), F.col("created_ms").alias("from_ms"), (F.col("created_ms") + (F.col("game") % 9 - 1) * 86_400_000).alias("until_ms"))
+    """Of 50 accounts, as its SQL has it; experiment_windows_whole has all."""
+    return _windows(t.decisions.where("account < 50"))
+
+
+@query()
+def experiment_windows_whole(t):
+    return _windows(t.decisions)
+
+
+def _windows(decisions):
+    w = decisions.select(F.col("account").alias("experiment"), F.col("id").alias("name"), F.col("created_ms").alias("from_ms"), (F.col("created_ms") + (F.col("game") % 9 - 1) * 86_400_000).alias("until_ms"))
     return P.overlapping_windows(w).select("experiment", "name", F.coalesce("issue", F.lit("none")).alias("issue"))
 
 

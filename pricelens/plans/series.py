@@ -91,9 +91,19 @@ SELECT id, arg_max(sid, struct_pack(a := observed_ms, b := sid)) FILTER (same AN
   CASE WHEN count(*) FILTER (same AND observed_ms <= start_ms AND observed_ms >= start_ms - 900000) > 0 THEN 'none' WHEN any_value(start_ms) IS NULL THEN 'legacy-scheduled-start-missing' WHEN bool_or(same AND observed_ms > start_ms) THEN 'closing-price-post-start' WHEN bool_or(same) THEN 'closing-price-stale'
     WHEN bool_or(qbook = book AND qpoint IS DISTINCT FROM point) THEN 'closing-line-changed' WHEN bool_or(qbook <> book) THEN 'closing-book-mismatch' ELSE 'closing-price-missing' END AS reason FROM k GROUP BY id""")
 def closing_selection(t):
-    q = _lined(t.quotes)
+    """Of a quarter of the quotes, as its SQL has it; closing_selection_whole has all."""
+    return _closing(t.quotes, "snapshot_id % 4 = 1")
+
+
+@query()
+def closing_selection_whole(t):
+    return _closing(t.quotes, "true")
+
+
+def _closing(quotes, taken):
+    q = _lined(quotes)
     start = F.when(F.col("snapshot_id") % 40 != 1, F.col("observed_ms") + (F.col("snapshot_id") % 8) * 7200000)
-    entries = q.where(F.col("snapshot_id") % 4 == 1).select(F.col("snapshot_id").alias("id"), "game", "version", "market", "selection", "book", "line", start.alias("start_ms"))
+    entries = q.where(taken).select(F.col("snapshot_id").alias("id"), "game", "version", "market", "selection", "book", "line", start.alias("start_ms"))
     return X.closing_prices(entries, q).select("id", "closing_snapshot_id", F.coalesce("reason", F.lit("none")).alias("reason"))
 
 
