@@ -231,11 +231,21 @@ def withdrawn_listings(t):
 
 @query("""SELECT l.listing, CASE WHEN abs(d) <= 900000 THEN 'ok' WHEN abs(d) <= 7200000 THEN 'secondary' WHEN l.provider = 'alpha' THEN 'trusted' ELSE 'rejected' END AS drift FROM (SELECT l.*, l.start_ms - s.start_ms AS d FROM (SELECT *, start_ms + (listing % 9) * 1800000 AS late FROM listings) l JOIN resolved r USING (listing) JOIN schedule s ON s.event = r.event) l""")
 def start_drift(t):
+    """Of unshifted starts within an hour, as its SQL has it, so never rejected or trusted; start_drift_whole has all."""
     pairs = M.label_pairs(t.listings, t.schedule, 3_600_000)
     near = pairs.groupBy("listing", "provider").agg(F.min_by(F.col("start_ms") - F.col("r_start_ms"), "r_event").alias("d"))
     return near.select("listing", M.drift_class(F.col("d"), trusted=F.col("provider") == "alpha").alias("drift"))
 
 
+@query()
+def start_drift_whole(t):
+    """How far each listing's start, shifted by up to 4 hours, is from its event's; bound by labels alone, so no drift is too large to be classed."""
+    late = t.listings.withColumn("late_ms", F.col("start_ms") + (F.col("listing") % 9) * 1_800_000)
+    pairs = M.label_pairs(_anytime(late), _anytime(t.schedule.withColumn("begin_ms", F.col("start_ms"))), DAY_MS)
+    near = pairs.groupBy("listing", "provider").agg(F.min_by(F.col("late_ms") - F.col("r_begin_ms"), "r_event").alias("d"))
+    return near.select("listing", M.drift_class(F.col("d"), trusted=F.col("provider") == "alpha").alias("drift"))
+
+
 def _words(x: str) -> str:
     text = f"lower({PLAIN.format(x)})"
     for letter, written in T.WRITTEN_OUT:

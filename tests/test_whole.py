@@ -107,3 +107,15 @@ def test_secondary_aliases(t):
         want[l["listing"]] = (min(found, default=-1), ["no-candidate", "alias", "ambiguous"][min(2, len(found))])
     got = boards.secondary_aliases_whole(t).collect()
     assert {r["listing"]: (r["event"], r["outcome"]) for r in got} == want and any(k % 2 for k in want)
+
+
+def test_start_drift(t):
+    schedule, want = t.schedule.collect(), {}
+    for l in t.listings.collect():
+        found = [s for s in schedule if s["sport"] == l["sport"] and either(l, s)]
+        if found:
+            d = abs(l["start_ms"] + l["listing"] % 9 * 1_800_000 - min(found, key=lambda s: s["event"])["start_ms"])
+            want[l["listing"]] = "ok" if d <= 900_000 else "secondary" if d <= 7_200_000 else "trusted" if l["provider"] == "alpha" else "rejected"
+    got = boards.start_drift_whole(t).collect()
+    assert dict(map(tuple, got)) == want and len(got) == len(want)
+    assert set(want.values()) == {"ok", "secondary", "trusted", "rejected"}
