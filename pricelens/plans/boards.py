@@ -377,10 +377,21 @@ c AS (SELECT sport, a, b, min(start_ms) AS anchor FROM r GROUP BY ALL UNION ALL
 SELECT r.*, c.anchor AS cluster FROM r JOIN c ON r.sport = c.sport AND r.a = c.a AND r.b = c.b AND r.start_ms BETWEEN c.anchor AND c.anchor + 1200000
 QUALIFY row_number() OVER (PARTITION BY r.sport, r.a, r.b, c.anchor ORDER BY version DESC, seen_ms DESC, lifecycle_rank DESC, has_odds DESC, event) = 1""")
 def near_duplicate_events(t):
-    """Listings of one sport and pair of labels, clustered within 20 minutes of the cluster's first, one of each kept."""
-    rows = t.listings.select("sport", F.least(T.folded("home"), T.folded("away")).alias("a"), F.greatest(T.folded("home"), T.folded("away")).alias("b"), "start_ms", F.col("listing").alias("event"),
+    """Listings of one sport and pair of labels, clustered within 20 minutes of the cluster's first, one of each kept.
+
+    The window is that of its SQL; near_duplicate_events_whole has the 2 minutes that make games the same.
+    """
+    return M.collapse_duplicates(_listed_rows(t.listings), ["sport", "a", "b"], 1_200_000)
+
+
+@query()
+def near_duplicate_events_whole(t):
+    return M.collapse_duplicates(_listed_rows(t.listings), ["sport", "a", "b"], 120_000)
+
+
+def _listed_rows(listings):
+    return listings.select("sport", F.least(T.folded("home"), T.folded("away")).alias("a"), F.greatest(T.folded("home"), T.folded("away")).alias("b"), "start_ms", F.col("listing").alias("event"),
         (F.col("listing") % 3).alias("version"), "seen_ms", (F.col("listing") % 4).alias("lifecycle_rank"), (F.col("listing") % 2 == 0).alias("has_odds"))
-    return M.collapse_duplicates(rows, ["sport", "a", "b"], 1_200_000)
 
 
 @query("""SELECT snapshot_id, sha256('quote/v1' || chr(10) || '{"american":' || american || ',"book":"' || book || '","game":' || game || ',"market":"' || market || '","observed_ms":' || observed_ms || ',"selection":"' || selection || '"}') AS content_id FROM quotes""")

@@ -119,3 +119,26 @@ def test_start_drift(t):
     got = boards.start_drift_whole(t).collect()
     assert dict(map(tuple, got)) == want and len(got) == len(want)
     assert set(want.values()) == {"ok", "secondary", "trusted", "rejected"}
+
+
+def survivors(rows):
+    """Listings left of (listing, sport, home, away, start_ms, seen_ms), by the anchors of each pair of labels."""
+    clusters = defaultdict(list)
+    for l in sorted(rows, key=lambda l: (l["start_ms"], l["listing"])):
+        own = clusters[l["sport"], *sorted((plain(l["home"]), plain(l["away"])))]
+        if not own or l["start_ms"] - own[-1][0]["start_ms"] > 120_000:
+            own.append([])
+        own[-1].append(l)
+    rank = lambda l: (l["listing"] % 3, l["seen_ms"], l["listing"] % 4, l["listing"] % 2 == 0, -l["listing"])
+    return {max(c, key=rank)["listing"] for own in clusters.values() for c in own}
+
+
+def test_near_duplicate_events(spark, t):
+    near = [(1, 0), (2, 120_000), (3, 120_001), (4, 600_000), (5, 1_200_000), (6, 1_320_000), (7, 1_320_001)]
+    rows = [(k, "ASIA", "Port A", "Lake B") if k % 2 else (k, "ASIA", "lake b", "PORT A") for k, _ in near]
+    listings = spark.createDataFrame([(*r, at, 0) for r, (_, at) in zip(rows, near)], "listing long, sport string, home string, away string, start_ms long, seen_ms long")
+    got = boards.near_duplicate_events_whole(SimpleNamespace(listings=listings)).collect()
+    assert sorted(r["event"] for r in got) == [2, 3, 4, 5, 7] and {r["event"] for r in got} == survivors(listings.collect())
+    whole = boards.near_duplicate_events_whole(t).collect()
+    want = survivors(t.listings.collect())
+    assert {r["event"] for r in whole} == want and len(whole) == len(want)
