@@ -59,12 +59,19 @@ def plain_words(label: Column) -> Column:
 def fuzzy_match(left: Column, right: Column) -> Column:
     """Equal without blanks; one contains the other (4 letters or more); the same words but for generic ones; or a shared
     word of 4 letters or more that isn't generic."""
-    a, b = plain_words(left), plain_words(right)
-    whole = lambda x: F.array_join(x, "")
-    own = lambda x: F.array_sort(F.array_except(x, F.array(*map(F.lit, GENERIC_WORDS))))
-    contains = (F.least(F.length(whole(a)), F.length(whole(b))) >= 4) & (F.contains(whole(a), whole(b)) | F.contains(whole(b), whole(a)))
-    shared = F.arrays_overlap(F.filter(own(a), lambda w: F.length(w) >= 4), own(b))
-    return (whole(a) == whole(b)) | contains | ((F.size(own(a)) > 0) & (own(a) == own(b))) | shared
+    return fuzzy_parts_match(fuzzy_parts(left), fuzzy_parts(right))
+
+
+def fuzzy_parts(label: Column) -> Column:
+    """What fuzzy_match compares of a label, to be computed before a join."""
+    words = plain_words(label)
+    own = F.array_sort(F.array_except(words, F.array(*map(F.lit, GENERIC_WORDS))))
+    return F.struct(F.array_join(words, "").alias("whole"), own.alias("own"), F.filter(own, lambda w: F.length(w) >= 4).alias("long"))
+
+
+def fuzzy_parts_match(a: Column, b: Column) -> Column:
+    contains = (F.least(F.length(a["whole"]), F.length(b["whole"])) >= 4) & (F.contains(a["whole"], b["whole"]) | F.contains(b["whole"], a["whole"]))
+    return (a["whole"] == b["whole"]) | contains | ((F.size(a["own"]) > 0) & (a["own"] == b["own"])) | F.arrays_overlap(a["long"], b["own"])
 
 
 def selection_key(participant: Column, side: Column | None = None) -> Column:

@@ -52,6 +52,13 @@ def resolve(listings: DataFrame, schedule: DataFrame, tolerance_ms: int) -> Data
     return own.select("listing", "n", kind.alias("class"), F.when(F.col("n") == 1, F.col("event")).alias("event"), F.when(F.col("n") == 1, F.col("reversed")).alias("reversed"))
 
 
+def sides_found(hh: str, ha: str, ah: str, aa: str, one_is_enough: Column) -> Column:
+    """Whether two labels tell which side of an event each is: hh says that home matches home, ha that home matches away, and so on."""
+    home, away = F.col(hh) != F.col(ha), F.col(ah) != F.col(aa)
+    alone = (home & ~F.col(ah) & ~F.col(aa)) | (away & ~F.col(hh) & ~F.col(ha))
+    return (home & away & (F.col(hh) != F.col(ah))) | (one_is_enough & alone)
+
+
 def drift_class(drift_ms: Column, primary_ms: int = 15 * 60_000, secondary_ms: int = 2 * 3_600_000, trusted: Column | None = None) -> Column:
     """ok, secondary or rejected by how far a listing's start is off; a trusted source's finite drift is never rejected."""
     kind = F.when(F.abs(drift_ms) <= primary_ms, "ok").when(F.abs(drift_ms) <= secondary_ms, "secondary").otherwise("rejected")

@@ -257,11 +257,28 @@ def _words(x: str) -> str:
 z AS (SELECT listing, array_to_string(a, '') AS wa, array_to_string(b, '') AS wb, list_sort(list_distinct(list_filter(a, lambda w: w NOT IN {T.GENERIC_WORDS}))) AS oa, list_sort(list_distinct(list_filter(b, lambda w: w NOT IN {T.GENERIC_WORDS}))) AS ob FROM x)
 SELECT listing, wa = wb OR (least(length(wa), length(wb)) >= 4 AND (contains(wa, wb) OR contains(wb, wa))) OR (len(oa) > 0 AND oa = ob) OR list_has_any(list_filter(oa, lambda w: length(w) >= 4), ob) AS fuzzy FROM z""")
 def fuzzy_labels(t):
+    """Home labels against the event that the listing's number names, as its SQL has it; fuzzy_labels_whole compares with the schedule."""
     s = t.schedule.select("event", F.col("home").alias("other"))
     both = t.listings.join(s, F.col("listing") % 1000 == F.col("event"))
     return both.select("listing", T.fuzzy_match(F.col("home"), F.col("other")).alias("fuzzy"))
 
 
+@query()
+def fuzzy_labels_whole(t):
+    """Every listing with the number of events of its sport within an hour that it fuzzily matches, and the event if it is one.
+
+    Both labels must each match one side, not the same; within 15 minutes one label that does so is enough if the other
+    matches none.
+    """
+    parts = {c: T.fuzzy_parts(F.col(c)) for c in ("home", "away")}
+    pairs = M.near_in_time(t.listings.withColumns(parts), t.schedule.withColumns(parts), ["sport"], "start_ms", "start_ms", 3_600_000)
+    hits = pairs.select("listing", "r_event", "start_ms", "r_start_ms", *[T.fuzzy_parts_match(F.col(a), F.col(f"r_{b}")).alias(a[0] + b[0]) for a in parts for b in parts])
+    own = hits.where(M.sides_found("hh", "ha", "ah", "aa", F.abs(F.col("start_ms") - F.col("r_start_ms")) <= TOLERANCE))
+    found = own.groupBy("listing").agg(F.count_distinct("r_event").alias("n"), F.min("r_event").alias("event"))
+    both = t.listings.select("listing").join(found, "listing", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return both.select("listing", "n", F.when(F.col("n") == 1, F.col("event")).alias("event"))
+
+
 @query(f"""WITH b AS (SELECT listing, listing % 1500 AS bound FROM listings WHERE listing % 4 = 0)
 SELECT l.listing, CASE WHEN b.bound IS NOT NULL THEN 'binding' WHEN r.n = 1 THEN 'match' WHEN a.event IS NOT NULL THEN 'alias' ELSE 'gap' END AS via, coalesce(b.bound, CASE WHEN r.n = 1 THEN r.event END, a.event) AS event
 FROM listings l LEFT JOIN b USING (listing) LEFT JOIN resolved r USING (listing) LEFT JOIN (SELECT event FROM schedule) a ON a.event = l.listing - 10000 AND l.listing % 3 = 0""")

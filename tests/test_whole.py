@@ -142,3 +142,41 @@ def test_near_duplicate_events(spark, t):
     whole = boards.near_duplicate_events_whole(t).collect()
     want = survivors(t.listings.collect())
     assert {r["event"] for r in whole} == want and len(whole) == len(want)
+
+
+GENERIC = {"afc", "cf", "city", "club", "fc", "fk", "gnk", "pfc", "sc", "sk", "united"}
+
+
+def fuzzy(x, y):
+    a, b = plain(x).split(), plain(y).split()
+    wa, wb, oa, ob = "".join(a), "".join(b), set(a) - GENERIC, set(b) - GENERIC
+    return wa == wb or min(len(wa), len(wb)) >= 4 and (wa in wb or wb in wa) or oa and oa == ob or any(len(w) >= 4 for w in oa & ob)
+
+
+def fuzzy_sides(l, s):
+    home, away = ([k for k in ("home", "away") if fuzzy(l[side], s[k])] for side in ("home", "away"))
+    if len(home) == len(away) == 1:
+        return home != away
+    return {len(home), len(away)} == {0, 1} and abs(l["start_ms"] - s["start_ms"]) <= 900_000
+
+
+def fuzzy_events(listings, schedule):
+    found = {l["listing"]: [s["event"] for s in schedule if s["sport"] == l["sport"] and abs(l["start_ms"] - s["start_ms"]) <= 3_600_000 and fuzzy_sides(l, s)] for l in listings}
+    return {k: (len(v), v[0] if len(v) == 1 else None) for k, v in found.items()}
+
+
+def test_fuzzy_labels(spark, t):
+    events = [(2000, "Kestrel Harbour", "Otter Vale"), (2001, "FC Magpie", "United Heron"), (2002, "Redwood", "Blue Kestrel Town")]
+    listings = [
+        (1, "Harbour FC", "Vale Otters", 0), (2, "Heron", "Magpie City", 0), (3, "Edwo", "Nobody", 0), (4, "Edwo", "Nobody", 1_200_000), (5, "Nobody", "None", 0), (6, "Kestrel", "Otter", 0), (7, "Magpie", "Heron", 4_000_000),
+    ]
+    own = SimpleNamespace(
+        schedule=spark.createDataFrame([(e, "ASIA", h, a, 0) for e, h, a in events], "event long, sport string, home string, away string, start_ms long"),
+        listings=spark.createDataFrame([(k, "ASIA", h, a, at) for k, h, a, at in listings], "listing long, sport string, home string, away string, start_ms long"),
+    )
+    got = {r["listing"]: (r["n"], r["event"]) for r in boards.fuzzy_labels_whole(own).collect()}
+    assert got == fuzzy_events(own.listings.collect(), own.schedule.collect())
+    assert (got[1], got[2], got[3], got[4], got[5], got[7]) == ((1, 2000), (1, 2001), (1, 2002), (0, None), (0, None), (0, None))
+    whole = boards.fuzzy_labels_whole(t).collect()
+    assert {r["listing"]: (r["n"], r["event"]) for r in whole} == fuzzy_events(t.listings.collect(), t.schedule.collect())
+    assert len(whole) == t.listings.count()
