@@ -1,9 +1,11 @@
 """Personal data by weak supervision.
 
-Labelers vote on candidate spans: strict patterns, loose shapes, checks (Luhn, octets, digit counts), gazetteers of domain
-endings, card prefixes and dialling codes, and cue words before the span. Spark counts how often each combination of votes
-and features (all but the strict pattern's own vote) occurs; there are at most 4 * 3^5 * 2^6 of them at any input size. Expectation-maximisation over these counts
-estimates each labeler's reliability per kind and each combination's probability. A logistic model on the spans' features
+Besides the four base kinds, secrets and names are looked for. Labelers vote on candidate spans: strict patterns, checks
+(Luhn, octets, digit counts, entropy), gazetteers (domain endings, card prefixes, dialling codes, token formats, given
+names), cue words around the span, for or against, and shapes. Spark counts how often each combination of votes and
+features (all but the strict pattern's own vote) occurs; there are at most 6 * 3^5 * 2^7 of them at any input size.
+Expectation-maximisation over these counts estimates each labeler's reliability per kind and each combination's
+probability, from prior reliabilities that weigh PRIOR_WEIGHT of the data. A logistic model per kind on the spans' features
 is trained on those probabilities and decides on the candidates: spans that strict patterns found always stay, the model
 adds others that overlap none of them. A run of digits may hold several numbers, so its parts are candidates beside the
 whole; of accepted candidates that overlap, the one that the model scores highest stays, then the longer, then the earlier.
@@ -13,8 +15,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +27,21 @@ from pyspark.sql import functions as F
 
 from pricelens.llm.common import bounded_batches, materialize, table
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret", "name")
 LABELERS = ("strict", "check", "gazetteer", "context", "shape")
-N_FLAGS = 6
+N_FLAGS = 7
+#: P(vote -1, 0, 1 | not personal, personal) by labeler, before any data.
+PRIOR_RATES = (
+    ((0.00, 0.999, 0.001), (0.00, 0.60, 0.40)),
+    ((0.60, 0.30, 0.10), (0.001, 0.199, 0.80)),
+    ((0.05, 0.80, 0.15), (0.01, 0.49, 0.50)),
+    ((0.35, 0.63, 0.02), (0.001, 0.399, 0.60)),
+    ((0.50, 0.30, 0.20), (0.10, 0.20, 0.70)),
+)
+PRIOR_WEIGHT = 0.5
+#: Rates of no more than this are anchors, which the data don't move: else EM takes any two clusters for the classes.
+ANCHOR = 0.002
 
 # The strict patterns. Each starts where no match could start earlier in the same run of characters.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,14 +54,47 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ENDINGS = {"com", "net", "org", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "us"}
 CARD_PREFIXES = ("4", "34", "36", "37", "51", "52", "53", "54", "55", "6011", "65", "2221", "2720")
 DIAL_CODES = ("1", "33", "34", "44", "49")
+GIVEN_NAMES = frozenset(
+    "James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah "
+    "Charles Karen Daniel Nancy Matthew Lisa Anthony Betty Mark Margaret Paul Sandra Andrew Emily Peter Anna Hans Ursula Klaus Petra "
+    "Jürgen Sabine Wolfgang Monika Pierre Marie Jean Françoise Michel Nathalie Luc Claire José María Carlos Carmen Juan Ana Luis Lucía".split()
+)
+NOT_NAMES = frozenset(
+    "January February March April May June July August September October November December Monday Tuesday Wednesday Thursday Friday "
+    "Saturday Sunday Street Avenue Road Lane Square Park River Lake Mount Bridge Station Airport Hotel University College Hospital "
+    "Church Island County City Company Customer Sir Madam Team The And Of".split()
+)
 CUES = {
-    "email": re.compile(r"(?i)\b(?:e-?mail|mail|contact|write|correo|courriel)\b"),
-    "ip": re.compile(r"(?i)\b(?:ip|host|server|address|addr|login)\b"),
-    "card": re.compile(r"(?i)\b(?:card|visa|credit|account|konto|carte|tarjeta)\b"),
-    "phone": re.compile(r"(?i)\b(?:phone|call|tel|mobile|fax|telefon|appel)\b"),
+    "email": r"e-?mail|mail|contact|write|reach|correo|courriel",
+    "ip": r"ip|host|server|address|addr|login",
+    "card": r"card|visa|credit|account|konto|carte|tarjeta",
+    "phone": r"phone|call|tel|mobile|fax|telefon|appel|dial|whatsapp",
+    "secret": r"token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer|auth|passwort|contraseña",
+    "name": r"mrs?|ms|dr|prof|herr|frau|monsieur|madame|señora?|name|named|patient|employee|signed|attn|dear|heiße|appelle|llamo",
 }
-WRITTEN_AT = re.compile(r" ?(?:\[at\]|\(at\)| at ) ?([A-Za-z0-9-]+(?: ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z0-9-]+)+)")
-DIGIT_RUN = re.compile(r"(?<![0-9])[+(]?[0-9][0-9 ().-]*")
+AGAINST = {
+    "email": r"(?!)",
+    "ip": r"version|release|firmware|section|chapter",
+    "card": r"order|invoice|isbn|serial|tracking|barcode|part|parcel|ticket",
+    "phone": r"order|invoice|isbn|serial|tracking|barcode|part|parcel|ticket|version|score",
+    "secret": r"commit|sha-?1|sha-?256|md5|digest|checksum|hash|uuid|revision|rev|etag|integrity|build",
+    "name": r"saint|san|lake|mount|hotel|near|visit|from|to|at",
+}
+CUE = {k: re.compile(rf"(?i)(?<![^\W_])(?:(?P<for>{CUES[k]})|(?:{AGAINST[k]}))(?![^\W_])") for k in KINDS}
+AFTER_PLACE = re.compile(r" (?:Street|Avenue|Road|Lane|Square|Park|River|Lake|Bridge|Station|Airport|Hotel|University|College|Hospital|Church|Island|County|City)\b")
+NATIONAL = re.compile(r"\([2-9][0-9]{2}\) ?[0-9]{3}[ .-][0-9]{4}|[2-9][0-9]{2}([ .-])[0-9]{3}\1[0-9]{4}")
+TOKEN_FORMAT = re.compile(r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|AKIA[0-9A-Z]{16}|gh[a-z]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9-]{20,}|eyJ[A-Za-z0-9_-]{10,}")
+
+# Candidates beyond the strict patterns.
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+ASSIGNED = re.compile(rf"(?i)(?<![^\W_])(?:{CUES['secret']})[\"']?\s?(?:[:=]|is)\s?[\"']?([^\s\"',;<>]{{6,}})")
+NAME_WORD = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+"
+NAME = re.compile(rf"(?<!\w){NAME_WORD}(?: {NAME_WORD}){{1,2}}(?!\w)")
+WRITTEN_DOT = r"(?: ?(?:\[dot\]|\(dot\)) ?| dot )"
+WRITTEN_AT = re.compile(
+    rf" ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]+(?:(?:{WRITTEN_DOT}|\.)[A-Za-z0-9-]+)+| at [A-Za-z0-9-]+(?:{WRITTEN_DOT}[A-Za-z0-9-]+)+"
+)
+DIGIT_RUN = re.compile(r"(?<![0-9A-Za-z])[+(]?[0-9][0-9 ().-]*(?![0-9A-Za-z])")
 GROUP = re.compile(r"[+(]?[0-9]+")
 #: What may stand between two groups of one number; repeated separators end a number.
 INSIDE = re.compile(r"\)?[ .-]?")
@@ -94,7 +143,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def loose_spans(text: str) -> Iterator[tuple[str, int, int]]:
-    """Candidates beyond the strict patterns: written-out addresses, dotted quads of any size, runs of digits."""
+    """Candidates beyond the strict patterns: written-out addresses, dotted quads of any size, runs of digits, mixed
+    letters and digits, values of secrets, and capitalised words that begin with a given name or follow a cue."""
+    for m in TOKEN.finditer(text):
+        if not m[0].isalpha() and any(c.isalpha() for c in m[0]) and any(c.isdigit() for c in m[0]):
+            yield "secret", *m.span()
+    for m in ASSIGNED.finditer(text):
+        value = m[1].rstrip(".:!?)]}")
+        if value:
+            yield "secret", m.start(1), m.start(1) + len(value)
+    for m in NAME.finditer(text):
+        if m[0].split(" ", 1)[0] in GIVEN_NAMES or context(text, "name", m.start()) > 0:
+            yield "name", *m.span()
     for m in WRITTEN_AT.finditer(text):
         start = m.start()
         while start > 0 and text[start - 1] in LOCAL:
@@ -134,26 +194,48 @@ def run_parts(run: str) -> Iterator[tuple[str, int, int]]:
                 yield kind, start, end
 
 
+def context(text: str, kind: str, start: int) -> int:
+    """1 or -1 by the last cue in the 24 characters before a span, 0 without one."""
+    last = None
+    for last in CUE[kind].finditer(text, max(0, start - 24), start):
+        pass
+    return 0 if last is None else 1 if last["for"] else -1
+
+
+def bits(span: str) -> float:
+    """Entropy in bits per character."""
+    n = len(span)
+    return -sum(k / n * log2(k / n) for k in Counter(span).values())
+
+
 def judged(text: str, kind: str, start: int, end: int, strict: bool) -> tuple[list[int], list[int]]:
     """The labelers' votes (1, -1, or 0 for none) and the features of a span."""
     span, digits = text[start:end], _digits(text[start:end])
-    before, around = text[max(0, start - 24) : start], text[start - 1 : start] + text[end : end + 1]
+    around = text[max(0, start - 1) : start] + text[end : end + 1]
+    tidy, cue, known = not any(c.isalnum() for c in around), context(text, kind, start), 0
     if kind == "email":
-        known = span.rsplit(".", 1)[-1].split(" ")[-1].lower().strip("[]()") in ENDINGS
-        check = 1 if "@" in span and ".." not in span else -1
+        known = int(re.split(r"[. ]", span)[-1].lower().strip("[]()") in ENDINGS)
+        check, shape = (-1 if ".." in span else int("@" in span)), int("@" in span or "[" in span or "(" in span)
     elif kind == "ip":
         octets = span.split(".")
         check = 1 if all(map(_octet, octets)) else -1
-        known = not any(len(x) > 1 and x[0] == "0" for x in octets)
+        known, shape = int(not any(len(x) > 1 and x[0] == "0" for x in octets)), 1 if 7 <= len(span) <= 15 else -1
     elif kind == "card":
-        check, known = (1 if luhn(digits) else -1), digits.startswith(CARD_PREFIXES)
+        check, known, shape = (1 if luhn(digits) else -1), int(digits.startswith(CARD_PREFIXES)), 1 if len(digits) in (15, 16) else -1
+    elif kind == "phone":
+        check = 1 if 10 <= len(digits) <= 15 else -1
+        known = int(span[0] == "+" and digits.startswith(DIAL_CODES) or NATIONAL.fullmatch(span) is not None)
+        shape = 1 if span[0] in "+(" or known else -1
+    elif kind == "secret":
+        mixed = any(map(str.isdigit, span)) and any(map(str.isalpha, span))
+        check = 1 if len(span) >= 16 and bits(span) >= 3 else 0 if mixed else -1
+        known, shape = int(TOKEN_FORMAT.fullmatch(span) is not None), 1 if mixed and len(span) <= 512 and span.count("/") + span.count("-") <= 4 else -1
     else:
-        check, known = (1 if 10 <= len(digits) <= 15 else -1), span[0] == "+" and digits.startswith(DIAL_CODES)
-    tidy = not any(c.isalnum() for c in around)
-    shape = {"email": " " not in span, "ip": 7 <= len(span) <= 15, "card": len(digits) == 16, "phone": span[0] in "+("}[kind]
-    cue = CUES[kind].search(before) is not None
-    votes = [1 if strict else 0, check, 1 if known else 0, 1 if cue else 0, 1 if shape and tidy else -1]
-    flags = [check > 0, known, cue, shape, tidy, len(set(digits)) > 3 or kind == "email"]
+        words = span.split(" ")
+        check = -1 if NOT_NAMES.intersection(words) or AFTER_PLACE.match(text, end) else 1
+        known, shape = int(words[0] in GIVEN_NAMES), 1 if all(len(x) < 16 for x in words) else -1
+    votes = [1 if strict else 0, check, known, cue, 1 if shape > 0 and tidy else min(shape, 0) if tidy else -1]
+    flags = [check > 0, known, cue > 0, cue < 0, shape > 0, tidy, len(set(digits)) > 3 or kind not in ("card", "phone")]
     return votes, [int(x) for x in flags]
 
 
@@ -201,42 +283,43 @@ def _apart(spans: list[tuple], taken: list[tuple[int, int]]) -> Iterator[tuple]:
             yield s
 
 
-def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+def reliabilities(votes: np.ndarray, counts: np.ndarray, rates=PRIOR_RATES, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """EM over vote combinations (rows of -1, 0, 1) with their counts: probability of each, and P(vote | class), 2 x labelers x 3.
 
-    Starts from the majority vote; counts are smoothed by one, so no labeler becomes certain.
+    The prior rates count as PRIOR_WEIGHT of the spans in each class and give the first probabilities, so the classes keep their meaning
+    and no labeler becomes certain.
     """
-    p = np.clip(0.5 + votes.sum(axis=1) / (2 * votes.shape[1]), 0.05, 0.95)
+    believed = np.clip(np.array(rates).transpose(1, 0, 2), 1e-3, None)
+    believed /= believed.sum(axis=2, keepdims=True)
+    rate, prior = believed, 0.5
     for _ in range(rounds):
-        rate = np.ones((2, votes.shape[1], 3))
+        log = [np.log(x) + sum(np.log(rate[c, j, votes[:, j] + 1]) for j in range(votes.shape[1])) for c, x in ((0, 1 - prior), (1, prior))]
+        p = 1 / (1 + np.exp(np.clip(log[0] - log[1], -30, 30)))
+        rate = believed * (1 + PRIOR_WEIGHT * counts.sum())
         for c, q in ((0, 1 - p), (1, p)):
             for v in (-1, 0, 1):
                 rate[c, :, v + 1] += ((votes == v) * (counts * q)[:, None]).sum(axis=0)
-        rate /= rate.sum(axis=2, keepdims=True)
+        rate = np.where(believed <= ANCHOR, believed, rate / rate.sum(axis=2, keepdims=True))
         prior = (1 + counts @ p) / (2 + counts.sum())
-        log = [np.log(x) + sum(np.log(rate[c, j, votes[:, j] + 1]) for j in range(votes.shape[1])) for c, x in ((0, 1 - prior), (1, prior))]
-        p = 1 / (1 + np.exp(np.clip(log[0] - log[1], -30, 30)))
     return p, rate
 
 
 def train(combinations: list[tuple[int, int]]) -> dict[int, float]:
-    """(code, count): the codes whose spans the classifier accepts, with its scores."""
-    if not combinations:
-        return {}
-    parts = [_decoded(c) for c, _ in combinations]
-    kind, counts = np.array([k for k, _, _ in parts]), np.array([n for _, n in combinations], float)
-    votes, flags = np.array([v for _, v, _ in parts]), np.array([f for _, _, f in parts], float)
-    target = np.zeros(len(parts))
-    for k in set(kind.tolist()):
-        own = kind == k
-        target[own] = reliabilities(votes[own], counts[own])[0]
-    x = np.hstack([np.eye(len(KINDS))[kind], flags])
-    w, weight = np.zeros(x.shape[1]), counts / counts.sum()
-    for _ in range(25):  # Newton's steps
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (p - target)) + 1e-4 * w
-        w -= np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + 1e-4 * np.eye(len(w)), gradient)
-    return {c: score for (c, _), score in zip(combinations, (x @ w).tolist()) if score > 0}
+    """(code, count): the codes whose spans the classifier accepts, with its scores. Each kind has its own weights."""
+    scores: dict[int, float] = {}
+    parts = [(c, n, *_decoded(c)) for c, n in combinations]
+    for kind in sorted({p[2] for p in parts}):
+        own = [p for p in parts if p[2] == kind]
+        counts, votes, flags = (np.array(x) for x in ([float(p[1]) for p in own], [p[3] for p in own], [p[4] for p in own]))
+        target = reliabilities(votes, counts)[0]
+        x = np.hstack([np.ones((len(own), 1)), flags])
+        w, weight = np.zeros(x.shape[1]), counts / counts.sum()
+        for _ in range(25):  # Newton's steps
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            gradient = x.T @ (weight * (p - target)) + 1e-3 * w
+            w -= np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + 1e-3 * np.eye(len(w)), gradient)
+        scores |= {c[0]: score for c, score in zip(own, (x @ w).tolist()) if score > 0}
+    return scores
 
 
 def chosen(spans: list[tuple], scores: dict[int, float]) -> list[tuple]:
@@ -285,5 +368,5 @@ def _struct(s: tuple) -> dict:
 def op8_pii_spans(spark, sf_dir: str) -> DataFrame:
     found = find_spans(table(spark, sf_dir, "documents"))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
