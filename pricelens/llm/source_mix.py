@@ -1,12 +1,13 @@
 """Mixing sources to target weights by entropy balancing.
 
 Targets: each source's share of the wanted tokens by weight, held to twice its size, the excess dealt out again by weight.
+That is min(limit, level * weight) with one level for all sources, found by a few sums over the table of sources.
 
 Rates: of all rates in (0, 2], those nearest to 1 in relative entropy whose tokens meet each source's target. The convex
 dual has a multiplier per source, and its optimum tilts documents exponentially: rate = min(2, exp(multiplier * size /
 mean size of the source)). Newton's method solves it: in each round Spark sums tokens and their derivative over a table of
-(source, size, documents), and the driver moves one number per source, inside brackets that make it safe. A source's
-multiplier is all the driver ever holds.
+(source, size, documents) and steps all sources at once, inside brackets that make it safe. Sources, targets and
+multipliers stay in tables; the driver sees sums over all sources only, so a source may be a domain.
 
 Copies: documents are dealt by a hash into groups of about GROUP per source. Within a group, from the largest document
 down, the running sum of rate * size is rounded to whole documents, so a group misses its share by less than its smallest
@@ -15,8 +16,6 @@ documents and no group grows with a source.
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,30 +31,40 @@ def n_words(text: str = "text") -> Column:
     return F.regexp_count(whole_text(text), F.lit(WORD)).cast("long")
 
 
-def _row(doc_id: str, text: str, source: str) -> Column:
+def _key(doc_id: str, text: str, source: str) -> Column:
+    """By which documents are dealt and ordered, whatever the partitions."""
     return F.xxhash64(F.col(doc_id), whole_text(text), F.col(source))
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources with place, from 0 by code point, null last: sorted by range, then counted by partition, in no single task."""
+    sorted_ = sources.repartitionByRange(F.col("source").isNull(), "source").sortWithinPartitions(F.col("source").isNull(), "source")
+    numbered = materialize(sorted_.withColumn("at", F.monotonically_increasing_id()), "mix-ranks")
+    part, inside = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    # a row per partition that has sources: the window and the broadcast are bounded by the number of partitions
+    counts = numbered.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return numbered.withColumn("part", part).join(F.broadcast(before), "part").withColumn("place", F.col("before") + inside).drop("part", "at", "before")
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE, most: float = MOST_COPIES) -> DataFrame:
-    """sizes (source, source_size), a row per source: with target.
+    """sizes (source, source_size, ...), a row per source: with target.
 
-    Sources take the weights in turn by code point, null last. The window without a partition runs over one row per
-    source, not over documents. A source of no words gets no target.
+    Sources take the weights in turn by code point, null last. A source of no words gets no target. Each round the level
+    rises to what the sources below their limits must take, given those at their limits; it stops when none joins those.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    now = materialize(sizes.select("source", "source_size", weight.alias("weight"), F.lit(None).cast("double").alias("target")), "mix-sources")
-    wanted = total_share * (now.agg(F.sum("source_size")).first()[0] or 0)
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
     limit = F.col("source_size") * float(most)
-    while True:
-        full, free = now.agg(F.sum("target"), F.sum(F.when(F.col("target").isNull(), F.col("weight")))).first()
-        if not free:
-            return now.drop("weight")
-        share = F.col("weight") * F.lit((wanted - (full or 0.0)) / free)
-        at_limit = F.col("target").isNull() & (share >= limit)
-        if now.where(at_limit).isEmpty():
-            return now.withColumn("target", F.coalesce("target", share)).drop("weight")
-        now = materialize(now.withColumn("target", F.when(at_limit, limit).otherwise(F.col("target"))), "mix-sources")
+    now = materialize(ranked(sizes).withColumns({"weight": weight, "limit": limit}).drop("place"), "mix-weights")
+    wanted, every = now.agg(F.sum("source_size"), F.sum("weight")).first()
+    wanted, level, stopped = total_share * (wanted or 0), 0.0, -1
+    while every:
+        at_limit = F.col("weight") * level >= F.col("limit")
+        n, full, free = now.agg(F.count_if(at_limit), F.sum(F.when(at_limit, F.col("limit"))), F.sum(F.when(~at_limit, F.col("weight")))).first()
+        if n == stopped or not free:
+            break
+        stopped, level = n, max(level, (wanted - (full or 0.0)) / free)
+    return now.withColumn("target", F.least("limit", F.col("weight") * level)).drop("weight", "limit")
 
 
 def _exact(x: Column) -> Column:
@@ -66,44 +75,35 @@ def _exact(x: Column) -> Column:
 def multipliers(counted: DataFrame, sources: DataFrame, most: float = MOST_COPIES) -> DataFrame:
     """counted (source, size, documents), sources (source, source_size, target, mean): with multiplier, by Newton.
 
-    A target of the whole limit needs no multiplier: its documents are all taken `most` times.
+    A target of the whole limit needs no multiplier: its documents are all taken `most` times. No row goes to the driver.
     """
-    spark, schema = counted.sparkSession, "source string, multiplier double"
-    rows = {r["source"]: r for r in sources.where("target > 0").collect()}
-    state = {k: [0.0, None, None] for k, r in rows.items() if r["target"] < most * r["source_size"]}  # multiplier, bracket
-    going = dict(state)
+    at, low, high = F.col("multiplier"), F.col("low"), F.col("high")
+    open_ = (F.col("target") > 0) & (F.col("target") < most * F.col("source_size"))
+    nothing = F.lit(None).cast("double")
+    state = materialize(sources.withColumns({"multiplier": F.when(open_, 0.0), "low": nothing, "high": nothing, "going": F.coalesce(open_, F.lit(False))}), "mix-state")
     for _ in range(ROUNDS):
-        if not going:
+        going = state.where("going").select(F.col("source").alias("of"), "multiplier", "mean")
+        if going.isEmpty():
             break
-        trial = spark.createDataFrame([(k, v[0]) for k, v in going.items()], schema)
-        own = counted.join(trial, counted["source"].eqNullSafe(trial["source"])).join(
-            sources.select(F.col("source").alias("of"), "mean"), counted["source"].eqNullSafe(F.col("of"))
-        )
-        tilt = F.least(F.exp(F.col("multiplier") * F.col("size") / F.col("mean")), F.lit(float(most)))
+        tilt = F.least(F.exp(at * F.col("size") / F.col("mean")), F.lit(float(most)))
         tokens = F.col("documents") * F.col("size") * tilt
         slope = F.when(tilt < most, tokens * F.col("size") / F.col("mean")).otherwise(0.0)
-        sums = own.groupBy(counted["source"]).agg(
-            F.sum(_exact(tokens)).alias("tokens"), F.sum(_exact(slope)).alias("slope")
-        )
-        for r in sums.collect():
-            at, low, high = state[r["source"]]
-            miss = float(r["tokens"]) / 1000 - rows[r["source"]]["target"]
-            if abs(miss) <= NEAR * rows[r["source"]]["target"]:
-                going.pop(r["source"])
-                continue
-            low, high = (low, at) if miss > 0 else (at, high)
-            step = at - 1000 * miss / float(r["slope"]) if r["slope"] > 0 else math.inf
-            inside = (low is None or step > low) and (high is None or step < high) and math.isfinite(step)
-            if not inside:
-                step = (low + high) / 2 if low is not None and high is not None else 2 * at + (1.0 if high is None else -1.0)
-            state[r["source"]][:] = [step, low, high]
-    found = spark.createDataFrame([(k, v[0]) for k, v in state.items()], schema).withColumnRenamed("source", "of")
-    return sources.join(found, sources["source"].eqNullSafe(found["of"]), "left").drop("of")
+        own = counted.join(going, counted["source"].eqNullSafe(F.col("of"))).groupBy("of")
+        sums = own.agg((F.sum(_exact(tokens)).cast("double") / 1000).alias("tokens"), (F.sum(_exact(slope)).cast("double") / 1000).alias("slope"))
+        miss = F.col("tokens") - F.col("target")
+        moved = state.join(sums, F.col("going") & state["source"].eqNullSafe(F.col("of")), "left").withColumn("miss", miss)
+        moved = moved.withColumns({"going": F.col("going") & (F.abs("miss") > NEAR * F.col("target")), "low": F.when(F.col("miss") > 0, low).otherwise(at), "high": F.when(F.col("miss") > 0, at).otherwise(high)})
+        newton = at - F.try_divide(F.col("miss"), F.col("slope"))
+        inside = F.coalesce(newton > low, low.isNull()) & F.coalesce(newton < high, high.isNull()) & newton.isNotNull()
+        widen = 2 * at + F.when(high.isNull(), 1.0).otherwise(-1.0)
+        step = F.when(inside, newton).otherwise(F.coalesce((low + high) / 2, widen))
+        state = materialize(moved.withColumn("multiplier", F.when(F.col("going"), step).otherwise(at)).select(state.columns), "mix-state")
+    return state.drop("low", "high", "going")
 
 
 def _copies(pdf: pd.DataFrame) -> pd.DataFrame:
     """Whole copies of one group's documents, from the largest down, each nearest to what the running sum asks for."""
-    pdf = pdf.sort_values(["size", "order"], ascending=[False, True], kind="stable")
+    pdf = pdf.sort_values(["size", "order", "row"], ascending=[False, True, True], kind="stable")
     owed, copies = 0.0, []
     for size, rate, most in zip(pdf["size"].tolist(), pdf["rate"].tolist(), pdf["most"].tolist()):
         owed += rate * size
@@ -113,18 +113,22 @@ def _copies(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(copies=copies)[["doc_id", "row", "size", "source_size", "target", "copies"]]
 
 
-def mix_copies(docs: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per row of docs: doc_id, row (a hash of id, text and source), size, source_size, target, copies (0 to 2).
+def mix_copies(
+    docs: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: Column | None = None
+) -> DataFrame:
+    """One row per row of docs: doc_id, row (its number, or what `row` says), size, source_size, target, copies (0 to 2).
 
-    Null and empty texts have size 0; such documents have rate 1. A null source is a source of its own. Equal rows are
-    interchangeable: which of them is taken does not show in the result. Reruns agree. An empty table gives no rows.
+    Null and empty texts have size 0; such documents have rate 1. A null source is a source of its own. Rows equal in id,
+    text and source are interchangeable: which of them is taken does not show in the result. Reruns agree. An empty table
+    gives no rows.
     """
     sized = materialize(
         docs.select(
             F.col(doc_id).cast("long").alias("doc_id"),
             F.col(source).cast("string").alias("source"),
             n_words(text).alias("size"),
-            _row(doc_id, text, source).alias("row"),
+            _key(doc_id, text, source).alias("key"),
+            (F.monotonically_increasing_id() if row is None else row).alias("row"),
         ),
         "mix-sizes",
     )
@@ -134,10 +138,7 @@ def mix_copies(docs: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHAR
         F.sum("documents").alias("n"),
         (F.sum(F.col("size").cast("double") * F.col("documents")) / F.sum("documents")).alias("mean"),
     )
-    stats = materialize(sizes, "mix-stats")
-    targets = source_targets(stats.select("source", "source_size"), weights, total_share).select(F.col("source").alias("of"), "target")
-    stats = materialize(stats.join(targets, stats["source"].eqNullSafe(targets["of"])).drop("of"), "mix-targets")
-    tilted = materialize(multipliers(counted, stats), "mix-multipliers").withColumnRenamed("source", "of")
+    tilted = multipliers(counted, source_targets(sizes, weights, total_share)).withColumnRenamed("source", "of")
     full = F.col("target") >= MOST_COPIES * F.col("source_size")
     rate = (
         F.when(F.col("size") == 0, 1.0)
@@ -154,8 +155,8 @@ def mix_copies(docs: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHAR
         "target",
         F.round(rate, 9).alias("rate"),
         F.lit(MOST_COPIES).alias("most"),
-        F.xxhash64(F.lit(3), "row").alias("order"),
-        F.pmod(F.xxhash64(F.lit(4), "row"), F.ceil(F.col("n") / GROUP)).alias("group"),
+        F.xxhash64(F.lit(3), "key").alias("order"),
+        F.pmod(F.xxhash64(F.lit(4), "key"), F.ceil(F.col("n") / GROUP)).alias("group"),
     )
     return rated.groupBy("source", "group").applyInPandas(
         _copies, "doc_id long, row long, size long, source_size long, target double, copies int"
@@ -163,14 +164,17 @@ def mix_copies(docs: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHAR
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """docs as the mix takes them: each row as often as it has copies. Rows equal in id, text and source share their copies."""
-    copies = mix_copies(docs, doc_id=doc_id, text=text, source=source, **options)
-    taken = copies.groupBy(F.col("row").alias("__row")).agg(F.sum("copies").alias("__copies")).where("__copies > 0")
-    keyed = docs.withColumn("__key", _row(doc_id, text, source)).dropDuplicates(["__key"])
+    """docs as the mix takes them: each row as often as it has copies, two times at most.
+
+    Rows are numbered in a written table, and their copies are joined by that number; the texts shuffle once.
+    """
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-numbered")
+    copies = mix_copies(numbered, doc_id=doc_id, text=text, source=source, row=F.col("__row"), **options)
+    taken = copies.where("copies > 0").select(F.col("row").alias("__taken"), "copies")
     return (
-        keyed.join(taken.hint("shuffle_hash"), F.col("__key") == F.col("__row"))
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-        .drop("__key", "__row", "__copies", "__copy")
+        numbered.join(taken.hint("shuffle_hash"), F.col("__row") == F.col("__taken"))
+        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        .select(docs.columns)
     )
 
 

@@ -4,7 +4,7 @@ import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,13 +111,40 @@ def test_mix_meets_targets(spark):
         assert abs(got - target) <= 0.02 * target
 
 
+def test_mix_takes_rows_by_number(spark):
+    """Rows that differ in other columns only, or share an id, are rows of their own; none comes more than twice."""
+    docs = spark.createDataFrame(
+        [(1, "a b c", "en", "s"), (1, "a b c", "de", "s"), (1, "other text here", "en", "s"), (2, "a b c", "en", "s")] + [(k, "w " * k, "en", "t") for k in range(3, 20)] + [(5, None, "fr", None)],
+        "doc_id long, text string, lang string, source string",
+    ).repartition(3)
+    times = Counter(map(tuple, source_mix.mix(docs, weights=(1, 1)).collect()))
+    assert max(times.values()) <= 2 and set(times) <= set(map(tuple, docs.collect()))
+    copies = {}
+    for r in source_mix.mix_copies(docs, weights=(1, 1)).collect():
+        assert 0 <= r["copies"] <= 2
+        copies[r["row"]] = r["copies"]
+    assert len(copies) == docs.count() and sum(copies.values()) == sum(times.values())
+    every = source_mix.mix(docs.where("source = 's'"), weights=(1,), total_share=2.0)
+    assert Counter(map(tuple, every.collect())) == {tuple(r): 2 for r in docs.where("source = 's'").collect()}
+
+
+def test_targets_of_many_sources(spark):
+    """A thousand sources, of sizes over six powers of ten, against resharing one round after another."""
+    rng = random.Random(2)
+    sizes = {f"site{rng.randrange(10**9)}.com": int(10 ** rng.uniform(0, 6)) for _ in range(1000)} | {None: 50, "": 7, "é": 0}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r["source"]: r["target"] for r in source_mix.source_targets(df).collect()}
+    assert got == pytest.approx(brute_targets(sizes), rel=1e-9)
+
+
 def test_mix_tilts_by_one_multiplier(spark):
     """Away from rounding, rates are min(2, exp(m * size / mean)) with one m a source, and meet the target."""
-    counted = spark.createDataFrame([("a", s, 50) for s in range(1, 40)], "source string, size long, documents long")
+    counted = spark.createDataFrame([(x, s, 50) for s in range(1, 40) for x in ("a", "b", None)], "source string, size long, documents long")
     size = sum(50 * s for s in range(1, 40))
-    sources = spark.createDataFrame([("a", size, 1.4 * size, 20.0)], "source string, source_size long, target double, mean double")
-    m = source_mix.multipliers(counted, sources).first()["multiplier"]
-    assert sum(50 * s * min(2, math.exp(m * s / 20)) for s in range(1, 40)) == pytest.approx(1.4 * size, rel=1e-5)
+    share = {"a": 1.4, "b": 0.3, None: 1.9}
+    sources = spark.createDataFrame([(x, size, y * size, 20.0) for x, y in share.items()], "source string, source_size long, target double, mean double")
+    for r in source_mix.multipliers(counted, sources).collect():
+        assert sum(50 * s * min(2, math.exp(r["multiplier"] * s / 20)) for s in range(1, 40)) == pytest.approx(share[r["source"]] * size, rel=1e-5)
 
 
 def test_quality_held_out(spark):
