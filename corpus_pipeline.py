@@ -13,7 +13,7 @@ from pricelens.llm.common import table, work_path
 from pricelens.llm.line_runs import line_dedup
 from pricelens.llm.packing import pack_documents
 from pricelens.llm.quality_pu import QualityModel
-from pricelens.llm.simhash_cover import near_duplicates
+from pricelens.llm.simhash_cover import drop_near_duplicates
 from pricelens.llm.source_mix import mix
 
 
@@ -29,15 +29,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(docs.columns)
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component, the document with the smallest doc_id stays; rows of one doc_id are one document."""
-    first = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(first.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash component one row stays, that of the smallest doc_id."""
+    return drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mix(docs).select(docs.columns)
+    return mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +47,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality", keep_quality),
     ("line_dedup", drop_lines),
-    ("near_duplicates", drop_near_duplicates),
+    ("near_duplicates", drop_copies),
     ("mix", mix_sources),
     ("pack", pack),
 ]

@@ -29,15 +29,19 @@ def filter_bits(rows: int) -> int:
     return min(MAX_FILTER_BITS, max(MIN_FILTER_BITS, 1 << (8 * rows).bit_length()))
 
 
-def slot(seed: int, bits: int) -> Column:
+def slot(seed: int, bits: int, of: str = "text_sha256") -> Column:
     """From 1, for the bitmap functions number their buckets from there."""
-    return F.xxhash64(F.lit(seed), "text_sha256").bitwiseAND(F.lit(bits - 1)) + 1
+    return F.xxhash64(F.lit(seed), of).bitwiseAND(F.lit(bits - 1)) + 1
 
 
 def repeated_slots(rows: DataFrame, at: Column) -> DataFrame:
     """Bitmaps of the slots with more than one row: (bucket, bitmap), bits / 32768 rows at most."""
-    twice = rows.groupBy(at.alias("slot")).agg(F.count("*").alias("n")).where("n > 1")
-    return twice.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
+    return set_slots(rows.groupBy(at.alias("slot")).agg(F.count("*").alias("n")).where("n > 1"), F.col("slot"))
+
+
+def set_slots(rows: DataFrame, at: Column) -> DataFrame:
+    """Bitmaps of the slots of rows, built up before the shuffle: (bucket, bitmap)."""
+    return rows.select(at.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")
     )
 

@@ -20,47 +20,44 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelens.llm.common import bounded_batches, materialize, table
 from pricelens.llm.components import connected_components
+from pricelens.llm.exact_bloom import filter_bits, set_slots, slot, with_bit
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 MAX_RUN = 2048
 CHUNK = 1 << 15
 
 
-def fingerprint(text: bytes) -> int:
-    """SimHash of the 3-word shingles of a UTF-8 text, as a signed 64-bit number; 0 without words."""
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """SimHash of the word shingles of a UTF-8 text, as a signed 64-bit number; 0 without words."""
     words = text.lower().split()  # of bytes: A-Z only, and exactly the six ASCII spaces
     if not words:
         return 0
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - SHINGLE + 1)
+    n = max(1, len(words) - shingle + 1)
     first, last = starts[:n].tolist(), ends[-n:].tolist()
     counts = np.zeros(BITS, np.int64)
     digest = xxhash.xxh64_intdigest
     for k in range(0, n, CHUNK):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(first[k : k + CHUNK], last[k : k + CHUNK])], np.uint64)
+        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(first[k : k + CHUNK], last[k : k + CHUNK])], np.uint64)
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = np.packbits(2 * counts > n, bitorder="little")
     return int(bits.view(np.int64)[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary())
-        found = pa.array([fingerprint(x.as_py() or b"") for x in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], ["doc_id", "fp"])
+def fingerprints(text: Column, shingle: int = SHINGLE, seed: int = SEED) -> Column:
+    """The fingerprint of each text, null as empty; only texts go to Python."""
 
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([fingerprint(x.as_py() or b"", shingle, seed) for x in texts.cast(pa.binary())], pa.int64())
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    bounded_batches(docs.sparkSession)
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return own.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return F.arrow_udf(of, "long")(text)
 
 
 def covering_masks(bits: int = BITS, radius: int = RADIUS, seed: int = SEED) -> list[int]:
@@ -71,18 +68,18 @@ def covering_masks(bits: int = BITS, radius: int = RADIUS, seed: int = SEED) ->
     return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, size)]
 
 
-def narrower(mask: int, bits: int = BITS, radius: int = RADIUS) -> list[int]:
+def narrower(mask: int, radius: int = RADIUS, bits: int = BITS) -> list[int]:
     """mask with each of r + 1 chunks of its free bits added in turn."""
     free = [i for i in range(bits) if not mask >> i & 1]
     return [mask | sum(1 << i for i in free[k :: radius + 1]) for k in range(radius + 1)]
 
 
-def all_masks() -> list[int]:
-    """Masks by number; those that narrow mask k are 15 + 4k to 15 + 4k + 3, down to 11 free bits or fewer."""
-    masks = covering_masks()
+def all_masks(radius: int = RADIUS) -> list[int]:
+    """Masks by number; the r + 1 that narrow one follow in its order, down to 11 free bits or fewer."""
+    masks = covering_masks(radius=radius)
     level = masks
     while BITS - min(m.bit_count() for m in level) > 11:
-        level = [x for m in level for x in narrower(m)]
+        level = [x for m in level for x in narrower(m, radius)]
         masks = masks + level
     return masks
 
@@ -94,8 +91,8 @@ def _signed(x: int) -> int:
 class _Runs:
     """Links within runs of equal (mask, key) of one sorted partition."""
 
-    def __init__(self, masks: list[int], roots: int, max_run: int):
-        self.masks, self.roots, self.max_run = masks, roots, max_run
+    def __init__(self, masks: list[int], roots: int, max_run: int, radius: int = RADIUS):
+        self.masks, self.roots, self.max_run, self.radius = masks, roots, max_run, radius
 
     def _rows(self, kind: int, a: np.ndarray, b: np.ndarray, mask: int) -> pa.RecordBatch:
         n = len(a)
@@ -106,7 +103,7 @@ class _Runs:
         """fp in runs numbered by run: (member, smaller member) edges that connect what the links within runs connect."""
         lab, at, step, pairs = np.arange(len(fp)), np.arange(len(fp)), 1, []
         while len(at := at[at + step < len(fp)]) and len(at := at[run[at] == run[at + step]]):
-            close = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= RADIUS]
+            close = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= self.radius]
             pairs.append((close, close + step))
             step += 1
         if pairs:
@@ -123,12 +120,12 @@ class _Runs:
         return self._rows(0, fp[own], fp[lab[own]], 0)
 
     def _overflow(self, mask: int, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for k in range(RADIUS + 1):
-            child = self.roots + (RADIUS + 1) * mask + k
+        for k in range(self.radius + 1):
+            child = self.roots + (self.radius + 1) * mask + k
             yield self._rows(1, fp, fp & np.int64(_signed(self.masks[child])), child)
 
     def _can_narrow(self, mask: int) -> bool:
-        return self.roots + (RADIUS + 1) * mask < len(self.masks)
+        return self.roots + (self.radius + 1) * mask < len(self.masks)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 3  # mask, key, fp of the run that the next batch may continue
@@ -169,9 +166,9 @@ class _Runs:
                 yield self._forest(own, np.zeros(len(own), int))
 
 
-def close_links(distinct: DataFrame, max_run: int = MAX_RUN) -> DataFrame:
-    """distinct (fp): edges (a, b) whose components are those of all links at RADIUS or fewer differing bits."""
-    masks, roots = all_masks(), len(covering_masks())
+def close_links(distinct: DataFrame, max_run: int = MAX_RUN, radius: int = RADIUS) -> DataFrame:
+    """distinct (fp): edges (a, b) whose components are those of all links at `radius` or fewer differing bits."""
+    masks, roots = all_masks(radius), len(covering_masks(radius=radius))
     tables = F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(masks[k]))).alias("key")) for k in range(roots)])
     keys = distinct.select("fp", F.inline(tables).alias("mask", "key"))
     edges = None
@@ -179,7 +176,7 @@ def close_links(distinct: DataFrame, max_run: int = MAX_RUN) -> DataFrame:
         found = materialize(
             keys.repartition("mask", "key")
             .sortWithinPartitions("mask", "key", "fp")
-            .mapInArrow(_Runs(masks, roots, max_run), "kind int, mask int, key long, fp long"),
+            .mapInArrow(_Runs(masks, roots, max_run, radius), "kind int, mask int, key long, fp long"),
             "simhash-links",
         )
         own = found.where("kind = 0").select(F.col("fp").alias("a"), F.col("key").alias("b"))
@@ -189,21 +186,48 @@ def close_links(distinct: DataFrame, max_run: int = MAX_RUN) -> DataFrame:
             return edges
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_run: int = MAX_RUN) -> DataFrame:
+def classes(own: DataFrame, first: Column, max_run: int = MAX_RUN, radius: int = RADIUS) -> DataFrame:
+    """own (fp, ...): (fp, first) with the smallest `first` of each fingerprint's component, a row per fingerprint, written."""
+    distinct = materialize(own.groupBy("fp").agg(F.min(first).alias("first")), "simhash-distinct")
+    nodes = connected_components(close_links(distinct.select("fp"), max_run, radius))
+    rooted = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = materialize(rooted, "simhash-roots")
+    firsts = materialize(rooted.groupBy("root").agg(F.min("first").alias("first")), "simhash-components")
+    return materialize(rooted.select("fp", "root").join(firsts, "root").select("fp", "first"), "simhash-classes")
+
+
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_run: int = MAX_RUN, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED
+) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of its component).
 
     Null and empty texts, and texts without words, have fingerprint zero and link like any other. Repeated rows give
     repeated results. Null doc_ids take part; a component has a null id only if all of its doc_ids are null. An empty
     table gives no rows. Other columns are not read.
     """
-    own = materialize(fingerprints(docs, doc_id, text), "fingerprints")
-    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    nodes = connected_components(close_links(distinct.select("fp"), max_run))
-    rooted = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted, "simhash-roots")
-    ids = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-components")
-    classes = materialize(rooted.join(ids, "root").select("fp", "component_id"), "simhash-classes")
-    return own.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    bounded_batches(docs.sparkSession)
+    own = materialize(docs.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprints(F.col(text), shingle, seed).alias("fp")), "fingerprints")
+    found = classes(own, F.col("doc_id"), max_run, radius)
+    return own.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
+
+
+def drop_near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_run: int = MAX_RUN, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED
+) -> DataFrame:
+    """Of each component one row of docs, that of the smallest doc_id, a null one last; of rows that tie exactly one.
+
+    Rows are numbered in a written table, and what is decided is the numbers to drop. A Bloom bitmap of them, of bounded
+    size, is broadcast: rows that it clears pass straight through, only the others shuffle to be compared by number.
+    """
+    bounded_batches(docs.sparkSession)
+    numbered = materialize(docs.withColumns({"__row": F.monotonically_increasing_id(), "__fp": fingerprints(F.col(text), shingle, seed)}), "simhash-numbered")
+    own = numbered.select(F.col("__fp").alias("fp"), F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).cast("long").alias("id"), F.col("__row").alias("row")).alias("at"))
+    found = classes(own, F.col("at"), max_run, radius)
+    dropped = materialize(own.join(found, "fp").where("at.row <> first.row").select(F.col("at.row").alias("__row")), "simhash-dropped")
+    bits = filter_bits(dropped.count())
+    flagged = with_bit(numbered, materialize(set_slots(dropped, slot(1, bits, "__row")), "simhash-bloom"), slot(1, bits, "__row"), "__hit")
+    compared = flagged.where("__hit").join(dropped, "__row", "left_anti")
+    return flagged.where("NOT __hit").unionByName(compared).select(docs.columns)
 
 
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -58,6 +58,17 @@ def test_near_duplicates(stages):
     assert Counter(r["doc_id"] for r in stages[3].collect()) == Counter(min(x) for x in first.values())
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Repeated rows, rows of one id with other texts, null ids: exactly one row of each component stays, by id, null last."""
+    text = " ".join(f"word{k}" for k in range(300))
+    other = " ".join(f"thing{k % 91}" for k in range(200))
+    rows = [(1, text, "a"), (1, text, "a"), (2, text, "b"), (1, other, "c"), (3, other, "d"), (None, other, "e"), (None, "alone", "f"), (None, "alone", "f"), (7, None, "g"), (5, "", "h"), (5, " ", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = Counter(map(tuple, corpus_pipeline.drop_copies(spark, docs, SF).collect()))
+    kept = {(i, t) for i, t, _ in got.elements()}
+    assert sum(got.values()) == 4 and {(1, text), (1, other), (None, "alone")} <= kept and any(i == 5 for i, _ in kept)
+
+
 def test_mix(stages):
     rows = [(r["doc_id"], r["text"], r["source"]) for r in stages[3].collect()]
     times = Counter(r["doc_id"] for r in stages[4].collect())
