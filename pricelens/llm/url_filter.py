@@ -2,6 +2,8 @@
 
 URLs that a rule fits are the labelled ones. A URL's lexical features (lengths, depth, digit ratio, entropy, parameter
 counts, hyphens, and how often its host's suffixes were blocked among labelled URLs) are binned into small whole numbers.
+Suffix shares are shrunk to the overall rate, and a labelled URL's are counted without the fold of hosts it is in, so no
+label helps to predict itself.
 Labelled rows are counted by (bins, label), so training works on distinct combinations. Boosting grows trees level by
 level: one aggregation gives gradient and Hessian sums per (leaf, feature, bin), a table bounded by the model's own
 size, and the driver picks the splits. Sums are of whole numbers, so reruns grow the same trees. The model is a sum of
@@ -32,6 +34,8 @@ TREES, DEPTH, RATE, RIDGE, LEAST_HESSIAN, SCALE = 10, 3, 0.3, 1.0, 1.0, 1 << 20
 #: Suffix statistics are kept by this many buckets of hashes: every suffix counts, and the table's size is bounded.
 SUFFIX_BUCKETS = 1 << 16
 BINS = 16
+#: Folds of hosts for the suffix statistics, how many URLs of the overall rate a share is mixed with, trees between two cuts of the margin.
+FOLDS, SHRINK, CUT = 5, 20.0, 5
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -60,11 +64,11 @@ def entropy(text: Column) -> Column:
     return F.aggregate(F.filter(shares, lambda p: p > 0), F.lit(0.0), lambda bits, p: bits - p * F.log2(p))
 
 
-def lexical(pages: DataFrame, url: str) -> DataFrame:
+def lexical(pages: DataFrame, url: str, rules=RULES) -> DataFrame:
     """pages with host, path, rule, verdict, buckets of two suffixes of the host, and binned features f0, f1, ..."""
     address = F.coalesce(F.col(url), F.lit(""))
     host, path = url_parts(address)
-    rule, verdict = fitting_rule()
+    rule, verdict = fitting_rule(rules)
     tail = F.regexp_extract(address, "[?#](.*)$", 1)
     n = lambda text, what: F.regexp_count(text, F.lit(what))
     own = pages.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "said": verdict})
@@ -86,7 +90,7 @@ def lexical(pages: DataFrame, url: str) -> DataFrame:
     ]
     binned = {f"f{k}": F.least(F.floor(x), F.lit(BINS - 1)).cast("int") for k, x in enumerate(raw)}
     suffixes = {f"suffix_{k}": F.pmod(F.xxhash64(F.substring_index(host, ".", -k)), F.lit(SUFFIX_BUCKETS)) for k in (1, 2)}
-    return own.withColumns(binned | suffixes)
+    return own.withColumns(binned | suffixes | {"fold": F.pmod(F.xxhash64(F.lit(7), host), F.lit(FOLDS)).cast("int")})
 
 
 N_LEXICAL = 12
@@ -94,17 +98,21 @@ FEATURES = [f"f{k}" for k in range(N_LEXICAL + 2)]
 
 
 def with_suffix_statistics(own: DataFrame) -> DataFrame:
-    """own with the last two features: the smoothed share of blocked labelled URLs by either suffix's bucket, in bins.
+    """own with the last two features: the share of blocked labelled URLs by either suffix's bucket, shrunk, in bins.
 
-    Buckets without labelled URLs take the middle bin. A statistics table has SUFFIX_BUCKETS rows at most, so it is broadcast.
+    Of a labelled URL the other folds' labels count only; buckets without labels take the overall rate. A statistics table
+    has SUFFIX_BUCKETS rows at most, of two numbers a fold, so it is broadcast.
     """
-    labelled = own.where("said IS NOT NULL").select("suffix_1", "suffix_2", (F.col("said") == "block").cast("int").alias("blocked"))
+    labelled = own.where("said IS NOT NULL").select("suffix_1", "suffix_2", "fold", (F.col("said") == "block").cast("long").alias("blocked"))
+    n, blocked = labelled.agg(F.count("*"), F.coalesce(F.sum("blocked"), F.lit(0))).first()
+    rate = round((blocked + 1) / (n + 2), 6)
     for k in (1, 2):
         name, feature = f"suffix_{k}", f"f{N_LEXICAL + k - 1}"
-        stats = labelled.groupBy(name).agg(F.count("*").alias("n"), F.sum("blocked").alias("b"))
-        share = F.floor((F.col("b") + 1) / (F.col("n") + 2) * BINS).cast("int")
-        kept = materialize(stats.select(name, share.alias(feature)), "url-suffixes")
-        own = own.join(F.broadcast(kept), name, "left").withColumn(feature, F.coalesce(feature, F.lit(BINS // 2)))
+        of = lambda what: F.array(*[F.coalesce(F.sum(F.when(F.col("fold") == f, what)), F.lit(0)) for f in range(FOLDS)])
+        stats = materialize(labelled.groupBy(name).agg(of(F.lit(1)).alias("n"), of(F.col("blocked")).alias("b")), "url-suffixes")
+        total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x + y) - F.when(F.col("said").isNotNull(), F.get(c, F.col("fold"))).otherwise(0)
+        share = (F.coalesce(total(F.col("b")), F.lit(0)) + SHRINK * rate) / (F.coalesce(total(F.col("n")), F.lit(0)) + SHRINK)
+        own = own.join(F.broadcast(stats), name, "left").withColumn(feature, F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")).drop("n", "b")
     return own
 
 
@@ -180,27 +188,51 @@ def boosted(labelled: DataFrame) -> Column:
     rows = materialize(labelled.groupBy(*FEATURES, "blocked").agg(F.count("*").alias("n")), "url-counts")
     n, blocked = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("blocked")), F.lit(0))).first()
     prior = round(math.log((blocked + 1) / (n - blocked + 1)), 9)
-    rows, trees = rows.withColumn("margin", F.lit(prior)), []
-    for _ in range(TREES if n else 0):
-        p = 1 / (1 + F.exp(-F.col("margin")))
+    rows, trees, margin = rows.withColumn("margin", F.lit(prior)), [], F.col("margin")
+    for k in range(TREES if n else 0):
+        p = 1 / (1 + F.exp(-margin))
         g, h = F.round((p - F.col("blocked")) * SCALE).cast("long"), F.round(p * (1 - p) * SCALE).cast("long")
-        rows = materialize(rows.withColumns({"g": g * F.col("n"), "h": h * F.col("n")}), "url-rows")
-        trees.append(tree_score(grow_tree(rows)))
-        rows = rows.withColumn("margin", F.col("margin") + trees[-1])
+        trees.append(tree_score(grow_tree(rows.withColumns({"g": g * F.col("n"), "h": h * F.col("n")}))))
+        margin = margin + trees[-1]
+        if k % CUT == CUT - 1:
+            rows, margin = materialize(rows.withColumn("margin", margin), "url-rows"), F.col("margin")
     return reduce(add, trees, F.lit(prior))
 
 
-def judge_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
+def featured(pages: DataFrame, page_id: str, url: str, rules=RULES, hidden: int | None = None) -> DataFrame:
+    """(page_id, host, path, rule, said, known, fold, FEATURES), written. Labels of the fold `hidden` are in said, but not known."""
+    own = lexical(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")), "url", rules).withColumn("truth", F.col("said"))
+    own = own.withColumn("said", F.when(F.col("fold") != F.lit(-1 if hidden is None else hidden), F.col("said")))
+    own = with_suffix_statistics(own).select("page_id", "host", "path", "rule", F.col("truth").alias("said"), F.col("said").alias("known"), "fold", *FEATURES)
+    return materialize(own, "url-features")
+
+
+def _odds(own: DataFrame) -> Column:
+    return F.round(boosted(own.where("known IS NOT NULL").select(*FEATURES, (F.col("known") == "block").cast("int").alias("blocked"))), 6)
+
+
+def cross_validated(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
+    """Labelled URLs only: page_id, said, odds by a model that knew no label of their fold of hosts, and the majority verdict
+    of their last suffix among the other folds (null if unseen there)."""
+    found = []
+    for fold in range(FOLDS):
+        own = featured(pages, page_id, url, rules, hidden=fold)
+        tail = F.substring_index("host", ".", -1).alias("tail")
+        others = own.where("known IS NOT NULL").groupBy(tail).agg(F.mode("known", True).alias("majority"))
+        mine = own.where((F.col("fold") == fold) & F.col("said").isNotNull()).select("page_id", "said", _odds(own).alias("odds"), tail)
+        found.append(mine.join(others, "tail", "left").drop("tail"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def judge_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, blocked_odds (the model's log-odds, rules or not).
 
     Null URLs and those without :// have empty host and path, fit no rule, and are judged by the model like others. Repeated
     rows give repeated results. With no labelled URL the model allows all. An empty table gives no rows. Only id and url
     are read.
     """
-    own = lexical(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")), "url")
-    own = materialize(with_suffix_statistics(own).select("page_id", "host", "path", "rule", "said", *FEATURES), "url-features")
-    labelled = own.where("said IS NOT NULL").select(*FEATURES, (F.col("said") == "block").cast("int").alias("blocked"))
-    odds = F.round(boosted(labelled), 6)
+    own = featured(pages, page_id, url, rules)
+    odds = _odds(own)
     verdict = F.coalesce("said", F.when(odds > 0, "block").otherwise("allow"))
     return own.select("page_id", "host", "path", "rule", verdict.alias("verdict"), odds.alias("blocked_odds"))
 

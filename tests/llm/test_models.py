@@ -57,6 +57,37 @@ def test_boosted_trees_learn(spark):
     assert len(got) == 200 and right >= 190
 
 
+def test_lexical_features_beat_the_suffix(spark):
+    """One ending, labels of both classes, told apart by digits and depth: the majority per suffix is a coin, the model is not."""
+    rng = random.Random(3)
+    rules = (("com", "/q", "block"), ("com", "/a", "allow"))
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shape = lambda bad, at: f"http://{word()}.com/{at}" + (f"/{rng.randrange(10**12)}?a={rng.randrange(99)}&b=1" if bad else f"/{word()}/{word()}/{word()}")
+    rows = [(k, shape(k % 2, ("aq"[k % 2] if k < 600 else "x"))) for k in range(1000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = url_filter.judge_urls(pages, rules=rules).where("rule IS NULL").collect()
+    assert len(got) == 400 and sum((r["verdict"] == "block") == bool(r["page_id"] % 2) for r in got) >= 380
+    held = url_filter.cross_validated(pages, rules=rules).collect()
+    assert len(held) == 600
+    model, majority = (sum(x) / 600 for x in zip(*[((r["odds"] > 0) == (r["said"] == "block"), r["majority"] == r["said"]) for r in held]))
+    assert model >= 0.95 and majority <= 0.6
+
+
+def test_no_label_is_in_its_own_suffix_share(spark):
+    """Turning the labels of one fold over leaves the suffix features of that fold's labelled URLs as they are."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = url_filter.lexical(pages, "url")
+    turned = rows.withColumn("said", F.when(F.col("fold") == 2, F.when(F.col("said") == "block", "allow").when(F.col("said") == "allow", "block")).otherwise(F.col("said")))
+    features = [f"f{url_filter.N_LEXICAL}", f"f{url_filter.N_LEXICAL + 1}"]
+
+    def shares(df):  # the overall rate, which all shares are mixed with, may move a bin's edge
+        got = url_filter.with_suffix_statistics(df).where("fold = 2 AND said IS NOT NULL").select("page_id", *features).collect()
+        return {r[0]: (r[1], r[2]) for r in got}
+
+    before, after = shares(rows), shares(turned)
+    assert before.keys() == after.keys() and before and all(abs(a - b) <= 2 for i in before for a, b in zip(before[i], after[i]))
+
+
 def test_reruns_agree(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     first, again = (sorted(map(tuple, url_filter.judge_urls(p).collect())) for p in (pages, pages.repartition(3)))
