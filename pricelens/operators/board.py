@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,23 +91,22 @@ def games_with_edge(target: DataFrame, least: float = 0.05) -> DataFrame:
     return rows.withColumn("__ev", ev).where("__n >= 2").groupBy("game").agg(F.max("__ev").alias("best_ev")).where(F.col("best_ev") > least)
 
 
-def evidence_gaps(expected: DataFrame, quotes: DataFrame, books: Sequence[str], markets: Sequence[str], sides: int, now_ms: int, stale_after_ms: int) -> DataFrame:
-    """expected (game): the cells of games (expected or seen) by books by markets that lack a complete group, with the reason.
+def evidence_gaps(expected: DataFrame, quotes: DataFrame, markets: Mapping[str, Sequence[str]], sides: int, now_ms: int, stale_after_ms: int) -> DataFrame:
+    """expected (game): the cells of games (expected or seen) by each book's own markets that lack a complete group, with the reason.
 
+    quotes: with unsupported and alternate, booleans. Any active main price makes it an incomplete market; else the first
+    of unsupported, closed, suspended, stale that any price is, partial if there are others only, missing if none.
     The grid has as many rows a game as there are configured books and markets.
     """
-    cells = F.array(*[F.struct(F.lit(b).alias("book"), F.lit(m).alias("market")) for b in books for m in markets])
+    cells = F.array(*[F.struct(F.lit(b).alias("book"), F.lit(m).alias("market")) for b, own in markets.items() for m in own])
     grid = expected.select("game").union(quotes.select("game")).distinct().select("game", F.inline(cells))
-    state = (
-        F.when(F.col("state") == "unavailable", 2).when(F.col("state") == "suspended", 3)
-        .when(F.col("observed_ms") < now_ms - stale_after_ms, 4).otherwise(F.lit(None))
-    )
-    per = quotes.groupBy("game", "book", "market").agg(F.count_if((F.col("state") == "active") & (F.col("observed_ms") >= now_ms - stale_after_ms)).alias("good"), F.count("*").alias("n"), F.min(state).alias("worst"))
+    stale = F.col("observed_ms") < now_ms - stale_after_ms
+    worst = F.when(F.col("unsupported"), 1).when(F.col("state") == "unavailable", 2).when(F.col("state") == "suspended", 3).when(stale, 4)
+    good = (F.col("state") == "active") & ~F.col("unsupported") & ~F.col("alternate") & ~stale
+    per = quotes.groupBy("game", "book", "market").agg(F.count_if(good).alias("good"), F.count("*").alias("n"), F.min(worst).alias("worst"))
     both = grid.join(per, ["game", "book", "market"], "left").where(F.col("good").isNull() | (F.col("good") < sides))
-    reason = (
-        F.when(F.col("n").isNull(), "missing").when(F.col("worst") == 2, "closed").when(F.col("worst") == 3, "suspended")
-        .when(F.col("worst") == 4, "stale").otherwise("incomplete-market")
-    )
+    named = F.element_at(F.array(*map(F.lit, ("unsupported", "closed", "suspended", "stale"))), F.col("worst"))
+    reason = F.when(F.col("n").isNull(), "missing").when(F.col("good") > 0, "incomplete-market").otherwise(F.coalesce(named, F.lit("partial")))
     return both.select("game", "book", "market", reason.alias("gap"))
 
 

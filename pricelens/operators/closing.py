@@ -15,19 +15,25 @@ TOLERANCE_MS = 15 * 60 * 1000
 def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, seen: str, tolerance: int, right_columns: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
     """Each left row with the last right row of its keys seen within `tolerance` up to its own instant, or nulls.
 
-    Both sides are one stream per key, ordered by time, and the last right row is carried forward: one shuffle on the keys
-    and one sort, whatever the number of matches, instead of a range join that emits every pair. Null keys match nothing
-    on the right; key columns keep the left's rows all the same.
+    Both sides are one stream per key, ordered by time, and the last right row is carried forward, whatever the number of
+    matches, instead of a range join that emits every pair. Time is cut into spans as wide as the tolerance, and only a
+    span's last right row is carried into the next, so a hot key is many partitions, sorted apart: one shuffle of all rows
+    and one of a row per span. Null keys and instants match nothing; the left's rows stay all the same.
     """
-    l = left.select(*keys, F.col(at).alias("__t"), F.lit(1).alias("__left"), F.struct(*left.columns).alias("__l"), F.lit(None).alias("__r"), F.lit(None).cast("long").alias("__seen"))
+    width = max(int(tolerance), 1)
+    spans = [*keys, "__span"]
     order = F.struct(*[F.col(c) for c in tie]) if tie else F.lit(0)
-    r = right.select(*keys, F.col(seen).alias("__t"), F.lit(0).alias("__left"), F.lit(None).alias("__l"), F.struct(*right_columns).alias("__r"), F.col(seen).cast("long").alias("__seen"), order.alias("__tie"))
-    both = r.unionByName(l, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("__t", "__left", F.col("__tie").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.withColumns({"__last": F.last("__r", ignorenulls=True).over(w), "__when": F.last("__seen", ignorenulls=True).over(w)}).where("__left = 1")
+    l = left.select(*keys, F.col(at).alias("__t"), F.lit(1).alias("__left"), F.struct(*left.columns).alias("__l"))
+    r = right.where(F.col(seen).isNotNull()).select(*keys, F.col(seen).alias("__t"), F.lit(0).alias("__left"), F.struct(*right_columns).alias("__r"), F.col(seen).cast("long").alias("__seen"), order.alias("__tie"))
+    l, r = (x.withColumn("__span", F.floor(F.col("__t") / width)) for x in (l, r))
+    ends = r.groupBy(*spans).agg(F.max_by(F.struct("__t", "__left", "__r", "__seen", "__tie"), F.struct("__t", "__tie")).alias("__e"))
+    carried = ends.select(*keys, (F.col("__span") + 1).alias("__span"), "__e.*")
+    both = r.unionByName(carried).unionByName(l, allowMissingColumns=True)
+    w = Window.partitionBy(*spans).orderBy("__t", "__left", F.col("__tie").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    last = both.withColumns({"__last": F.last("__r", ignorenulls=True).over(w), "__when": F.last("__seen", ignorenulls=True).over(w)}).where("__left = 1")
     near = F.col("__t") - F.col("__when") <= tolerance
     complete = ~sum((F.col(k).isNull().cast("int") for k in keys), F.lit(0)).cast("boolean")
-    return carried.select("__l.*", *[F.when(near & complete, F.col("__last")[c]).alias(f"closing_{c}") for c in right_columns])
+    return last.select("__l.*", *[F.when(near & complete, F.col("__last")[c]).alias(f"closing_{c}") for c in right_columns])
 
 
 def closing_prices(entries: DataFrame, quotes: DataFrame) -> DataFrame:

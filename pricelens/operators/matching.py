@@ -70,11 +70,21 @@ def anchored_clusters(df: DataFrame, keys: Sequence[str], at: str, order: Sequen
 
     The rule is greedy, so a cluster's start depends on the one before; a gap of more than the window always begins one.
     Spark first cuts a key's rows at such gaps, then sorts each gapless stretch into one partition, and a task walks its
-    rows in order, a batch at a time, holding one anchor. keys must be strings and not null.
+    rows in order, a batch at a time, holding one anchor. Gaps are found within spans of time of 256 windows, and between
+    spans by their last rows, so a hot key is many partitions. keys must be strings and not null.
     """
-    w = Window.partitionBy(*keys).orderBy(at, *order)
-    starts = F.coalesce((F.col(at) - F.lag(at).over(w) > window).cast("int"), F.lit(1))
-    stretched = df.withColumn("__cut", starts).withColumn("__stretch", F.sum("__cut").over(w)).drop("__cut")
+    span = [*keys, "__span"]
+    spread = df.withColumn("__span", F.floor(F.col(at) / (256 * max(window, 1))))
+    ends = spread.groupBy(*span).agg(F.max(at).alias("__last"))
+    before = ends.select(*span, F.lag("__last").over(Window.partitionBy(*keys).orderBy("__span")).alias("__before"))
+    w = Window.partitionBy(*span).orderBy(at, *order)
+    near = spread.join(before, span).withColumn("__lag", F.coalesce(F.lag(at).over(w), "__before"))
+    start = F.when(F.coalesce(F.col(at) - F.col("__lag") > window, F.lit(True)), F.col(at))
+    cut_ = near.withColumn("__start", F.last(start, ignorenulls=True).over(w))
+    firsts = cut_.groupBy(*span).agg(F.max("__start").alias("__s"))
+    earlier = Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = firsts.select(*span, F.last("__s", ignorenulls=True).over(earlier).alias("__carried"))
+    stretched = cut_.join(carried, span).withColumn("__stretch", F.coalesce("__start", "__carried")).select(*df.columns, "__stretch")
     whole = [*keys, "__stretch"]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,6 +104,7 @@ def anchored_clusters(df: DataFrame, keys: Sequence[str], at: str, order: Sequen
 def merge_pages(pages: DataFrame, price_id: str, event: str) -> dict[str, DataFrame]:
     """Pages of one event merged: first-seen participants and start win, reversed rows have their sides swapped, other
     labels go to rejections, the newest observation of a price wins (the later row on ties), retrieval is the earliest.
+    A price of an event that changes its side between pages is an error: it goes to conflicts, whole.
 
     pages: rows (event, price_id, home, away, start_ms, side, american, observed_ms, retrieved_ms, row).
     """
@@ -103,15 +114,23 @@ def merge_pages(pages: DataFrame, price_id: str, event: str) -> dict[str, DataFr
     straight, turned = (h == fh) & (a == fa), (h == fa) & (a == fh)
     side = F.when(straight, F.col("side")).when(turned, F.when(F.col("side") == "home", "away").otherwise("home"))
     marked = both.select(event, price_id, F.col("__f.home").alias("home"), F.col("__f.away").alias("away"), F.col("__f.start_ms").alias("start_ms"), side.alias("side"), "american", "observed_ms", F.col("__retrieved").alias("retrieved_ms"), "row")
-    newest = marked.where("side IS NOT NULL").groupBy(price_id).agg(F.max_by(F.struct(*[c for c in marked.columns if c != price_id]), F.struct("observed_ms", "row")).alias("__r"))
-    return {"prices": newest.select(price_id, "__r.*"), "rejections": marked.where("side IS NULL").select(event, price_id, "row")}
+    rest = [c for c in marked.columns if c not in (event, price_id)]
+    newest = marked.where("side IS NOT NULL").groupBy(event, price_id).agg(F.max_by(F.struct(*rest), F.struct("observed_ms", "row")).alias("__r"), F.count_distinct("side").alias("__n"))
+    return {
+        "prices": newest.where("__n = 1").select(event, price_id, "__r.*"),
+        "rejections": marked.where("side IS NULL").select(event, price_id, "row"),
+        "conflicts": newest.where("__n > 1").select(event, price_id),
+    }
 
 
 def upsert_decisions(observations: DataFrame, candidates: DataFrame) -> DataFrame:
     """observations (event, provider, revision, content, row) classed against candidates (event, n) and the provider's
-    latest stored revision before each: no-candidate, ambiguous, conflict, skipped, refreshed or written."""
+    latest stored revision before each: no-candidate, ambiguous, conflict, skipped, refreshed or written.
+
+    A conflict or an older revision stores nothing, so what is stored is the first row of the highest revision so far.
+    """
     w = Window.partitionBy("provider", "event").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.max(F.struct("revision", "content")).over(w)
+    before = F.max(F.struct("revision", (-F.col("row")).alias("first"), "content")).over(w)
     both = observations.withColumn("__b", before).join(candidates, "event", "left")
     kind = (
         F.when(F.coalesce("n", F.lit(0)) == 0, "no-candidate")

@@ -68,10 +68,11 @@ def movement(quotes: DataFrame, threshold: float, most_gap_minutes: float, serie
     )
 
 
-def change_of(quotes: DataFrame, value: Column, series: Sequence[str] = SERIES) -> DataFrame:
-    """Last less first active value of each series."""
-    own = quotes.where("state = 'active'").withColumn("__v", value)
-    return own.groupBy(*series).agg((F.max_by("__v", _key()) - F.min_by("__v", _key())).alias("delta"))
+def change_of(quotes: DataFrame, series: Sequence[str] = SERIES, **values: Column) -> DataFrame:
+    """Last less first active value of each series, for each of the values by name, in one aggregation."""
+    own = quotes.where("state = 'active'").withColumn("__v", F.struct(*[x.alias(k) for k, x in values.items()]))
+    ends = own.groupBy(*series).agg(F.min_by("__v", _key()).alias("__first"), F.max_by("__v", _key()).alias("__last"))
+    return ends.select(*series, *[(F.col(f"__last.{k}") - F.col(f"__first.{k}")).alias(k) for k in values])
 
 
 def trailing(quotes: DataFrame, hours: float, key: Sequence[str] = ("game", "market", "selection")) -> DataFrame:
@@ -131,4 +132,4 @@ def phase_changes(states: DataFrame, key: Sequence[str], order: Sequence[str]) -
 
 
 def decimal_change(quotes: DataFrame) -> DataFrame:
-    return change_of(quotes, american_to_decimal(F.col("american")))
+    return change_of(quotes, delta=american_to_decimal(F.col("american")))

@@ -132,3 +132,25 @@ def verify(claims: DataFrame, computed: DataFrame, keys: Sequence[str], toleranc
     both = claims.join(computed.withColumnRenamed("value", "recomputed"), [*keys, "metric"], "left")
     near = F.abs(F.col("value") - F.col("recomputed")) <= tolerance * F.greatest(F.lit(1.0), F.abs(F.col("recomputed")))
     return both.withColumn("check", F.when(F.col("recomputed").isNull(), "unknown-metric").when(near, "verified").otherwise("mismatch"))
+
+
+def median_of(df: DataFrame, key: str, value: str, cells: int = 4096) -> DataFrame:
+    """(key, n, median) of the values that are not null, exactly, without gathering a key's values.
+
+    Values are counted by cell between the key's least and largest, which tells the cell of the middle ranks; only the
+    distinct values of that cell, with their counts, are then ordered. Few keys are expected: the cells of all are `cells`
+    times as many at most, and one or two a key are joined back.
+    """
+    rows = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    ends = rows.groupBy(key).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__n").alias("__all"))
+    cell = F.coalesce(F.floor(F.try_divide(F.col("__v") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * cells), F.lit(0))
+    placed = rows.join(ends, key).withColumn("__cell", cell)
+    counts = placed.groupBy(key, "__cell", "__all").agg(F.sum("__n").alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(key).orderBy("__cell"))
+    low, high = F.floor((F.col("__all") + 1) / 2), F.floor(F.col("__all") / 2) + 1
+    middle = counts.withColumns({"__before": upto - F.col("__c")}).where((F.col("__before") < high) & (F.col("__before") + F.col("__c") >= low))
+    inside = placed.join(middle.select(key, "__cell", "__before"), [key, "__cell"])
+    rank = F.col("__before") + F.sum("__n").over(Window.partitionBy(key, "__cell").orderBy("__v"))
+    ranked = inside.withColumn("__rank", rank)
+    hit = lambda at: F.min(F.when(F.col("__rank") >= at, F.col("__v")))
+    return ranked.groupBy(key, "__all").agg(hit(low).alias("__a"), hit(high).alias("__b")).select(key, F.col("__all").alias("n"), ((F.col("__a") + F.col("__b")) / 2).alias("median"))

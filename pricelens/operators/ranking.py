@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +65,29 @@ def filtered(
     return df
 
 
+#: The order of opportunities: downwards by these, then by id.
+RANK = ("ev", "confidence", "freshness", "coverage")
+
+
+def after(df: DataFrame, cursor: Mapping | None, as_of_ms: int | None = None, seen: str = "observed_ms") -> DataFrame:
+    """The rows that come after the cursor, a row's RANK and id, in the order of ranked(), ties included; all without one.
+
+    as_of_ms holds every page to the rows that the first one could see. Rows with a null in RANK are never ranked.
+    """
+    df = df if as_of_ms is None else df.where(F.col(seen) <= as_of_ms)
+    if cursor is None:
+        return df
+    later = F.col("id") > cursor["id"]
+    for c in reversed(RANK):
+        later = (F.col(c) < cursor[c]) | ((F.col(c) == cursor[c]) & later)
+    return df.where(later)
+
+
+def next_page(df: DataFrame, limit: int, cursor: Mapping | None = None, as_of_ms: int | None = None, seen: str = "observed_ms") -> DataFrame:
+    """The first `limit` rows after the cursor."""
+    return ranked(after(df, cursor, as_of_ms, seen), limit)
+
+
 def ranked(df: DataFrame, limit: int) -> DataFrame:
     """A top-k by ev, confidence, freshness, coverage downwards, then id."""
-    return df.orderBy(F.desc("ev"), F.desc("confidence"), F.desc("freshness"), F.desc("coverage"), "id").limit(limit)
+    return df.orderBy(*map(F.desc, RANK), "id").limit(limit)

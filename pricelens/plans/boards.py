@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelens.functions import text as T
@@ -71,8 +68,7 @@ def event_list(t):
 @query("SELECT game, status, start_ms FROM games WHERE status IN ('started', 'scheduled', 'completed', 'postponed', 'cancelled', 'unknown') ORDER BY start_ms, game LIMIT 25")
 def merged_status_list(t):
     """A page of 25 by start and id."""
-    both = reduce(DataFrame.unionByName, [B.listed(t.games, statuses=[s]) for s in B.LIFECYCLE])
-    return both.orderBy("start_ms", "game").limit(25).select("game", "status", "start_ms")
+    return B.listed(t.games, statuses=B.LIFECYCLE).orderBy("start_ms", "game").limit(25).select("game", "status", "start_ms")
 
 
 @query(f"SELECT game, home, away, league AS sort_key FROM games WHERE {PLAIN.format('home')} ILIKE '%atletico%' OR {PLAIN.format('away')} ILIKE '%atletico%'")
@@ -109,11 +105,13 @@ def open_board_games(t):
     return t.games.where(F.col("start_ms") > FIRST_MS + 12 * DAY_MS).join(live, "game", "left_semi").select("game")
 
 
-@query(f"""WITH x AS (SELECT c.game, b.book, m.market FROM (SELECT game FROM games UNION SELECT game FROM quotes) c CROSS JOIN (SELECT unnest(['hardrock', 'fanduel', 'circa']) AS book) b CROSS JOIN (SELECT unnest(['moneyline', 'total']) AS market) m),
-p AS (SELECT game, book, market, count(*) AS n, count(*) FILTER (state = 'active' AND observed_ms >= {NOW_MS - 5 * DAY_MS}) AS good, min(CASE WHEN state = 'unavailable' THEN 2 WHEN state = 'suspended' THEN 3 WHEN observed_ms < {NOW_MS - 5 * DAY_MS} THEN 4 END) AS worst FROM current_quotes GROUP BY ALL)
-SELECT x.game, x.book, x.market, CASE WHEN n IS NULL THEN 'missing' WHEN worst = 2 THEN 'closed' WHEN worst = 3 THEN 'suspended' WHEN worst = 4 THEN 'stale' ELSE 'incomplete-market' END AS gap FROM x LEFT JOIN p USING (game, book, market) WHERE good IS NULL OR good < 2""")
+@query(f"""WITH x AS (SELECT c.game, b.book, b.market FROM (SELECT game FROM games UNION SELECT game FROM quotes) c CROSS JOIN (VALUES ('hardrock', 'moneyline'), ('hardrock', 'total'), ('fanduel', 'moneyline'), ('fanduel', 'spread'), ('circa', 'moneyline')) b(book, market)),
+p AS (SELECT game, book, market, count(*) AS n, count(*) FILTER (state = 'active' AND observed_ms >= {NOW_MS - 5 * DAY_MS} AND abs(american) <= 280 AND american <> 200) AS good, min(CASE WHEN abs(american) > 280 THEN 1 WHEN state = 'unavailable' THEN 2 WHEN state = 'suspended' THEN 3 WHEN observed_ms < {NOW_MS - 5 * DAY_MS} THEN 4 END) AS worst FROM current_quotes GROUP BY ALL)
+SELECT x.game, x.book, x.market, CASE WHEN n IS NULL THEN 'missing' WHEN good > 0 THEN 'incomplete-market' WHEN worst = 1 THEN 'unsupported' WHEN worst = 2 THEN 'closed' WHEN worst = 3 THEN 'suspended' WHEN worst = 4 THEN 'stale' ELSE 'partial' END AS gap FROM x LEFT JOIN p USING (game, book, market) WHERE good IS NULL OR good < 2""")
 def evidence_gaps(t):
-    return B.evidence_gaps(t.games, current_quotes(t.quotes), ["hardrock", "fanduel", "circa"], ["moneyline", "total"], 2, NOW_MS, 5 * DAY_MS)
+    """Each book has markets of its own; prices beyond 280 stand for unsupported ones, 200 for alternate lines."""
+    marked = current_quotes(t.quotes).withColumns({"unsupported": F.abs("american") > 280, "alternate": F.col("american") == 200})
+    return B.evidence_gaps(t.games, marked, {"hardrock": ["moneyline", "total"], "fanduel": ["moneyline", "spread"], "circa": ["moneyline"]}, 2, NOW_MS, 5 * DAY_MS)
 
 
 @query("""WITH bad AS (SELECT game, market, book FROM current_quotes GROUP BY ALL HAVING NOT (list_sort(list(selection)) = ['away', 'home'] AND coalesce(abs(sum(point)), 0) <= 1e-9))
@@ -126,26 +124,20 @@ def availability_rows(t):
     return B.availability_rows(now, bad).select("snapshot_id", "availability")
 
 
-@query("""WITH s AS (SELECT * FROM quotes WHERE snapshot_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY game, market, selection, book ORDER BY observed_ms DESC, state <> 'active' DESC, snapshot_id DESC) = 1),
+@query("""WITH s AS (SELECT * FROM quotes QUALIFY row_number() OVER (PARTITION BY game, market, selection, book ORDER BY observed_ms DESC, state <> 'active' DESC, snapshot_id DESC) = 1),
 g AS (SELECT * FROM quotes QUALIFY row_number() OVER (PARTITION BY game, market, book ORDER BY observed_ms DESC, state <> 'active' DESC, snapshot_id DESC) = 1)
-SELECT q.snapshot_id, coalesce(s.state = 'active' AND s.observed_ms >= q.observed_ms AND g.state = 'active' AND g.observed_ms >= q.observed_ms, false) AS actionable FROM current_quotes q LEFT JOIN s USING (game, market, selection, book) LEFT JOIN g ON g.game = q.game AND g.market = q.market AND g.book = q.book""")
+SELECT q.snapshot_id, coalesce(s.state = 'active' AND s.observed_ms >= q.observed_ms AND g.state = 'active' AND g.observed_ms >= q.observed_ms, false) AS actionable FROM quotes q LEFT JOIN s USING (game, market, selection, book) LEFT JOIN g ON g.game = q.game AND g.market = q.market AND g.book = q.book""")
 def actionable_quotes(t):
-    cell = current_availability(t.quotes.where("snapshot_id % 2 = 0"))
-    return B.actionable(current_quotes(t.quotes), cell, current_availability(t.quotes, ["game", "market", "book"])).select("snapshot_id", "actionable")
+    """Every quote against the latest availability of its cell and of its book's market."""
+    return B.actionable(t.quotes, current_availability(t.quotes), current_availability(t.quotes, ["game", "market", "book"])).select("snapshot_id", "actionable")
 
 
-part("alpha", "SELECT game, max(american) AS v, max(CASE WHEN snapshot_id % 7 > 0 THEN floor(observed_ms / 86400000) END) AS at FROM quotes WHERE provider = 'alpha' AND market = 'moneyline' AND snapshot_id % 11 > 6 GROUP BY game")
-part("beta", "SELECT game, max(american) AS v, max(CASE WHEN snapshot_id % 7 > 0 THEN floor(observed_ms / 86400000) END) AS at FROM quotes WHERE provider = 'beta' AND market = 'moneyline' AND snapshot_id % 11 > 6 GROUP BY game")
+part("alpha", "SELECT game, max(american) AS v, max(CASE WHEN snapshot_id % 7 > 0 THEN floor(observed_ms / 86400000) END) AS at FROM quotes WHERE provider = 'alpha' AND market = 'moneyline' GROUP BY game")
+part("beta", "SELECT game, max(american) AS v, max(CASE WHEN snapshot_id % 7 > 0 THEN floor(observed_ms / 86400000) END) AS at FROM quotes WHERE provider = 'beta' AND market = 'moneyline' GROUP BY game")
 
 
 @query("""SELECT coalesce(a.game, b.game) AS game, CASE WHEN b.game IS NULL THEN 'missing' WHEN a.game IS NULL THEN 'extra' WHEN a.v = b.v THEN 'same' WHEN a.at IS NULL OR b.at IS NULL THEN 'indeterminate' WHEN a.at = b.at THEN 'mismatch' ELSE 'temporal' END AS kind FROM alpha a FULL JOIN beta b ON a.game = b.game""")
 def route_reconciliation(t):
-    """Of four elevenths of the quotes, as its SQL has it; route_reconciliation_whole has all."""
-    return _reconciled(t.quotes.where("snapshot_id % 11 > 6"))
-
-
-@query()
-def route_reconciliation_whole(t):
     return _reconciled(t.quotes)
 
 
@@ -229,16 +221,30 @@ def withdrawn_listings(t):
     return t.listings.join(vouched, "listing", "left_anti").select("listing")
 
 
-@query("""SELECT l.listing, CASE WHEN abs(d) <= 900000 THEN 'ok' WHEN abs(d) <= 7200000 THEN 'secondary' WHEN l.provider = 'alpha' THEN 'trusted' ELSE 'rejected' END AS drift FROM (SELECT l.*, l.start_ms - s.start_ms AS d FROM (SELECT *, start_ms + (listing % 9) * 1800000 AS late FROM listings) l JOIN resolved r USING (listing) JOIN schedule s ON s.event = r.event) l""")
-def start_drift(t):
-    """Of unshifted starts within an hour, as its SQL has it, so never rejected or trusted; start_drift_whole has all."""
-    pairs = M.label_pairs(t.listings, t.schedule, 3_600_000)
-    near = pairs.groupBy("listing", "provider").agg(F.min_by(F.col("start_ms") - F.col("r_start_ms"), "r_event").alias("d"))
-    return near.select("listing", M.drift_class(F.col("d"), trusted=F.col("provider") == "alpha").alias("drift"))
+# labels folded once; matching labels share their last word, which is what the join starts from
+part("folded_listings", f"SELECT listing, sport, provider, start_ms, {fold('home')} AS h, {fold('away')} AS a FROM listings")
+part("folded_schedule", f"SELECT event, sport, start_ms, {fold('home')} AS h, {fold('away')} AS a FROM schedule")
+
+
+def _folded_match(a: str, b: str) -> str:
+    x, y = f"string_split({a}, ' ')", f"string_split({b}, ' ')"
+    return f"({a} = {b} OR CASE WHEN len({x}) <= len({y}) THEN list_has_all({y}, {x}) ELSE list_has_all({x}, {y}) END)"
+
 
+_LAST = "string_split({0}, ' ')[-1]"
 
-@query()
-def start_drift_whole(t):
+
+def _turned(h: str, a: str) -> str:
+    ends = " AND ".join(f"{_LAST.format(x)} = {_LAST.format(y)}" for x, y in ((f"l.{h}", "s.h"), (f"l.{a}", "s.a")))
+    return f"SELECT l.listing, s.event, s.start_ms AS begin_ms FROM folded_listings l JOIN folded_schedule s ON l.sport = s.sport AND {ends} WHERE l.h <> '' AND l.a <> '' AND {_folded_match(f'l.{h}', 's.h')} AND {_folded_match(f'l.{a}', 's.a')}"
+
+
+part("anytime_pairs", f"{_turned('h', 'a')} UNION {_turned('a', 'h')}")
+
+
+@query("""WITH f AS (SELECT listing, arg_min(begin_ms, event) AS begin_ms FROM anytime_pairs GROUP BY listing)
+SELECT l.listing, CASE WHEN abs(d) <= 900000 THEN 'ok' WHEN abs(d) <= 7200000 THEN 'secondary' WHEN l.provider = 'alpha' THEN 'trusted' ELSE 'rejected' END AS drift FROM (SELECT l.*, l.start_ms + (l.listing % 9) * 1800000 - f.begin_ms AS d FROM folded_listings l JOIN f USING (listing)) l""")
+def start_drift(t):
     """How far each listing's start, shifted by up to 4 hours, is from its event's; bound by labels alone, so no drift is too large to be classed."""
     late = t.listings.withColumn("late_ms", F.col("start_ms") + (F.col("listing") % 9) * 1_800_000)
     pairs = M.label_pairs(_anytime(late), _anytime(t.schedule.withColumn("begin_ms", F.col("start_ms"))), DAY_MS)
@@ -253,18 +259,22 @@ def _words(x: str) -> str:
     return f"regexp_extract_all({text}, '[a-z0-9]+')"
 
 
-@query(f"""WITH x AS (SELECT l.listing, {_words('l.home')} AS a, {_words('s.home')} AS b FROM listings l JOIN schedule s ON s.event = l.listing % 1000),
-z AS (SELECT listing, array_to_string(a, '') AS wa, array_to_string(b, '') AS wb, list_sort(list_distinct(list_filter(a, lambda w: w NOT IN {T.GENERIC_WORDS}))) AS oa, list_sort(list_distinct(list_filter(b, lambda w: w NOT IN {T.GENERIC_WORDS}))) AS ob FROM x)
-SELECT listing, wa = wb OR (least(length(wa), length(wb)) >= 4 AND (contains(wa, wb) OR contains(wb, wa))) OR (len(oa) > 0 AND oa = ob) OR list_has_any(list_filter(oa, lambda w: length(w) >= 4), ob) AS fuzzy FROM z""")
-def fuzzy_labels(t):
-    """Home labels against the event that the listing's number names, as its SQL has it; fuzzy_labels_whole compares with the schedule."""
-    s = t.schedule.select("event", F.col("home").alias("other"))
-    both = t.listings.join(s, F.col("listing") % 1000 == F.col("event"))
-    return both.select("listing", T.fuzzy_match(F.col("home"), F.col("other")).alias("fuzzy"))
+def _fuzzy(x: str, y: str) -> str:
+    """SQL of fuzzy_match over the parts w (joined words), o (the words that tell, sorted)."""
+    long = f"list_filter({x}_o, lambda w: length(w) >= 4)"
+    return f"({x}_w = {y}_w OR (least(length({x}_w), length({y}_w)) >= 4 AND (contains({x}_w, {y}_w) OR contains({y}_w, {x}_w))) OR (len({x}_o) > 0 AND {x}_o = {y}_o) OR list_has_any({long}, {y}_o))"
 
 
-@query()
-def fuzzy_labels_whole(t):
+def _parts(table: str, key: str) -> str:
+    told = lambda c: f"list_sort(list_distinct(list_filter({_words(c)}, lambda w: w NOT IN {T.GENERIC_WORDS})))"
+    return f"SELECT {key}, sport, start_ms, " + ", ".join(f"array_to_string({_words(c)}, '') AS {c[0]}_w, {told(c)} AS {c[0]}_o" for c in ("home", "away")) + f" FROM {table}"
+
+
+@query(f"""WITH l AS ({_parts('listings', 'listing')}), s AS ({_parts('schedule', 'event')}),
+p AS (SELECT listing, event, abs(l.start_ms - s.start_ms) AS d, {_fuzzy('l.h', 's.h')} AS hh, {_fuzzy('l.h', 's.a')} AS ha, {_fuzzy('l.a', 's.h')} AS ah, {_fuzzy('l.a', 's.a')} AS aa FROM l JOIN s ON l.sport = s.sport AND abs(l.start_ms - s.start_ms) <= 3600000),
+f AS (SELECT listing, count(DISTINCT event) AS n, min(event) AS event FROM p WHERE (hh <> ha AND ah <> aa AND hh <> ah) OR (d <= {TOLERANCE} AND ((hh <> ha AND NOT ah AND NOT aa) OR (ah <> aa AND NOT hh AND NOT ha))) GROUP BY listing)
+SELECT l.listing, coalesce(n, 0) AS n, CASE WHEN n = 1 THEN f.event END AS event FROM listings l LEFT JOIN f USING (listing)""")
+def fuzzy_labels(t):
     """Every listing with the number of events of its sport within an hour that it fuzzily matches, and the event if it is one.
 
     Both labels must each match one side, not the same; within 15 minutes one label that does so is enough if the other
@@ -292,15 +302,15 @@ def attribution_cascade(t):
     return both.select("listing", via.alias("via"), F.coalesce("bound", "matched", "alias").alias("event"))
 
 
-part("page_rows", """SELECT floor(listing / 4) AS event, (listing * 7) % 3000 AS price_id, home, away, start_ms, CASE WHEN listing % 2 = 0 THEN 'home' ELSE 'away' END AS side, CAST(100 + listing % 150 AS INT) AS american, seen_ms AS observed_ms, seen_ms + 1000 AS retrieved_ms, listing AS row
+part("page_rows", """SELECT floor(listing / 4) AS event, CAST(floor(listing / 2) AS BIGINT) * 7 % 3000 AS price_id, home, away, start_ms, CASE WHEN listing % 3 = 0 THEN 'home' ELSE 'away' END AS side, CAST(100 + listing % 150 AS INT) AS american, seen_ms AS observed_ms, seen_ms + 1000 AS retrieved_ms, listing AS row
   FROM (SELECT listing, seen_ms, CASE WHEN listing % 6 = 0 THEN 'Away' WHEN listing % 11 = 0 THEN 'Else' ELSE 'Home' END AS home, CASE WHEN listing % 6 = 0 THEN 'HOME' ELSE 'away' END AS away, start_ms FROM listings)""")
 
 
 def _pages(t):
     n = F.col("listing")
     return t.listings.select(
-        F.floor(n / 4).alias("event"), (n * 7 % 3000).alias("price_id"), F.when(n % 6 == 0, "Away").when(n % 11 == 0, "Else").otherwise("Home").alias("home"),
-        F.when(n % 6 == 0, "HOME").otherwise("away").alias("away"), "start_ms", F.when(n % 2 == 0, "home").otherwise("away").alias("side"), (100 + n % 150).cast("int").alias("american"),
+        F.floor(n / 4).alias("event"), (F.floor(n / 2) * 7 % 3000).alias("price_id"), F.when(n % 6 == 0, "Away").when(n % 11 == 0, "Else").otherwise("Home").alias("home"),
+        F.when(n % 6 == 0, "HOME").otherwise("away").alias("away"), "start_ms", F.when(n % 3 == 0, "home").otherwise("away").alias("side"), (100 + n % 150).cast("int").alias("american"),
         F.col("seen_ms").alias("observed_ms"), (F.col("seen_ms") + 1000).alias("retrieved_ms"), n.alias("row"),
     )
 
@@ -309,7 +319,7 @@ part("merged_rows", """SELECT p.event, p.price_id, p.row, p.american, p.observed
   FROM page_rows p JOIN (SELECT event, arg_min(home, row) AS home, arg_min(away, row) AS away, min(retrieved_ms) AS retrieved FROM page_rows GROUP BY event) f USING (event)""")
 
 
-@query("SELECT CAST(event AS BIGINT) AS event, price_id, row, side, american, retrieved_ms FROM merged_rows WHERE side IS NOT NULL QUALIFY row_number() OVER (PARTITION BY price_id ORDER BY observed_ms DESC, row DESC) = 1")
+@query("SELECT CAST(event AS BIGINT) AS event, price_id, row, side, american, retrieved_ms FROM merged_rows WHERE side IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event, price_id ORDER BY observed_ms DESC, row DESC) = 1 AND min(side) OVER (PARTITION BY event, price_id) = max(side) OVER (PARTITION BY event, price_id)")
 def merged_pages(t):
     return M.merge_pages(_pages(t), "price_id", "event")["prices"].select("event", "price_id", "row", "side", "american", "retrieved_ms")
 
@@ -319,8 +329,14 @@ def merge_rejections(t):
     return M.merge_pages(_pages(t), "price_id", "event")["rejections"]
 
 
+@query("SELECT CAST(event AS BIGINT) AS event, price_id FROM merged_rows GROUP BY ALL HAVING count(DISTINCT side) > 1")
+def merge_conflicts(t):
+    """Prices of an event whose side isn't the same on all pages: an error, so they are set apart."""
+    return M.merge_pages(_pages(t), "price_id", "event")["conflicts"]
+
+
 @query("""WITH o AS (SELECT snapshot_id AS row, game AS event, provider, floor(snapshot_id / 400) + snapshot_id % 3 AS revision, american % 3 AS content FROM quotes),
-x AS (SELECT o.*, max(struct_pack(r := revision, c := content)) OVER (PARTITION BY provider, event ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, event % 3 AS n FROM o)
+x AS (SELECT o.*, max(struct_pack(r := revision, f := -row, c := content)) OVER (PARTITION BY provider, event ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, event % 3 AS n FROM o)
 SELECT row, CASE WHEN n = 0 THEN 'no-candidate' WHEN n > 1 THEN 'ambiguous' WHEN b IS NULL THEN 'written' WHEN revision = b.r AND content <> b.c THEN 'conflict' WHEN revision <= b.r THEN 'skipped' WHEN content = b.c THEN 'refreshed' ELSE 'written' END AS decision FROM x""")
 def event_upserts(t):
     n = F.col("snapshot_id")
@@ -343,14 +359,8 @@ def book_roles(t):
 
 
 @query("""SELECT g.sport, count(*) AS expected, count(p.game) AS mapped, count(*) - count(p.game) AS unmapped, count(*) FILTER (p.n > 1) AS ambiguous, count(*) FILTER (p.checks > 1) AS duplicated
-FROM games g LEFT JOIN (SELECT game, count(DISTINCT phase) AS n, count(*) AS checks FROM phases WHERE origin = 'checkpoint' AND id % 8 = 0 GROUP BY game) p USING (game) GROUP BY g.sport""")
+FROM games g LEFT JOIN (SELECT game, count(DISTINCT phase) AS n, count(*) AS checks FROM phases WHERE origin = 'checkpoint' GROUP BY game) p USING (game) GROUP BY g.sport""")
 def coverage_summary(t):
-    """Of half of the checkpoints, as its SQL has it; coverage_summary_whole has all."""
-    return _coverage(t.games, t.phases.where("id % 8 = 0"))
-
-
-@query()
-def coverage_summary_whole(t):
     return _coverage(t.games, t.phases)
 
 
@@ -379,30 +389,23 @@ def labelled_findings(t):
     return both.select("id", F.coalesce("home", F.lit("unknown")).alias("home"), F.coalesce("away", F.lit("unknown")).alias("away"))
 
 
-@query("""SELECT d.id, r.state, b.status FROM decisions d JOIN current_results r ON r.game = d.game AND r.updated_ms <= 915148800000 LEFT JOIN bets b ON b.bet = d.game WHERE d.strategy = 'v1'""")
+@query("SELECT d.id, r.state, b.status FROM decisions d JOIN current_results r ON r.game = d.game LEFT JOIN bets b ON b.bet = d.game")
 def evidence_joins(t):
+    """Every decision by its exact game: the result that counts, and the bet if there is one."""
     from pricelens.operators.latest import current_results
 
-    now = current_results(t.results).where("updated_ms <= 915148800000").select("game", "state")
+    now = current_results(t.results).select("game", "state")
     bets = t.bets.select(F.col("bet").alias("game"), "status")
-    return t.decisions.where("strategy = 'v1'").select("id", "game").join(now, "game").join(bets, "game", "left").select("id", "state", "status")
+    return t.decisions.select("id", "game").join(now, "game").join(bets, "game", "left").select("id", "state", "status")
 
 
 @query(f"""WITH RECURSIVE r AS (SELECT sport, least({fold('home')}, {fold('away')}) AS a, greatest({fold('home')}, {fold('away')}) AS b, start_ms, listing AS event, listing % 3 AS version, seen_ms, listing % 4 AS lifecycle_rank, listing % 2 = 0 AS has_odds FROM listings),
-n AS (SELECT x.sport, x.a, x.b, x.start_ms, min(y.start_ms) AS following FROM (SELECT DISTINCT sport, a, b, start_ms FROM r) x LEFT JOIN (SELECT DISTINCT sport, a, b, start_ms FROM r) y ON x.sport = y.sport AND x.a = y.a AND x.b = y.b AND y.start_ms > x.start_ms + 1200000 GROUP BY ALL),
+n AS (SELECT x.sport, x.a, x.b, x.start_ms, min(y.start_ms) AS following FROM (SELECT DISTINCT sport, a, b, start_ms FROM r) x LEFT JOIN (SELECT DISTINCT sport, a, b, start_ms FROM r) y ON x.sport = y.sport AND x.a = y.a AND x.b = y.b AND y.start_ms > x.start_ms + 120000 GROUP BY ALL),
 c AS (SELECT sport, a, b, min(start_ms) AS anchor FROM r GROUP BY ALL UNION ALL SELECT c.sport, c.a, c.b, n.following FROM c JOIN n ON c.sport = n.sport AND c.a = n.a AND c.b = n.b AND c.anchor = n.start_ms WHERE n.following IS NOT NULL)
-SELECT r.*, c.anchor AS cluster FROM r JOIN c ON r.sport = c.sport AND r.a = c.a AND r.b = c.b AND r.start_ms BETWEEN c.anchor AND c.anchor + 1200000
+SELECT r.*, c.anchor AS cluster FROM r JOIN c ON r.sport = c.sport AND r.a = c.a AND r.b = c.b AND r.start_ms BETWEEN c.anchor AND c.anchor + 120000
 QUALIFY row_number() OVER (PARTITION BY r.sport, r.a, r.b, c.anchor ORDER BY version DESC, seen_ms DESC, lifecycle_rank DESC, has_odds DESC, event) = 1""")
 def near_duplicate_events(t):
-    """Listings of one sport and pair of labels, clustered within 20 minutes of the cluster's first, one of each kept.
-
-    The window is that of its SQL; near_duplicate_events_whole has the 2 minutes that make games the same.
-    """
-    return M.collapse_duplicates(_listed_rows(t.listings), ["sport", "a", "b"], 1_200_000)
-
-
-@query()
-def near_duplicate_events_whole(t):
+    """Listings of one sport and pair of labels, clustered within 2 minutes of the cluster's first, one of each kept."""
     return M.collapse_duplicates(_listed_rows(t.listings), ["sport", "a", "b"], 120_000)
 
 
@@ -436,30 +439,20 @@ def split_attribution(t):
     return found.where("n = 1").select("listing", "event")
 
 
-@query(f"""WITH p AS (SELECT l.listing, count(DISTINCT s.event) AS n, min(s.event) AS event FROM listings l JOIN schedule s ON s.sport = l.sport AND ({match('l.home', 's.home')} AND {match('l.away', 's.away')} OR {match('l.home', 's.away')} AND {match('l.away', 's.home')}) WHERE l.provider = 'alpha' AND l.listing % 2 = 0 GROUP BY l.listing)
-SELECT l.listing, coalesce(p.event, -1) AS event, CASE WHEN n IS NULL THEN 'no-candidate' WHEN n > 1 THEN 'ambiguous' ELSE 'alias' END AS outcome FROM listings l LEFT JOIN p USING (listing) WHERE l.provider = 'alpha' AND l.listing % 2 = 0""")
+@query("""WITH p AS (SELECT listing, count(DISTINCT event) AS n, min(event) AS event FROM anytime_pairs GROUP BY listing)
+SELECT l.listing, coalesce(p.event, -1) AS event, CASE WHEN n IS NULL THEN 'no-candidate' WHEN n > 1 THEN 'ambiguous' ELSE 'alias' END AS outcome FROM listings l LEFT JOIN p USING (listing) WHERE l.provider = 'alpha'""")
 def secondary_aliases(t):
-    """Half of secondary_aliases_whole, as its SQL has it."""
-    return _aliases(t.listings.where("provider = 'alpha' AND listing % 2 = 0"), t.schedule)
-
-
-@query()
-def secondary_aliases_whole(t):
     """Rows of a secondary catalogue bound by labels alone, in either orientation, whatever the start; never a new event."""
-    return _aliases(t.listings.where("provider = 'alpha'"), t.schedule)
+    own = t.listings.where("provider = 'alpha'")
+    found = M.label_pairs(_anytime(own), _anytime(t.schedule), DAY_MS).groupBy("listing").agg(F.count_distinct("r_event").alias("n"), F.min("r_event").alias("event"))
+    outcome = F.when(F.col("n") == 1, "alias").when(F.col("n").isNull(), "no-candidate").otherwise("ambiguous")
+    return own.select("listing").join(found, "listing", "left").select("listing", F.coalesce("event", F.lit(-1)).cast("long").alias("event"), outcome.alias("outcome"))
 
 
 def _anytime(df):
     return df.withColumn("start_ms", F.lit(0).cast("long"))
 
 
-def _aliases(own, schedule):
-    found = M.resolve(_anytime(own), _anytime(schedule), DAY_MS)
-    outcome = F.when(F.col("n") == 1, "alias").when(F.col("n") == 0, "no-candidate").otherwise("ambiguous")
-    first = M.label_pairs(_anytime(own), _anytime(schedule), DAY_MS).groupBy("listing").agg(F.min("r_event").alias("first"))
-    return found.join(first, "listing", "left").select("listing", F.coalesce("first", F.lit(-1)).cast("long").alias("event"), outcome.alias("outcome"))
-
-
 @query("""WITH r AS (SELECT game AS event, provider, provider_rank % 2 AS rank, observed_ms AS updated_ms, snapshot_id % 5 AS sequence, snapshot_id AS token FROM quotes),
 o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY event, provider ORDER BY updated_ms DESC, sequence DESC, token DESC) = 1)
 SELECT event, provider, token FROM o QUALIFY row_number() OVER (PARTITION BY event ORDER BY rank DESC, updated_ms DESC, provider DESC) = 1""")

@@ -234,15 +234,10 @@ def current_snapshots(t):
     return current_quotes(t.quotes).select("snapshot_id", *MARKET, "selection", "book", "american", "observed_ms")
 
 
-@query("""WITH r AS (SELECT game, market, book, selection, count(*) AS n FROM quotes WHERE snapshot_id % 23 < 3 GROUP BY ALL), m AS (SELECT game, market, count(DISTINCT selection) NOT BETWEEN 2 AND 3 AS bad, max(n) > 1 AS twice FROM r GROUP BY ALL)
+@query("""WITH r AS (SELECT game, market, book, selection, count(*) AS n FROM quotes GROUP BY ALL), m AS (SELECT game, market, count(DISTINCT selection) NOT BETWEEN 2 AND 3 AS bad, max(n) > 1 AS twice FROM r GROUP BY ALL)
 SELECT game, market, array_to_string(list_filter([CASE WHEN bad THEN 'invalid-market' END, CASE WHEN twice THEN 'duplicate-sportsbook' END], lambda r: r IS NOT NULL), ',') AS issues, NOT bad AND NOT twice AS valid FROM m""")
 def market_validity(t):
-    """Of an eighth of the quotes, as its SQL has it; market_validity_whole has all."""
-    return C.market_validity(t.quotes.where("snapshot_id % 23 < 3")).withColumn("issues", F.array_join("issues", ","))
-
-
-@query()
-def market_validity_whole(t):
+    """A repeated price of a book, of which a history has many, is a duplicate."""
     return C.market_validity(t.quotes).withColumn("issues", F.array_join("issues", ","))
 
 

@@ -163,15 +163,9 @@ def promotion_gates(t):
     return P.promotion_gates(metrics, gates).select("metric", "operator", "passed")
 
 
-@query("""WITH w AS (SELECT account AS experiment, id AS name, created_ms AS from_ms, created_ms + (game % 9 - 1) * 86400000 AS until_ms FROM decisions WHERE account < 50)
+@query("""WITH w AS (SELECT account AS experiment, id AS name, created_ms AS from_ms, created_ms + (game % 9 - 1) * 86400000 AS until_ms FROM decisions)
 SELECT experiment, name, coalesce(CASE WHEN from_ms >= until_ms THEN 'window-order' WHEN from_ms < max(until_ms) OVER (PARTITION BY experiment ORDER BY from_ms, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'window-overlap' END, 'none') AS issue FROM w""")
 def experiment_windows(t):
-    """Of 50 accounts, as its SQL has it; experiment_windows_whole has all."""
-    return _windows(t.decisions.where("account < 50"))
-
-
-@query()
-def experiment_windows_whole(t):
     return _windows(t.decisions)
 
 
@@ -227,13 +221,16 @@ def ranked_opportunities(t):
     return R.ranked(_ranked(t), 20).select("id", "ev", "confidence", "bucket")
 
 
-@query("""SELECT id, ev FROM ranked r WHERE ev < (SELECT max(ev) FROM ranked) AND market = 'moneyline' AND ev >= -0.5 ORDER BY ev DESC, confidence DESC, freshness DESC, coverage DESC, id LIMIT 10""")
+_PAGED = "ev >= -0.5 AND market = 'moneyline'"
+
+
+@query(f"""WITH own AS (SELECT * FROM ranked WHERE {_PAGED}), placed AS (SELECT *, row_number() OVER (ORDER BY ev DESC, confidence DESC, freshness DESC, coverage DESC, id) AS place FROM own)
+SELECT id, ev FROM placed WHERE place > 5 ORDER BY place LIMIT 10""")
 def ranked_next_page(t):
-    """Keyset page: what comes after the best opportunity, under a filter."""
-    rows = _ranked(t)
-    top = rows.agg(F.max("ev").alias("top"))
-    after = rows.join(F.broadcast(top)).where("ev < top")
-    return R.ranked(R.filtered(after, market="moneyline", minimum_ev=-0.5), 10).select("id", "ev")
+    """Keyset page under a filter: the ten opportunities after the cursor, which is the last row of a first page of five."""
+    rows = R.filtered(_ranked(t), market="moneyline", minimum_ev=-0.5)
+    first = R.next_page(rows, 5).select(*R.RANK, "id").collect()  # a page, so five rows
+    return R.next_page(rows, 10, first[-1].asDict() if first else None).select("id", "ev")
 
 
 @query(f"""SELECT id, least(oldest + 14400 * 60000 + 1, start_ms) AS expires_ms FROM ranked JOIN (SELECT game, market, selection, least(observed_ms, o) AS oldest FROM current_quotes JOIN (SELECT game, market, min(observed_ms) AS o FROM current_quotes WHERE book <> 'hardrock' GROUP BY ALL) USING (game, market) WHERE book = 'hardrock') USING (game, market, selection) JOIN games USING (game)""")

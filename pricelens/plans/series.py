@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pricelens.functions.pricing import american_to_decimal, implied_probability
 from pricelens.operators import closing as X
 from pricelens.operators import movement as M
+from pricelens.operators.performance import median_of
 from pricelens.operators.latest import current_quotes, first_seen, latest_by, preferred
 from pricelens.plans.facts import NOW_MS
 from pricelens.plans.prices import dec, implied
@@ -43,16 +44,15 @@ def line_movement(t):
 @query(f"""SELECT game, market, selection, book, round(arg_max({implied('american')}, k) - arg_min({implied('american')}, k), 9) AS delta, round(arg_max({dec('american')}, k) - arg_min({dec('american')}, k), 9) AS decimal_delta,
   arg_max(american, k) - arg_min(american, k) AS american_delta FROM (SELECT *, struct_pack(a := observed_ms, b := retrieved_ms, c := snapshot_id) AS k FROM active_quotes) GROUP BY game, market, selection, book""")
 def movement_deltas(t):
-    p = M.change_of(t.quotes, implied_probability(F.col("american")))
-    d = M.change_of(t.quotes, american_to_decimal(F.col("american"))).withColumnRenamed("delta", "decimal_delta")
-    a = M.change_of(t.quotes, F.col("american")).withColumnRenamed("delta", "american_delta")
-    return p.join(d, SERIES).join(a, SERIES).withColumns({"delta": F.round("delta", 9), "decimal_delta": F.round("decimal_delta", 9)})
+    p, d = implied_probability(F.col("american")), american_to_decimal(F.col("american"))
+    own = M.change_of(t.quotes, delta=p, decimal_delta=d, american_delta=F.col("american"))
+    return own.withColumns({"delta": F.round("delta", 9), "decimal_delta": F.round("decimal_delta", 9)})
 
 
 @query(f"""WITH d AS (SELECT game, market, selection, book, arg_max({implied('american')}, k) - arg_min({implied('american')}, k) AS delta FROM (SELECT *, struct_pack(a := observed_ms, b := retrieved_ms, c := snapshot_id) AS k FROM active_quotes) GROUP BY ALL)
 SELECT market, book, count(*) AS series, round(avg(delta), 9) AS mean_delta FROM d WHERE book IN ('pinnacle', 'draftkings') GROUP BY ALL""")
 def movement_by_book(t):
-    d = M.change_of(t.quotes.where(F.col("book").isin("pinnacle", "draftkings")), implied_probability(F.col("american")))
+    d = M.change_of(t.quotes.where(F.col("book").isin("pinnacle", "draftkings")), delta=implied_probability(F.col("american")))
     return d.groupBy("market", "book").agg(F.count("*").alias("series"), F.round(F.avg("delta"), 9).alias("mean_delta"))
 
 
@@ -82,7 +82,7 @@ def _lined(df):
     return df.withColumn("line", F.coalesce(F.col("point").cast("string"), F.lit("-")))
 
 
-part("entries", """SELECT q.snapshot_id AS id, q.game, q.version, q.market, q.selection, q.book, q.point, CASE WHEN q.snapshot_id % 40 = 1 THEN NULL ELSE q.observed_ms + (q.snapshot_id % 8) * 7200000 END AS start_ms FROM quotes q WHERE q.snapshot_id % 4 = 1""")
+part("entries", """SELECT q.snapshot_id AS id, q.game, q.version, q.market, q.selection, q.book, q.point, CASE WHEN q.snapshot_id % 40 = 1 THEN NULL ELSE q.observed_ms + (q.snapshot_id % 8) * 7200000 END AS start_ms FROM quotes q""")
 
 
 @query("""WITH j AS (SELECT e.*, q.snapshot_id AS sid, q.american, q.observed_ms, q.state, q.book AS qbook, q.point AS qpoint FROM entries e LEFT JOIN quotes q ON q.game = e.game AND q.version = e.version AND q.market = e.market AND q.selection = e.selection),
@@ -91,19 +91,10 @@ SELECT id, arg_max(sid, struct_pack(a := observed_ms, b := sid)) FILTER (same AN
   CASE WHEN count(*) FILTER (same AND observed_ms <= start_ms AND observed_ms >= start_ms - 900000) > 0 THEN 'none' WHEN any_value(start_ms) IS NULL THEN 'legacy-scheduled-start-missing' WHEN bool_or(same AND observed_ms > start_ms) THEN 'closing-price-post-start' WHEN bool_or(same) THEN 'closing-price-stale'
     WHEN bool_or(qbook = book AND qpoint IS DISTINCT FROM point) THEN 'closing-line-changed' WHEN bool_or(qbook <> book) THEN 'closing-book-mismatch' ELSE 'closing-price-missing' END AS reason FROM k GROUP BY id""")
 def closing_selection(t):
-    """Of a quarter of the quotes, as its SQL has it; closing_selection_whole has all."""
-    return _closing(t.quotes, "snapshot_id % 4 = 1")
-
-
-@query()
-def closing_selection_whole(t):
-    return _closing(t.quotes, "true")
-
-
-def _closing(quotes, taken):
-    q = _lined(quotes)
+    """Every quote as an entry, with starts up to 14 hours later, or none."""
+    q = _lined(t.quotes)
     start = F.when(F.col("snapshot_id") % 40 != 1, F.col("observed_ms") + (F.col("snapshot_id") % 8) * 7200000)
-    entries = q.where(taken).select(F.col("snapshot_id").alias("id"), "game", "version", "market", "selection", "book", "line", start.alias("start_ms"))
+    entries = q.select(F.col("snapshot_id").alias("id"), "game", "version", "market", "selection", "book", "line", start.alias("start_ms"))
     return X.closing_prices(entries, q).select("id", "closing_snapshot_id", F.coalesce("reason", F.lit("none")).alias("reason"))
 
 
@@ -121,20 +112,24 @@ part("shut_fair", f"""SELECT *, anchored, CASE WHEN anchored THEN {implied('shar
 SELECT q.snapshot_id, CASE WHEN anchored THEN 'sharp-anchor' ELSE 'display-book' END AS source, round(fair, 9) AS closing_fair, round((fair * {dec('q.american')} - 1) * 100, 7) AS clv_percent
 FROM quotes q JOIN f USING (game, market, selection) WHERE q.book = 'hardrock' AND q.observed_ms <= f.captured_ms""")
 def market_closing_value(t):
+    return _market_clv(t).select("snapshot_id", "source", F.round("closing_fair", 9).alias("closing_fair"), F.round("clv_percent", 7).alias("clv_percent"))
+
+
+def _market_clv(t):
     now = current_quotes(t.quotes)
     of = lambda b: F.max(F.when(F.col("book") == b, F.col("american")))
     shut = now.groupBy("game", "market", "selection").agg(of("draftkings").alias("american"), of("pinnacle").alias("sharp"), F.max("observed_ms").alias("captured_ms")).where("american IS NOT NULL")
     entries = t.quotes.where("book = 'hardrock'").select("snapshot_id", "game", "market", "selection", "american", F.col("observed_ms").alias("at_ms"))
-    own = X.market_clv(entries, shut)
-    return own.select("snapshot_id", "source", F.round("closing_fair", 9).alias("closing_fair"), F.round("clv_percent", 7).alias("clv_percent"))
+    return X.market_clv(entries, shut)
 
 
 @query(f"""WITH f AS (SELECT *, p / sum(p) OVER (PARTITION BY game, market) AS fair FROM shut_fair QUALIFY count(*) OVER (PARTITION BY game, market) BETWEEN 2 AND 3)
 SELECT q.market, count(*) AS n, round(median((fair * {dec('q.american')} - 1) * 100), 7) AS median_clv, count(*) FILTER (fair * {dec('q.american')} - 1 > 0) AS positive
 FROM quotes q JOIN f USING (game, market, selection) WHERE q.book = 'hardrock' AND q.observed_ms <= f.captured_ms GROUP BY q.market""")
 def clv_summary(t):
-    own = market_closing_value(t).join(t.quotes.select("snapshot_id", "market"), "snapshot_id")
-    return own.groupBy("market").agg(F.count("*").alias("n"), F.round(F.percentile("clv_percent", 0.5), 7).alias("median_clv"), F.count_if(F.col("clv_percent") > 0).alias("positive"))
+    own = _market_clv(t).select("market", F.round("clv_percent", 7).alias("clv_percent"))
+    positive = own.groupBy("market").agg(F.count_if(F.col("clv_percent") > 0).alias("positive"))
+    return median_of(own, "market", "clv_percent").join(positive, "market").select("market", "n", F.round("median", 7).alias("median_clv"), "positive")
 
 
 @query("SELECT q.snapshot_id FROM quotes q JOIN games g USING (game) WHERE q.observed_ms BETWEEN g.start_ms - 7200000 AND g.start_ms + 172800000")

@@ -6,20 +6,21 @@ from pyspark.sql import functions as F
 
 from pricelens.plans.facts import NOW_MS, Tables, fact_sql
 from pricelens.plans.registry import part, query
-from pricelens.sources.bronze import odds_rules, parse_json, replay_census, with_reason
-from pricelens.sources.sinks import new_history
-from pricelens.sources.storage import VersionedTable, work_path
-from pricelens.streaming.lifecycle import fold, heads
-from pricelens.streaming.projection import project_current, read_table_stream
+from pricelens.sources.bronze import odds_rows, odds_rules, parse_json, replay_census, with_reason
+from pricelens.sources.sinks import new_history, write_boards
+from pricelens.sources.storage import work_path
+from pricelens.streaming.lifecycle import expired, fold, heads
+from pricelens.streaming.projection import land, project_current, read_current, read_table_stream
 
 
 @query("SELECT snapshot_id, game, market, selection, book, american, observed_ms FROM current_quotes")
 def stream_projection(t: Tables):
-    """The events as a stream, projected batch by batch; its end equals the batch result."""
-    stream = t.spark.sql(fact_sql("quotes", "spark"), events=read_table_stream(t.spark, f"{t.sf_dir}/events.parquet"))
-    table = VersionedTable(t.spark, work_path(t.spark, "current-quotes"))
-    project_current(stream, table, work_path(t.spark, "checkpoint")).awaitTermination()
-    return table.read().select("snapshot_id", "game", "market", "selection", "book", "american", "observed_ms")
+    """The events arrive in four files, each with old and new ones, a batch a file; the projection's end equals the batch result."""
+    path = {k: work_path(t.spark, f"projection-{k}") for k in ("events", "current", "checkpoint")}
+    t.events.repartition(4, F.pmod(F.xxhash64("event_id"), F.lit(4))).write.parquet(path["events"])
+    stream = t.spark.sql(fact_sql("quotes", "spark"), events=read_table_stream(t.spark, path["events"], 1))
+    project_current(stream, path["current"], path["checkpoint"]).awaitTermination()
+    return read_current(t.spark, path["current"]).select("snapshot_id", "game", "market", "selection", "book", "american", "observed_ms")
 
 
 part("raw_odds", """SELECT snapshot_id, CASE WHEN snapshot_id % 10 = 1 THEN '' ELSE CAST(game AS STRING) END AS event, CASE WHEN snapshot_id % 10 = 2 THEN 99 ELSE american END AS american, observed_ms,
@@ -50,18 +51,38 @@ def replay_outcomes(t: Tables):
     return replay_census(rows, "event", ["observed_ms", "snapshot_id"], "state")
 
 
-@query("""WITH s AS (SELECT snapshot_id, american FROM quotes WHERE snapshot_id % 3 = 0), b AS (SELECT snapshot_id, CASE WHEN snapshot_id % 9 = 0 AND snapshot_id % 6 = 0 THEN american + 1 ELSE american END AS american FROM quotes WHERE snapshot_id % 2 = 0)
+@query("""WITH s AS (SELECT snapshot_id, american FROM quotes WHERE provider <> 'gamma'), b AS (SELECT snapshot_id, CASE WHEN provider = 'beta' AND american > 150 THEN american + 1 ELSE american END AS american FROM quotes)
 SELECT b.snapshot_id, CASE WHEN s.snapshot_id IS NULL THEN 'append' WHEN s.american = b.american THEN 'existing' ELSE 'conflicts' END AS outcome FROM b LEFT JOIN s USING (snapshot_id)""")
 def history_append(t: Tables):
-    n = F.col("snapshot_id")
-    changed = F.when((n % 9 == 0) & (n % 6 == 0), F.col("american") + 1).otherwise(F.col("american"))
-    rows = t.quotes.select("snapshot_id", "american")
-    batch = rows.where(n % 2 == 0).withColumn("american", changed)
-    own = new_history(rows.where(n % 3 == 0), batch.union(batch), "snapshot_id", ["american"])
+    """All quotes arrive, twice, where those of two providers are stored; some of one provider's have another price now."""
+    changed = F.when((F.col("provider") == "beta") & (F.col("american") > 150), F.col("american") + 1).otherwise(F.col("american"))
+    batch = t.quotes.select("snapshot_id", changed.alias("american"))
+    own = new_history(t.quotes.where("provider <> 'gamma'").select("snapshot_id", "american"), batch.union(batch), "snapshot_id", ["american"])
     parts = [df.select("snapshot_id", F.lit(k).alias("outcome")) for k, df in own.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("""SELECT snapshot_id, CASE WHEN torn THEN 'malformed' WHEN event = '' THEN 'event-missing' WHEN abs(american) < 100 THEN 'odds-invalid' WHEN observed_ms > retrieved_ms THEN 'observed-after-retrieval' ELSE 'good' END AS reason FROM raw_odds""")
+def landed_rows(t: Tables):
+    """Raw rows as files, read as a stream, landed: good rows in one folder, the others with their reason in another."""
+    at = {k: work_path(t.spark, f"landing-{k}") for k in ("raw", "good", "bad", "checkpoint")}
+    _raw(t).write.parquet(at["raw"])
+    land(read_table_stream(t.spark, at["raw"], 2), lambda b: odds_rows(b, "body"), at["good"], at["bad"], at["checkpoint"]).awaitTermination()
+    good = t.spark.read.parquet(at["good"]).select("snapshot_id", F.lit("good").alias("reason"))
+    return good.unionByName(t.spark.read.parquet(at["bad"]).select("snapshot_id", "reason"))
+
+
+@query("""SELECT game, sport, league, status, strftime(make_timestamp(start_ms * 1000), '%Y%m%d') AS day FROM games""")
+def board_sink(t: Tables):
+    """Games written as one folder per board, twice, and read back: the second write replaces what the first left."""
+    path = work_path(t.spark, "boards")
+    day = F.date_format(F.timestamp_millis("start_ms"), "yyyyMMdd")
+    games = t.games.select("game", "start_ms", "sport", "league", "status", day.alias("day"))
+    write_boards(games.where("status <> 'unknown'"), path)
+    write_boards(games, path)
+    return t.spark.read.schema(games.schema).parquet(path).select("game", "sport", "league", "status", "day")
+
+
 def _commands(t):
     n = F.col("event_id")
     states = F.array(*map(F.lit, ("active", "active", "stale", "suspended", "disqualified", "active", "closed")))
@@ -80,3 +101,11 @@ def lifecycle_fold(t: Tables):
 @query()
 def lifecycle_heads(t: Tables):
     return heads(fold(_commands(t)))
+
+
+@query(f"""WITH x AS (SELECT user_id, arg_max(event_id, event_id) AS n, arg_max(value, event_id) AS v FROM events GROUP BY user_id), h AS (SELECT CAST(user_id AS STRING) AS key, n, list_extract(['active', 'active', 'stale', 'suspended', 'disqualified', 'active', 'closed'], CAST(floor(v) AS BIGINT) % 7 + 1) AS state FROM x)
+SELECT key, 'sweep:' || key || ':{NOW_MS}' AS command, 'stale' AS state FROM h WHERE state = 'active' AND n % 3 = 0""")
+def expiration_sweep(t: Tables):
+    """Heads whose expiry has come, as commands; here a key's head is its last command."""
+    last = _commands(t).groupBy("key").agg(F.max_by(F.struct("state", "expires_ms"), "seq").alias("h")).select("key", "h.*")
+    return expired(last, NOW_MS).select("key", "command", "state")

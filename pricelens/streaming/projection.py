@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens.operators.latest import QUOTE_KEY, current_quotes
-from pricelens.sources.storage import VersionedTable
 
 
 def read_table_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -18,20 +17,30 @@ def read_table_stream(spark: SparkSession, path: str, files_per_batch: int = 100
     return reader.parquet(path)
 
 
-def project_current(quotes: DataFrame, table: VersionedTable, checkpoint: str, keys=QUOTE_KEY):
-    """Keep the current quote of each cell in a versioned table; returns the started query, which ends with its input.
+def project_current(quotes: DataFrame, path: str, checkpoint: str, keys=QUOTE_KEY):
+    """Keep the current quote of each cell; returns the started query, which ends with its input.
 
-    Each batch is reduced to its own current rows before it meets the stored ones. The order is that of observation, rank
-    and id, so an older row arriving late changes nothing and is never dropped by a watermark. A batch that is repeated
-    after a failure reads the version before it and writes its own again, so the result is the same.
+    Spark's state store holds each cell's last quote by observation, rank and id, so an older row arriving late changes
+    nothing and no watermark drops it. A batch writes the cells that it touched to a folder of its number, and no others;
+    repeated after a failure, it writes the same folder again. read_current gives the table.
     """
+    order = ("observed_ms", "provider_rank", "snapshot_id")
+    latest = quotes.groupBy(*keys).agg(F.max(F.struct(*order, F.struct(*quotes.columns).alias("row"))).alias("last")).select("last.row.*")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return latest.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_current(spark: SparkSession, path: str, keys=QUOTE_KEY) -> DataFrame:
+    """The current quotes: of all batches' cells the last ones."""
+    return current_quotes(spark.read.parquet(path).drop("batch"), keys)
 
-    def advance(batch: DataFrame, number: int) -> None:
-        own = current_quotes(batch, keys)
-        stored = table.read(before=number)
-        table.write(own if stored is None else current_quotes(stored.unionByName(own), keys), number)
 
-    return quotes.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def compact_current(spark: SparkSession, path: str, into: str, keys=QUOTE_KEY) -> None:
+    """The current quotes as batch -1 of another folder, for a projection that has run long; later batches are written there."""
+    read_current(spark, path, keys).write.mode("overwrite").parquet(f"{into}/batch=-1")
 
 
 def land(raw: DataFrame, judge, path: str, quarantine: str, checkpoint: str):

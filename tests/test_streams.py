@@ -15,16 +15,20 @@ SCHEMA = "game long, market string, selection string, book string, observed_ms l
 def test_projection_with_late_rows(spark, tmp_path):
     rng = random.Random(1)
     rows = [(rng.randint(0, 4), "m", "h", rng.choice("ab"), rng.randint(0, 100), 0, k, 100 + k) for k in range(400)]
-    table = VersionedTable(spark, str(tmp_path / "current"))
+    current = str(tmp_path / "current")
     for k in range(4):  # four files arrive one after the other, with old and new observations mixed
         spark.createDataFrame(rows[100 * k : 100 * k + 100], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = projection.read_table_stream(spark, str(tmp_path / "in"), files_per_batch=1)
-        projection.project_current(stream, table, str(tmp_path / "check")).awaitTermination()
-    want = current_quotes(spark.createDataFrame(rows, SCHEMA))
-    assert sorted(map(tuple, table.read().collect())) == sorted(map(tuple, want.collect()))
-    before = table.versions()
-    projection.project_current(projection.read_table_stream(spark, str(tmp_path / "in")), table, str(tmp_path / "check")).awaitTermination()
-    assert table.versions() == before  # nothing new, nothing written
+        projection.project_current(stream, current, str(tmp_path / "check")).awaitTermination()
+    want = sorted(map(tuple, current_quotes(spark.createDataFrame(rows, SCHEMA)).collect()))
+    assert sorted(map(tuple, projection.read_current(spark, current).collect())) == want
+    cells = len({r[:4] for r in rows})
+    assert all(spark.read.parquet(f"{current}/batch={k}").count() <= cells for k in range(4))
+    before = spark.read.parquet(current).count()
+    projection.project_current(projection.read_table_stream(spark, str(tmp_path / "in")), current, str(tmp_path / "check")).awaitTermination()
+    assert spark.read.parquet(current).count() == before  # nothing new, nothing written
+    projection.compact_current(spark, current, str(tmp_path / "compact"))
+    assert sorted(map(tuple, projection.read_current(spark, str(tmp_path / "compact")).collect())) == want
 
 
 def commands(rng, n=300):
