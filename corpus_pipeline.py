@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 from pricelens.llm.common import table, work_path
 from pricelens.llm.line_runs import line_dedup
 from pricelens.llm.packing import pack_documents
-from pricelens.llm.quality_pu import QualityModel
+from pricelens.llm.quality_pu import keep_quality
 from pricelens.llm.simhash_cover import drop_near_duplicates
 from pricelens.llm.source_mix import mix
 
 
-def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; it scores each text where the row is."""
-    model, _ = QualityModel.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    return docs.where(model.score(F.col("text")) >= 0.5)
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return keep_quality(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +44,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality", keep_quality),
+    ("quality", keep_good),
     ("line_dedup", drop_lines),
     ("near_duplicates", drop_copies),
     ("mix", mix_sources),

@@ -201,6 +201,41 @@ def test_quality_of_odd_rows(spark, docs, rows, nothing):
     assert {r["score"] for r in unlabelled} == {0.5}
 
 
+def two_classes(spark, n, good):
+    """n texts, a share `good` of prose, the rest symbols and shouting."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    prose = lambda: ". ".join(" ".join(word() for _ in range(9)).capitalize() for _ in range(rng.randrange(2, 9))) + "."
+    junk = lambda: " ".join(rng.choice(["$$$", "BUY!!", "###", "WIN", "click", "100%"]) for _ in range(rng.randrange(10, 90)))
+    rows = [(k, prose() if rng.random() < good else junk()) for k in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4), {k: int(t[-1] == ".") for k, t in rows}
+
+
+@pytest.mark.parametrize("good", [0.25, 0.8])
+def test_prior_comes_from_positives_and_unlabelled(spark, good):
+    """The prior is near the truth though no label 0 is known, above and below one half, and held-out documents are told apart."""
+    docs, truth = two_classes(spark, 900, good)
+    known = spark.createDataFrame([(k, 1) for k, y in truth.items() if y and k % 3 == 0], "doc_id long, quality int")
+    x = docs.select("doc_id", quality_pu.feature_column(F.col("text")).alias("x")).cache()
+    model = quality_pu.QualityModel.train(x, known)
+    print(model.prior, sum(truth.values()) / len(truth))
+    assert abs(model.prior - sum(truth.values()) / len(truth)) <= 0.12
+    got = {r[0]: r[1] for r in x.select("doc_id", model.score(F.col("x"))).collect()}
+    assert sum((got[k] >= 0.5) == bool(y) for k, y in truth.items()) >= 0.95 * len(truth)
+
+
+def test_few_positives(spark):
+    """Forty trusted positives are enough to reject junk; of five, and of none, the stage drops no good document, however low the prior."""
+    docs, truth = two_classes(spark, 400, 0.3)
+    positives = [(k, 1) for k, y in truth.items() if y and zlib.crc32(str(k).encode()) % 3 != 1]
+    for n in (40, 5, 0):
+        labels = spark.createDataFrame(positives[:n], "doc_id long, quality int")
+        kept = {r["doc_id"] for r in quality_pu.keep_quality(docs, labels).collect()}
+        good, bad = (sum(k in kept for k, y in truth.items() if y == x) for x in (1, 0))
+        print(n, good, bad, sum(truth.values()))
+        assert good >= 0.98 * sum(truth.values()) and (bad <= 20 if n == 40 else len(kept) == 400 or n)
+
+
 def test_labels_of_the_fold_are_not_learnt(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     flipped = labels.withColumn("quality", F.when(quality_pu.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))

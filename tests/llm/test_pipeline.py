@@ -37,7 +37,7 @@ def test_quality_rejects_junk_only(spark):
     """On 1000 documents; 200 have too few trusted positives for a model that rejects anything."""
     folder = SF.replace("0.001", "0.01")
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    kept = {r["doc_id"] for r in corpus_pipeline.keep_quality(spark, docs, folder).select("doc_id").collect()}
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_good(spark, docs, folder).select("doc_id").collect()}
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     good, bad = [i for i, y in labels.items() if y], [i for i, y in labels.items() if not y]
     assert len(kept.intersection(good)) >= 0.97 * len(good) and len(kept.intersection(bad)) <= 0.1 * len(bad)
