@@ -5,7 +5,9 @@ text, digest, caption). Media live apart, content-addressed: a reference names t
 on that digest resolves it, after which the array is put back in order, so positions and captions stay aligned. Only the
 columns asked for join; features of payloads are computed where the store is read, so payloads need not shuffle.
 
-The stored form is a PGM image: a header with the height, then 64 samples of 8 bits a row.
+The stored form is a PGM image: a header with the height, then 64 samples of 8 bits a row. A document stands for its text
+as one such image and, block by block of 64 rows, a thumbnail of one row, the mean of the block's rows; between them run
+texts that name the bytes of the block. A long text is so a long sequence of texts and media.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -49,6 +50,20 @@ def padded(text: bytes) -> bytes:
     return text + bytes(max(ROW, -(-len(text) // ROW) * ROW) - len(text))
 
 
+def thumbnails(payload: bytes) -> list[bytes]:
+    """Per block of 64 rows an image of its mean row; the last block may be lower."""
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
+    return [to_media(rows[k : k + ROW].mean(axis=0).astype(np.uint8).tobytes()) for k in range(0, len(rows), ROW)]
+
+
+def page_of(text: bytes, digest: str, thumbs: list[str]) -> str:
+    """The HTML that shows a text's image, then its blocks in order with their thumbnails."""
+    figure = lambda d, caption: f'<figure><img src="{SCHEME}{d}"><figcaption>{caption}</figcaption></figure>'
+    block = ROW * ROW
+    shown = [f"<p>bytes {k * block} to {min((k + 1) * block, len(text))}</p>{figure(d, f'block {k}')}" for k, d in enumerate(thumbs)]
+    return f"<article><h1>{text.count(b'\n') + 1} lines</h1>{figure(digest, f'{len(text)} bytes')}{''.join(shown)}</article>"
+
+
 class _Sequence(HTMLParser):
     """Text runs and media references in document order; a figure's caption goes to its media, scripts and styles go."""
 
@@ -147,24 +162,24 @@ def feature(payload: bytes) -> str:
 
 
 def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write each text as media and as an HTML document that refers to it; returns the stored table (doc_id, n_bytes, html, digest, media)."""
+    """Write each text as media and as an HTML document that refers to them; returns the stored table (doc_id, html, media:
+    an array of digest and data, that of the whole text first)."""
     bounded_batches(docs.sparkSession)
+    kind = pa.list_(pa.struct([("digest", pa.string()), ("data", pa.binary())]))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, html, digests, stored = [], [], [], []
+            html, stored = [], []
             for x in batch.column("text").cast(pa.binary()):
                 own = x.as_py() or b""
-                media = to_media(padded(own))
-                digest = hashlib.sha256(media).hexdigest()
-                head = escape(own[:40].decode(errors="ignore").split("\n")[0])
-                html.append(f'<article><h1>{head}</h1><figure><img src="{SCHEME}{digest}"><figcaption>{len(own)} bytes</figcaption></figure></article>')
-                sizes.append(len(own)), digests.append(digest), stored.append(media)
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(html), pa.array(digests), pa.array(stored, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "html", "digest", "media"])
+                payload = padded(own)
+                media = [{"digest": hashlib.sha256(m).hexdigest(), "data": m} for m in (to_media(payload), *thumbnails(payload))]
+                html.append(page_of(own, media[0]["digest"], [m["digest"] for m in media[1:]]))
+                stored.append(media)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(html, pa.string()), pa.array(stored, kind)], ["doc_id", "html", "media"])
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return materialize(own.mapInArrow(store, "doc_id long, n_bytes long, html string, digest string, media binary"), "media", "zstd")
+    return materialize(own.mapInArrow(store, "doc_id long, html string, media array<struct<digest: string, data: binary>>"), "media", "zstd")
 
 
 def payload_features(media: DataFrame) -> DataFrame:
@@ -187,7 +202,7 @@ def payload_features(media: DataFrame) -> DataFrame:
 
 
 def media_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: its text as a stored medium, referred to by an HTML sequence, parsed, resolved, read back.
+    """One row per row of docs: its text as stored media, referred to by an HTML sequence, parsed, resolved, read back.
 
     Returns doc_id and items, each with what its medium's payload shows. Null and empty texts are 64 bytes 0. Equal texts
     have equal values and share a digest. Repeated rows give repeated results; an empty table gives no rows. Only id and
@@ -196,14 +211,17 @@ def media_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     stored = store_texts(docs, doc_id, text)
     parsed = sequences(stored.select("doc_id", "html"), "doc_id", "html")
     # a table of its own, so that the join has shuffles on both sides and a digest of many copies can be split
-    shown = materialize(payload_features(stored.select("digest", "media")), "media-features")
+    shown = materialize(payload_features(stored.select(F.inline("media").alias("digest", "media"))), "media-features")
     return resolve(parsed, shown, "doc_id", *SHOWN)
 
 
 def op6_media_columns(spark, sf_dir: str) -> DataFrame:
+    """The whole text's medium, which comes first; the feature also tells the number of blocks and, as a checksum, every
+    item of the sequence in order: position, text or caption, and what the medium was read back as."""
     whole = media_documents(table(spark, sf_dir, "documents"))
-    medium = F.filter("items", lambda x: x["kind"] == "media")[0]
-    own = whole.select("doc_id", medium.alias("m"))
+    media = F.filter("items", lambda x: x["kind"] == "media")
+    shown = F.transform("items", lambda x: F.concat_ws(":", x["position"], x["kind"], F.coalesce(x["text"], x["caption"]), x["payload_sha256"]))
+    own = whole.select("doc_id", media[0].alias("m"), (F.size(media) - 1).alias("blocks"), F.crc32(F.array_join(shown, ",").cast("binary")).alias("order"))
     n_bytes = F.regexp_extract("m.caption", "^([0-9]+) bytes$", 1).cast("long").alias("n_bytes")
-    feature_of = F.concat(F.lit("at="), F.col("m.position").cast("string"), F.lit(";"), F.col("m.feature")).alias("feature")
+    feature_of = F.concat_ws(";", F.concat(F.lit("at="), "m.position"), "m.feature", F.concat(F.lit("blocks="), "blocks"), F.concat(F.lit("order="), "order")).alias("feature")
     return own.select("doc_id", n_bytes, *[f"m.{c}" for c in SHOWN[:-1]], feature_of)

@@ -102,7 +102,7 @@ def test_the_level_chosen_is_the_best():
 
 
 def test_media(docs, rows, nothing):
-    stored = interleaved.store_texts(docs).select("doc_id", "media").collect()
+    stored = interleaved.store_texts(docs).select("doc_id", F.col("media")[0]["data"].alias("media")).collect()
     texts = Counter((i, (t or "").encode()) for i, t in rows)
     back = Counter((r["doc_id"], interleaved.from_media(bytes(r["media"])).rstrip(b"\0")) for r in stored)
     assert back == texts
@@ -114,6 +114,19 @@ def test_media(docs, rows, nothing):
         want[i, f"{len(own)} bytes", len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])] += 1
     assert Counter((r["doc_id"], r["caption"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == want
     assert interleaved.media_documents(nothing).count() == 0
+    whole = Counter()
+    for i, t in rows:  # every block's text and thumbnail, in order, with its own caption
+        own = (t or "").encode()
+        payload = interleaved.padded(own)
+        texts = [f"{own.count(10) + 1} lines", *[f"bytes {a} to {min(a + 4096, len(own))}" for a in range(0, len(payload), 4096)]]
+        thumbs = [hashlib.sha256(interleaved.from_media(m)).hexdigest() for m in interleaved.thumbnails(payload)]
+        media = list(zip([f"{len(own)} bytes", *[f"block {k}" for k in range(len(thumbs))]], [hashlib.sha256(payload).hexdigest(), *thumbs]))
+        whole[i, tuple(x for pair in zip(texts, media) for x in pair)] += 1
+    found = Counter()
+    for r in interleaved.media_documents(docs).collect():
+        assert [x["position"] for x in r["items"]] == list(range(len(r["items"])))
+        found[r["doc_id"], tuple(x["text"] if x["kind"] == "text" else (x["caption"], x["payload_sha256"]) for x in r["items"])] += 1
+    assert found == whole and max(len(x) for _, x in whole) > 40
 
 
 def test_sequences_stay_aligned(spark):
