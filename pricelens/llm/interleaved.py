@@ -28,7 +28,7 @@ ROW = 64
 ITEM = "struct<position: int, kind: string, text: string, digest: string, caption: string>"
 ITEM_TYPE = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
 SCHEME = "sha256:"
-SHOWN = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+SHOWN = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature")
 
 
 def to_media(payload: bytes) -> bytes:
@@ -135,14 +135,14 @@ def sequences(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def resolve(parsed: DataFrame, media: DataFrame, key: str, *columns: str) -> DataFrame:
-    """parsed (key, items), media (digest, ...), a row per digest: (key, items) with columns of media added to each item.
+    """parsed (key, items), media (digest as 32 bytes, ...), a row per digest: (key, items) with columns of media added to each item.
 
     References that media lacks, and text, get nulls; order, positions and captions stay. Sequences are told apart by row,
     so equal keys don't mix. One sequence's items meet in one task, as they did before. A digest that very many documents
     refer to joins by an inner join, which adaptive execution splits.
     """
     numbered = materialize(parsed.withColumn("row", F.monotonically_increasing_id()), "sequences")
-    refs = numbered.select("row", F.explode("items").alias("item")).where("item.digest IS NOT NULL").select("row", "item.position", F.col("item.digest").alias("digest"))
+    refs = numbered.select("row", F.explode("items").alias("item")).where("item.digest IS NOT NULL").select("row", "item.position", F.try_to_binary("item.digest", F.lit("hex")).alias("digest"))
     found = refs.join(media.select("digest", F.struct(*columns).alias("media")), "digest")
     by_row = found.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("position", "media"))).alias("resolved"))
     fields = [x.split(":")[0].strip() for x in ITEM.removeprefix("struct<").removesuffix(">").split(",")]
@@ -183,21 +183,26 @@ def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def payload_features(media: DataFrame) -> DataFrame:
-    """media (digest, media) read back: a row per digest with what its payload and stored form show."""
+    """media (digest, media) read back: a row per digest with what its payload shows.
+
+    Hashes are 32 bytes here, half of what they are as text, for they are most of what shuffles. The digest is that of the
+    stored form as read; a medium that doesn't have the digest it is stored under is an error.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for digest, x in zip(batch.column("digest").to_pylist(), batch.column("media")):
+            for named, x in zip(batch.column("digest").to_pylist(), batch.column("media")):
                 stored = x.as_py()
-                payload = from_media(stored)
-                rows.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(payload)))
-            names = ["digest", *SHOWN]
-            types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    found = media.mapInArrow(read, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+                payload, digest = from_media(stored), hashlib.sha256(stored)
+                if digest.hexdigest() != named:
+                    raise ValueError(f"medium {named} has changed")
+                rows.append((digest.digest(), len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-ROW:]), len(stored), feature(payload)))
+            types = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)]
+            yield pa.RecordBatch.from_arrays(columns, ["digest", *SHOWN])
+
+    found = media.mapInArrow(read, "digest binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, feature string")
     return found.groupBy("digest").agg(F.max(F.struct(*SHOWN)).alias("own")).select("digest", "own.*")
 
 
@@ -220,8 +225,9 @@ def op6_media_columns(spark, sf_dir: str) -> DataFrame:
     item of the sequence in order: position, text or caption, and what the medium was read back as."""
     whole = media_documents(table(spark, sf_dir, "documents"))
     media = F.filter("items", lambda x: x["kind"] == "media")
-    shown = F.transform("items", lambda x: F.concat_ws(":", x["position"], x["kind"], F.coalesce(x["text"], x["caption"]), x["payload_sha256"]))
+    shown = F.transform("items", lambda x: F.concat_ws(":", x["position"], x["kind"], F.coalesce(x["text"], x["caption"]), F.hex(x["payload_sha256"])))
     own = whole.select("doc_id", media[0].alias("m"), (F.size(media) - 1).alias("blocks"), F.crc32(F.array_join(shown, ",").cast("binary")).alias("order"))
     n_bytes = F.regexp_extract("m.caption", "^([0-9]+) bytes$", 1).cast("long").alias("n_bytes")
     feature_of = F.concat_ws(";", F.concat(F.lit("at="), "m.position"), "m.feature", F.concat(F.lit("blocks="), "blocks"), F.concat(F.lit("order="), "order")).alias("feature")
-    return own.select("doc_id", n_bytes, *[f"m.{c}" for c in SHOWN[:-1]], feature_of)
+    sha = F.lower(F.hex("m.payload_sha256")).alias("payload_sha256")
+    return own.select("doc_id", n_bytes, "m.payload_bytes", sha, "m.tail_crc32", "m.media_bytes", F.col("m.digest").alias("media_sha256"), feature_of)

@@ -112,7 +112,7 @@ def test_media(docs, rows, nothing):
         own = (t or "").encode()
         payload = own + bytes(max(64, -(-len(own) // 64) * 64) - len(own))
         want[i, f"{len(own)} bytes", len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])] += 1
-    assert Counter((r["doc_id"], r["caption"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == want
+    assert Counter((r["doc_id"], r["caption"], r["payload_bytes"], r["payload_sha256"].hex(), r["tail_crc32"]) for r in got) == want
     assert interleaved.media_documents(nothing).count() == 0
     whole = Counter()
     for i, t in rows:  # every block's text and thumbnail, in order, with its own caption
@@ -125,14 +125,14 @@ def test_media(docs, rows, nothing):
     found = Counter()
     for r in interleaved.media_documents(docs).collect():
         assert [x["position"] for x in r["items"]] == list(range(len(r["items"])))
-        found[r["doc_id"], tuple(x["text"] if x["kind"] == "text" else (x["caption"], x["payload_sha256"]) for x in r["items"])] += 1
+        found[r["doc_id"], tuple(x["text"] if x["kind"] == "text" else (x["caption"], x["payload_sha256"].hex()) for x in r["items"])] += 1
     assert found == whole and max(len(x) for _, x in whole) > 40
 
 
 def test_sequences_stay_aligned(spark):
     html = '<p>first</p><figure><img src="sha256:aa"><figcaption>cap A</figcaption></figure>tail <b>bold</b><img src="http://x/y" alt="far"><script>no()</script><p>end<img src="sha256:bb">'
     pages = spark.createDataFrame([(1, html), (1, html), (2, None), (3, "")], "page long, html string")
-    media = spark.createDataFrame([("aa", 10), ("cc", 30)], "digest string, width int")
+    media = spark.createDataFrame([(b"\xaa", 10), (b"\xcc", 30)], "digest binary, width int")
     got = interleaved.resolve(interleaved.sequences(pages, "page", "html"), media, "page", "width").collect()
     want = [(0, "text", "first", None, None, None), (1, "media", None, "aa", "cap A", 10), (2, "text", "tail bold", None, None, None), (3, "media", None, None, "far", None), (4, "text", "end", None, None, None), (5, "media", None, "bb", None, None)]
     assert sorted((r["page"], [tuple(x) for x in r["items"]]) for r in got) == [(1, want), (1, want), (2, []), (3, [])]
