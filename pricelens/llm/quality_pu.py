@@ -246,7 +246,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     Features are computed once, in a table beside the rows, for training and for the scores alike.
     """
     bounded_batches(docs.sparkSession)
-    wide = materialize(docs.withColumn("__x", feature_column(F.col(text))), "quality-documents")
+    wide = materialize(docs.withColumn("__x", feature_column(F.col(text))), "quality-documents", "zstd")
     model = QualityModel.train(wide.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("__x").alias("x")), labels)
     return (wide if model.constant else wide.where(model.score(F.col("__x")) >= 0.5)).select(docs.columns)
 

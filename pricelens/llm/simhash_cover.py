@@ -220,7 +220,7 @@ def drop_near_duplicates(
     size, is broadcast: rows that it clears pass straight through, only the others shuffle to be compared by number.
     """
     bounded_batches(docs.sparkSession)
-    numbered = materialize(docs.withColumns({"__row": F.monotonically_increasing_id(), "__fp": fingerprints(F.col(text), shingle, seed)}), "simhash-numbered")
+    numbered = materialize(docs.withColumns({"__row": F.monotonically_increasing_id(), "__fp": fingerprints(F.col(text), shingle, seed)}), "simhash-numbered", "zstd")
     own = numbered.select(F.col("__fp").alias("fp"), F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).cast("long").alias("id"), F.col("__row").alias("row")).alias("at"))
     found = classes(own, F.col("at"), max_run, radius)
     dropped = materialize(own.join(found, "fp").where("at.row <> first.row").select(F.col("at.row").alias("__row")), "simhash-dropped")

@@ -168,7 +168,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
     Rows are numbered in a written table, and their copies are joined by that number; the texts shuffle once.
     """
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-numbered")
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-numbered", "zstd")
     copies = mix_copies(numbered, doc_id=doc_id, text=text, source=source, row=F.col("__row"), **options)
     taken = copies.where("copies > 0").select(F.col("row").alias("__taken"), "copies")
     return (
