@@ -282,9 +282,11 @@ def fuzzy_labels(t):
     """
     parts = {c: T.fuzzy_parts(F.col(c)) for c in ("home", "away")}
     pairs = M.near_in_time(t.listings.withColumns(parts), t.schedule.withColumns(parts), ["sport"], "start_ms", "start_ms", 3_600_000)
-    hits = pairs.select("listing", "r_event", "start_ms", "r_start_ms", *[T.fuzzy_parts_match(F.col(a), F.col(f"r_{b}")).alias(a[0] + b[0]) for a in parts for b in parts])
-    own = hits.where(M.sides_found("hh", "ha", "ah", "aa", F.abs(F.col("start_ms") - F.col("r_start_ms")) <= TOLERANCE))
-    found = own.groupBy("listing").agg(F.count_distinct("r_event").alias("n"), F.min("r_event").alias("event"))
+    near = F.abs(F.col("start_ms") - F.col("r_start_ms")) <= TOLERANCE
+    marked = pairs.select("listing", "r_event", near.alias("near"), *[T.fuzzy_parts_match(F.col(a), F.col(f"r_{b}")).alias(a[0] + b[0]) for a in parts for b in parts])
+    # a filter on the four marks would move below them and compare the labels again for each mention of a mark
+    hit = F.when(M.sides_found("hh", "ha", "ah", "aa", F.col("near")), F.col("r_event"))
+    found = marked.groupBy("listing").agg(F.count_distinct(hit).alias("n"), F.min(hit).alias("event"))
     both = t.listings.select("listing").join(found, "listing", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return both.select("listing", "n", F.when(F.col("n") == 1, F.col("event")).alias("event"))
 
