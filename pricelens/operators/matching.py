@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricelens.functions.pricing import first_reason
 from pricelens.functions.text import folded, words_match
 
 
@@ -52,6 +53,36 @@ def resolve(listings: DataFrame, schedule: DataFrame, tolerance_ms: int) -> Data
     return own.select("listing", "n", kind.alias("class"), F.when(F.col("n") == 1, F.col("event")).alias("event"), F.when(F.col("n") == 1, F.col("reversed")).alias("reversed"))
 
 
+def withdrawn(
+    games: DataFrame, schedule: DataFrame, now_ms: int, tolerance_ms: int = 15 * 60_000, grace_ms: int = 15 * 60_000, witness_ms: int = 90 * 60_000
+) -> DataFrame:
+    """games with reason: why a game leaves its board, null if it stays.
+
+    Only scheduled games that the schedule doesn't list within the tolerance can go. One whose pair of labels another game
+    of the board has that is listed goes (vouched-sibling). Without split coverage a future one goes (future-no-witness)
+    and one that may be in play stays. With coverage a game goes if its own last split is old (witness-silent), but only
+    while some game of the board has a fresh one: a silent feed tells nothing.
+
+    games: rows (listing, sport, status, home, away, start_ms, splits_expected, witness_ms), the board being the sport.
+    """
+    label = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    pair = {"__one": F.least(label("home"), label("away")), "__two": F.greatest(label("home"), label("away"))}
+    listed = label_pairs(games.select("listing", "sport", "home", "away", "start_ms"), schedule, tolerance_ms).select("listing").distinct()
+    own = games.withColumns(pair).join(listed.withColumn("__listed", F.lit(True)), "listing", "left")
+    siblings = own.where("__listed").select("sport", *pair).distinct().withColumn("__sibling", F.lit(True))
+    fresh = F.coalesce(F.lit(now_ms) - F.col("witness_ms") <= witness_ms, F.lit(False))
+    feeds = games.groupBy("sport").agg(F.max(fresh).alias("__heard"))
+    expected = F.coalesce("splits_expected", F.lit(False))
+    why = first_reason(
+        (F.col("__sibling").isNotNull(), "vouched-sibling"),
+        (~expected & (F.col("start_ms") > now_ms + grace_ms), "future-no-witness"),
+        (expected & F.col("__heard") & ~fresh, "witness-silent"),
+    )
+    judged = own.join(siblings, ["sport", *pair], "left").join(feeds, "sport", "left")
+    reason = F.when((F.col("status") == "scheduled") & F.col("__listed").isNull(), why)
+    return judged.select(*games.columns, reason.alias("reason"))
+
+
 def sides_found(hh: str, ha: str, ah: str, aa: str, one_is_enough: Column) -> Column:
     """Whether two labels tell which side of an event each is: hh says that home matches home, ha that home matches away, and so on."""
     home, away = F.col(hh) != F.col(ha), F.col(ah) != F.col(aa)

@@ -13,6 +13,8 @@ from pricelens.plans.prices import dec, implied
 from pricelens.plans.registry import part, query
 
 TOLERANCE = 15 * 60_000
+#: 2024-01-16, in the middle of the schedule.
+MIDDLE_MS = FIRST_MS + 15 * DAY_MS
 PLAIN = f"translate({{0}}, '{T.DIACRITICS}', '{T.PLAIN_LETTERS}')"
 
 
@@ -221,6 +223,29 @@ def withdrawn_listings(t):
     return t.listings.join(vouched, "listing", "left_anti").select("listing")
 
 
+part("board_entries", f"""SELECT l.listing, l.sport, CASE WHEN l.listing % 7 = 0 THEN 'started' ELSE 'scheduled' END AS status, l.home, l.away, l.start_ms,
+  l.sport NOT IN ('ASIA', 'AFRICA') AS splits_expected, CASE WHEN l.sport = 'EUROPE' THEN w.at - 7200000 ELSE w.at END AS witness_ms
+  FROM listings l LEFT JOIN (SELECT game, max(retrieved_ms) AS at FROM splits WHERE retrieved_ms <= {MIDDLE_MS} GROUP BY game) w ON w.game = l.listing % 40""")
+part("entries_listed", f"SELECT DISTINCT p.listing FROM pairs p JOIN schedule s USING (event) WHERE (straight OR turned) AND abs(p.start_ms - s.start_ms) <= {TOLERANCE}")
+part("entry_pairs", "SELECT listing, least(lower(trim(home)), lower(trim(away))) AS one, greatest(lower(trim(home)), lower(trim(away))) AS two FROM listings")
+
+
+@query(f"""WITH siblings AS (SELECT DISTINCT sport, one, two FROM board_entries JOIN entry_pairs USING (listing) JOIN entries_listed USING (listing)),
+feeds AS (SELECT sport, max(coalesce({MIDDLE_MS} - witness_ms <= 5400000, false)) AS heard FROM board_entries GROUP BY sport)
+SELECT b.listing, CASE WHEN status <> 'scheduled' OR v.listing IS NOT NULL THEN NULL WHEN s.one IS NOT NULL THEN 'vouched-sibling'
+  WHEN NOT splits_expected AND b.start_ms > {MIDDLE_MS} + 900000 THEN 'future-no-witness' WHEN splits_expected AND heard AND coalesce({MIDDLE_MS} - witness_ms > 5400000, true) THEN 'witness-silent' END AS reason
+FROM board_entries b JOIN entry_pairs e USING (listing) LEFT JOIN entries_listed v USING (listing) LEFT JOIN siblings s ON s.sport = b.sport AND s.one = e.one AND s.two = e.two JOIN feeds f ON f.sport = b.sport""")
+def withdrawn_games(t):
+    """Every listing as of the middle of the month with the reason why it leaves the board, if one does."""
+    witness = t.splits.where(F.col("retrieved_ms") <= MIDDLE_MS).groupBy(F.col("game").alias("__game")).agg(F.max("retrieved_ms").alias("at"))
+    late = F.when(F.col("sport") == "EUROPE", F.col("at") - 7_200_000).otherwise(F.col("at"))
+    games = t.listings.join(witness, F.col("__game") == F.col("listing") % 40, "left").select(
+        "listing", "sport", F.when(F.col("listing") % 7 == 0, "started").otherwise("scheduled").alias("status"), "home", "away", "start_ms",
+        (~F.col("sport").isin("ASIA", "AFRICA")).alias("splits_expected"), late.alias("witness_ms"),
+    )
+    return M.withdrawn(games, t.schedule, MIDDLE_MS, TOLERANCE).select("listing", "reason")
+
+
 # labels folded once; matching labels share their last word, which is what the join starts from
 part("folded_listings", f"SELECT listing, sport, provider, start_ms, {fold('home')} AS h, {fold('away')} AS a FROM listings")
 part("folded_schedule", f"SELECT event, sport, start_ms, {fold('home')} AS h, {fold('away')} AS a FROM schedule")

@@ -6,6 +6,7 @@ from types import SimpleNamespace
 
 import pytest
 
+from pricelens.operators import matching as M
 from pricelens.plans import boards, consensus, reports, series
 from pricelens.plans.facts import Tables
 
@@ -182,6 +183,28 @@ def test_fuzzy_labels(spark, t):
     assert len(whole) == t.listings.count()
 
 
+def test_withdrawn(spark):
+    """Each reason, and each way to stay, on boards of one sport: a has live splits, b has none, c has silent ones."""
+    hour, now = 3_600_000, 100 * 3_600_000
+    games = [
+        (1, "a", "scheduled", "Red Fox", "Blue Jay", now, True, None),  # listed
+        (2, "a", "scheduled", " blue jay", "RED FOX", now + 5 * hour, True, now),  # a listed one's sibling, turned
+        (3, "a", "scheduled", "Owl", "Elk", now + 5 * hour, True, now - hour),  # own splits are fresh
+        (4, "a", "scheduled", "Ant", "Bee", now, True, now - 2 * hour),  # silent while the feed speaks
+        (5, "a", "started", "Ant", "Bee", now, True, None),  # not scheduled
+        (6, "b", "scheduled", "Ant", "Bee", now + hour, False, None),  # future, no witness
+        (7, "b", "scheduled", "Ant", "Bee", now + hour // 6, False, None),  # may be in play
+        (8, "c", "scheduled", "Ant", "Bee", now + hour, True, now - 3 * hour),  # the feed is down
+        (9, "b", "scheduled", "Red Fox", "Blue Jay", now - hour, False, None),  # the sibling is on another board
+        (10, "a", "scheduled", None, "", now, True, None),  # no labels
+    ]
+    df = spark.createDataFrame(games, "listing long, sport string, status string, home string, away string, start_ms long, splits_expected boolean, witness_ms long")
+    schedule = spark.createDataFrame([(7, "a", "Fox", "Jay", now + 600_000)], "event long, sport string, home string, away string, start_ms long")
+    got = {r["listing"]: r["reason"] for r in M.withdrawn(df, schedule, now).collect()}
+    assert got == {1: None, 2: "vouched-sibling", 3: None, 4: "witness-silent", 5: None, 6: "future-no-witness", 7: None, 8: None, 9: None, 10: "witness-silent"}
+    assert M.withdrawn(df.limit(0), schedule, now).count() == 0
+
+
 def test_event_upserts(t):
     """One observation after another: only what is written or refreshed is stored."""
     games, stored, want = {g["game"] for g in t.games.collect()}, {}, {}
