@@ -42,6 +42,12 @@ def labels_match(left: Column, right: Column) -> Column:
     return words_match(folded(left), folded(right))
 
 
+def words_within(whole: Column, given: Column) -> Column:
+    """Whether a folded label is the whole one or an abbreviation of it: all of its words in it, and the same last word."""
+    ends = F.substring_index(whole, " ", -1) == F.substring_index(given, " ", -1)
+    return (given != "") & ((whole == given) | (ends & (F.size(F.array_except(F.split(given, " "), F.split(whole, " "))) == 0)))
+
+
 #: Fixed value: club words that tell no two participants apart.
 GENERIC_WORDS = ("afc", "cf", "city", "club", "fc", "fk", "gnk", "pfc", "sc", "sk", "united")
 #: Fixed value: letters that have no decomposition, and how they are written out.

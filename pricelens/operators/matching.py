@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelens.functions.pricing import first_reason
-from pricelens.functions.text import folded, words_match
+from pricelens.functions.text import eastern_day, folded, words_match, words_within
 
 
 def near_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ms: str, right_ms: str, tolerance_ms: int) -> DataFrame:
@@ -53,6 +53,53 @@ def resolve(listings: DataFrame, schedule: DataFrame, tolerance_ms: int) -> Data
     return own.select("listing", "n", kind.alias("class"), F.when(F.col("n") == 1, F.col("event")).alias("event"), F.when(F.col("n") == 1, F.col("reversed")).alias("reversed"))
 
 
+#: The day in a provider's event id, and the suffix that its split feed leaves out.
+EVENT_DAY, DAY_AT_END, BINDING_SUFFIX = r"(?:^|_)(\d{4}-\d{2}-\d{2})(?:_|$)", r"(?:^|_)\d{4}-\d{2}-\d{2}$", "_b[0-9]$"
+
+
+def attribute_splits(splits: DataFrame, bindings: DataFrame, events: DataFrame, run: DataFrame) -> DataFrame:
+    """splits with via and event: the event bound to the provider's id, else the only event of the same run that fits, else
+    the only one bound to the id with a suffix _b0 to _b9; what none of them settles is a gap without event.
+
+    Whatever a binding names must fit too: the sport, both labels or abbreviations of them on their sides and, where dated,
+    the Eastern day in the provider's id. Suffixes are cut from the bindings, so all ten are one join.
+
+    splits: rows (split, provider_event, sport, dated, home, away, ...), a row per split; bindings: (provider_event, event);
+    events, and run, those seen in the same run: (event, sport, home, away, start_ms).
+    """
+    day = F.nullif(F.regexp_extract("provider_event", EVENT_DAY, 1), F.lit(""))
+    own = splits.select("split", "provider_event", F.col("sport").alias("s_sport"), "dated", folded(F.col("home")).alias("h"), folded(F.col("away")).alias("a"), day.alias("day"))
+
+    def scheduled(df: DataFrame) -> DataFrame:
+        return df.select("event", F.col("sport").alias("e_sport"), folded(F.col("home")).alias("e_h"), folded(F.col("away")).alias("e_a"), eastern_day(F.col("start_ms")).cast("string").alias("e_day"))
+
+    fits = (F.col("s_sport") == F.col("e_sport")) & words_within(F.col("e_h"), F.col("h")) & words_within(F.col("e_a"), F.col("a"))
+    fits = fits & (~F.col("dated") | F.coalesce(F.col("day") == F.col("e_day"), F.lit(False)))
+
+    def only(pairs: DataFrame, name: str) -> DataFrame:
+        ends = pairs.where(fits).groupBy("split").agg(F.min("event").alias(name), F.max("event").alias("__last"))
+        return ends.where(F.col(name) == F.col("__last")).select("split", name)
+
+    bound = own.join(bindings, "provider_event").join(scheduled(events), "event")
+    last = lambda c: F.substring_index(c, " ", -1)
+    # candidates share sport, last words and, where dated, the day; an event enters once under its day and once under none
+    dates = scheduled(run).withColumn("k_day", F.explode(F.array("e_day", F.lit(""))))
+    keyed = own.withColumn("k_day", F.when(F.col("dated"), F.col("day")).otherwise(""))
+    same = [F.col("s_sport") == F.col("e_sport"), last("h") == last("e_h"), last("a") == last("e_a"), keyed["k_day"] == dates["k_day"]]
+    suffixed = bindings.where(F.col("provider_event").rlike(BINDING_SUFFIX)).withColumn("provider_event", F.regexp_replace("provider_event", BINDING_SUFFIX, ""))
+    aliases = own.where(F.col("dated") & F.col("provider_event").rlike(DAY_AT_END)).join(suffixed, "provider_event").join(scheduled(events), "event")
+    found = splits.join(only(bound, "__bound"), "split", "left").join(only(keyed.join(dates, same), "__seen"), "split", "left").join(only(aliases, "__alias"), "split", "left")
+    via = F.when(F.col("__bound").isNotNull(), "binding").when(F.col("__seen").isNotNull(), "match").when(F.col("__alias").isNotNull(), "alias").otherwise("gap")
+    return found.select(*splits.columns, via.alias("via"), F.coalesce("__bound", "__seen", "__alias").alias("event"))
+
+
+def split_selections(attributed: DataFrame, markets: str = "markets") -> DataFrame:
+    """A row per selection of each market of each split that has an event; markets: an array of (market, selections: an array of structs)."""
+    rest = [c for c in attributed.columns if c != markets]
+    each = attributed.where("event IS NOT NULL").select(*rest, F.inline(markets))
+    return each.select(*rest, "market", F.inline("selections"))
+
+
 def withdrawn(
     games: DataFrame, schedule: DataFrame, now_ms: int, tolerance_ms: int = 15 * 60_000, grace_ms: int = 15 * 60_000, witness_ms: int = 90 * 60_000
 ) -> DataFrame:

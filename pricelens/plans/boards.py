@@ -329,6 +329,55 @@ def attribution_cascade(t):
     return both.select("listing", via.alias("via"), F.coalesce("bound", "matched", "alias").alias("event"))
 
 
+def _day(ms: str) -> str:
+    return f"CAST(CAST(timezone('America/New_York', timezone('UTC', make_timestamp(({ms}) * 1000))) AS DATE) AS VARCHAR)"
+
+
+# provider ids with the event's day, some a day off or without it, some with a suffix; bindings of the id, of suffixed ids, and wrong ones
+part("split_pages", f"""SELECT listing AS split, 'e' || o_custkey || CASE WHEN listing % 9 = 0 THEN '' ELSE '_' || {_day("s.start_ms + CASE WHEN listing % 8 = 0 THEN 86400000 ELSE 0 END")} END || CASE WHEN listing % 11 = 0 THEN '_b1' ELSE '' END AS provider_event,
+  l.sport, l.sport <> 'ASIA' AS dated, l.home, l.away FROM listings l JOIN orders ON o_orderkey = listing JOIN schedule s ON s.event = o_custkey""")
+part("split_bindings", f"""SELECT 'e' || event || '_' || {_day('start_ms')} || CASE event % 3 WHEN 0 THEN '' ELSE '_b' || (event % 4) END AS provider_event, event + CASE WHEN event % 21 < 2 THEN 1 ELSE 0 END AS event FROM schedule WHERE event % 4 > 0""")
+part("split_pairs", f"""SELECT p.split, s.event, s.event % 2 = 0 AS seen, p.provider_event, p.dated FROM split_pages p JOIN schedule s ON s.sport = p.sport AND {match('p.home', 's.home')} AND {match('p.away', 's.away')}
+  AND len(string_split({fold('p.home')}, ' ')) <= len(string_split({fold('s.home')}, ' ')) AND len(string_split({fold('p.away')}, ' ')) <= len(string_split({fold('s.away')}, ' '))
+  AND string_split({fold('p.home')}, ' ')[-1] = string_split({fold('s.home')}, ' ')[-1]
+  AND (NOT p.dated OR regexp_extract(p.provider_event, '(?:^|_)([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})(?:_|$)', 1) = {_day('s.start_ms')})""")
+part("split_events", """SELECT split, CASE WHEN b.event IS NOT NULL THEN 'binding' WHEN r.event IS NOT NULL THEN 'match' WHEN a.event IS NOT NULL THEN 'alias' ELSE 'gap' END AS via, coalesce(b.event, r.event, a.event) AS event FROM split_pages
+  LEFT JOIN (SELECT split, min(x.event) AS event FROM split_pairs x JOIN split_bindings y USING (provider_event, event) GROUP BY split HAVING count(DISTINCT x.event) = 1) b USING (split)
+  LEFT JOIN (SELECT split, min(event) AS event FROM split_pairs WHERE seen GROUP BY split HAVING count(DISTINCT event) = 1) r USING (split)
+  LEFT JOIN (SELECT split, min(x.event) AS event FROM split_pairs x JOIN split_bindings y ON y.event = x.event AND left(y.provider_event, -3) = x.provider_event AND y.provider_event[-3:-2] = '_b'
+    WHERE dated AND regexp_matches(x.provider_event, '(?:^|_)[0-9]{4}-[0-9]{2}-[0-9]{2}$') GROUP BY split HAVING count(DISTINCT x.event) = 1) a USING (split)""")
+
+
+def _attributed_splits(t):
+    day = lambda ms: T.eastern_day(ms).cast("string")
+    s = t.schedule.select(F.col("event").alias("o_custkey"), F.col("start_ms").alias("begin_ms"))
+    k, off = F.col("listing"), F.when(F.col("listing") % 8 == 0, DAY_MS).otherwise(0)
+    dated_id = F.concat(F.lit("e"), "o_custkey", F.when(k % 9 == 0, "").otherwise(F.concat(F.lit("_"), day(F.col("begin_ms") + off))), F.when(k % 11 == 0, "_b1").otherwise(""))
+    splits = t.listings.join(t.orders.select(F.col("o_orderkey").alias("listing"), "o_custkey"), "listing").join(s, "o_custkey").select(
+        k.alias("split"), dated_id.alias("provider_event"), "sport", (F.col("sport") != "ASIA").alias("dated"), "home", "away"
+    )
+    e = F.col("event")
+    bound_id = F.concat(F.lit("e"), e, F.lit("_"), day(F.col("start_ms")), F.when(e % 3 == 0, "").otherwise(F.concat(F.lit("_b"), e % 4)))
+    bindings = t.schedule.where(e % 4 > 0).select(bound_id.alias("provider_event"), (e + F.when(e % 21 < 2, 1).otherwise(0)).alias("event"))
+    return M.attribute_splits(splits, bindings, t.schedule, t.schedule.where(e % 2 == 0))
+
+
+@query("SELECT split, via, event FROM split_events")
+def attributed_split_events(t):
+    """Splits by what their event is known from: a binding, the same run, a suffixed binding, or nothing."""
+    return _attributed_splits(t).select("split", "via", "event")
+
+
+@query("""SELECT split, event, market, selection, CAST(split * k % 101 AS BIGINT) AS bet_percent FROM split_events
+CROSS JOIN (VALUES ('moneyline', 'home', 7), ('moneyline', 'away', 11), ('spread', 'home', 13)) m(market, selection, k) WHERE event IS NOT NULL""")
+def attributed_split_rows(t):
+    """A row per selection of the nested markets of every split that has an event."""
+    cell = lambda selection, k: F.struct(F.lit(selection).alias("selection"), (F.col("split") * k % 101).alias("bet_percent"))
+    market = lambda name, *cells: F.struct(F.lit(name).alias("market"), F.array(*cells).alias("selections"))
+    nested = F.array(market("moneyline", cell("home", 7), cell("away", 11)), market("spread", cell("home", 13)))
+    return M.split_selections(_attributed_splits(t).withColumn("markets", nested)).select("split", "event", "market", "selection", "bet_percent")
+
+
 part("page_rows", """SELECT floor(listing / 4) AS event, CAST(floor(listing / 2) AS BIGINT) * 7 % 3000 AS price_id, home, away, start_ms, CASE WHEN listing % 3 = 0 THEN 'home' ELSE 'away' END AS side, CAST(100 + listing % 150 AS INT) AS american, seen_ms AS observed_ms, seen_ms + 1000 AS retrieved_ms, listing AS row
   FROM (SELECT listing, seen_ms, CASE WHEN listing % 6 = 0 THEN 'Away' WHEN listing % 11 = 0 THEN 'Else' ELSE 'Home' END AS home, CASE WHEN listing % 6 = 0 THEN 'HOME' ELSE 'away' END AS away, start_ms FROM listings)""")
 

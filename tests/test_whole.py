@@ -205,6 +205,32 @@ def test_withdrawn(spark):
     assert M.withdrawn(df.limit(0), schedule, now).count() == 0
 
 
+def test_attributed_splits(spark):
+    """The order of the ways, a binding that doesn't fit, ambiguity, abbreviations on one side only, and ids without a day."""
+    noon = 1_704_121_200_000  # 2024-01-01 in New York
+    event = "event long, sport string, home string, away string, start_ms long"
+    rows = [(1, "a", "Oakland Otters", "Blue Jays", noon), (2, "a", "Red Foxes", "Elks", noon), (3, "a", "Red Foxes", "Elks", noon + 3600), (4, "a", "Bears", "Owls", noon + 86_400_000), (5, "b", "Bears", "Owls", noon)]
+    events = spark.createDataFrame(rows, event)
+    bindings = spark.createDataFrame([("x_2024-01-01", 1), ("y_2024-01-01", 4), ("z_2024-01-01_b3", 1), ("w_2024-01-01_b0", 2), ("w_2024-01-01_b9", 3), ("v_2024-01-01_b4", 4)], "provider_event string, event long")
+    splits = [
+        (1, "x_2024-01-01", "a", True, "Otters", "Blue Jays", "binding", 1),
+        (2, "y_2024-01-01", "a", True, "Otters", "Jays", "match", 1),  # its binding names other labels
+        (3, "z_2024-01-01", "a", True, "Red Foxes", "Elks", "gap", None),  # the alias doesn't fit; two of the run do
+        (4, "w_2024-01-01", "a", True, "Red Foxes", "Elks", "gap", None),  # two aliases fit
+        (5, "v_2024-01-01", "a", True, "Bears", "Owls", "gap", None),  # another day
+        (6, "none", "b", False, "bears", "OWLS", "match", 5),
+        (7, "none", "a", True, "Bears", "Owls", "gap", None),  # dated, but no day in the id
+        (8, "q_2024-01-01", "a", True, "West Oakland Otters", "Blue Jays", "gap", None),  # longer than the event's label
+        (9, None, "a", True, None, "", "gap", None),
+    ]
+    df = spark.createDataFrame([x[:6] for x in splits], "split long, provider_event string, sport string, dated boolean, home string, away string")
+    got = {r["split"]: (r["via"], r["event"]) for r in M.attribute_splits(df, bindings, events, events).collect()}
+    assert got == {x[0]: x[6:] for x in splits}
+    unseen = {r["split"]: (r["via"], r["event"]) for r in M.attribute_splits(df.replace("q_2024-01-01", "z_2024-01-01").replace("West Oakland Otters", "Otters"), bindings, events, events.limit(0)).collect()}
+    assert unseen[8] == ("alias", 1) and unseen[1] == ("binding", 1) and unseen[2] == unseen[6] == ("gap", None)
+    assert {r["via"] for r in boards.attributed_split_events(Tables(spark, "/root/testdata/sf0.001")).collect()} == {"binding", "match", "alias", "gap"}
+
+
 def test_event_upserts(t):
     """One observation after another: only what is written or refreshed is stored."""
     games, stored, want = {g["game"] for g in t.games.collect()}, {}, {}
