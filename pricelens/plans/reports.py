@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pricelens.functions.pricing import odds_band
+from pricelens.functions.pricing import american_to_decimal, odds_band
 from pricelens.operators import grading as G
 from pricelens.operators import performance as P
 from pricelens.operators import ranking as R
+from pricelens.operators import strategy as S
 from pricelens.operators.closing import ratio_clv
 from pricelens.operators.latest import current_results
 from pricelens.plans.consensus import POLICY, _rows
@@ -259,3 +260,23 @@ def report_verification(t):
     off = F.when((F.col("sport") == "soccer") & (F.col("metric") == "decisions"), 1.0).otherwise(0.0)
     claims = computed.withColumn("value", F.col("value") + off).unionByName(own.select("sport", F.lit("sharpe").alias("metric"), F.lit(1.0).alias("value")))
     return P.verify(claims, computed, ["sport"]).select("sport", "metric", "check")
+
+
+#: Strategies of this query, the last two of which are none.
+STRATEGIES = (
+    '{"id": "diamond", "sport": "baseball", "version": "1", "approvedMarkets": ["moneyline"], "prohibitedMarkets": ["spread"], "minimumEv": 0.02, "minimumComparisonBooks": 2, "maximumPriceAgeMinutes": 15}',
+    '{"id": "pitch", "sport": "soccer", "version": "1", "approvedMarkets": ["moneyline", "spread"], "prohibitedMarkets": [], "minimumEv": 0.025, "minimumComparisonBooks": 3, "maximumPriceAgeMinutes": 15}',
+    '{"id": "court", "sport": "basketball", "version": "1", "approvedMarkets": ["total"], "minimumEv": 0, "minimumComparisonBooks": 1, "maximumPriceAgeMinutes": 1}',
+    '{"id": "grid", "sport": "football", "version": "1", "approvedMarkets": ["moneyline"], "minimumEv": 2, "minimumComparisonBooks": 1, "maximumPriceAgeMinutes": 1}',
+    '{"id": "grid", "sport": "foot',
+)
+
+
+@query(f"""WITH s(sport, strategy, approved, prohibited, ev, books, age) AS (VALUES ('baseball', 'diamond', ['moneyline'], ['spread'], 0.02e0, 2, 15), ('soccer', 'pitch', ['moneyline', 'spread'], ['-'], 0.025e0, 3, 15), ('basketball', 'court', ['total'], ['-'], 0e0, 1, 1))
+SELECT d.id, s.strategy, CASE WHEN s.sport IS NULL THEN 'no-strategy' WHEN list_contains(prohibited, market) THEN 'market-prohibited' WHEN NOT list_contains(approved, market) THEN 'market-not-approved'
+  WHEN p * {dec('american')} - 1 < ev THEN 'ev-below-minimum' WHEN d.game % 5 < books THEN 'too-few-books' WHEN d.game % 20 > age THEN 'price-too-old' END AS reason FROM decisions d LEFT JOIN s USING (sport)""")
+def strategy_checks(t):
+    """Every decision against its sport's strategy, read from JSON."""
+    rules = S.strategies(t.spark.createDataFrame([(x,) for x in STRATEGIES], "config string"))
+    rows = t.decisions.select("id", "sport", "market", (F.col("p") * american_to_decimal(F.col("american")) - 1).alias("ev"), (F.col("game") % 5).alias("books"), (F.col("game") % 20).alias("age_minutes"))
+    return S.against_strategy(rows, rules).select("id", "strategy", "reason")
