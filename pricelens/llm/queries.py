@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pricelens.llm import (
+    collocations,
     exact_bloom,
     interleaved,
     lexical_search,
@@ -27,7 +28,8 @@ QUERIES = {
     "op8_pii_spans": pii_spans.op8_pii_spans,
     "op9_simhash_near_dedup": simhash_cover.op9_simhash_near_dedup,
     "op10_exact_dedup": exact_bloom.op10_exact_dedup,
+    "op11_collocations": collocations.op11_collocations,
     "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 
-ORACLES = {"op4_line_dedup": line_runs.ORACLE, "op10_exact_dedup": exact_bloom.ORACLE, "op13_lexical_search": lexical_search.ORACLE}
+ORACLES = {"op4_line_dedup": line_runs.ORACLE, "op10_exact_dedup": exact_bloom.ORACLE, "op11_collocations": collocations.ORACLE, "op13_lexical_search": lexical_search.ORACLE}
