@@ -8,6 +8,7 @@ from pricelens.llm import (
     interleaved,
     lexical_search,
     line_runs,
+    main_text,
     packing,
     pii_spans,
     quality_pu,
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_simhash_near_dedup": simhash_cover.op9_simhash_near_dedup,
     "op10_exact_dedup": exact_bloom.op10_exact_dedup,
     "op11_collocations": collocations.op11_collocations,
+    "op12_main_text": main_text.op12_main_text,
     "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 
