@@ -15,6 +15,7 @@ come from joins of that table with itself.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -40,6 +41,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class Filters:
+    """The two bitmaps of a pass; sent to tasks in packed form, for most bits of a small input are zero."""
+
+    def __init__(self, parts: np.ndarray, buckets: np.ndarray):
+        self.parts, self.buckets = parts, buckets
+
+    def __getstate__(self) -> list[bytes]:
+        return [zlib.compress(x.tobytes(), 1) for x in (self.parts, self.buckets)]
+
+    def __setstate__(self, packed: list[bytes]) -> None:
+        self.parts, self.buckets = (np.frombuffer(zlib.decompress(x), np.uint8) for x in packed)
+
+
 class Words(dict):
     """Numbers of words as they come, 0 for the end of a piece."""
 
@@ -82,8 +96,8 @@ def _all_of(x: np.ndarray, k: int) -> np.ndarray:
 class Pass:
     """Counts of k-grams and buckets of (k+1)-grams in one task."""
 
-    def __init__(self, k: int, longest: int, bits: int, parts: np.ndarray | None, buckets: np.ndarray | None):
-        self.k, self.longest, self.bits, self.parts, self.buckets = k, longest, bits, parts, buckets
+    def __init__(self, k: int, longest: int, bits: int, filters: Filters | None):
+        self.k, self.longest, self.bits, self.filters = k, longest, bits, filters
         self.words, self.totals, self.held = Words(), defaultdict(int), 0
         self.grams: dict[str, list] = defaultdict(list)
         self.slots: list[np.ndarray] = []
@@ -105,8 +119,8 @@ class Pass:
         columns = lambda n: [word[j : len(ids) - n + 1 + j] for j in range(n)]
         good = _all_of(ids != END, k)
         if k > 1 and len(good):
-            within = self._marked(self.parts, self._hashed(columns(k - 1), lang))
-            good &= within[: len(good)] & within[1 : len(good) + 1] & self._marked(self.buckets, self._hashed(columns(k), lang))
+            within = self._marked(self.filters.parts, self._hashed(columns(k - 1), lang))
+            good &= within[: len(good)] & within[1 : len(good) + 1] & self._marked(self.filters.buckets, self._hashed(columns(k), lang))
         at = np.flatnonzero(good[max(0, fresh - k + 1) :]) + max(0, fresh - k + 1)
         first = ids[at]
         for j in range(1, min(k, 3)):
@@ -170,7 +184,7 @@ def counted(texts: DataFrame, k: int, longest: int, bits: int, filters) -> DataF
     """texts (lang, text): what tasks count in the pass of length k; filters: broadcast bitmaps of parts and of buckets."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Pass(k, longest, bits, *(filters.value if filters is not None else (None, None)))
+        own = Pass(k, longest, bits, filters and filters.value)
         for batch in batches:
             by_lang = defaultdict(list)
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
@@ -210,8 +224,10 @@ def frequent_phrases(texts: DataFrame, least: int = LEAST, longest: int = LONGES
         grams, buckets = own.where("gram IS NOT NULL"), own.where("gram IS NULL AND slot IS NOT NULL")
         if k == 1:
             totals = own.where("slot IS NULL").select("lang", "n")
+        if filters:
+            filters.destroy()  # the pass is written
         if k < longest:
-            filters = spark.sparkContext.broadcast((bitmap(grams, bits), bitmap(buckets, bits)))
+            filters = spark.sparkContext.broadcast(Filters(bitmap(grams, bits), bitmap(buckets, bits)))
         rows = grams.select("lang", F.col("gram").cast("string").alias("phrase"), F.lit(k).alias("words"), F.col("n").alias("f"))
         found = rows if found is None else found.unionByName(rows)
     return found, totals

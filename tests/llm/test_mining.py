@@ -65,7 +65,7 @@ def test_collocations_in_small_pieces(spark, monkeypatch):
     def counts(flushes):
         total = defaultdict(Counter)
         for k in range(1, 5):
-            own, before = C.Pass(k, 4, 64, *[C.np.full(4096, 255, C.np.uint8)] * 2), C.np.zeros(0, C.np.int64)
+            own, before = C.Pass(k, 4, 64, C.Filters(*[C.np.full(4096, 255, C.np.uint8)] * 2)), C.np.zeros(0, C.np.int64)
             for ids in C.numbered(texts, own.words):
                 both = C.np.concatenate((before, ids))
                 own.add("en", both, len(before))
