@@ -26,12 +26,12 @@ def near_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ms
     return pairs.select("l.*", *[f"r.r_{c}" for c in right.columns]).drop("__bucket")
 
 
-def label_pairs(listings: DataFrame, schedule: DataFrame, tolerance_ms: int) -> DataFrame:
-    """Listings with the events that they match in labels and start, the event's columns under r_, and reversed.
+def label_pairs(listings: DataFrame, schedule: DataFrame, tolerance_ms: int | None, keys: Sequence[str] = ("sport",)) -> DataFrame:
+    """Listings with the events of equal keys that they match in labels and start, the event's columns under r_, and reversed.
 
-    Labels that match share their last word, so the last words of both sides join as keys beside sport and time bucket;
+    Labels that match share their last word, so the last words of both sides join as keys beside `keys` and the time bucket;
     a listing enters once as it stands and once with its sides swapped. What is left to compare is a few rows a key.
-    Labels are folded once, before the join.
+    Labels are folded once, before the join. Without a tolerance any start fits; then keys must bound what a key holds.
     """
     side = lambda home, away, turned: F.struct(F.col(home).alias("home"), F.col(away).alias("away"), F.lit(turned).alias("reversed"))
     rest = [c for c in listings.columns if c not in ("home", "away")]
@@ -39,7 +39,12 @@ def label_pairs(listings: DataFrame, schedule: DataFrame, tolerance_ms: int) ->
     plain = {"h_plain": folded(F.col("home")), "a_plain": folded(F.col("away"))}
     words = {"h_word": F.substring_index("h_plain", " ", -1), "a_word": F.substring_index("a_plain", " ", -1)}
     left, right = both.withColumns(plain).withColumns(words), schedule.withColumns(plain).withColumns(words)
-    pairs = near_in_time(left, right, ["sport", "h_word", "a_word"], "start_ms", "start_ms", tolerance_ms)
+    on = [*keys, "h_word", "a_word"]
+    if tolerance_ms is None:
+        own = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
+        pairs = left.join(own, [left[k] == own[f"r_{k}"] for k in on])
+    else:
+        pairs = near_in_time(left, right, on, "start_ms", "start_ms", tolerance_ms)
     same = words_match(F.col("h_plain"), F.col("r_h_plain")) & words_match(F.col("a_plain"), F.col("r_a_plain"))
     return pairs.where(same).drop(*plain, *words, *[f"r_{c}" for c in (*plain, *words)])
 
@@ -137,10 +142,11 @@ def sides_found(hh: str, ha: str, ah: str, aa: str, one_is_enough: Column) -> Co
     return (home & away & (F.col(hh) != F.col(ah))) | (one_is_enough & alone)
 
 
-def drift_class(drift_ms: Column, primary_ms: int = 15 * 60_000, secondary_ms: int = 2 * 3_600_000, trusted: Column | None = None) -> Column:
-    """ok, secondary or rejected by how far a listing's start is off; a trusted source's finite drift is never rejected."""
-    kind = F.when(F.abs(drift_ms) <= primary_ms, "ok").when(F.abs(drift_ms) <= secondary_ms, "secondary").otherwise("rejected")
-    return kind if trusted is None else F.when((kind == "rejected") & trusted & drift_ms.isNotNull(), "trusted").otherwise(kind)
+def drift_class(drift_ms: Column, secondary: Column, trusted: Column, primary_ms: int = 15 * 60_000, secondary_ms: int = 2 * 3_600_000) -> Column:
+    """kept, trusted or rejected by how far a row's start is off its event's: one tolerance for rows of a secondary catalogue,
+    another for all others; beyond it a row is kept if its source is trusted. A drift that isn't known is rejected."""
+    within = drift_ms <= F.when(secondary, secondary_ms).otherwise(primary_ms)
+    return F.when(within, "kept").when(trusted & drift_ms.isNotNull(), "trusted").otherwise("rejected")
 
 
 def anchored_clusters(df: DataFrame, keys: Sequence[str], at: str, order: Sequence[str], window: int) -> DataFrame:

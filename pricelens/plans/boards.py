@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pricelens.functions import text as T
 from pricelens.operators import board as B
+from pricelens.operators import mapping
 from pricelens.operators import matching as M
 from pricelens.operators.latest import current_availability, current_quotes, latest_by
 from pricelens.plans.facts import BOOKS, DAY_MS, FIRST_MS, NOW_MS
@@ -13,6 +14,8 @@ from pricelens.plans.prices import dec, implied
 from pricelens.plans.registry import part, query
 
 TOLERANCE = 15 * 60_000
+#: The catalogue whose rows may only alias.
+SECONDARY = ["alt"]
 #: 2024-01-16, in the middle of the schedule.
 MIDDLE_MS = FIRST_MS + 15 * DAY_MS
 PLAIN = f"translate({{0}}, '{T.DIACRITICS}', '{T.PLAIN_LETTERS}')"
@@ -246,11 +249,6 @@ def withdrawn_games(t):
     return M.withdrawn(games, t.schedule, MIDDLE_MS, TOLERANCE).select("listing", "reason")
 
 
-# labels folded once; matching labels share their last word, which is what the join starts from
-part("folded_listings", f"SELECT listing, sport, provider, start_ms, {fold('home')} AS h, {fold('away')} AS a FROM listings")
-part("folded_schedule", f"SELECT event, sport, start_ms, {fold('home')} AS h, {fold('away')} AS a FROM schedule")
-
-
 def _folded_match(a: str, b: str) -> str:
     x, y = f"string_split({a}, ' ')", f"string_split({b}, ' ')"
     return f"({a} = {b} OR CASE WHEN len({x}) <= len({y}) THEN list_has_all({y}, {x}) ELSE list_has_all({x}, {y}) END)"
@@ -259,22 +257,28 @@ def _folded_match(a: str, b: str) -> str:
 _LAST = "string_split({0}, ' ')[-1]"
 
 
+part("bound_feed", """SELECT f.*, lower(f.provider_event) LIKE 'alt\\_%' ESCAPE '\\' AS secondary, c.event, b.kind FROM feed f LEFT JOIN bindings b USING (provider_event) LEFT JOIN canonical c ON c.event = b.event""")
+part("run_events", f"SELECT DISTINCT run, event, {fold('c.home')} AS h, {fold('c.away')} AS a FROM bound_feed JOIN canonical c USING (event)")
+part("unbound_rows", f"SELECT listing, run, {fold('home')} AS h, {fold('away')} AS a FROM bound_feed WHERE secondary AND event IS NULL")
+
+
 def _turned(h: str, a: str) -> str:
     ends = " AND ".join(f"{_LAST.format(x)} = {_LAST.format(y)}" for x, y in ((f"l.{h}", "s.h"), (f"l.{a}", "s.a")))
-    return f"SELECT l.listing, s.event, s.start_ms AS begin_ms FROM folded_listings l JOIN folded_schedule s ON l.sport = s.sport AND {ends} WHERE l.h <> '' AND l.a <> '' AND {_folded_match(f'l.{h}', 's.h')} AND {_folded_match(f'l.{a}', 's.a')}"
+    return f"SELECT l.listing, s.event FROM unbound_rows l JOIN run_events s ON l.run = s.run AND {ends} WHERE l.h <> '' AND l.a <> '' AND {_folded_match(f'l.{h}', 's.h')} AND {_folded_match(f'l.{a}', 's.a')}"
 
 
-part("anytime_pairs", f"{_turned('h', 'a')} UNION {_turned('a', 'h')}")
+part("feed_aliases", f"""SELECT u.listing, CASE WHEN count(DISTINCT p.event) = 1 THEN min(p.event) END AS event, CASE count(DISTINCT p.event) WHEN 0 THEN 'no-candidate' WHEN 1 THEN 'alias' ELSE 'ambiguous' END AS outcome
+  FROM unbound_rows u LEFT JOIN ({_turned('h', 'a')} UNION {_turned('a', 'h')}) p USING (listing) GROUP BY u.listing""")
 
 
-@query("""WITH f AS (SELECT listing, arg_min(begin_ms, event) AS begin_ms FROM anytime_pairs GROUP BY listing)
-SELECT l.listing, CASE WHEN abs(d) <= 900000 THEN 'ok' WHEN abs(d) <= 7200000 THEN 'secondary' WHEN l.provider = 'alpha' THEN 'trusted' ELSE 'rejected' END AS drift FROM (SELECT l.*, l.start_ms + (l.listing % 9) * 1800000 - f.begin_ms AS d FROM folded_listings l JOIN f USING (listing)) l""")
-def start_drift(t):
-    """How far each listing's start, shifted by up to 4 hours, is from its event's; bound by labels alone, so no drift is too large to be classed."""
-    late = t.listings.withColumn("late_ms", F.col("start_ms") + (F.col("listing") % 9) * 1_800_000)
-    pairs = M.label_pairs(_anytime(late), _anytime(t.schedule.withColumn("begin_ms", F.col("start_ms"))), DAY_MS)
-    near = pairs.groupBy("listing", "provider").agg(F.min_by(F.col("late_ms") - F.col("r_begin_ms"), "r_event").alias("d"))
-    return near.select("listing", M.drift_class(F.col("d"), trusted=F.col("provider") == "alpha").alias("drift"))
+@query("SELECT listing, event, outcome FROM feed_aliases")
+def secondary_aliases(t):
+    """Rows of the secondary catalogue without a binding, bound by labels to an event of their run; never a new event."""
+    return mapping.secondary_aliases(mapping.with_bindings(t.feed, t.bindings, t.canonical, SECONDARY), t.canonical)
+
+
+def _mapped(t):
+    return mapping.map_odds(t.feed, t.bindings, t.canonical, SECONDARY)
 
 
 def _words(x: str) -> str:
@@ -295,6 +299,32 @@ def _parts(table: str, key: str) -> str:
     return f"SELECT {key}, sport, start_ms, " + ", ".join(f"array_to_string({_words(c)}, '') AS {c[0]}_w, {told(c)} AS {c[0]}_o" for c in ("home", "away")) + f" FROM {table}"
 
 
+def _comparable(c: str) -> str:
+    told = f"list_sort(list_distinct(list_filter({_words(c)}, lambda w: w NOT IN {T.GENERIC_WORDS})))"
+    return f"array_to_string({_words(c)}, '') AS {c}_w, {told} AS {c}_o"
+
+
+part("feed_marks", f"""SELECT *, {_fuzzy('home', 'e_home')} AS hh, {_fuzzy('home', 'e_away')} AS ha, {_fuzzy('away', 'e_home')} AS ah, {_fuzzy('away', 'e_away')} AS aa FROM (
+  SELECT f.listing, f.secondary, f.kind, f.retrieved_ms, c.event, a.outcome AS alias, c.start_ms AS e_start_ms, abs(f.start_ms - c.start_ms) AS off, {", ".join(map(_comparable, ("home", "away")))}, c.* EXCLUDE (event, start_ms)
+  FROM bound_feed f LEFT JOIN feed_aliases a USING (listing) LEFT JOIN (SELECT event, start_ms, {", ".join(_comparable(c).replace(f"{c}_w", f"e_{c}_w").replace(f"{c}_o", f"e_{c}_o") for c in ("home", "away"))} FROM canonical) c ON c.event = coalesce(f.event, a.event))""")
+part("mapped_feed", f"""SELECT listing, event, CASE WHEN retrieved_ms < e_start_ms THEN CASE WHEN off <= CASE WHEN secondary THEN 7200000 ELSE {TOLERANCE} END THEN 'kept' WHEN kind = 'source' AND off IS NOT NULL THEN 'trusted' ELSE 'rejected' END END AS drift,
+  CASE WHEN hh <> ha AND ah <> aa AND hh <> ah THEN CASE WHEN hh THEN 'home' ELSE 'away' END WHEN off > {TOLERANCE} OR off IS NULL THEN NULL WHEN ah <> aa AND NOT hh AND NOT ha THEN CASE WHEN aa THEN 'home' ELSE 'away' END WHEN hh <> ha AND NOT ah AND NOT aa THEN CASE WHEN hh THEN 'home' ELSE 'away' END END AS side,
+  e_start_ms, retrieved_ms, alias FROM feed_marks""")
+part("judged_feed", """SELECT listing, event, drift, side, CASE WHEN event IS NULL THEN coalesce(alias, 'unresolved') WHEN e_start_ms IS NULL THEN 'start-time-conflict' WHEN retrieved_ms >= e_start_ms THEN 'after-start' WHEN drift = 'rejected' THEN 'start-time-conflict' WHEN side IS NULL THEN 'participant-mismatch' ELSE 'mapped' END AS outcome FROM mapped_feed""")
+
+
+@query("SELECT listing, event, drift FROM judged_feed WHERE drift IS NOT NULL")
+def start_drift(t):
+    """Rows with an event by how far their start is off its start; each row by its catalogue's tolerance."""
+    return _mapped(t).where("drift IS NOT NULL").select("listing", "event", "drift")
+
+
+@query("SELECT listing, event, outcome, CASE WHEN outcome = 'mapped' THEN side END AS home_side FROM judged_feed")
+def odds_mapping(t):
+    """Every row of the feed with what became of it, and the side of the event that its home label is on."""
+    return _mapped(t).select("listing", "event", "outcome", "home_side")
+
+
 @query(f"""WITH l AS ({_parts('listings', 'listing')}), s AS ({_parts('schedule', 'event')}),
 p AS (SELECT listing, event, abs(l.start_ms - s.start_ms) AS d, {_fuzzy('l.h', 's.h')} AS hh, {_fuzzy('l.h', 's.a')} AS ha, {_fuzzy('l.a', 's.h')} AS ah, {_fuzzy('l.a', 's.a')} AS aa FROM l JOIN s ON l.sport = s.sport AND abs(l.start_ms - s.start_ms) <= 3600000),
 f AS (SELECT listing, count(DISTINCT event) AS n, min(event) AS event FROM p WHERE (hh <> ha AND ah <> aa AND hh <> ah) OR (d <= {TOLERANCE} AND ((hh <> ha AND NOT ah AND NOT aa) OR (ah <> aa AND NOT hh AND NOT ha))) GROUP BY listing)
@@ -503,30 +533,16 @@ def eligible_candidates(t):
 
 
 part("attributed", f"""SELECT l.listing, count(DISTINCT s.event) AS n, min(s.event) AS event FROM listings l JOIN schedule s ON s.sport = l.sport AND {match('l.home', 's.home')} AND {match('l.away', 's.away')} AND abs(l.start_ms - s.start_ms) <= 86400000
-  AND CAST(timezone('America/New_York', timezone('UTC', make_timestamp(l.start_ms * 1000))) AS DATE) = CAST(timezone('America/New_York', timezone('UTC', make_timestamp(s.start_ms * 1000))) AS DATE) WHERE l.provider = 'alpha' GROUP BY l.listing""")
+  AND CAST(timezone('America/New_York', timezone('UTC', make_timestamp(l.start_ms * 1000))) AS DATE) = CAST(timezone('America/New_York', timezone('UTC', make_timestamp(s.start_ms * 1000))) AS DATE) GROUP BY l.listing""")
 
 
-@query("SELECT listing, event FROM attributed WHERE n = 1")
+@query("SELECT listing, provider, event FROM attributed JOIN (SELECT listing, provider FROM listings) USING (listing) WHERE n = 1")
 def split_attribution(t):
     """Listings whose labels match exactly one event of the same Eastern day."""
-    pairs = M.label_pairs(t.listings.where("provider = 'alpha'"), t.schedule, DAY_MS).where("NOT reversed")
+    pairs = M.label_pairs(t.listings, t.schedule, DAY_MS).where("NOT reversed")
     same_day = pairs.where(T.eastern_day(F.col("start_ms")) == T.eastern_day(F.col("r_start_ms")))
-    found = same_day.groupBy("listing").agg(F.count_distinct("r_event").alias("n"), F.min("r_event").alias("event"))
-    return found.where("n = 1").select("listing", "event")
-
-
-@query("""WITH p AS (SELECT listing, count(DISTINCT event) AS n, min(event) AS event FROM anytime_pairs GROUP BY listing)
-SELECT l.listing, coalesce(p.event, -1) AS event, CASE WHEN n IS NULL THEN 'no-candidate' WHEN n > 1 THEN 'ambiguous' ELSE 'alias' END AS outcome FROM listings l LEFT JOIN p USING (listing) WHERE l.provider = 'alpha'""")
-def secondary_aliases(t):
-    """Rows of a secondary catalogue bound by labels alone, in either orientation, whatever the start; never a new event."""
-    own = t.listings.where("provider = 'alpha'")
-    found = M.label_pairs(_anytime(own), _anytime(t.schedule), DAY_MS).groupBy("listing").agg(F.count_distinct("r_event").alias("n"), F.min("r_event").alias("event"))
-    outcome = F.when(F.col("n") == 1, "alias").when(F.col("n").isNull(), "no-candidate").otherwise("ambiguous")
-    return own.select("listing").join(found, "listing", "left").select("listing", F.coalesce("event", F.lit(-1)).cast("long").alias("event"), outcome.alias("outcome"))
-
-
-def _anytime(df):
-    return df.withColumn("start_ms", F.lit(0).cast("long"))
+    found = same_day.groupBy("listing", "provider").agg(F.count_distinct("r_event").alias("n"), F.min("r_event").alias("event"))
+    return found.where("n = 1").select("listing", "provider", "event")
 
 
 @query("""WITH r AS (SELECT game AS event, provider, provider_rank % 2 AS rank, observed_ms AS updated_ms, snapshot_id % 5 AS sequence, snapshot_id AS token FROM quotes),

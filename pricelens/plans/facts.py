@@ -60,6 +60,24 @@ SELECT o_orderkey AS listing, sport, CASE WHEN o_orderpriority = '1-URGENT' THEN
        CASE o_orderkey % 5 WHEN 1 THEN 'port ' || CAST(event AS STRING) WHEN 2 THEN away WHEN 3 THEN 'Nobody ' || CAST(o_orderkey AS STRING) ELSE upper(home) END AS home,
        CASE o_orderkey % 5 WHEN 2 THEN home ELSE away END AS away,
        start_ms + (o_orderkey * 7919 % 4800 - 2400) * 1000 AS start_ms, MS(o_orderdate) AS seen_ms
+FROM {{orders}} o JOIN ({{schedule}}) s ON o_custkey = event""",
+    # events that odds rows are mapped to: the schedule, second games of the same day for some, starts that can't be read
+    "canonical": f"""
+SELECT event, sport, home, away, CASE WHEN event % 97 = 3 THEN NULL ELSE start_ms END AS start_ms FROM ({{schedule}}) s
+UNION ALL SELECT event + 1000000 AS event, sport, home, away, start_ms + 10800000 AS start_ms FROM ({{schedule}}) s WHERE event % 7 = 0""",
+    # provider ids bound to events, some to the wrong one
+    "bindings": """
+SELECT 'main_' || CAST(event AS STRING) AS provider_event, CASE WHEN event % 16 = 5 THEN event + 1 ELSE event END AS event, CASE WHEN event % 4 = 1 THEN 'alias' ELSE 'source' END AS kind FROM ({schedule}) s WHERE event % 8 < 6
+UNION ALL SELECT 'main_' || CAST(event AS STRING) || '_2' AS provider_event, event + 1000000 AS event, 'source' AS kind FROM ({schedule}) s WHERE event % 7 = 0
+UNION ALL SELECT 'ALT_' || CAST(event AS STRING) AS provider_event, event, 'alias' AS kind FROM ({schedule}) s WHERE event % 4 = 0""",
+    # odds rows of two catalogues, by run
+    "feed": f"""
+SELECT o_orderkey AS listing, sport, sport || '/' || CAST({_div("MS(o_orderdate)", 365 * DAY_MS)} AS STRING) AS run,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'ALT_' ELSE 'main_' END || CAST(event AS STRING) || CASE WHEN o_orderkey % 3 > 0 AND event % 7 = 0 AND o_orderkey % 2 = 0 THEN '_2' ELSE '' END AS provider_event,
+       CASE o_orderkey % 5 WHEN 1 THEN 'port ' || CAST(event AS STRING) WHEN 2 THEN away WHEN 3 THEN 'Nobody ' || CAST(o_orderkey AS STRING) ELSE upper(home) END AS home,
+       CASE o_orderkey % 5 WHEN 2 THEN home ELSE away END AS away,
+       CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE start_ms + (o_orderkey * 7919 % 4800 - 2400) * 500 + CASE o_orderkey % 7 WHEN 0 THEN 5400000 WHEN 1 THEN 10800000 ELSE 0 END END AS start_ms,
+       start_ms - 36000000 + o_orderkey % 11 * 3600000 AS retrieved_ms
 FROM {{orders}} o JOIN ({{schedule}}) s ON o_custkey = event""",
     # one row per graded decision
     "decisions": """

@@ -15,7 +15,7 @@ from pricelens.plans.facts import Tables
 def t(spark, sf_dir):
     """The smallest tables."""
     own = Tables(spark, sf_dir)
-    return SimpleNamespace(**{k: getattr(own, k).cache() for k in ("quotes", "games", "phases", "decisions", "listings", "schedule")})
+    return SimpleNamespace(**{k: getattr(own, k).cache() for k in ("quotes", "games", "phases", "decisions", "listings", "schedule", "feed", "bindings", "canonical")})
 
 
 def plain(label):
@@ -101,25 +101,72 @@ def test_coverage_summary(t):
     assert {r["sport"]: list(r[1:]) for r in boards.coverage_summary(t).collect()} == want
 
 
-def test_secondary_aliases(t):
-    schedule, want = t.schedule.collect(), {}
-    for l in t.listings.where("provider = 'alpha'").collect():
-        found = {s["event"] for s in schedule if s["sport"] == l["sport"] and either(l, s)}
-        want[l["listing"]] = (min(found, default=-1), ["no-candidate", "alias", "ambiguous"][min(2, len(found))])
-    got = boards.secondary_aliases(t).collect()
-    assert {r["listing"]: (r["event"], r["outcome"]) for r in got} == want and any(k % 2 for k in want)
-
-
-def test_start_drift(t):
-    schedule, want = t.schedule.collect(), {}
-    for l in t.listings.collect():
-        found = [s for s in schedule if s["sport"] == l["sport"] and either(l, s)]
-        if found:
-            d = abs(l["start_ms"] + l["listing"] % 9 * 1_800_000 - min(found, key=lambda s: s["event"])["start_ms"])
-            want[l["listing"]] = "ok" if d <= 900_000 else "secondary" if d <= 7_200_000 else "trusted" if l["provider"] == "alpha" else "rejected"
-    got = boards.start_drift(t).collect()
-    assert dict(map(tuple, got)) == want and len(got) == len(want)
-    assert set(want.values()) == {"ok", "secondary", "trusted", "rejected"}
+def mapped(rows, bindings, canonical):
+    """(event, outcome, drift, side of home) of each feed row, row by row, as the rule reads."""
+    known = {b["provider_event"]: (b["event"], b["kind"]) for b in bindings}
+    events = {e["event"]: e for e in canonical}
+    binding = lambda l: known.get(l["provider_event"]) if known.get(l["provider_event"], (None,))[0] in events else None
+    seen = defaultdict(set)
+    for l in rows:
+        if binding(l):
+            seen[l["run"]].add(binding(l)[0])
+    out = {}
+    for l in rows:
+        event, kind = binding(l) or (None, None)
+        secondary = l["provider_event"].lower().startswith("alt_")
+        if event is None:
+            found = [e for e in seen[l["run"]] if either(l, events[e])] if secondary else []
+            if len(found) != 1:
+                out[l["listing"]] = (None, ("ambiguous" if found else "no-candidate") if secondary else "unresolved", None, None)
+                continue
+            event = found[0]
+        e, off, drift, side = events[event], None, None, None
+        if e["start_ms"] is None:
+            outcome = "start-time-conflict"
+        elif l["retrieved_ms"] >= e["start_ms"]:
+            outcome = "after-start"
+        else:
+            off = None if l["start_ms"] is None else abs(l["start_ms"] - e["start_ms"])
+            within = off is not None and off <= (7_200_000 if secondary else 900_000)
+            drift = "kept" if within else "trusted" if kind == "source" and off is not None else "rejected"
+            home, away = ([k for k in ("home", "away") if fuzzy(l[x], e[k])] for x in ("home", "away"))
+            if len(home) == len(away) == 1 and home != away:
+                side = home[0]
+            elif off is not None and off <= 900_000 and len(home) + len(away) == 1:
+                side = home[0] if home else {"home": "away", "away": "home"}[away[0]]
+            outcome = "start-time-conflict" if drift == "rejected" else "mapped" if side else "participant-mismatch"
+        out[l["listing"]] = (event, outcome, drift, side if outcome == "mapped" else None)
+    return out
+
+
+def check_mapping(t):
+    want = mapped(t.feed.collect(), t.bindings.collect(), t.canonical.collect())
+    assert {r["listing"]: (r["event"], r["outcome"], r["home_side"]) for r in boards.odds_mapping(t).collect()} == {k: (e, o, s) for k, (e, o, _, s) in want.items()}
+    assert {r["listing"]: (r["event"], r["drift"]) for r in boards.start_drift(t).collect()} == {k: (e, d) for k, (e, _, d, _) in want.items() if d}
+    bound = {b["provider_event"] for b in t.bindings.join(t.canonical, "event").collect()}
+    free = {l["listing"] for l in t.feed.collect() if l["provider_event"].lower().startswith("alt_") and l["provider_event"] not in bound}
+    outcome = lambda e, o: o if o in ("no-candidate", "ambiguous") else "alias"
+    assert {r["listing"]: (r["event"], r["outcome"]) for r in boards.secondary_aliases(t).collect()} == {k: (e, outcome(e, o)) for k, (e, o, _, _) in want.items() if k in free}
+    return want
+
+
+def test_odds_mapping(t):
+    want = check_mapping(t)
+    assert {d for _, _, d, _ in want.values()} == {None, "kept", "trusted", "rejected"}
+    assert {o for _, o, _, _ in want.values()} == {"mapped", "unresolved", "no-candidate", "ambiguous", "start-time-conflict", "after-start", "participant-mismatch"}
+
+
+def test_odds_mapping_of_one_hot_pair(spark):
+    """A third of all rows have one pair of labels in one run; odd labels, ids and starts."""
+    n, label = 900, lambda k: "Red United" if k % 3 == 0 else f"Team {k % 40}"
+    feed = [(k, "r1" if k % 3 == 0 else f"r{k % 4}", ("ALT_" if k % 2 else "m_") + str(k % 50), label(k), "" if k % 17 == 0 else "Blue Rovers", None if k % 13 == 0 else k * 10_000, 1000) for k in range(n)]
+    canonical = [(k, "ASIA", label(k), "Blue Rovers", None if k % 11 == 0 else 5_000_000) for k in range(60)]
+    kind = "event long, sport string, home string, away string, start_ms long"
+    own = SimpleNamespace(
+        feed=spark.createDataFrame(feed, "listing long, run string, provider_event string, home string, away string, start_ms long, retrieved_ms long").repartition(8),
+        canonical=spark.createDataFrame(canonical, kind), bindings=spark.createDataFrame([(f"m_{k}", k, "source" if k % 2 else "alias") for k in range(0, 50, 2)] + [("m_7", 999, "source")], "provider_event string, event long, kind string"),
+    )
+    assert "ambiguous" in {o for _, o, _, _ in check_mapping(own).values()}
 
 
 def survivors(rows):
