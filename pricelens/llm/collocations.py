@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from pricelens.llm.common import bounded_batches, materialize, table
 from pricelens.llm.exact_bloom import set_slots
 
-LONGEST, LEAST, CONTAINED, KEPT, BITS = 4, 30, 80, 2000, 1 << 28
-SLICE, HELD, WORD_BITS, RANK_GROUPS = 1 << 20, 1 << 22, 21, 64
+LONGEST, LEAST, CONTAINED, KEPT, BITS = 4, 30, 80, 2000, 1 << 27
+SLICE, HELD, WORD_BITS, RANK_GROUPS = 1 << 20, 1 << 21, 21, 64
 #: A-Z lower-cased, marks and line ends that cut pieces as a full stop, the tab as a blank.
 CUT = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 #: The number of the piece's end among words.
