@@ -17,16 +17,16 @@ Judge = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 
 def land(raw: DataFrame, judges: Mapping[str, Judge], path: str, quarantine: str, checkpoint: str, **trigger):
-    """Land a stream of raw rows (kind, provider, retrieved_ms, body, ...); returns the started query.
+    """Land a stream of raw rows (kind, provider, received_ms, body, ...); returns the started query.
 
     judges: by kind, what makes of a batch its good rows and its quarantined ones with their reason; both keep provider and
-    retrieved_ms. Good rows go to a table per kind, path/kind=..., for schemas differ; quarantined ones to another. Tables
+    received_ms. Good rows go to a table per kind, path/kind=..., for schemas differ; quarantined ones to another. Tables
     are partitioned by provider, UTC day and batch. A batch overwrites its own partitions only, so one that is repeated after
     a failure lands the same rows once. Rows of a kind without judge are quarantined as kind-unknown.
     """
 
     def put(rows: DataFrame, number: int, to: str) -> None:
-        day = F.date_format(F.timestamp_millis("retrieved_ms"), "yyyy-MM-dd")
+        day = F.date_format(F.timestamp_millis("received_ms"), "yyyy-MM-dd")
         own = rows.withColumns({"day": F.coalesce(day, F.lit("none")), "batch": F.lit(number)})
         # rows of a provider and day meet in few files, dealt by adaptive execution, which splits a day that is too large
         own.hint("rebalance", "provider", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(to)

@@ -23,6 +23,27 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _path(spark, path)
+    return fs.exists(at)
+
+
+def folders(spark: SparkSession, path: str) -> list:
+    """The folders in a folder, none if there is no such folder; no file is opened."""
+    at, fs = _path(spark, path)
+    return [s.getPath() for s in fs.listStatus(at) if s.isDirectory()] if fs.exists(at) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, fs = _path(spark, path)
+    fs.delete(at, True)
+
+
 class VersionedTable:
     """A table that is replaced as a whole: each version is a folder of its own, and readers take the last complete one.
 
@@ -32,17 +53,9 @@ class VersionedTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _folder(self):
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return hadoop, hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
     def versions(self) -> list[int]:
-        folder, fs = self._folder()
-        if not fs.exists(folder):
-            return []
-        complete = lambda p: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-        found = [s.getPath() for s in fs.listStatus(folder)]
-        return sorted(int(p.getName()[2:]) for p in found if p.getName().startswith("v=") and complete(p))
+        found = [p for p in folders(self.spark, self.path) if p.getName().startswith("v=") and exists(self.spark, f"{p}/_SUCCESS")]
+        return sorted(int(p.getName()[2:]) for p in found)
 
     def read(self, before: int | None = None) -> DataFrame | None:
         """The last version, or the last one before a given one; None if there is none."""

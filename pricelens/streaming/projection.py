@@ -1,4 +1,4 @@
-"""Streams of quotes: landing with quarantine, and the current projection, which late rows can't move back."""
+"""Streams of quotes: the current projection, which late rows can't move back."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens.operators.latest import QUOTE_KEY, current_quotes
+from pricelens.sources.storage import delete, exists, folders
+from pricelens.streaming.state import state_on_disk
 
 
 def read_table_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -17,41 +19,48 @@ def read_table_stream(spark: SparkSession, path: str, files_per_batch: int = 100
     return reader.parquet(path)
 
 
-def project_current(quotes: DataFrame, path: str, checkpoint: str, keys=QUOTE_KEY):
+#: Batches that are written before they are put together with what was current before them.
+COMPACT_EVERY = 100
+
+
+def project_current(quotes: DataFrame, path: str, checkpoint: str, keys=QUOTE_KEY, compact_every: int = COMPACT_EVERY):
     """Keep the current quote of each cell; returns the started query, which ends with its input.
 
-    Spark's state store holds each cell's last quote by observation, rank and id, so an older row arriving late changes
-    nothing and no watermark drops it. A batch writes the cells that it touched to a folder of its number, and no others;
-    repeated after a failure, it writes the same folder again. read_current gives the table.
+    Spark's state store, on disk with a change log, holds each cell's last quote by observation, rank and id, so an older
+    row arriving late changes nothing and no watermark drops it. A batch writes the cells that it touched to a folder of its
+    number, and no others. Each `compact_every`-th batch then writes the current table, from the one before and the folders
+    since; older folders go, so a reader never has more than that many. A batch that is repeated after a failure writes the
+    same again. read_current gives the table.
     """
     order = ("observed_ms", "provider_rank", "snapshot_id")
     latest = quotes.groupBy(*keys).agg(F.max(F.struct(*order, F.struct(*quotes.columns).alias("row"))).alias("last")).select("last.row.*")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return latest.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def read_current(spark: SparkSession, path: str, keys=QUOTE_KEY) -> DataFrame:
-    """The current quotes: of all batches' cells the last ones."""
-    return current_quotes(spark.read.parquet(path).drop("batch"), keys)
-
-
-def compact_current(spark: SparkSession, path: str, into: str, keys=QUOTE_KEY) -> None:
-    """The current quotes as batch -1 of another folder, for a projection that has run long; later batches are written there."""
-    read_current(spark, path, keys).write.mode("overwrite").parquet(f"{into}/batch=-1")
-
-
-def land(raw: DataFrame, judge, path: str, quarantine: str, checkpoint: str):
-    """Land a raw stream: judge(batch) gives good and quarantined rows, each written to a folder of its batch number."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        good, bad = judge(batch)
-        good.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        bad.write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
-
-    return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        own = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/batches/batch={number}")
+        if number % compact_every == compact_every - 1:
+            read_current(own, path, keys, before=number + 1).write.mode("overwrite").parquet(f"{path}/current/upto={number}")
+            for k in _numbers(own, f"{path}/batches", number + 1):
+                delete(own, f"{path}/batches/batch={k}")
+            for k in _numbers(own, f"{path}/current", number)[:-1]:  # the one before stays, for who reads it now
+                delete(own, f"{path}/current/upto={k}")
+
+    with state_on_disk(quotes.sparkSession):
+        return latest.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_current(spark: SparkSession, path: str, keys=QUOTE_KEY, before: int | None = None) -> DataFrame:
+    """The current quotes: the last table put together (by a batch before `before`), and the last cells of the batches since."""
+    upto = _numbers(spark, f"{path}/current", before)[-1:]
+    found = [f"{path}/batches/batch={k}" for k in _numbers(spark, f"{path}/batches", before) if not upto or k > upto[0]]
+    parts = [f"{path}/current/upto={k}" for k in upto] + found
+    return current_quotes(spark.read.parquet(*parts), keys)
+
+
+def _numbers(spark: SparkSession, folder: str, before: int | None = None) -> list[int]:
+    """The numbers of the complete folders name=number there, in order."""
+    found = [(p, int(p.getName().partition("=")[2])) for p in folders(spark, folder)]
+    return sorted(k for p, k in found if (before is None or k < before) and exists(spark, f"{p}/_SUCCESS"))
 
 
 def window_counts(events: DataFrame, at: str, width: str, late: str, *keys: str) -> DataFrame:

@@ -14,10 +14,14 @@ STORE = {
 
 
 @contextmanager
-def state_on_disk(spark: SparkSession) -> Iterator[None]:
-    """A query keeps the settings that it was started under; the session's own come back."""
-    before = {k: spark.conf.get(k, None) for k in STORE}
-    for k, v in STORE.items():
+def state_on_disk(spark: SparkSession, empty_batches: bool = True) -> Iterator[None]:
+    """A query keeps the settings that it was started under; the session's own come back.
+
+    Without empty_batches a query runs for new data only; one that keeps timers by the clock would else never end.
+    """
+    wanted = STORE | {"spark.sql.streaming.noDataMicroBatches.enabled": str(empty_batches).lower()}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
         spark.conf.set(k, v)
     try:
         yield
