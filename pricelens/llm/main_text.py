@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.llm.common import bounded_batches, table
+from pricelens.llm.common import bounded_batches, materialize, table
 from pricelens.llm.dom import BINS, BY_NAME, LEAF, Pages, features
 
 TRAIN_PAGES, TRAIN_CHARS, LAYOUTS, SEED = 200, 1 << 16, 3, 12
@@ -245,6 +245,18 @@ def texts_of(pages: list[str], trees: Trees | None) -> list[str]:
     return [" ".join(x) for x in out]
 
 
+def training_pages(source: DataFrame, most: int, chars: int) -> list[str]:
+    """The first `most` pages of `chars` characters at most by a hash.
+
+    How many there are gives a bound that a few times as many hashes as wanted lie under, so that tasks send no more to the
+    one that picks the first ones.
+    """
+    short = source.where((F.char_length("html") <= chars) & (F.col("html") != "")).select("html", F.xxhash64(F.lit(SEED), *source.columns).alias("at"))
+    share = min(1.0, 4 * most / max(1, short.count()))
+    under = short.where(F.col("at") <= int((share - 0.5) * (1 << 64)) if share < 1 else F.lit(True))
+    return [r["html"] for r in materialize(under.orderBy("at", "html").limit(most), "training-pages").collect()]
+
+
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup: str = "html", train_pages: int = TRAIN_PAGES, train_chars: int = TRAIN_CHARS) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars (code points).
 
@@ -256,8 +268,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", mark
     spark = pages.sparkSession
     bounded_batches(spark)
     source = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(markup).cast("string"), F.lit("")).alias("html"))
-    some = source.where(F.col("html").contains("<") & (F.char_length("html") <= train_chars)).orderBy(F.xxhash64(F.lit(SEED), "html"), "html").limit(train_pages)
-    trees = spark.sparkContext.broadcast(fitted([r["html"] for r in some.select("html").collect()]))
+    trees = spark.sparkContext.broadcast(fitted(training_pages(source, train_pages, train_chars)))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

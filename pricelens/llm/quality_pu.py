@@ -243,12 +243,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 def keep_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that the classifier doesn't reject; all of them if it had nothing to learn from.
 
-    Features are computed once, in a table beside the rows, for training and for the scores alike.
+    Null, empty and blank texts share one score, repeated rows share theirs; null doc_ids have no label. An empty table gives
+    no rows. Extra columns may have any names. Features are computed once, in a table beside the rows, for training and for
+    the scores alike.
     """
     bounded_batches(docs.sparkSession)
-    wide = materialize(docs.withColumn("__x", feature_column(F.col(text))), "quality-documents", "zstd")
-    model = QualityModel.train(wide.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("__x").alias("x")), labels)
-    return (wide if model.constant else wide.where(model.score(F.col("__x")) >= 0.5)).select(docs.columns)
+    wide = materialize(docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("own"), feature_column(F.col(text)).alias("x")), "quality-documents", "zstd")
+    model = QualityModel.train(wide.select(F.col(f"own.{doc_id}").cast("long").alias("doc_id"), "x"), labels)
+    return (wide if model.constant else wide.where(model.score(F.col("x")) >= 0.5)).select("own.*")
 
 
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:

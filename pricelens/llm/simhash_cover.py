@@ -20,15 +20,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelens.llm.common import bounded_batches, materialize, table
+from pricelens.llm.common import bounded_batches, materialize, table, work_path
 from pricelens.llm.components import connected_components
-from pricelens.llm.exact_bloom import filter_bits, set_slots, slot, with_bit
+from pricelens.llm.exact_bloom import set_slots, with_bit
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 MAX_RUN = 2048
+#: Rows whose bits one broadcast holds: 32 MB, and 4 kB a partition.
+MOST_MARKED = 1 << 28
 CHUNK = 1 << 15
 
 
@@ -212,22 +214,51 @@ def near_duplicates(
 
 
 def drop_near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_run: int = MAX_RUN, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_run: int = MAX_RUN, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, most_marked: int = MOST_MARKED
 ) -> DataFrame:
     """Of each component one row of docs, that of the smallest doc_id, a null one last; of rows that tie exactly one.
 
-    Rows are numbered in a written table, and what is decided is the numbers to drop. A Bloom bitmap of them, of bounded
-    size, is broadcast: rows that it clears pass straight through, only the others shuffle to be compared by number.
+    Null and empty texts have fingerprint zero and link like any other; an empty table gives no rows. Extra columns may have
+    any names. Rows are numbered in a written table, a struct beside the number, and what is decided is the numbers to drop.
+    They come back to the rows as a bitmap with a bit a row, so no text shuffles. A broadcast holds MOST_MARKED rows' bits;
+    more rows are gone through in ranges of their numbers, which are whole files, one range after another.
     """
-    bounded_batches(docs.sparkSession)
-    numbered = materialize(docs.withColumns({"__row": F.monotonically_increasing_id(), "__fp": fingerprints(F.col(text), shingle, seed)}), "simhash-numbered", "zstd")
-    own = numbered.select(F.col("__fp").alias("fp"), F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).cast("long").alias("id"), F.col("__row").alias("row")).alias("at"))
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    numbered = materialize(docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("own"), F.monotonically_increasing_id().alias("row"), fingerprints(F.col(text), shingle, seed).alias("fp")), "simhash-numbered", "zstd")
+    at = F.struct(F.col(f"own.{doc_id}").isNull().alias("no_id"), F.col(f"own.{doc_id}").cast("long").alias("id"), F.col("row").alias("row"))
+    own = numbered.select("fp", at.alias("at"))
     found = classes(own, F.col("at"), max_run, radius)
-    dropped = materialize(own.join(found, "fp").where("at.row <> first.row").select(F.col("at.row").alias("__row")), "simhash-dropped")
-    bits = filter_bits(dropped.count())
-    flagged = with_bit(numbered, materialize(set_slots(dropped, slot(1, bits, "__row")), "simhash-bloom"), slot(1, bits, "__row"), "__hit")
-    compared = flagged.where("__hit").join(dropped, "__row", "left_anti")
-    return flagged.where("NOT __hit").unionByName(compared).select(docs.columns)
+    dropped = materialize(own.join(found, "fp").where("at.row <> first.row").select(F.col("at.row").alias("row")), "simhash-dropped")
+    ranges = row_ranges(numbered, most_marked)
+    kept = lambda low, high: _unmarked(numbered, dropped, low, high).select("own.*")
+    if len(ranges) == 1:
+        return kept(*ranges[0])
+    done = work_path(spark, "simhash-kept")
+    for k, (low, high) in enumerate(ranges):
+        kept(low, high).write.option("compression", "zstd").parquet(f"{done}/range={k}")
+    return spark.read.schema(docs.schema).parquet(*[f"{done}/range={k}" for k in range(len(ranges))])
+
+
+def row_ranges(numbered: DataFrame, most: int) -> list[tuple[int | None, int | None]]:
+    """Ranges of row numbers, from the first to before the second (null: no bound), of about `most` rows, cut between partitions."""
+    part = F.shiftright("row", 33)
+    sizes = numbered.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    cut = sizes.withColumn("range", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / most)).groupBy("range").agg(F.min("part").alias("part"))
+    firsts = sorted(r["part"] << 33 for r in cut.collect())
+    cuts = [None, *firsts[1:], None]
+    return list(zip(cuts, cuts[1:]))
+
+
+def _unmarked(numbered: DataFrame, marked: DataFrame, low: int | None, high: int | None) -> DataFrame:
+    """The numbered rows of a range whose number isn't marked, by a bitmap that is exact."""
+    if low is not None:
+        numbered, marked = (df.where(F.col("row") >= low) for df in (numbered, marked))
+    if high is not None:
+        numbered, marked = (df.where(F.col("row") < high) for df in (numbered, marked))
+    at = F.col("row") + 1  # the bitmap functions number from 1
+    return with_bit(numbered, materialize(set_slots(marked, at), "simhash-bits"), at, "hit").where("NOT hit")
 
 
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ mean size of the source)). Newton's method solves it: in each round Spark sums t
 (source, size, documents) and steps all sources at once, inside brackets that make it safe. Sources, targets and
 multipliers stay in tables; the driver sees sums over all sources only, so a source may be a domain.
 
-Copies: documents are dealt by a hash into groups of about GROUP per source. Within a group, from the largest document
+Copies: documents are dealt by a hash into groups of about GROUP per source. (Where over GROUP rows are equal in all that
+counts, those are a group of their own, and their copies are dealt by place, in as many tasks as hold them.) Within a group, from the largest document
 down, the running sum of rate * size is rounded to whole documents, so a group misses its share by less than its smallest
 documents and no group grows with a source.
 """
@@ -155,27 +156,52 @@ def mix_copies(
         "target",
         F.round(rate, 9).alias("rate"),
         F.lit(MOST_COPIES).alias("most"),
+        "key",
         F.xxhash64(F.lit(3), "key").alias("order"),
         F.pmod(F.xxhash64(F.lit(4), "key"), F.ceil(F.col("n") / GROUP)).alias("group"),
     )
-    return rated.groupBy("source", "group").applyInPandas(
-        _copies, "doc_id long, row long, size long, source_size long, target double, copies int"
-    )
+    own = ["doc_id", "row", "size", "source_size", "target", "copies"]
+    alike = ["key", "size"]
+    hot = materialize(sized.groupBy(*alike).agg(F.count("*").alias("alike")).where(F.col("alike") > GROUP), "mix-alike")
+    if hot.isEmpty():
+        return rated.groupBy("source", "group").applyInPandas(_copies, COPIES).select(own)
+    marked = materialize(rated.join(hot, alike, "left"), "mix-marked")
+    dealt = marked.where("alike IS NULL").drop("alike", "key").groupBy("source", "group").applyInPandas(_copies, COPIES)
+    return dealt.select(own).unionByName(_copies_of_equals(marked.where("alike IS NOT NULL"), alike).select(own))
+
+
+COPIES = "doc_id long, row long, size long, source_size long, target double, copies int"
+
+
+def _copies_of_equals(rows: DataFrame, alike: list[str]) -> DataFrame:
+    """rows (row, rate, most, alike, ...), each one of `alike` equal rows: with copies, whose sum is nearest to rate * alike.
+
+    All get the whole part; the rest go to the first rows by number. A row's place is that in its partition, and the rows of
+    partitions before: sums by partition, so that no task sees all equal rows.
+    """
+    part = F.shiftright("row", 33)
+    counts = rows.groupBy(*alike, part.alias("part")).agg(F.count("*").alias("here"))
+    before = Window.partitionBy(*alike).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = counts.select(*alike, "part", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*alike, "part").orderBy("row"))
+    placed = rows.withColumn("part", part).withColumn("inside", inside).join(offsets, [*alike, "part"])
+    total = F.floor(F.col("rate") * F.col("alike") + 0.5).cast("long")
+    whole_ = F.expr("__total div alike")
+    return placed.withColumn("__total", total).withColumn("copies", F.least("most", whole_ + F.when(F.col("before") + F.col("inside") <= F.col("__total") % F.col("alike"), 1).otherwise(0)).cast("int"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """docs as the mix takes them: each row as often as it has copies, two times at most.
 
-    Rows are numbered in a written table, and their copies are joined by that number; the texts shuffle once.
+    Null and empty texts have rate 1, a null source is one of its own, an empty table gives no rows. Extra columns may have
+    any names. Rows are numbered in a written table, a struct beside the number, and their copies are joined by that number;
+    the texts shuffle once.
     """
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-numbered", "zstd")
-    copies = mix_copies(numbered, doc_id=doc_id, text=text, source=source, row=F.col("__row"), **options)
-    taken = copies.where("copies > 0").select(F.col("row").alias("__taken"), "copies")
-    return (
-        numbered.join(taken.hint("shuffle_hash"), F.col("__row") == F.col("__taken"))
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select(docs.columns)
-    )
+    numbered = materialize(docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("own"), F.monotonically_increasing_id().alias("row")), "mix-numbered", "zstd")
+    read = numbered.select("row", *[F.col(f"own.{c}").alias(name) for c, name in ((doc_id, "doc_id"), (text, "text"), (source, "source"))])
+    copies = mix_copies(read, row=F.col("row"), **options)
+    taken = copies.where("copies > 0").select("row", "copies")
+    return numbered.join(taken.hint("shuffle_hash"), "row").select("own", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("own.*")
 
 
 def op3_source_mix(spark, sf_dir: str) -> DataFrame:

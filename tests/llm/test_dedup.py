@@ -4,13 +4,16 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import xxhash
+from pyspark.sql import functions as F
 
 from pricelens.llm.components import connected_components
-from pricelens.llm.exact_bloom import exact_dedup
+from pricelens.llm.common import shared_dir
+from pricelens.llm.exact_bloom import exact_dedup, hash_ranges
 from pricelens.llm.line_runs import LineRuns, line_dedup
-from pricelens.llm.simhash_cover import RADIUS, all_masks, close_links, covering_masks, fingerprint, narrower, near_duplicates
+from pricelens.llm.simhash_cover import RADIUS, all_masks, close_links, covering_masks, drop_near_duplicates, fingerprint, narrower, near_duplicates, row_ranges
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -33,6 +36,34 @@ def test_exact_dedup(docs, rows):
         assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
 
 
+def test_ranges_of_hashes(spark, docs, rows, tmp_path):
+    """With a filter far too small for all rows the hashes go in ranges; results are the same, and few unrepeated rows shuffle."""
+    want = Counter(tuple(r) for r in exact_dedup(docs).drop("kept").collect())
+    assert Counter(tuple(r) for r in exact_dedup(docs, most_bits=64).drop("kept").collect()) == want
+    assert sum(r["kept"] for r in exact_dedup(docs, most_bits=64).collect()) == len({h for *_, h in want})
+    for n, most in ((0, 64), (8, 64), (9, 64), (1 << 20, 1 << 10), (1 << 40, 64)):
+        ranges = hash_ranges(n, most)
+        assert ranges[0][0] == "0000" and ranges[-1][1] == "g" and all(a < b for a, b in ranges) and all(x[1] == y[0] for x, y in zip(ranges, ranges[1:]))
+        assert len(ranges) * most >= min(8 * n, most << 16)
+    many = spark.range(20_000).select("id", F.concat(F.lit("text "), F.least("id", F.lit(19_990))).alias("text"))
+    before = set(Path(shared_dir(spark).removeprefix("file:")).glob("text-groups-*"))
+    got = exact_dedup(many, "id", most_bits=1 << 14).collect()
+    assert Counter(r["group_size"] for r in got) == {1: 19_990, 10: 10} and sum(r["kept"] for r in got) == 19_991
+    shuffled = spark.read.parquet(*[str(p) for p in set(Path(shared_dir(spark).removeprefix("file:")).glob("text-groups-*")) - before])
+    assert shuffled.count() <= 600  # 3 of 100 rows pass both filters of 8 slots a row, whatever the number of rows
+
+
+def test_rows_marked_in_ranges(spark, docs):
+    """Near-duplicates that go are marked range by range of row numbers; the rows that stay are the same."""
+    want = Counter(map(tuple, drop_near_duplicates(docs).collect()))
+    assert Counter(map(tuple, drop_near_duplicates(docs, most_marked=7).collect())) == want
+    numbered = docs.repartition(5).select(F.monotonically_increasing_id().alias("row"))
+    for most in (1, 7, 20, 1000):
+        ranges = row_ranges(numbered, most)
+        assert ranges[0][0] is None and ranges[-1][1] is None and all(x[1] == y[0] for x, y in zip(ranges, ranges[1:]))
+    assert row_ranges(numbered.where("false"), 5) == [(None, None)]
+
+
 def brute_lines(rows, least):
     key = lambda line: lower(line.strip(SPACE))
     found = Counter(k for _, t in rows for k in {key(x) for x in (t or "").split("\n")} if k)

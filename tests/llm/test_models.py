@@ -142,6 +142,21 @@ def test_mix_meets_targets(spark):
         assert abs(got - target) <= 0.02 * target
 
 
+def test_mix_of_many_equal_rows(spark):
+    """Thousands of rows equal in all that counts are dealt by place, not as one group; reruns and other partitions agree."""
+    words = F.array_join(F.array_repeat(F.lit("w"), 7), " ")
+    rows = spark.range(12_000).select(F.when(F.col("id") < 9000, -1).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 9000, words).otherwise(F.concat_ws(" ", F.array_repeat(F.lit("w"), 3 + F.pmod(F.xxhash64("id"), F.lit(9)).cast("int")))).alias("text"), F.when(F.col("id") % 4 == 3, "b").otherwise("a").alias("source"))
+    found = [sorted(tuple(r) for r in source_mix.mix_copies(rows.repartition(k)).drop("row").collect()) for k in (8, 3)]
+    assert found[0] == found[1] and len(found[0]) == 12_000
+    for source_size in {r[2] for r in found[0]}:
+        own = [r for r in found[0] if r[2] == source_size]
+        assert abs(sum(size * copies for _, size, _, _, copies in own) - own[0][3]) < 30
+    equal = Counter((source_size, copies) for i, _, source_size, _, copies in found[0] if i == -1)
+    assert sum(equal.values()) == 9000 and all(max(c for s, c in equal if s == k) - min(c for s, c in equal if s == k) <= 1 for k, _ in equal)
+    many = source_mix.mix(rows).groupBy("doc_id", "source").count()
+    assert many.where("doc_id = -1").agg(F.sum("count")).first()[0] == sum(c * n for (_, c), n in equal.items())
+
+
 def test_mix_takes_rows_by_number(spark):
     """Rows that differ in other columns only, or share an id, are rows of their own; none comes more than twice."""
     docs = spark.createDataFrame(

@@ -10,6 +10,7 @@ import pytest
 from test_dedup import brute_components, brute_fingerprint, brute_lines
 from test_models import brute_targets
 from test_texts import check_packing
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pricelens.llm.queries import ORACLES, QUERIES
@@ -116,3 +117,17 @@ def test_stages_bear_odd_rows(spark, docs, nothing):
             rows = made.collect()
             now = spark.createDataFrame(rows, made.schema)
         assert bool(rows) == (start is docs)
+
+
+CLASHES = ("own", "row", "fp", "at", "first", "hit", "hit_1", "bucket", "bitmap", "slot", "copies", "taken", "key", "group", "rate", "most", "order", "alike", "part", "of", "n", "x", "rest", "_", "__x", "__row", "__copy", "__drop", "drop", "n_lines", "n_dropped", "batch", "range", "score", "target", "source_size", "text_sha256", "h 1")
+
+
+def test_stages_bear_any_extra_column(spark, docs):
+    """Columns by every internal name come out as they came in."""
+    own = docs.drop(*CLASHES).withColumns({c: F.concat(F.lit(c), F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASHES})
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        made = stage(spark, own, SF)
+        assert made.columns == own.columns
+        rows = made.collect()
+        assert rows and all(r[c] == f"{c}-{'none' if r['doc_id'] is None else r['doc_id']}" for r in rows for c in CLASHES), name
+    assert corpus_pipeline.STAGES[4][1](spark, own, SF).count()
