@@ -18,28 +18,33 @@ from pricelens.llm.source_mix import mix
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; of a table of none, or without labels of good ones, none do."""
     return keep_quality(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten or more documents go; a document stays even if none of its lines do."""
-    kept = line_dedup(docs).withColumn("n_chars", F.char_length("text").cast("long"))
-    return kept.select(docs.columns)
+    """Lines found in ten or more documents go; a document stays even if none of its lines do, a null text as an empty one.
+
+    Other columns, whatever their names, go along in a struct; n_chars is counted again.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    kept = line_dedup(docs.select("doc_id", "text", *([F.struct(*[f"`{c}`" for c in rest]).alias("rest")] if rest else [])))
+    made = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.char_length("text").cast("long").alias("n_chars")}
+    return kept.select(*[made[c] if c in made else F.col(f"rest.`{c}`") for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component one row stays, that of the smallest doc_id."""
+    """Of each SimHash component one row stays, that of the smallest doc_id, a null one last; null texts are empty ones."""
     return drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; equal rows share their copies, null texts are empty, a null source is one."""
     return mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed sequences; a document taken twice is packed twice."""
+    """The pieces of packed sequences; a document taken twice is packed twice, a null or empty one is its end alone."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
