@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelens.functions.pricing import first_reason
@@ -26,6 +29,22 @@ def searchable(label: Column) -> Column:
     return folded(F.translate(label, DIACRITICS, PLAIN_LETTERS))
 
 
+def composed(df: DataFrame, label: str) -> DataFrame:
+    """df with the label in compatibility composition (NFKC): full-width and decomposed letters as plain ones.
+
+    ASCII labels are so already and never leave the JVM; of the others each distinct one goes to Python once, in Arrow
+    batches, and comes back by a join that adaptive execution broadcasts if it is small. Null stays null.
+    """
+    other = F.octet_length(label) > F.char_length(label)
+
+    def of(labels: pa.Array) -> pa.Array:
+        return pa.array([unicodedata.normalize("NFKC", x) for x in labels.to_pylist()], pa.string())
+
+    found = df.where(other).select(F.col(label).alias("__label")).distinct().select("__label", F.arrow_udf(of, "string")("__label").alias("__composed"))
+    both = df.join(found, F.when(F.octet_length(df[label]) > F.char_length(df[label]), df[label]) == F.col("__label"), "left")
+    return both.withColumn(label, F.coalesce("__composed", label)).drop("__label", "__composed")
+
+
 def book_id(book: Column) -> Column:
     return F.lower(F.trim(book))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -88,6 +90,27 @@ def next_page(df: DataFrame, limit: int, cursor: Mapping | None = None, as_of_ms
     return ranked(after(df, cursor, as_of_ms, seen), limit)
 
 
+def _bound_to(filters: Mapping) -> str:
+    return hashlib.sha256(json.dumps(dict(sorted(filters.items())), sort_keys=True).encode()).hexdigest()
+
+
+def cursor_at(row: Mapping, filters: Mapping, as_of_ms: int) -> dict:
+    """A cursor of the row that a page ended with, bound to the page's filters and instant."""
+    return {**{c: row[c] for c in (*RANK, "id")}, "as_of_ms": as_of_ms, "filters": _bound_to(filters)}
+
+
+def filtered_page(df: DataFrame, limit: int, filters: Mapping, as_of_ms: int, cursor: Mapping | None = None, seen: str = "observed_ms") -> DataFrame:
+    """A page under filters (those of filtered()), of the rows seen by an instant; with a cursor the one after it.
+
+    The cursor must come from a page of the same filters and instant, so that no row is skipped or comes twice.
+    """
+    if cursor is not None and cursor["filters"] != _bound_to(filters):
+        raise ValueError("cursor-filter-mismatch")
+    if cursor is not None and cursor["as_of_ms"] != as_of_ms:
+        raise ValueError("cursor-as-of-mismatch")
+    return next_page(filtered(df, **filters), limit, cursor, as_of_ms, seen)
+
+
 def ranked(df: DataFrame, limit: int) -> DataFrame:
     """A top-k by ev, confidence, freshness, coverage downwards, then id."""
     return df.orderBy(*map(F.desc, RANK), "id").limit(limit)

@@ -93,6 +93,18 @@ def label_forms(t):
     return t.games.select("home", T.folded(h).alias("folded"), T.searchable(h).alias("search"), T.selection_key(h).alias("key")).distinct()
 
 
+_WIDE, _PLAIN = "".join(chr(0xFF41 + k) for k in range(26)), "abcdefghijklmnopqrstuvwxyz"
+
+
+@query(f"""SELECT game, {fold(PLAIN.format("nfc_normalize(translate(label, '" + _WIDE + "', '" + _PLAIN + "'))"))} AS search FROM (SELECT game, CASE game % 3 WHEN 0 THEN translate(lower(home), '{_PLAIN}', '{_WIDE}') WHEN 1 THEN replace(home, 'é', 'e' || chr(769)) ELSE home END AS label FROM games)""")
+def unicode_labels(t):
+    """Labels some of which come in full-width letters or with their accents apart, as they are searched."""
+    k = F.col("game") % 3
+    wide = F.translate(F.lower("home"), _PLAIN, _WIDE)
+    rows = t.games.select("game", F.when(k == 0, wide).when(k == 1, F.replace("home", F.lit("é"), F.lit("e\u0301"))).otherwise(F.col("home")).alias("label"))
+    return T.composed(rows, "label").select("game", T.searchable(F.col("label")).alias("search"))
+
+
 @query(f"""WITH x AS (SELECT q.*, p.american AS sharp, bool_and(p.american IS NOT NULL) OVER (PARTITION BY q.game, q.market) AS anchored, count(*) OVER (PARTITION BY q.game, q.market) AS n
   FROM current_quotes q LEFT JOIN current_quotes p ON p.book = 'pinnacle' AND p.game = q.game AND p.market = q.market AND p.selection = q.selection WHERE q.book = 'hardrock'),
 y AS (SELECT *, CASE WHEN anchored THEN {implied('sharp')} ELSE {implied('american')} END AS p FROM x), z AS (SELECT game, n, (p / sum(p) OVER (PARTITION BY game, market) * {dec('american')} - 1) * 100 AS ev FROM y)

@@ -234,11 +234,22 @@ def current_snapshots(t):
     return current_quotes(t.quotes).select("snapshot_id", *MARKET, "selection", "book", "american", "observed_ms")
 
 
-@query("""WITH r AS (SELECT game, market, book, selection, count(*) AS n FROM quotes GROUP BY ALL), m AS (SELECT game, market, count(DISTINCT selection) NOT BETWEEN 2 AND 3 AS bad, max(n) > 1 AS twice FROM r GROUP BY ALL)
+# current prices: a book listed twice in some games, sides missing in others, up to four in a few
+part("listed_prices", """SELECT game, market, book, selection FROM current_quotes WHERE NOT (game % 11 = 4 AND selection = 'home') UNION ALL SELECT game, market, book, selection FROM current_quotes WHERE game % 7 = 2 AND book = 'draftkings'
+  UNION ALL SELECT game, market, book, selection || s FROM current_quotes CROSS JOIN (VALUES ('-alt')) x(s) WHERE game % 13 IN (3, 5) AND (game % 13 = 3 OR selection = 'home')""")
+
+
+@query("""WITH r AS (SELECT game, market, book, selection, count(*) AS n FROM listed_prices GROUP BY ALL), m AS (SELECT game, market, count(DISTINCT selection) NOT BETWEEN 2 AND 3 AS bad, max(n) > 1 AS twice FROM r GROUP BY ALL)
 SELECT game, market, array_to_string(list_filter([CASE WHEN bad THEN 'invalid-market' END, CASE WHEN twice THEN 'duplicate-sportsbook' END], lambda r: r IS NOT NULL), ',') AS issues, NOT bad AND NOT twice AS valid FROM m""")
 def market_validity(t):
-    """A repeated price of a book, of which a history has many, is a duplicate."""
-    return C.market_validity(t.quotes).withColumn("issues", F.array_join("issues", ","))
+    """Markets of current prices; a book that has a selection twice, and fewer than two or more than three selections, are wrong."""
+    return C.market_validity(_listed(current_quotes(t.quotes))).withColumn("issues", F.array_join("issues", ","))
+
+
+def _listed(now):
+    now, game = now.select("game", "market", "book", "selection"), F.col("game")
+    odd = now.where((game % 13).isin(3, 5) & ((game % 13 == 3) | (F.col("selection") == "home"))).withColumn("selection", F.concat("selection", F.lit("-alt")))
+    return now.where("NOT (game % 11 = 4 AND selection = 'home')").unionByName(now.where("game % 7 = 2 AND book = 'draftkings'")).unionByName(odd)
 
 
 @query(f"""SELECT q.snapshot_id, a.probability IS NOT NULL AS available, round({dec('q.american')} * a.probability - 1, 9) AS price_clv, round(a.probability - {implied('q.american')}, 9) AS probability_clv

@@ -94,7 +94,8 @@ def settled_bets(t):
 @query("""SELECT a.status AS before, b.status AS after, b.status <> 'open' AND (a.status = 'open' OR a.status <> b.status) AS allowed
 FROM (SELECT DISTINCT status FROM bets) a CROSS JOIN (SELECT DISTINCT status FROM bets) b""")
 def bet_transitions(t):
-    states = t.spark.createDataFrame([(s,) for s in ("open", *P.TERMINAL)], "before string")
+    """Whether a bet may go from each status that bets have to each other one."""
+    states = t.bets.select(F.col("status").alias("before")).distinct()
     return states.crossJoin(F.broadcast(states.withColumnRenamed("before", "after"))).withColumn(
         "allowed", P.can_transition(F.col("before"), F.col("after"))
     )

@@ -12,7 +12,7 @@ from pricelens.operators import strategy as S
 from pricelens.operators.closing import ratio_clv
 from pricelens.operators.latest import current_results
 from pricelens.plans.consensus import POLICY, _rows
-from pricelens.plans.facts import NOW_MS
+from pricelens.plans.facts import DAY_MS, NOW_MS
 from pricelens.plans.prices import dec, implied
 from pricelens.plans.registry import part, query
 
@@ -222,16 +222,17 @@ def ranked_opportunities(t):
     return R.ranked(_ranked(t), 20).select("id", "ev", "confidence", "bucket")
 
 
-_PAGED = "ev >= -0.5 AND market = 'moneyline'"
+_PAGED = f"ev >= -0.5 AND market = 'moneyline' AND oldest <= {NOW_MS - 2 * DAY_MS}"
 
 
-@query(f"""WITH own AS (SELECT * FROM ranked WHERE {_PAGED}), placed AS (SELECT *, row_number() OVER (ORDER BY ev DESC, confidence DESC, freshness DESC, coverage DESC, id) AS place FROM own)
+@query(f"""WITH own AS (SELECT * FROM ranked JOIN (SELECT game, market, selection, least(observed_ms, o) AS oldest FROM current_quotes JOIN (SELECT game, market, min(observed_ms) AS o FROM current_quotes WHERE book <> 'hardrock' GROUP BY ALL) USING (game, market) WHERE book = 'hardrock') USING (game, market, selection) WHERE {_PAGED}),
+placed AS (SELECT *, row_number() OVER (ORDER BY ev DESC, confidence DESC, freshness DESC, coverage DESC, id) AS place FROM own)
 SELECT id, ev FROM placed WHERE place > 5 ORDER BY place LIMIT 10""")
 def ranked_next_page(t):
-    """Keyset page under a filter: the ten opportunities after the cursor, which is the last row of a first page of five."""
-    rows = R.filtered(_ranked(t), market="moneyline", minimum_ev=-0.5)
-    first = R.next_page(rows, 5).select(*R.RANK, "id").collect()  # a page, so five rows
-    return R.next_page(rows, 10, first[-1].asDict() if first else None).select("id", "ev")
+    """Keyset page under a filter and as of an instant: the ten opportunities after the cursor, the last row of a first page of five."""
+    rows, filters, as_of = _ranked(t), {"market": "moneyline", "minimum_ev": -0.5}, NOW_MS - 2 * DAY_MS
+    first = R.filtered_page(rows, 5, filters, as_of, seen="oldest_ms").select(*R.RANK, "id").collect()  # a page, so five rows
+    return R.filtered_page(rows, 10, filters, as_of, R.cursor_at(first[-1], filters, as_of) if first else None, "oldest_ms").select("id", "ev")
 
 
 @query(f"""SELECT id, least(oldest + 14400 * 60000 + 1, start_ms) AS expires_ms FROM ranked JOIN (SELECT game, market, selection, least(observed_ms, o) AS oldest FROM current_quotes JOIN (SELECT game, market, min(observed_ms) AS o FROM current_quotes WHERE book <> 'hardrock' GROUP BY ALL) USING (game, market) WHERE book = 'hardrock') USING (game, market, selection) JOIN games USING (game)""")

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from pricelens.plans import boards, consensus, experiments, prices, reports, series, streams  # noqa: F401  they register their queries
+from pricelens.plans import boards, consensus, experiments, prices, reports, series, serving, streams  # noqa: F401  they register their queries
 from pricelens.plans.facts import SOURCES
 from pricelens.plans.registry import QUERIES, oracles
 
