@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +58,46 @@ def guard(df: DataFrame, accepted_scopes: list[str]) -> Column:
     )
 
 
+@dataclass(frozen=True)
+class SportModule:
+    """What a sport brings to grading: the scopes of results that count, and a grader for each of its markets."""
+
+    scopes: Sequence[str]
+    graders: Mapping[str, Callable[[], Column]]
+
+
+def by_moneyline() -> Column:
+    return grade_moneyline(F.col("away_score"), F.col("home_score"), F.col("selection"), F.col("outcomes"), F.col("american"), F.col("state"))
+
+
+def by_spread() -> Column:
+    return grade_spread(F.col("away_score"), F.col("home_score"), F.col("selection"), F.col("point"), F.col("american"), F.col("state"))
+
+
+#: Sports by name; another one is added by an entry.
+SPORTS: dict[str, SportModule] = {
+    "baseball": SportModule(("full",), {"moneyline": by_moneyline, "spread": by_spread}),
+    "soccer": SportModule(("full", "regulation"), {"moneyline": by_moneyline, "spread": by_spread}),
+    "basketball": SportModule(("full",), {"moneyline": by_moneyline, "spread": by_spread}),
+    "football": SportModule(("full",), {"moneyline": by_moneyline}),
+}
+
+
+def graded(df: DataFrame, sports: Mapping[str, SportModule] = SPORTS) -> DataFrame:
+    """df, the columns of guard() and of the graders with market, by its sport's module: with grade, and refused, why not.
+
+    A sport or a market that no module knows, and a result that the module's guard turns away, give no grade.
+    """
+    grade, refused = F.lit(None), F.lit("sport-unsupported")
+    for name, module in sports.items():
+        here = F.col("sport") == name
+        known = F.col("market").isin(*module.graders)
+        refused = F.when(here, F.when(known, guard(df, list(module.scopes))).otherwise("market-unsupported")).otherwise(refused)
+        for market, grader in module.graders.items():
+            grade = F.when(here & (F.col("market") == market), grader()).otherwise(grade)
+    return df.withColumn("refused", refused).withColumn("grade", F.when(F.col("refused").isNull(), grade))
+
+
 def supersession(grades: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Each grade with its correction number from 0, whether a later one replaces it, and what it said before."""
     w = Window.partitionBy(*key).orderBy(*order)

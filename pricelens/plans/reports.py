@@ -58,18 +58,35 @@ def spread_grades(t):
   WHEN r.state = 'final' AND r.sequence % 5 = 0 THEN 'result-scope-mismatch' WHEN r.state = 'final' AND r.away_score IS NULL THEN 'participant-mismatch' WHEN d.account % 9 = 0 THEN 'selection-mismatch' ELSE 'none' END AS reason
 FROM decisions d JOIN current_results r ON d.game = r.game""")
 def grading_guards(t):
+    both = _guarded(t)
+    return both.select("id", F.coalesce(G.guard(both, ["full", "regulation"]), F.lit("none")).alias("reason"))
+
+
+def _guarded(t):
+    """Decisions beside the result that counts for their game."""
     sport = F.element_at(F.array(*map(F.lit, ("baseball", "soccer", "basketball", "football"))), (F.col("token") % 4 + 1).cast("int"))
     now = current_results(t.results).select(
         F.col("game").alias("result_event"), F.col("version").alias("result_version"), sport.alias("result_sport"), "state",
         F.when(F.col("sequence") % 5 == 0, "first-half").otherwise("full").alias("scope"),
-        F.when(F.col("away_score").isNull(), F.array(F.lit("away"))).otherwise(F.array(F.lit("away"), F.lit("home"))).alias("scored"),
+        F.when(F.col("away_score").isNull(), F.array(F.lit("away"))).otherwise(F.array(F.lit("away"), F.lit("home"))).alias("scored"), "away_score", "home_score", "outcomes", "point",
     )
     d = t.decisions.select(
-        "id", "sport", F.col("game").alias("event"), (1 + F.col("account") % 2).alias("version"), F.array(F.lit("away"), F.lit("home")).alias("participants"),
+        "id", "sport", "market", "american", F.col("game").alias("event"), (1 + F.col("account") % 2).alias("version"), F.array(F.lit("away"), F.lit("home")).alias("participants"),
         F.when(F.col("account") % 9 == 0, "draw").otherwise("home").alias("selection"),
     )
-    both = d.join(now, F.col("event") == F.col("result_event"))
-    return both.select("id", F.coalesce(G.guard(both, ["full", "regulation"]), F.lit("none")).alias("reason"))
+    return d.join(now, F.col("event") == F.col("result_event"))
+
+
+@query(f"""WITH x AS (SELECT d.id, CASE WHEN d.sport = 'football' AND d.market = 'spread' THEN 'market-unsupported' WHEN r.token % 4 <> CASE d.sport WHEN 'baseball' THEN 0 WHEN 'soccer' THEN 1 WHEN 'basketball' THEN 2 ELSE 3 END THEN 'sport-mismatch' WHEN r.version <> 1 + d.account % 2 THEN 'event-version-mismatch'
+  WHEN r.state = 'final' AND r.sequence % 5 = 0 THEN 'result-scope-mismatch' WHEN r.state = 'final' AND r.away_score IS NULL THEN 'participant-mismatch' WHEN d.account % 9 = 0 THEN 'selection-mismatch' END AS refused, r.state, d.market, d.american,
+  CASE WHEN d.market = 'spread' THEN r.home_score - r.away_score + r.point ELSE CASE WHEN r.home_score = r.away_score AND r.outcomes = 3 THEN -1 ELSE r.home_score - r.away_score END END AS margin, r.home_score = r.away_score AND r.outcomes = 2 AND d.market <> 'spread' AS tie
+FROM decisions d JOIN current_results r ON d.game = r.game),
+y AS (SELECT id, refused, american, CASE WHEN refused IS NULL THEN CASE WHEN state IN ('cancelled', 'no-contest') THEN 'void' WHEN state = 'postponed' OR margin IS NULL OR tie THEN 'unresolved' WHEN margin > 0 THEN 'won' WHEN margin < 0 THEN 'lost' ELSE 'push' END END AS outcome FROM x)
+SELECT id, refused, outcome, CASE WHEN refused IS NULL THEN round(CASE outcome WHEN 'won' THEN {dec('american')} - 1 WHEN 'lost' THEN -1 ELSE 0 END, 9) END AS profit FROM y""")
+def module_grades(t):
+    """Every decision by the module of its sport: its grade, or why the module refuses the result."""
+    own = G.graded(_guarded(t))
+    return own.select("id", "refused", "grade.outcome", F.round("grade.profit", 9).alias("profit"))
 
 
 @query("""WITH x AS (SELECT game, updated_ms, sequence, token, authority, version, point, american, state AS outcome FROM results)
