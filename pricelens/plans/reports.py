@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pricelens.functions.pricing import american_to_decimal, odds_band
@@ -15,6 +17,8 @@ from pricelens.plans.consensus import POLICY, _rows
 from pricelens.plans.facts import DAY_MS, NOW_MS
 from pricelens.plans.prices import dec, implied
 from pricelens.plans.registry import part, query
+from pricelens.sources import index as X
+from pricelens.sources.storage import work_path
 
 part("current_results", "SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY game ORDER BY authority DESC, updated_ms DESC, sequence DESC, token DESC, version DESC) = 1")
 part("graded", f"""SELECT *, CASE WHEN outcome = 'won' THEN {dec('american')} - 1 WHEN outcome = 'lost' THEN -1e0 ELSE 0e0 END AS profit FROM decisions""")
@@ -208,6 +212,16 @@ def cohort_members(t):
     return own.where(F.col("sport").isin("baseball", "soccer") & (F.col("market") == "moneyline") & (F.col("strategy") == "v1") & odds_band(F.col("american")).isin("favorite", "underdog")).select("id")
 
 
+@query("""SELECT id, account, created_ms FROM decisions WHERE created_ms >= 788918400000 AND created_ms < 796694400000 AND sport IN ('baseball', 'soccer') AND market = 'moneyline'""")
+def indexed_members(t):
+    """The same kind of cohort over three months, by way of an index on the day and a re-read of the rows it names."""
+    at, name = work_path(t.spark, "decisions"), f"decisions_{uuid.uuid4().hex}"
+    X.write_index(t.decisions, f"{at}/index", "created_ms", "id")
+    base = X.write_base(t.decisions, name, f"{at}/base", "id", 8)
+    found = X.scan_index(t.spark, f"{at}/index", "created_ms", 788_918_400_000, 796_694_400_000)
+    return X.reread(found, base, "id").where(F.col("sport").isin("baseball", "soccer") & (F.col("market") == "moneyline")).select("id", "account", "created_ms")
+
+
 @query("""SELECT sport, reason, count(*) AS n FROM (SELECT sport, unnest(list_filter([CASE WHEN american < 0 THEN 'favorite' END, CASE WHEN p < 0.5 THEN 'unlikely' END, clv_reason], lambda r: r IS NOT NULL)) AS reason FROM decisions) GROUP BY ALL""")
 def reason_histogram(t):
     from pricelens.functions.pricing import issues

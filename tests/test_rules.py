@@ -4,11 +4,13 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pricelens.functions.text import composed
 from pricelens.operators import experiments as E
 from pricelens.operators import ranking as R
 from pricelens.operators import serving as S
+from pricelens.sources.index import reread, scan_index, write_base, write_index
 
 GAME = "game long, version int, status string, start_ms long"
 QUOTE = "game long, version int, market string, book string, selection string, american int, point double, state string, observed_ms long, retrieved_ms long"
@@ -139,6 +141,28 @@ def test_provenance(spark):
     assert {r["node"]: r["origin"] for r in moved.collect()} == {"b": True, "e": True, "n": True, "m": False, "r": False}
 
 
+def test_index(spark, tmp_path):
+    """Only the months asked for are opened, the base doesn't move, and the rows are those of a plain filter."""
+    month = 31 * 86_400_000
+    df = spark.range(2000).select(F.concat(F.lit("d"), "id").alias("id"), F.when(F.col("id") % 50 > 0, F.pmod(F.xxhash64("id"), F.lit(20 * month))).alias("at"), (F.col("id") % 7).alias("v"))
+    write_index(df, str(tmp_path / "index"), "at", "id")
+    base = write_base(df, "index_base", str(tmp_path / "base"), "id", 4)
+    low, high = 3 * month, 4 * month
+    found = scan_index(spark, str(tmp_path / "index"), "at", low, high)
+    got = reread(found, base, "id")
+    want = df.where((F.col("at") >= low) & (F.col("at") < high))
+    assert sorted(map(tuple, got.select("id", "at", "v").collect())) == sorted(map(tuple, want.select("id", "at", "v").collect())) and want.count() > 50
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = reread(found, base, "id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "PartitionFilters: [isnotnull(month" in plan and "Join" in plan
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange" not in plan.split("FileScan parquet spark_catalog")[0].split("Join")[-1]  # the keys' side alone
+    spark.sql("DROP TABLE index_base")
+
+
 def test_cursors_are_bound_to_filters_and_instant(spark):
     rows = [(f"o{k:02}", ev, 50, 50, 50, "moneyline" if k % 3 else "spread", 10 * k) for k, ev in enumerate([0.3, 0.1, 0.1, 0.2, 0.1, 0.3, 0.0, 0.1, 0.2, 0.1])]
     df = spark.createDataFrame(rows, "id string, ev double, confidence long, freshness long, coverage long, market string, observed_ms long")
