@@ -113,7 +113,8 @@ def withdrawn(
     Only scheduled games that the schedule doesn't list within the tolerance can go. One whose pair of labels another game
     of the board has that is listed goes (vouched-sibling). Without split coverage a future one goes (future-no-witness)
     and one that may be in play stays. With coverage a game goes if its own last split is old (witness-silent), but only
-    while some game of the board has a fresh one: a silent feed tells nothing.
+    while some game of the board has a fresh one: a silent feed tells nothing. Nor does a missing schedule: without any event
+    of a sport its board stays as it is.
 
     games: rows (listing, sport, status, home, away, start_ms, splits_expected, witness_ms), the board being the sport.
     """
@@ -130,8 +131,9 @@ def withdrawn(
         (~expected & (F.col("start_ms") > now_ms + grace_ms), "future-no-witness"),
         (expected & F.col("__heard") & ~fresh, "witness-silent"),
     )
-    judged = own.join(siblings, ["sport", *pair], "left").join(feeds, "sport", "left")
-    reason = F.when((F.col("status") == "scheduled") & F.col("__listed").isNull(), why)
+    known = schedule.select("sport").distinct().withColumn("__known", F.lit(True))
+    judged = own.join(siblings, ["sport", *pair], "left").join(feeds, "sport", "left").join(known, "sport", "left")
+    reason = F.when((F.col("status") == "scheduled") & F.col("__listed").isNull() & F.col("__known"), why)
     return judged.select(*games.columns, reason.alias("reason"))
 
 

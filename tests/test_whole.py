@@ -254,10 +254,12 @@ def test_withdrawn(spark):
         (10, "a", "scheduled", None, "", now, True, None),  # no labels
     ]
     df = spark.createDataFrame(games, "listing long, sport string, status string, home string, away string, start_ms long, splits_expected boolean, witness_ms long")
-    schedule = spark.createDataFrame([(7, "a", "Fox", "Jay", now + 600_000)], "event long, sport string, home string, away string, start_ms long")
+    schedule = spark.createDataFrame([(7, "a", "Fox", "Jay", now + 600_000), (8, "b", "Yak", "Gnu", 0), (9, "c", "Yak", "Gnu", 0)], "event long, sport string, home string, away string, start_ms long")
     got = {r["listing"]: r["reason"] for r in M.withdrawn(df, schedule, now).collect()}
     assert got == {1: None, 2: "vouched-sibling", 3: None, 4: "witness-silent", 5: None, 6: "future-no-witness", 7: None, 8: None, 9: None, 10: "witness-silent"}
     assert M.withdrawn(df.limit(0), schedule, now).count() == 0
+    assert {r["listing"]: r["reason"] for r in M.withdrawn(df, schedule.where("sport = 'a'"), now).collect()} == {k: v if k < 6 or k == 10 else None for k, v in got.items()}  # boards without a schedule stay
+    assert M.withdrawn(df, schedule.limit(0), now).where("reason IS NOT NULL").count() == 0
 
 
 def test_attributed_splits(spark):
