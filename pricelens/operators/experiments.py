@@ -12,44 +12,53 @@ ROLES = ("train", "tune", "holdout", "baseline", "challenger")
 BIT = {r: 1 << k for k, r in enumerate(ROLES)}
 
 
-def manifests(members: DataFrame) -> DataFrame:
-    """members (experiment, role, kind, id): a digest of the distinct ids of each role, and their number.
+def _has(role: str) -> Column:
+    return F.col("in").bitwiseAND(F.lit(BIT[role])) > 0
+
+
+def id_bits(members: DataFrame) -> DataFrame:
+    """members (experiment, role, kind, id): a row per experiment, kind and id with the bits of the roles it has."""
+    bit = F.coalesce(*[F.when(F.col("role") == r, b) for r, b in BIT.items()])
+    return members.groupBy("experiment", "kind", "id").agg(F.bit_or(bit).alias("in"))
+
+
+def manifest(role: str) -> Column:
+    """An aggregate over id_bits: a digest of the events and members of a role, null if it has none.
 
     The digest sums a hash of each id, so it is built up before the shuffle and doesn't depend on any order.
     """
-    each = members.select("experiment", "role", "kind", "id").distinct()
+    own = _has(role) & F.col("kind").isin("event", "member")
     part = F.conv(F.substring(F.md5(F.concat_ws(":", "kind", "id")), 1, 15), 16, 10).cast("decimal(20,0)")
-    sums = each.groupBy("experiment", "role").agg(F.count("*").alias("n"), F.sum(part).cast("decimal(38,0)").alias("s"))
-    return sums.select("experiment", "role", "n", F.sha2(F.concat_ws(":", "n", "s"), 256).alias("digest"))
+    n, total = F.count_if(own), F.sum(F.when(own, part)).cast("decimal(38,0)")
+    return F.when(n > 0, F.sha2(F.concat_ws(":", n, total), 256))
 
 
 def failures(experiments: DataFrame, members: DataFrame, ledger: DataFrame) -> DataFrame:
     """Each experiment with the names of what is wrong with it, sorted, and the digests of its tune and holdout windows.
 
-    experiments: (experiment, train_end, tune_start, tune_end, holdout_start, frozen_ms, and the digests of both strategies
-    beside those that their evidence names: baseline, baseline_evidence, challenger, challenger_evidence); members: rows
-    (experiment, role, kind, id) with kind event, member or result; ledger: digests that earlier experiments have used.
+    experiments: (experiment, created_ms, train_end, tune_start, tune_end, holdout_start, frozen_ms, and the digests of both
+    strategies beside those that their evidence names: baseline, baseline_evidence, challenger, challenger_evidence); members:
+    rows (experiment, role, kind, id) with kind event, member or result; ledger: (digest, used_ms), what was used when.
     A pair of windows that share an id is one flag per id, whatever the number of ids; sets are equal if no id is in one only.
+    Flags and digests come from one aggregation over the ids, after the one that puts each id's roles together.
     """
-    bit = F.coalesce(*[F.when(F.col("role") == r, b) for r, b in BIT.items()])
-    ids = members.groupBy("experiment", "kind", "id").agg(F.bit_or(bit).alias("in"))
-    has = lambda r: F.col("in").bitwiseAND(F.lit(BIT[r])) > 0
     of = lambda *kinds: F.col("kind").isin(*kinds)
     some = lambda x: F.coalesce(F.bool_or(x), F.lit(False))
-    apart = lambda a, b: has(a) != has(b)
-    shared = (has("train") & has("tune")) | (has("train") & has("holdout")) | (has("tune") & has("holdout"))
-    flags = ids.groupBy("experiment").agg(
+    apart = lambda a, b: _has(a) != _has(b)
+    shared = (_has("train") & _has("tune")) | (_has("train") & _has("holdout")) | (_has("tune") & _has("holdout"))
+    flags = id_bits(members).groupBy("experiment").agg(
         some(of("event", "member") & shared).alias("overlap"),
         some(of("event") & (apart("holdout", "baseline") | apart("holdout", "challenger"))).alias("universe"),
         some(of("member") & (apart("holdout", "baseline") | apart("holdout", "challenger"))).alias("manifest"),
         some(of("result") & apart("baseline", "challenger")).alias("results"),
-        some(of("result") & has("baseline")).alias("has_results"),
+        some(of("result") & _has("baseline")).alias("has_results"),
+        *[manifest(r).alias(f"{r}_digest") for r in ("tune", "holdout")],
     )
-    digests = manifests(members.where(of("event", "member")))
-    known = ledger.select("digest").distinct().withColumn("used", F.lit(True))
-    window = digests.where(F.col("role").isin("tune", "holdout")).join(known, "digest", "left")
-    used = window.groupBy("experiment").agg(*[x for r in ("tune", "holdout") for x in (F.max(F.when(F.col("role") == r, F.col("digest"))).alias(f"{r}_digest"), some((F.col("role") == r) & F.col("used").isNotNull()).alias(f"{r}_used"))])
-    both = experiments.join(flags, "experiment", "left").join(used, "experiment", "left")
+    both = experiments.join(flags, "experiment", "left")
+    first = ledger.groupBy("digest").agg(F.min("used_ms").alias("used_ms"))
+    for r in ("tune", "holdout"):
+        own = first.select(F.col("digest").alias(f"{r}_digest"), F.col("used_ms").alias(f"{r}_used_ms"))
+        both = both.join(own, f"{r}_digest", "left").withColumn(f"{r}_used", F.coalesce(F.col(f"{r}_used_ms") < F.col("created_ms"), F.lit(False)))
     wrong = issues(
         (F.col("frozen_ms") > F.col("holdout_start"), "challenger-frozen-late"), (F.col("holdout_used"), "holdout-evidence-reused"), (F.col("manifest"), "holdout-member-manifest-mismatch"), (F.col("universe"), "holdout-universe-mismatch"),
         (F.col("results") | ~F.coalesce("has_results", F.lit(False)), "result-evidence-mismatch"), ((F.col("baseline") != F.col("baseline_evidence")) | (F.col("challenger") != F.col("challenger_evidence")), "strategy-evidence-mismatch"),

@@ -35,7 +35,7 @@ def _cases(t):
     members = rows.select("experiment", "role", F.inline(kinds))
     k = F.col("k")
     experiments = own.select("experiment", "k").distinct().select(
-        "experiment", F.lit(TUNE_MS).alias("train_end"), (F.lit(TUNE_MS) - F.when(k % 9 == 4, DAY_MS).otherwise(0)).alias("tune_start"), F.lit(HOLDOUT_MS).alias("tune_end"), F.lit(HOLDOUT_MS).alias("holdout_start"),
+        "experiment", F.col("experiment").alias("created_ms"), F.lit(TUNE_MS).alias("train_end"), (F.lit(TUNE_MS) - F.when(k % 9 == 4, DAY_MS).otherwise(0)).alias("tune_start"), F.lit(HOLDOUT_MS).alias("tune_end"), F.lit(HOLDOUT_MS).alias("holdout_start"),
         (F.lit(HOLDOUT_MS) + F.when(k % 10 == 5, 1).otherwise(-1)).alias("frozen_ms"), F.lit("a").alias("baseline"), F.when(k % 8 == 6, "b").otherwise("a").alias("baseline_evidence"), F.lit("c").alias("challenger"), F.lit("c").alias("challenger_evidence"),
     )
     return experiments, members
@@ -54,11 +54,9 @@ FROM (SELECT DISTINCT experiment, k FROM cases) LEFT JOIN flags USING (experimen
 def experiment_failures(t):
     """Experiments with all that is wrong with them; the second half of them against a ledger of what some of the first half used."""
     experiments, members = _cases(t)
-    windows = E.manifests(members.where("kind <> 'result' AND role IN ('tune', 'holdout')"))
-    ledger = windows.where("experiment < 500 AND experiment % 2 = 0")
-    none = ledger.where("false")
-    judged = E.failures(experiments.where("experiment >= 500"), members.where("experiment >= 500"), ledger).unionByName(E.failures(experiments.where("experiment < 500"), members.where("experiment < 500"), none))
-    return judged.withColumn("failures", F.array_join("failures", ","))
+    used = E.id_bits(members.where("experiment < 500 AND experiment % 2 = 0 AND role IN ('tune', 'holdout') AND kind <> 'result'")).groupBy("experiment").agg(E.manifest("tune").alias("a"), E.manifest("holdout").alias("b"))
+    ledger = used.select(F.explode(F.array("a", "b")).alias("digest"), F.lit(499).alias("used_ms"))
+    return E.failures(experiments, members, ledger).withColumn("failures", F.array_join("failures", ","))
 
 
 def _nodes(quotes, american):

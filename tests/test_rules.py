@@ -79,7 +79,7 @@ def test_blockers_come_before_age(spark):
     assert dict(map(tuple, judged.collect())) == {1: True, 2: False, 3: False, 4: False, 5: False}
 
 
-EXPERIMENT = "experiment int, train_end long, tune_start long, tune_end long, holdout_start long, frozen_ms long, baseline string, baseline_evidence string, challenger string, challenger_evidence string"
+EXPERIMENT = "experiment int, created_ms long, train_end long, tune_start long, tune_end long, holdout_start long, frozen_ms long, baseline string, baseline_evidence string, challenger string, challenger_evidence string"
 
 
 def test_experiment_failures(spark):
@@ -104,19 +104,22 @@ def test_experiment_failures(spark):
         if 6 in odd:
             for k in ("event", "member"):
                 sets["tune", k] = {f"same {k}"}
-        row = (e, 10, 10 - (7 in odd), 20, 20, 20 + (8 in odd), "a", "a", "c", "x" if 9 in odd else "c")
+        row = (e, e, 10, 10 - (7 in odd), 20, 20, 20 + (8 in odd), "a", "a", "c", "x" if 9 in odd else "c")
         rows.append(row)
         members += [(e, r, k, i) for (r, k), own in sets.items() for i in own for _ in range(rng.choice((1, 1, 2)))]
         pairs = [("train", "tune"), ("train", "holdout"), ("tune", "holdout")]
         want[e] = sorted(name for name, yes in (
             ("window-overlap", any(sets[a, k] & sets[b, k] for a, b in pairs for k in ("event", "member"))), ("holdout-universe-mismatch", any(sets["holdout", "event"] != sets[r, "event"] for r in ("baseline", "challenger"))),
             ("holdout-member-manifest-mismatch", any(sets["holdout", "member"] != sets[r, "member"] for r in ("baseline", "challenger"))), ("result-evidence-mismatch", sets["baseline", "result"] != sets["challenger", "result"] or not sets["baseline", "result"]),
-            ("tune-evidence-reused", 6 in odd), ("window-chronology", 7 in odd), ("challenger-frozen-late", 8 in odd), ("strategy-evidence-mismatch", 9 in odd),
+            ("tune-evidence-reused", 6 in odd and e > 20), ("window-chronology", 7 in odd), ("challenger-frozen-late", 8 in odd), ("strategy-evidence-mismatch", 9 in odd),
         ) if yes)
         digests[e] = sets
     m = spark.createDataFrame(members, "experiment int, role string, kind string, id string").repartition(5)
-    used = E.manifests(spark.createDataFrame([(999, "tune", k, f"same {k}") for k in ("event", "member")], "experiment int, role string, kind string, id string")).select("digest")
-    got = E.failures(spark.createDataFrame(rows, EXPERIMENT), m, used.unionByName(used)).collect()
+    same = spark.createDataFrame([(999, "tune", k, f"same {k}") for k in ("event", "member")], "experiment int, role string, kind string, id string")
+    used = E.id_bits(same).groupBy("experiment").agg(E.manifest("tune").alias("digest"), E.manifest("holdout").alias("none"))
+    assert used.select("none").first()[0] is None
+    ledger = used.select("digest", F.explode(F.array(F.lit(20), F.lit(70))).alias("used_ms"))  # experiments up to 20 came first
+    got = E.failures(spark.createDataFrame(rows, EXPERIMENT), m, ledger).collect()
     assert {r["experiment"]: r["failures"] for r in got} == want
     assert {n for own in want.values() for n in own} >= {"window-overlap", "holdout-universe-mismatch", "tune-evidence-reused", "window-chronology", "strategy-evidence-mismatch"} and [] in want.values()
     same = {r["tune_digest"] for r in got if {("tune", k): digests[r["experiment"]]["tune", k] for k in ("event", "member")} == {("tune", k): {f"same {k}"} for k in ("event", "member")}}
