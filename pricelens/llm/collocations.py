@@ -29,7 +29,7 @@ from pricelens.llm.common import bounded_batches, materialize, table
 from pricelens.llm.exact_bloom import set_slots
 
 LONGEST, LEAST, CONTAINED, KEPT, BITS = 4, 30, 80, 2000, 1 << 27
-SLICE, HELD, WORD_BITS, RANK_GROUPS = 1 << 20, 1 << 21, 21, 64
+SLICE, HELD, ROWS, WORD_BITS, RANK_GROUPS = 1 << 20, 1 << 21, 1 << 16, 21, 64
 #: A-Z lower-cased, marks and line ends that cut pieces as a full stop, the tab as a blank.
 CUT = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 #: The number of the piece's end among words.
@@ -58,7 +58,13 @@ class Words(dict):
     """Numbers of words as they come, 0 for the end of a piece."""
 
     def __init__(self):
-        super().__init__({b".": END})
+        super().__init__()
+        self.restart()
+
+    def restart(self) -> None:
+        """Number anew from 1, in place: whoever numbers a text with these goes on with the new numbers. `texts` is another list then."""
+        self.clear()
+        self[b"."] = END
         self.texts, self.digests, self.new = [b"."], np.zeros(1, np.uint64), []
 
     def __missing__(self, word: bytes) -> int:
@@ -135,7 +141,7 @@ class Pass:
         self.held += len(at)
 
     def full(self) -> bool:
-        return self.held > HELD or len(self.words) > 1 << (WORD_BITS - 1)
+        return self.held > HELD or len(self.words) > 1 << (WORD_BITS - 3)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         """What was counted since the last time: (lang, gram, slot, n), of buckets without lang and gram."""
@@ -153,17 +159,17 @@ class Pass:
                 columns = [codes >> (WORD_BITS * j) & low for j in reversed(range(self.k))]
             slots = (self._hashed([word[c] for c in columns], lang) & np.uint64(self.bits - 1)).astype(np.int64)
             texts = self.words.texts
-            for a in range(0, len(codes), SLICE):
-                grams = [b" ".join([texts[i] for i in x]) for x in zip(*[c[a : a + SLICE].tolist() for c in columns])]
-                yield self._rows(lang, grams, slots[a : a + SLICE] + 1, n[a : a + SLICE])
+            for a in range(0, len(codes), ROWS):
+                grams = [b" ".join([texts[i] for i in x]) for x in zip(*[c[a : a + ROWS].tolist() for c in columns])]
+                yield self._rows(lang, grams, slots[a : a + ROWS] + 1, n[a : a + ROWS])
         if self.slots:
             slots, n = np.unique(np.concatenate(self.slots), return_counts=True)
-            for a in range(0, len(slots), SLICE):
-                yield self._rows(None, None, slots[a : a + SLICE] + 1, n[a : a + SLICE])
+            for a in range(0, len(slots), ROWS):
+                yield self._rows(None, None, slots[a : a + ROWS] + 1, n[a : a + ROWS])
         self.grams.clear()
         self.slots, self.held = [], 0
-        if len(self.words) > 1 << (WORD_BITS - 1):
-            self.words = Words()
+        if len(self.words) > 1 << (WORD_BITS - 3):
+            self.words.restart()
 
     def end(self) -> Iterator[pa.RecordBatch]:
         for lang, n in self.totals.items():
@@ -196,10 +202,10 @@ def counted(texts: DataFrame, k: int, longest: int, bits: int, filters) -> DataF
                     own.add(lang, both, len(before))
                     before = both[-(longest - 1) :] if longest > 1 else both[:0]
                     if own.full():
-                        texts_, known = own.words.texts, own.words
+                        known = own.words.texts
                         yield from own.flush()
-                        if own.words is not known:  # the words that the next phrases begin with get new numbers
-                            before = np.array([own.words[texts_[i]] for i in before.tolist()], np.int64)
+                        if own.words.texts is not known:  # the words that the next phrases begin with get new numbers
+                            before = np.array([own.words[known[i]] for i in before.tolist()], np.int64)
         yield from own.flush()
         yield from own.end()
 

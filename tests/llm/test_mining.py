@@ -85,6 +85,36 @@ def test_collocations_in_small_pieces(spark, monkeypatch):
     assert {p.encode(): a for _, _, p, a, *_ in want} == {g: n for k in (2, 3, 4) for g, n in whole[k].items()}
 
 
+def test_collocations_of_more_words_than_numbers(monkeypatch):
+    """A task whose word numbers run out amid a text numbers anew from the next slice on, and counts the same."""
+    rng = random.Random(5)
+    rows = [(lang, " ".join(rng.choice(["a", "b", "c.", f"{lang}{rng.randrange(300)}"]) for _ in range(rng.randrange(400)))) for lang in ("en", "de") * 20]
+    batches = [C.pa.RecordBatch.from_pylist([{"lang": lang, "text": text} for lang, text in rows[i : i + 10]]) for i in (0, 10, 20, 30)]
+    monkeypatch.setattr(C, "SLICE", 50)
+    monkeypatch.setattr(C, "WORD_BITS", 7)  # 64 words
+
+    class Task:
+        def mapInArrow(self, count, schema):
+            return count(iter(batches))
+
+    class Full:
+        value = C.Filters(*[C.np.full(4096, 255, C.np.uint8)] * 2)
+
+    want = {(lang, p.encode()): a for lang, _, p, a, *_ in brute_collocations(rows, 1, 1000, 10**6)}
+    for k in range(1, 5):
+        got, words = Counter(), Counter()
+        for b in C.counted(Task(), k, 4, 64, Full()):
+            for r in b.to_pylist():
+                if r["gram"] is not None:
+                    got[r["lang"], r["gram"]] += r["n"]
+                elif r["slot"] is None:
+                    words[r["lang"]] += r["n"]
+        if k == 1:
+            assert got == Counter((lang, w.encode()) for lang, t in rows for w in t.replace(".", "").split()) and words.total() == got.total()
+        else:
+            assert got == {p: a for p, a in want.items() if len(p[1].split()) == k}
+
+
 def test_collocations_of_nothing(docs, nothing):
     assert C.collocations(nothing).count() == 0
     assert C.collocations(docs.where("text IS NULL OR text = ''")).count() == 0
