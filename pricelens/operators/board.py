@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelens.functions.pricing import american_to_decimal, implied_probability
+from pricelens.functions.pricing import american_to_decimal, first_reason, implied_probability
 from pricelens.functions.text import searchable
 
 
@@ -105,8 +105,9 @@ def evidence_gaps(expected: DataFrame, quotes: DataFrame, markets: Mapping[str,
     good = (F.col("state") == "active") & ~F.col("unsupported") & ~F.col("alternate") & ~stale
     per = quotes.groupBy("game", "book", "market").agg(F.count_if(good).alias("good"), F.count("*").alias("n"), F.min(worst).alias("worst"))
     both = grid.join(per, ["game", "book", "market"], "left").where(F.col("good").isNull() | (F.col("good") < sides))
-    named = F.element_at(F.array(*map(F.lit, ("unsupported", "closed", "suspended", "stale"))), F.col("worst"))
-    reason = F.when(F.col("n").isNull(), "missing").when(F.col("good") > 0, "incomplete-market").otherwise(F.coalesce(named, F.lit("partial")))
+    # no element_at: of an array of literals it takes the last one for a null place
+    named = [(F.col("worst") == k, name) for k, name in enumerate(("unsupported", "closed", "suspended", "stale"), 1)]
+    reason = F.coalesce(first_reason((F.col("n").isNull(), "missing"), (F.col("good") > 0, "incomplete-market"), *named), F.lit("partial"))
     return both.select("game", "book", "market", reason.alias("gap"))
 
 

@@ -4,6 +4,7 @@ from types import SimpleNamespace
 
 import pytest
 
+from pricelens.operators import board as B
 from pricelens.plans import series
 
 QUOTE = "snapshot_id long, game long, market string, book string, selection string, american int, provider_rank int, observed_ms long"
@@ -26,3 +27,15 @@ def test_clv_summary_counts_values_as_they_are(spark):
     assert 0 < positive < len(values) and max(map(abs, values)) < 1e-12
     [got] = series.clv_summary(SimpleNamespace(quotes=spark.createDataFrame(rows, QUOTE))).collect()
     assert (got["market"], got["n"], got["median_clv"], got["positive"]) == ("moneyline", len(values), pytest.approx(0), positive)
+
+
+def test_evidence_gaps_names_only_what_a_price_has(spark):
+    """Cells of fresh active prices that are all alternate lines are partial; none of the named reasons holds."""
+    cells = [
+        ("partial", [("active", 9, False, True)]), ("partial", [("active", 9, False, True), ("active", 9, False, True)]), ("stale", [("active", 1, False, True)]), ("suspended", [("suspended", 1, False, False)]),
+        ("closed", [("unavailable", 1, False, False), ("suspended", 9, False, False)]), ("unsupported", [("unavailable", 9, False, False), ("active", 9, True, True)]), ("incomplete-market", [("active", 9, False, False), ("active", 9, True, True)]), ("missing", []),
+    ]
+    rows = [(game, "b", "moneyline", *price) for game, (_, prices) in enumerate(cells) for price in prices]
+    quotes = spark.createDataFrame(rows, "game long, book string, market string, state string, observed_ms long, unsupported boolean, alternate boolean")
+    got = B.evidence_gaps(spark.range(len(cells)).withColumnRenamed("id", "game"), quotes, {"b": ["moneyline"]}, 2, 10, 5).collect()
+    assert {r["game"]: r["gap"] for r in got} == dict(enumerate(gap for gap, _ in cells))
