@@ -78,6 +78,7 @@ def plain_words(label: Column) -> Column:
     text = F.lower(F.translate(label, DIACRITICS, PLAIN_LETTERS))
     for letter, written in WRITTEN_OUT:
         text = F.replace(text, F.lit(letter), F.lit(written))
+    text = F.when(F.octet_length(label) == F.char_length(label), F.lower(label)).otherwise(text)
     return F.regexp_extract_all(text, F.lit("([a-z0-9]+)"), 1)
 
 
@@ -87,11 +88,20 @@ def fuzzy_match(left: Column, right: Column) -> Column:
     return fuzzy_parts_match(fuzzy_parts(left), fuzzy_parts(right))
 
 
+def telling_words(words: Column) -> Column:
+    """The words that aren't generic, each once, in order."""
+    return F.sort_array(F.array_except(words, F.array(*map(F.lit, GENERIC_WORDS))))
+
+
+def long_words(words: Column) -> Column:
+    return F.filter(words, lambda w: F.length(w) >= 4)
+
+
 def fuzzy_parts(label: Column) -> Column:
     """What fuzzy_match compares of a label, to be computed before a join."""
     words = plain_words(label)
-    own = F.array_sort(F.array_except(words, F.array(*map(F.lit, GENERIC_WORDS))))
-    return F.struct(F.array_join(words, "").alias("whole"), own.alias("own"), F.filter(own, lambda w: F.length(w) >= 4).alias("long"))
+    own = telling_words(words)
+    return F.struct(F.array_join(words, "").alias("whole"), own.alias("own"), long_words(own).alias("long"))
 
 
 def fuzzy_parts_match(a: Column, b: Column) -> Column:

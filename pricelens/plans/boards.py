@@ -8,6 +8,7 @@ from pricelens.functions import text as T
 from pricelens.operators import board as B
 from pricelens.operators import mapping
 from pricelens.operators import matching as M
+from pricelens.operators.fuzzy import fuzzy_events
 from pricelens.operators.latest import current_availability, current_quotes, latest_by
 from pricelens.plans.facts import BOOKS, DAY_MS, FIRST_MS, NOW_MS
 from pricelens.plans.prices import dec, implied
@@ -347,15 +348,7 @@ def fuzzy_labels(t):
     Both labels must each match one side, not the same; within 15 minutes one label that does so is enough if the other
     matches none.
     """
-    parts = {c: T.fuzzy_parts(F.col(c)) for c in ("home", "away")}
-    pairs = M.near_in_time(t.listings.withColumns(parts), t.schedule.withColumns(parts), ["sport"], "start_ms", "start_ms", 3_600_000)
-    near = F.abs(F.col("start_ms") - F.col("r_start_ms")) <= TOLERANCE
-    marked = pairs.select("listing", "r_event", near.alias("near"), *[T.fuzzy_parts_match(F.col(a), F.col(f"r_{b}")).alias(a[0] + b[0]) for a in parts for b in parts])
-    # a filter on the four marks would move below them and compare the labels again for each mention of a mark
-    hit = F.when(M.sides_found("hh", "ha", "ah", "aa", F.col("near")), F.col("r_event"))
-    found = marked.groupBy("listing").agg(F.count_distinct(hit).alias("n"), F.min(hit).alias("event"))
-    both = t.listings.select("listing").join(found, "listing", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return both.select("listing", "n", F.when(F.col("n") == 1, F.col("event")).alias("event"))
+    return fuzzy_events(t.listings, t.schedule, 3_600_000, TOLERANCE)
 
 
 @query(f"""WITH b AS (SELECT listing, listing % 1500 AS bound FROM listings WHERE listing % 4 = 0)
